@@ -32,8 +32,8 @@ def sod(ts: str | Column) -> Column:
 def hms(seconds: str | Column) -> Column:
     """``HH:MM:SS`` text of a seconds-of-day value; NULL stays NULL."""
     s = col(seconds)
-    return F.format_string("%02d:%02d:%02d", (s / 3600).cast("int"),
-                           ((s / 60).cast("int")) % 60, s % 60)
+    return F.when(s.isNotNull(), F.format_string("%02d:%02d:%02d", (s / 3600).cast("int"),
+                                                 ((s / 60).cast("int")) % 60, s % 60))
 
 
 def hhmm_ampm(seconds: str | Column) -> Column:
@@ -41,8 +41,9 @@ def hhmm_ampm(seconds: str | Column) -> Column:
     s = col(seconds)
     h = (s / 3600).cast("int")
     h12 = F.when(h % 12 == 0, F.lit(12)).otherwise(h % 12)
-    return F.format_string("%02d:%02d %s", h12, ((s / 60).cast("int")) % 60,
-                           F.when(h < 12, F.lit("AM")).otherwise(F.lit("PM")))
+    return F.when(s.isNotNull(), F.format_string(
+        "%02d:%02d %s", h12, ((s / 60).cast("int")) % 60,
+        F.when(h < 12, F.lit("AM")).otherwise(F.lit("PM"))))
 
 
 def hour_label(seconds: str | Column) -> Column:
@@ -50,8 +51,9 @@ def hour_label(seconds: str | Column) -> Column:
     s = col(seconds)
     h = (s / 3600).cast("int")
     h12 = F.when(h % 12 == 0, F.lit(12)).otherwise(h % 12)
-    return F.format_string("%d:%02d %s", h12, ((s / 60).cast("int")) % 60,
-                           F.when(h < 12, F.lit("AM")).otherwise(F.lit("PM")))
+    return F.when(s.isNotNull(), F.format_string(
+        "%d:%02d %s", h12, ((s / 60).cast("int")) % 60,
+        F.when(h < 12, F.lit("AM")).otherwise(F.lit("PM"))))
 
 
 def seq3(prefix: str | Column, n: str | Column) -> Column:

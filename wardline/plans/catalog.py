@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from wardline.functions.columns import hms
 from wardline.operators import queues
-from wardline.sources.hospital import Hospital
+from wardline.sources.staging import staged_hospital
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -47,8 +47,8 @@ def portable(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def _h(spark: SparkSession, sf_dir: str) -> Hospital:
-    return Hospital(spark, sf_dir)
+def _h(spark: SparkSession, sf_dir: str):
+    return staged_hospital(spark, sf_dir)
 
 
 # -- queues -------------------------------------------------------------------
@@ -130,3 +130,138 @@ def q_all_tokens(spark, sf_dir):
     return portable(q.select("queue_date", "doctor_id", "list_order", "id", "token_number",
                              "patient_name", "type", "status", "expected_sod",
                              hms("created_sod").alias("created_time"), "count"))
+
+
+# -- directory and enrichment ------------------------------------------------------
+from wardline.functions.columns import hhmm_ampm  # noqa: E402
+from wardline.operators import directory, stats  # noqa: E402
+
+
+@register("departments")
+def q_departments(spark, sf_dir):
+    return portable(directory.department_list(_h(spark, sf_dir).departments))
+
+
+@register("pharmacies_active")
+def q_pharmacies_active(spark, sf_dir):
+    return portable(directory.active_pharmacies(_h(spark, sf_dir).pharmacies))
+
+
+@register("doctor_locations")
+def q_doctor_locations(spark, sf_dir):
+    return portable(directory.doctor_locations(_h(spark, sf_dir).doctors))
+
+
+@register("doctor_directory")
+def q_doctor_directory(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(directory.doctor_directory(h.doctors, h.departments))
+
+
+@register("tokens_enriched")
+def q_tokens_enriched(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(directory.tokens_enriched(h.tokens, h.doctors, h.departments))
+
+
+@register("pharmacy_queue")
+def q_pharmacy_queue(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(directory.pharmacy_queue(h.pharmacy_tokens, h.pharmacies))
+
+
+@register("view_lab_queue")
+def q_view_lab_queue(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(directory.view_lab_queue(h.lab_tokens, h.lab_tests))
+
+
+@register("view_prebooked_labs")
+def q_view_prebooked_labs(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(directory.view_prebooked_labs(h.prebooked_lab_appointments, h.lab_tests))
+
+
+@register("lab_bookings_ordered")
+def q_lab_bookings_ordered(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(directory.lab_bookings_ordered(h.prebooked_lab_appointments, h.lab_tests))
+
+
+# -- counters -----------------------------------------------------------------------
+@register("doctor_wait")
+def q_doctor_wait(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(stats.doctor_wait(h.doctors, h.tokens))
+
+
+@register("opd_stats")
+def q_opd_stats(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(stats.status_counts(h.tokens, ["queue_date", "doctor_id"],
+                                        ["waiting", "consulting", "completed", "cancelled"]))
+
+
+@register("pharmacy_stats")
+def q_pharmacy_stats(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(stats.status_counts(h.pharmacy_tokens, ["queue_date", "pharmacy_id"],
+                                        ["waiting", "processing", "completed", "cancelled"]))
+
+
+@register("department_wait")
+def q_department_wait(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(stats.department_load(h.tokens).select(
+        "queue_date", "department_id", "waiting", "wait_minutes"))
+
+
+@register("daily_issued")
+def q_daily_issued(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(stats.department_load(h.tokens).select(
+        "queue_date", "department_id", "issued", "next_sequence"))
+
+
+@register("lab_wait")
+def q_lab_wait(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(stats.lab_wait(h.lab_tokens, h.lab_tests))
+
+
+@register("pharmacy_wait")
+def q_pharmacy_wait(spark, sf_dir):
+    return portable(stats.pharmacy_wait(_h(spark, sf_dir).pharmacy_tokens))
+
+
+@register("current_tokens")
+def q_current_tokens(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(stats.current_tokens(h.tokens, h.pharmacy_tokens))
+
+
+@register("bookings_per_test")
+def q_bookings_per_test(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(stats.bookings_per_test(h.prebooked_lab_appointments, h.lab_tests))
+
+
+@register("lab_capacity")
+def q_lab_capacity(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(stats.lab_capacity(h.prebooked_lab_appointments, h.lab_tests))
+
+
+@register("queue_totals")
+def q_queue_totals(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    live = queues.live_queue(h.tokens, h.prebooked_appointments, scope="doctor")
+    work = queues.doctor_worklist(h.tokens)
+    arr = queues.expected_arrivals(h.prebooked_appointments, h.tokens)
+    return portable(stats.queue_totals(live, work, arr, h.tokens))
+
+
+@register("doctor_remaining")
+def q_doctor_remaining(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(stats.doctor_remaining(queues.doctor_worklist(h.tokens)))

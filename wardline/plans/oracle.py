@@ -70,7 +70,8 @@ lab_tokens AS (
          CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'cancelled'
                          WHEN 'signup' THEN 'in_progress' ELSE 'waiting' END AS token_status,
          concat(l.test_code, '-', printf('%03d', row_number() OVER (
-                PARTITION BY l.test_id, d ORDER BY ts, event_id))) AS token_number
+                PARTITION BY l.test_id, d ORDER BY ts, event_id))) AS token_number,
+         CAST(row_number() OVER (PARTITION BY l.test_id, d ORDER BY ts, event_id) AS INT) AS queue_position
   FROM ev JOIN lab_tests l ON l.test_id = m%4+1 WHERE event_id%8 = 3),
 prebooked_lab_appointments AS (
   SELECT CAST(event_id+1 AS BIGINT) AS booking_id, concat('LB', printf('%03d', event_id)) AS booking_code,
@@ -81,10 +82,14 @@ prebooked_lab_appointments AS (
                          WHEN 'signup' THEN 'checked_in' ELSE 'booked' END AS booking_status
   FROM ev WHERE event_id%8 = 7),
 pharmacies AS (
-  SELECT * FROM (VALUES (1,'Main Pharmacy','A','1','East',TRUE,NULL,'Online 2'),
-                        (2,'Emergency Pharmacy','B','Ground','West',TRUE,'Cash 1',NULL),
-                        (3,'Night Pharmacy','C','2','North',FALSE,NULL,NULL))
-  AS p(id, name, block, floor, wing, is_active, cash_counter, online_counter)),
+  SELECT CAST(n_nationkey+1 AS INT) AS id, concat(n_name, ' Pharmacy') AS name,
+         substr('ABCDE', CAST(n_nationkey%5+1 AS INT), 1) AS block, CAST(n_nationkey%4 AS VARCHAR) AS floor,
+         CASE n_regionkey WHEN 0 THEN 'East' WHEN 1 THEN 'West' WHEN 2 THEN 'North' WHEN 3 THEN 'South'
+                          ELSE 'Central' END AS wing,
+         (n_nationkey%6 <> 5) AS is_active,
+         CASE WHEN n_nationkey%3=0 THEN NULL ELSE concat('Cash ', CAST(n_nationkey%3 AS VARCHAR)) END AS cash_counter,
+         CASE WHEN n_nationkey%4=1 THEN NULL ELSE concat('Online ', CAST(n_nationkey%4 AS VARCHAR)) END AS online_counter
+  FROM nation),
 pharmacy_tokens AS (
   SELECT CAST(event_id+1 AS BIGINT) AS id, event_id, CAST(user_id%2+1 AS INT) AS pharmacy_id,
          concat('Patient ', CAST(user_id+1 AS VARCHAR)) AS patient_name,
@@ -284,3 +289,226 @@ SELECT CAST(queue_date AS VARCHAR) AS queue_date, CAST(doctor_id AS BIGINT) AS d
        CAST(count(*) OVER (PARTITION BY queue_date, doctor_id) AS BIGINT) AS count
 FROM tokens
 """
+
+
+def _ampm(x: str) -> str:
+    return (f"CASE WHEN {x} IS NULL THEN NULL ELSE printf('%02d:%02d %s', "
+            f"CASE WHEN ({x} // 3600) % 12 = 0 THEN 12 ELSE ({x} // 3600) % 12 END, ({x} // 60) % 60, "
+            f"CASE WHEN {x} // 3600 < 12 THEN 'AM' ELSE 'PM' END) END")
+
+
+SQL["departments"] = ADAPTER + """
+SELECT CAST(id AS BIGINT) AS id, name, description,
+       CAST(row_number() OVER (ORDER BY name, id) AS BIGINT) AS name_order
+FROM departments
+"""
+
+SQL["pharmacies_active"] = ADAPTER + """
+SELECT CAST(id AS BIGINT) AS id, name, block, floor, wing,
+       COALESCE(cash_counter, 'Counter A') AS cash_counter,
+       COALESCE(online_counter, 'Counter 1') AS online_counter,
+       concat('Block: ', COALESCE(block, ''), ', Floor: ', COALESCE(floor, ''), ', Wing: ', COALESCE(wing, ''))
+         AS location
+FROM pharmacies WHERE is_active
+"""
+
+SQL["doctor_locations"] = ADAPTER + """
+SELECT CAST(id AS BIGINT) AS doctor_id, name AS doctor_name,
+       COALESCE(floor_block, '') AS floor_block, COALESCE(wing, '') AS wing,
+       COALESCE(room_number, '') AS room_number,
+       concat_ws(', ', NULLIF(floor_block, ''), NULLIF(wing, ''), NULLIF(room_number, '')) AS location_text
+FROM doctors
+"""
+
+SQL["doctor_directory"] = ADAPTER + """
+SELECT CAST(d.id AS BIGINT) AS id, d.name, CAST(d.fees AS BIGINT) AS fees, dep.name AS department,
+       CAST(dep.id AS BIGINT) AS department_id, d.floor_block, d.wing, d.room_number,
+       CAST(row_number() OVER (PARTITION BY dep.name ORDER BY d.name, d.id) AS BIGINT) AS name_order
+FROM doctors d JOIN departments dep ON d.department_id = dep.id
+"""
+
+SQL["tokens_enriched"] = ADAPTER + f"""
+SELECT CAST(t.id AS BIGINT) AS id, t.token_number, t.patient_name, t.patient_phone, t.status, t.type,
+       CAST(t.doctor_id AS BIGINT) AS doctor_id, CAST(t.department_id AS BIGINT) AS department_id,
+       CAST(t.queue_date AS VARCHAR) AS queue_date,
+       {_ampm('t.expected_sod')} AS expected_time, {_ampm('t.created_sod')} AS created_time,
+       d.name AS doctor_name, dep.name AS department_name,
+       CAST(row_number() OVER (PARTITION BY t.queue_date ORDER BY t.created_at, t.id) AS BIGINT) AS day_order
+FROM tokens t LEFT JOIN doctors d ON t.doctor_id = d.id LEFT JOIN departments dep ON t.department_id = dep.id
+"""
+
+SQL["pharmacy_queue"] = ADAPTER + f"""
+SELECT CAST(pt.id AS BIGINT) AS id, pt.token_number, pt.patient_name, pt.patient_phone, pt.status,
+       pt.payment_method, CAST(pt.pharmacy_id AS BIGINT) AS pharmacy_id, p.name AS pharmacy_name,
+       p.block, p.floor, p.wing, CAST(pt.queue_date AS VARCHAR) AS queue_date,
+       {_ampm('pt.created_sod')} AS created_time,
+       CAST(row_number() OVER (PARTITION BY pt.queue_date, pt.pharmacy_id ORDER BY pt.created_at, pt.id)
+            AS BIGINT) AS position
+FROM pharmacy_tokens pt JOIN pharmacies p ON pt.pharmacy_id = p.id
+"""
+
+SQL["view_lab_queue"] = ADAPTER + """
+SELECT CAST(lt.token_id AS BIGINT) AS token_id, lt.token_number, t.test_name, lt.patient_name,
+       lt.patient_type, CAST(lt.scheduled_sod AS BIGINT) AS scheduled_sod, lt.token_status,
+       CAST(lt.queue_position AS BIGINT) AS queue_position, CAST(lt.scheduled_date AS VARCHAR) AS queue_date
+FROM lab_tokens lt JOIN lab_tests t ON lt.test_id = t.test_id
+WHERE lt.token_status IN ('waiting', 'in_progress')
+"""
+
+SQL["view_prebooked_labs"] = ADAPTER + """
+SELECT CAST(p.booking_id AS BIGINT) AS booking_id, p.booking_code, t.test_name, t.test_code, p.patient_name,
+       p.patient_phone, CAST(p.appointment_sod AS BIGINT) AS appointment_sod, p.booking_status,
+       CAST(p.appointment_date AS VARCHAR) AS queue_date,
+       CAST(row_number() OVER (PARTITION BY p.appointment_date ORDER BY p.appointment_sod, p.booking_id)
+            AS BIGINT) AS time_order
+FROM prebooked_lab_appointments p JOIN lab_tests t ON p.test_id = t.test_id
+"""
+
+SQL["lab_bookings_ordered"] = ADAPTER + """
+SELECT CAST(p.booking_id AS BIGINT) AS booking_id, p.booking_code, CAST(p.test_id AS BIGINT) AS test_id,
+       t.test_name, p.patient_name, CAST(p.appointment_date AS VARCHAR) AS appointment_date,
+       CAST(p.appointment_sod AS BIGINT) AS appointment_sod, p.booking_status,
+       CAST(row_number() OVER (PARTITION BY p.test_id
+                               ORDER BY p.appointment_date, p.appointment_sod, p.booking_id) AS BIGINT)
+         AS list_order
+FROM prebooked_lab_appointments p JOIN lab_tests t ON p.test_id = t.test_id
+"""
+
+SQL["doctor_wait"] = ADAPTER + """
+SELECT CAST(c.doctor_id AS BIGINT) AS doctor_id, CAST(c.queue_date AS VARCHAR) AS queue_date,
+       CAST(c.n AS BIGINT) AS patients_waiting, d.name AS doctor_name,
+       CAST(d.department_id AS BIGINT) AS department_id, CAST(c.n * 10 AS BIGINT) AS wait_time
+FROM (SELECT doctor_id, queue_date, count(*) FILTER (WHERE status = 'waiting') AS n
+      FROM tokens GROUP BY doctor_id, queue_date) c
+JOIN doctors d ON d.id = c.doctor_id
+"""
+
+SQL["opd_stats"] = ADAPTER + """
+SELECT CAST(queue_date AS VARCHAR) AS queue_date, CAST(doctor_id AS BIGINT) AS doctor_id,
+       CAST(count(*) AS BIGINT) AS total,
+       CAST(count(*) FILTER (WHERE status = 'waiting') AS BIGINT) AS waiting,
+       CAST(count(*) FILTER (WHERE status = 'consulting') AS BIGINT) AS consulting,
+       CAST(count(*) FILTER (WHERE status = 'completed') AS BIGINT) AS completed,
+       CAST(count(*) FILTER (WHERE status = 'cancelled') AS BIGINT) AS cancelled
+FROM tokens GROUP BY queue_date, doctor_id
+"""
+
+SQL["pharmacy_stats"] = ADAPTER + """
+SELECT CAST(queue_date AS VARCHAR) AS queue_date, CAST(pharmacy_id AS BIGINT) AS pharmacy_id,
+       CAST(count(*) AS BIGINT) AS total,
+       CAST(count(*) FILTER (WHERE status = 'waiting') AS BIGINT) AS waiting,
+       CAST(count(*) FILTER (WHERE status = 'processing') AS BIGINT) AS processing,
+       CAST(count(*) FILTER (WHERE status = 'completed') AS BIGINT) AS completed,
+       CAST(count(*) FILTER (WHERE status = 'cancelled') AS BIGINT) AS cancelled
+FROM pharmacy_tokens GROUP BY queue_date, pharmacy_id
+"""
+
+SQL["department_wait"] = ADAPTER + """
+SELECT CAST(queue_date AS VARCHAR) AS queue_date, CAST(department_id AS BIGINT) AS department_id,
+       CAST(count(*) FILTER (WHERE status = 'waiting') AS BIGINT) AS waiting,
+       CAST(10 * count(*) FILTER (WHERE status = 'waiting') AS BIGINT) AS wait_minutes
+FROM tokens GROUP BY queue_date, department_id
+"""
+
+SQL["daily_issued"] = ADAPTER + """
+SELECT CAST(queue_date AS VARCHAR) AS queue_date, CAST(department_id AS BIGINT) AS department_id,
+       CAST(count(*) AS BIGINT) AS issued, CAST(count(*) + 1 AS BIGINT) AS next_sequence
+FROM tokens GROUP BY queue_date, department_id
+"""
+
+SQL["lab_wait"] = ADAPTER + """
+SELECT CAST(a.test_id AS BIGINT) AS test_id, CAST(a.queue_date AS VARCHAR) AS queue_date,
+       CAST(a.issued AS BIGINT) AS issued, CAST(a.active AS BIGINT) AS active, t.test_code,
+       CAST(a.active * t.slot_duration AS BIGINT) AS wait_minutes
+FROM (SELECT scheduled_date AS queue_date, test_id, count(*) AS issued,
+             count(*) FILTER (WHERE token_status IN ('waiting', 'in_progress')) AS active
+      FROM lab_tokens GROUP BY scheduled_date, test_id) a
+JOIN lab_tests t ON t.test_id = a.test_id
+"""
+
+SQL["pharmacy_wait"] = ADAPTER + """
+SELECT CAST(queue_date AS VARCHAR) AS queue_date, CAST(pharmacy_id AS BIGINT) AS pharmacy_id,
+       CAST(count(*) AS BIGINT) AS issued,
+       CAST(count(*) FILTER (WHERE status = 'waiting') AS BIGINT) AS waiting,
+       CAST(3 * count(*) FILTER (WHERE status = 'waiting') AS BIGINT) AS wait_minutes
+FROM pharmacy_tokens GROUP BY queue_date, pharmacy_id
+"""
+
+SQL["current_tokens"] = ADAPTER + """
+SELECT 'day' AS scope, CAST(queue_date AS VARCHAR) AS queue_date, CAST(NULL AS BIGINT) AS scope_id,
+       arg_min(token_number, id) AS current_token
+FROM tokens WHERE status = 'consulting' GROUP BY queue_date
+UNION ALL
+SELECT 'department', CAST(queue_date AS VARCHAR), CAST(department_id AS BIGINT),
+       COALESCE(arg_min(token_number, id) FILTER (WHERE status = 'consulting'), 'None')
+FROM tokens GROUP BY queue_date, department_id
+UNION ALL
+SELECT 'pharmacy', CAST(queue_date AS VARCHAR), CAST(pharmacy_id AS BIGINT),
+       arg_min(token_number, (created_at, id))
+FROM pharmacy_tokens WHERE status = 'processing' GROUP BY queue_date, pharmacy_id
+"""
+
+SQL["bookings_per_test"] = ADAPTER + """
+SELECT CAST(p.test_id AS BIGINT) AS test_id, CAST(p.appointment_date AS VARCHAR) AS queue_date,
+       CAST(count(*) AS BIGINT) AS total_bookings, t.test_name
+FROM prebooked_lab_appointments p JOIN lab_tests t ON p.test_id = t.test_id
+GROUP BY p.test_id, p.appointment_date, t.test_name
+"""
+
+SQL["lab_capacity"] = ADAPTER + """
+SELECT CAST(p.test_id AS BIGINT) AS test_id, CAST(p.appointment_date AS VARCHAR) AS slot_date,
+       CAST(count(*) AS BIGINT) AS booked_count, t.test_code, CAST(t.daily_capacity AS BIGINT) AS total_capacity,
+       CAST(t.daily_capacity - count(*) AS BIGINT) AS available_count
+FROM prebooked_lab_appointments p JOIN lab_tests t ON p.test_id = t.test_id
+WHERE p.booking_status <> 'cancelled'
+GROUP BY p.test_id, p.appointment_date, t.test_code, t.daily_capacity
+"""
+
+SQL["queue_totals"] = ADAPTER + _LIVE_ROWS + """,
+lq AS (SELECT queue_date, doctor_id, count(*) AS n FROM lq_rows GROUP BY ALL),
+wl AS (SELECT queue_date, doctor_id, least(count(*), 20) AS n FROM tokens
+       WHERE status IN ('waiting', 'consulting') GROUP BY ALL),
+ea AS (SELECT appointment_date AS queue_date, doctor_id, least(count(*), 10) AS n
+       FROM prebooked_appointments pb
+       WHERE pb.status IN ('booked', 'confirmed') AND NOT EXISTS (
+         SELECT 1 FROM tokens t
+         WHERE (upper(trim(t.token_number)) = upper(trim(pb.booking_id))
+                OR upper(trim(t.booking_id)) = upper(trim(pb.booking_id)))
+           AND t.queue_date = pb.appointment_date AND t.status <> 'cancelled')
+       GROUP BY ALL),
+ct AS (SELECT queue_date, doctor_id, count(*) AS n FROM tokens GROUP BY ALL),
+k AS (SELECT queue_date, doctor_id FROM lq UNION SELECT queue_date, doctor_id FROM wl
+      UNION SELECT queue_date, doctor_id FROM ea UNION SELECT queue_date, doctor_id FROM ct)
+SELECT CAST(k.queue_date AS VARCHAR) AS queue_date, CAST(k.doctor_id AS BIGINT) AS doctor_id,
+       CAST(COALESCE(lq.n, 0) AS BIGINT) AS total_in_queue, CAST(COALESCE(wl.n, 0) AS BIGINT) AS total_waiting,
+       CAST(COALESCE(ea.n, 0) AS BIGINT) AS total_expected, CAST(COALESCE(ct.n, 0) AS BIGINT) AS count
+FROM k
+LEFT JOIN lq ON lq.queue_date = k.queue_date AND lq.doctor_id IS NOT DISTINCT FROM k.doctor_id
+LEFT JOIN wl ON wl.queue_date = k.queue_date AND wl.doctor_id IS NOT DISTINCT FROM k.doctor_id
+LEFT JOIN ea ON ea.queue_date = k.queue_date AND ea.doctor_id IS NOT DISTINCT FROM k.doctor_id
+LEFT JOIN ct ON ct.queue_date = k.queue_date AND ct.doctor_id IS NOT DISTINCT FROM k.doctor_id
+"""
+
+SQL["doctor_remaining"] = ADAPTER + """,
+w AS (
+  SELECT queue_date, doctor_id, status,
+         row_number() OVER (PARTITION BY queue_date, doctor_id ORDER BY
+           CASE WHEN status = 'consulting' THEN 0 ELSE 1 END,
+           CASE WHEN status = 'consulting' THEN 0
+                WHEN COALESCE(token_type, type) = 'prebooked' OR upper(token_number) LIKE 'PB%' THEN 1
+                WHEN COALESCE(token_type, type) = 'review' THEN 2 ELSE 3 END,
+           expected_sod NULLS FIRST, id) AS position
+  FROM tokens WHERE status IN ('waiting', 'consulting')),
+g AS (
+  SELECT queue_date, doctor_id, count(*) AS total,
+         COALESCE(min(position) FILTER (WHERE status = 'consulting'), 1) - 1 AS idx
+  FROM w WHERE position <= 20 GROUP BY queue_date, doctor_id),
+r AS (SELECT *, greatest(0, total - (idx + 1)) AS remaining FROM g)
+SELECT CAST(queue_date AS VARCHAR) AS queue_date, CAST(doctor_id AS BIGINT) AS doctor_id,
+       CAST(total AS BIGINT) AS total, CAST(idx AS BIGINT) AS current_index,
+       CAST(remaining AS BIGINT) AS remaining,
+       CASE WHEN total = 0 THEN 'No tokens in queue' WHEN remaining <= 0 THEN 'Last patient in queue'
+            ELSE concat(CAST(remaining AS VARCHAR), ' more token', CASE WHEN remaining <> 1 THEN 's' ELSE '' END,
+                        ' waiting') END AS queue_status
+FROM r
+"""

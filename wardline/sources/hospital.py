@@ -27,21 +27,15 @@ from wardline.functions.columns import seq3, sod
 from wardline.operators.ranking import number_rows
 from wardline.sources.driver import read_table
 
-# Fixed lookup values of the application seeds: lab tests
+# Fixed lookup values of the application seed: lab tests
 # (test_id, test_code, test_name, duration_minutes, fee, slot_duration,
-#  daily_capacity, advance_booking_days) and pharmacies
-# (id, name, block, floor, wing, is_active, cash_counter, online_counter).
+#  daily_capacity, advance_booking_days).
 LAB_TESTS = [
     (1, "MRI", "MRI Scan", 45, 8000, 45, 12, 21),
     (2, "CT", "CT Scan", 25, 5000, 30, 16, 14),
     (3, "BT", "Blood Test", 10, 500, 10, 50, 7),
     (4, "XR", "X-Ray", 15, 800, 15, 30, 7),
 ]
-PHARMACIES = [
-    (1, "Main Pharmacy", "A", "1", "East", True, None, "Online 2"),
-    (2, "Emergency Pharmacy", "B", "Ground", "West", True, "Cash 1", None),
-    (3, "Night Pharmacy", "C", "2", "North", False, None, None),
-]
 
 _LAB_TEST_SCHEMA = T.StructType([
     T.StructField("test_id", T.IntegerType()),
@@ -53,16 +47,6 @@ _LAB_TEST_SCHEMA = T.StructType([
     T.StructField("daily_capacity", T.IntegerType()),
     T.StructField("advance_booking_days", T.IntegerType()),
 ])
-_PHARMACY_SCHEMA = T.StructType([
-    T.StructField("id", T.IntegerType()),
-    T.StructField("name", T.StringType()),
-    T.StructField("block", T.StringType()),
-    T.StructField("floor", T.StringType()),
-    T.StructField("wing", T.StringType()),
-    T.StructField("is_active", T.BooleanType()),
-    T.StructField("cash_counter", T.StringType()),
-    T.StructField("online_counter", T.StringType()),
-])
 
 
 def _status(mapping: dict[str, str], default: str) -> F.Column:
@@ -137,7 +121,23 @@ class Hospital:
 
     @cached_property
     def pharmacies(self) -> DataFrame:
-        return self.spark.createDataFrame(PHARMACIES, _PHARMACY_SCHEMA)
+        """Pharmacies, one per nation; every sixth is inactive."""
+        n = read_table(self.spark, self.sf_dir, "nation")
+        k = F.col("n_nationkey")
+        return n.select(
+            (k + 1).cast("int").alias("id"),
+            F.concat(F.col("n_name"), F.lit(" Pharmacy")).alias("name"),
+            F.substring(F.lit("ABCDE"), (k % 5 + 1).cast("int"), 1).alias("block"),
+            (k % 4).cast("string").alias("floor"),
+            F.when(F.col("n_regionkey") == 0, "East").when(F.col("n_regionkey") == 1, "West")
+             .when(F.col("n_regionkey") == 2, "North").when(F.col("n_regionkey") == 3, "South")
+             .otherwise("Central").alias("wing"),
+            (k % 6 != 5).alias("is_active"),
+            F.when(k % 3 == 0, F.lit(None).cast("string"))
+             .otherwise(F.concat(F.lit("Cash "), (k % 3).cast("string"))).alias("cash_counter"),
+            F.when(k % 4 == 1, F.lit(None).cast("string"))
+             .otherwise(F.concat(F.lit("Online "), (k % 4).cast("string"))).alias("online_counter"),
+        )
 
     # -- facts --------------------------------------------------------------
     @cached_property
@@ -222,7 +222,7 @@ class Hospital:
         )
         t = number_rows(t, ["test_id", "scheduled_date"], ["created_at", "event_id"], "_seq")
         return t.withColumn("token_number", seq3(F.concat(F.col("test_code"), F.lit("-")), "_seq")) \
-                .drop("_seq", "test_code")
+                .withColumnRenamed("_seq", "queue_position").drop("test_code")
 
     @cached_property
     def prebooked_lab_appointments(self) -> DataFrame:
