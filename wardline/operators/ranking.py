@@ -50,46 +50,61 @@ def _key_match(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
-def _window_number(df: DataFrame, partition_by, order_by, name, count_name):
+def _window_number(df: DataFrame, partition_by, order_by, name, count_name, value_col=None):
     w = Window.partitionBy(*partition_by).orderBy(*_order_cols(order_by))
-    out = df.withColumn(name, F.row_number().over(w))
+    if value_col is None:
+        out = df.withColumn(name, F.row_number().over(w))
+    else:
+        w = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = df.withColumn(name, F.sum(F.coalesce(F.col(value_col), F.lit(0))).over(w).cast("long"))
     if count_name:
         out = out.withColumn(count_name, F.count(F.lit(1)).over(Window.partitionBy(*partition_by)))
     return out
 
 
+def running_sum(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str | Column],
+                value_col: str, name: str, hot_rows: int | None = None,
+                strategy: str = "auto") -> DataFrame:
+    """Add ``name`` = sum of ``value_col`` over the group's rows up to and
+    including this one (rows frame), with the same hot-group handling."""
+    return number_rows(df, partition_by, order_by, name, None, hot_rows, strategy, value_col)
+
+
 def number_rows(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str | Column],
                 name: str, count_name: str | None = None, hot_rows: int | None = None,
-                strategy: str = "auto") -> DataFrame:
+                strategy: str = "auto", value_col: str | None = None) -> DataFrame:
     """Add ``name`` = 1..n within each ``partition_by`` group in ``order_by`` order.
 
     ``order_by`` must end in a unique tie-break so numbers are deterministic.
     ``count_name`` optionally adds the group size.  ``strategy``: ``auto``
     (hot-group split), ``window`` or ``range`` (forces one path; for tests).
+    With ``value_col`` the result is a running sum of that column instead.
     """
     partition_by = list(partition_by)
     if strategy == "window":
-        return _window_number(df, partition_by, order_by, name, count_name)
+        return _window_number(df, partition_by, order_by, name, count_name, value_col)
     spark = df.sparkSession
     if strategy == "range":
-        return _range_number(df, partition_by, order_by, name, count_name, None)
+        return _range_number(df, partition_by, order_by, name, count_name, None, value_col)
     limit = hot_rows or hot_group_rows(spark)
     sizes = df.groupBy(*partition_by).agg(F.count(F.lit(1)).alias("_group_rows"))
     # Bounded: a group above ``limit`` rows holds more than 1/(rows/limit) of
     # the input, so there are at most rows/limit such keys.
     hot = sizes.where(F.col("_group_rows") > limit).limit(MAX_HOT_GROUPS).collect()
     if not hot:
-        return _window_number(df, partition_by, order_by, name, count_name)
+        return _window_number(df, partition_by, order_by, name, count_name, value_col)
     hot_df = F.broadcast(spark.createDataFrame(hot, sizes.schema))
     cond = _key_match(df, hot_df, partition_by)
     cold = df.join(hot_df, cond, "left_anti")
     hot_rows_df = df.join(hot_df, cond, "left_semi")
-    numbered_cold = _window_number(cold, partition_by, order_by, name, count_name)
-    numbered_hot = _range_number(hot_rows_df, partition_by, order_by, name, count_name, hot_df)
+    numbered_cold = _window_number(cold, partition_by, order_by, name, count_name, value_col)
+    numbered_hot = _range_number(hot_rows_df, partition_by, order_by, name, count_name, hot_df,
+                                 value_col)
     return numbered_cold.unionByName(numbered_hot)
 
 
-def _range_number(df: DataFrame, partition_by, order_by, name, count_name, sizes_df):
+def _range_number(df: DataFrame, partition_by, order_by, name, count_name, sizes_df,
+                  value_col=None):
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     sort_cols = [F.col(c) for c in partition_by] + _order_cols(order_by)
@@ -114,7 +129,9 @@ def _range_number(df: DataFrame, partition_by, order_by, name, count_name, sizes
             if prev_hash is not None:
                 new_run[0] = h[0] != prev_hash
             run_id = new_run.cumsum()
-            local = pd.Series(1, index=range(len(pdf))).groupby(run_id).cumsum().to_numpy()
+            vals = (pdf[value_col].fillna(0).astype("int64").to_numpy() if value_col
+                    else 1)
+            local = pd.Series(vals, index=range(len(pdf))).groupby(run_id).cumsum().to_numpy()
             if prev_hash is not None and not new_run[0]:
                 local[run_id == run_id[0]] += prev_local
             pdf = pdf.assign(_pid=pid, _idx=range(idx, idx + len(pdf)), _local=local)
@@ -151,7 +168,8 @@ def _range_number(df: DataFrame, partition_by, order_by, name, count_name, sizes
     for k in keys:
         cond = cond & sliced[k].eqNullSafe(off_df[f"_o_{k}"])
     out = sliced.join(off_df, cond, "left").withColumn(
-        name, (F.col("_local") + F.coalesce(F.col("_off"), F.lit(0))).cast("int"))
+        name, (F.col("_local") + F.coalesce(F.col("_off"), F.lit(0))).cast(
+            "long" if value_col else "int"))
     out = out.drop("_pid", "_idx", "_local", "_opid", "_off", *[f"_o_{k}" for k in keys])
     if count_name:
         if sizes_df is None:
