@@ -1,0 +1,25 @@
+import sys
+sys.path.insert(0,'/root/repo'); sys.path.insert(0,'/root/repo/tests')
+from oracle_compare import duck, rows_of
+from wardline.session import get_spark
+from wardline.sources.hospital import Hospital
+from wardline.plans.catalog import portable
+from wardline.plans.oracle import ADAPTER
+sf='/root/testdata/sf0.01'
+spark=get_spark(); con=duck(sf); h=Hospital(spark, sf)
+names = sys.argv[1:]
+for n in names:
+    df = portable(getattr(h, n))
+    cols = df.columns
+    a = rows_of(cols, [tuple(r) for r in df.collect()])
+    sel = ", ".join(cols)
+    rel = con.sql(ADAPTER + f" SELECT * FROM {n}")
+    dcols = rel.columns
+    import duckdb
+    # cast like portable
+    q = ADAPTER + " SELECT " + ", ".join(
+        f"CAST({c} AS VARCHAR) AS {c}" if t in ('DATE',) else (f"strftime({c}, '%Y-%m-%d %H:%M:%S') AS {c}" if t.startswith('TIMESTAMP') else c)
+        for c, t in zip(dcols, [str(x) for x in rel.types])) + f" FROM {n}"
+    r2 = con.sql(q)
+    b = rows_of(r2.columns, r2.fetchall())
+    print(n, sorted(cols) == sorted(r2.columns), a == b, len(a), len(b), (sorted(set(a)-set(b))[:2], sorted(set(b)-set(a))[:2]) if a != b else '')

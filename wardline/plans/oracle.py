@@ -109,7 +109,92 @@ status_log AS (
 break_log AS (
   SELECT event_id AS req_id, ts, d, CAST(user_id%10+1 AS INT) AS doctor_id,
          CASE event_type WHEN 'signup' THEN 'start_break' ELSE 'end_break' END AS action
-  FROM ev WHERE event_type IN ('signup','purchase') AND event_id%5 = 0)
+  FROM ev WHERE event_type IN ('signup','purchase') AND event_id%5 = 0),
+lookup_log AS (
+  SELECT event_id AS req_id, ts, d,
+         CASE WHEN event_id%3=0 THEN CAST(user_id+1 AS BIGINT) ELSE NULL END AS patient_id,
+         concat('9', printf('%09d', user_id+1)) AS patient_phone,
+         concat(CASE WHEN m%4=0 THEN 'pb' ELSE 'PB' END, printf('%03d', event_id - 6 - 4*(m%3))) AS booking_id,
+         concat(CASE WHEN m%5=0 THEN ' lb' ELSE 'LB' END, printf('%03d', 8*m + 7)) AS lab_code,
+         CASE m%3 WHEN 0 THEN concat('PB', printf('%03d', event_id - 6))
+                  WHEN 1 THEN concat('a', printf('%03d', m%30 + 1)) ELSE '' END AS token
+  FROM ev WHERE event_id%10 = 7),
+cancel_log AS (
+  SELECT event_id AS req_id, ts, d,
+         CASE WHEN m%3=0 THEN CAST(event_id - 4 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS token_id,
+         CASE m%3 WHEN 0 THEN '' WHEN 1 THEN concat(' pb', printf('%03d', event_id - 4))
+                  ELSE concat('A', printf('%03d', m%40 + 1)) END AS token,
+         CASE WHEN m%4=2 THEN concat('PB', printf('%03d', event_id - 8)) ELSE NULL END AS booking_id,
+         CASE WHEN event_type='error' THEN 'at patient request' ELSE NULL END AS reason,
+         (event_type <> 'view') AS notify
+  FROM ev WHERE event_id%6 = 5),
+booking_cancel_log AS (
+  SELECT event_id AS req_id, ts, d,
+         concat(CASE WHEN m%3=0 THEN 'pb' ELSE 'PB' END, printf('%03d', event_id - 8)) AS booking_id
+  FROM ev WHERE event_id%12 = 9),
+reschedule_log AS (
+  SELECT event_id AS req_id, ts, d, concat('PB', printf('%03d', event_id - 2)) AS booking_id,
+         CASE event_type WHEN 'error' THEN replace(CAST(d AS VARCHAR), '-', '/')
+                         WHEN 'click' THEN CAST(d - 1 AS VARCHAR)
+                         WHEN 'signup' THEN ''
+                         WHEN 'view' THEN CAST(d AS VARCHAR)
+                         ELSE CAST(d + 2 AS VARCHAR) END AS new_date,
+         CASE m%3 WHEN 0 THEN ''
+                  WHEN 1 THEN printf('%02d:%02d:00', (sod // 3600 + 1) % 24, (sod // 60) % 60 - (sod // 60) % 15)
+                  ELSE '9:30' END AS new_time
+  FROM ev WHERE event_id%20 = 3),
+lab_cancel_log AS (
+  SELECT event_id AS req_id, ts, d,
+         concat(CASE WHEN m%2=0 THEN 'lb' ELSE 'LB' END, printf('%03d', 8*m - 1)) AS booking_code
+  FROM ev WHERE event_id%16 = 13),
+pharmacy_cancel_log AS (
+  SELECT event_id AS req_id, ts, d,
+         CASE WHEN m%4=3 THEN CAST(0 AS BIGINT) ELSE CAST(event_id - 3 - 3*(m%3) AS BIGINT) END AS token_id,
+         CASE WHEN m%4=3 THEN concat('PH', CAST(user_id%2+1 AS VARCHAR), '-', printf('%03d', m%50 + 1))
+              ELSE '' END AS token_number,
+         CASE WHEN event_type <> 'error' THEN 'Patient left' ELSE NULL END AS reason
+  FROM ev WHERE event_id%9 = 4),
+pharmacy_status_log AS (
+  SELECT event_id AS req_id, ts, d, CAST(event_id - 1 - 3*(m%4) AS BIGINT) AS token_id,
+         CASE event_type WHEN 'view' THEN 'processing' WHEN 'purchase' THEN 'completed'
+                         WHEN 'error' THEN 'cancelled' WHEN 'click' THEN 'waiting' ELSE 'ready' END AS new_status
+  FROM ev WHERE event_id%3 = 2),
+lab_status_log AS (
+  SELECT event_id AS req_id, ts, d, CAST(event_id - 1 - 8*(m%3) AS BIGINT) AS token_id,
+         CASE event_type WHEN 'view' THEN 'in_progress' WHEN 'purchase' THEN 'completed'
+                         WHEN 'error' THEN 'cancelled' WHEN 'click' THEN 'waiting' ELSE 'no_show' END AS new_status
+  FROM ev WHERE event_id%8 = 5),
+checkin_log AS (
+  SELECT event_id AS req_id, ts, d,
+         concat(CASE WHEN m%5=1 THEN 'pb' ELSE 'PB' END, printf('%03d', event_id - 1 - 4*(m%2))) AS booking_id
+  FROM ev WHERE event_id%8 = 6),
+opd_issue_log AS (
+  SELECT e.event_id AS req_id, e.ts, e.d,
+         CAST(CASE WHEN e.event_id%11=5 THEN 0 ELSE (e.event_id+e.user_id)%10+1 END AS INT) AS doctor_id,
+         CASE e.event_id%7 WHEN 0 THEN '' WHEN 1 THEN lower(dp.name) WHEN 2 THEN 'Cardiology' ELSE dp.name END
+           AS department,
+         concat('Patient ', CAST(e.user_id+1 AS VARCHAR)) AS patient_name,
+         concat('9', printf('%09d', e.user_id+1)) AS patient_phone
+  FROM ev e LEFT JOIN doctors dr ON dr.id = CAST((e.event_id+e.user_id)%10+1 AS INT)
+            LEFT JOIN departments dp ON dp.id = dr.department_id
+  WHERE e.event_id%2 = 0),
+lab_issue_log AS (
+  SELECT event_id AS req_id, ts, d,
+         CASE m%7 WHEN 0 THEN 'ecg' WHEN 1 THEN lower(l.test_code) WHEN 2 THEN concat(' ', l.test_code, ' ')
+                  ELSE l.test_code END AS test_code,
+         CASE WHEN event_id%13=0 THEN '' ELSE concat('Patient ', CAST(user_id+1 AS VARCHAR)) END AS patient_name,
+         CAST(CASE WHEN event_id%17=0 THEN 0 ELSE 18 + user_id%60 END AS INT) AS patient_age,
+         CASE user_id%4 WHEN 0 THEN 'Male' WHEN 1 THEN 'female' WHEN 2 THEN 'x' ELSE '' END AS patient_gender,
+         concat('9', printf('%09d', user_id+1)) AS patient_phone,
+         CAST(CASE WHEN m%2=0 THEN 0 ELSE 100*(m%7) END AS INT) AS payment_amount
+  FROM ev JOIN lab_tests l ON l.test_id = m%4+1 WHERE event_id%8 = 3),
+pharmacy_issue_log AS (
+  SELECT event_id AS req_id, ts, d,
+         CAST(CASE WHEN event_id%19=0 THEN 6 WHEN event_id%23=0 THEN 0 ELSE user_id%2+1 END AS INT) AS pharmacy_id,
+         CASE WHEN event_id%29=0 THEN '' ELSE concat('Patient ', CAST(user_id+1 AS VARCHAR)) END AS patient_name,
+         concat('9', printf('%09d', user_id+1)) AS patient_phone,
+         CASE WHEN event_id%2=0 THEN 'cash' ELSE 'online' END AS payment_method
+  FROM ev WHERE event_id%3 = 0)
 """
 
 # Live-queue branches (three-way UNION ALL) shared by several oracles.

@@ -289,3 +289,160 @@ class Hospital:
             (F.col("user_id") % 10 + 1).cast("int").alias("doctor_id"),
             F.when(F.col("event_type") == "signup", "start_break").otherwise("end_break").alias("action"),
         )
+
+    # -- more request logs (one per write endpoint) -------------------------
+    def _log(self, residue_mod: int, residue: int) -> DataFrame:
+        return self.events.where(F.col("event_id") % residue_mod == residue)
+
+    @cached_property
+    def lookup_log(self) -> DataFrame:
+        """Read-side lookups: active-token checks, booking verification, status polls."""
+        e, m = F.col("event_id"), F.col("m")
+        return self._log(10, 7).select(
+            F.col("event_id").alias("req_id"), "ts", "d",
+            F.when(e % 3 == 0, (F.col("user_id") + 1).cast("bigint")).alias("patient_id"),
+            _phone().alias("patient_phone"),
+            F.concat(F.when(m % 4 == 0, "pb").otherwise("PB"),
+                     F.format_string("%03d", e - 6 - 4 * (m % 3))).alias("booking_id"),
+            F.concat(F.when(m % 5 == 0, " lb").otherwise("LB"),
+                     F.format_string("%03d", 8 * m + 7)).alias("lab_code"),
+            F.when(m % 3 == 0, seq3("PB", e - 6))
+             .when(m % 3 == 1, seq3("a", m % 30 + 1)).otherwise(F.lit("")).alias("token"),
+        )
+
+    @cached_property
+    def cancel_log(self) -> DataFrame:
+        """OPD cancel requests: by token id, by token/booking number, or by walk-in number."""
+        e, m = F.col("event_id"), F.col("m")
+        return self._log(6, 5).select(
+            F.col("event_id").alias("req_id"), "ts", "d",
+            F.when(m % 3 == 0, (e - 4).cast("bigint")).otherwise(F.lit(0).cast("bigint")).alias("token_id"),
+            F.when(m % 3 == 0, F.lit("")).when(m % 3 == 1, seq3(" pb", e - 4))
+             .otherwise(seq3("A", m % 40 + 1)).alias("token"),
+            F.when(m % 4 == 2, seq3("PB", e - 8)).alias("booking_id"),
+            F.when(F.col("event_type") == "error", F.lit("at patient request")).alias("reason"),
+            (F.col("event_type") != "view").alias("notify"),
+        )
+
+    @cached_property
+    def booking_cancel_log(self) -> DataFrame:
+        e, m = F.col("event_id"), F.col("m")
+        return self._log(12, 9).select(
+            F.col("event_id").alias("req_id"), "ts", "d",
+            seq3(F.when(m % 3 == 0, F.lit("pb")).otherwise(F.lit("PB")), e - 8).alias("booking_id"))
+
+    @cached_property
+    def reschedule_log(self) -> DataFrame:
+        e, m, s = F.col("event_id"), F.col("m"), F.col("sod")
+        et = F.col("event_type")
+        minute = (s / 60).cast("int") % 60
+        return self._log(20, 3).select(
+            F.col("event_id").alias("req_id"), "ts", "d",
+            seq3("PB", e - 2).alias("booking_id"),
+            F.when(et == "error", F.regexp_replace(F.col("d").cast("string"), "-", "/"))
+             .when(et == "click", F.date_sub("d", 1).cast("string"))
+             .when(et == "signup", F.lit(""))
+             .when(et == "view", F.col("d").cast("string"))
+             .otherwise(F.date_add("d", 2).cast("string")).alias("new_date"),
+            F.when(m % 3 == 0, F.lit(""))
+             .when(m % 3 == 1, F.format_string("%02d:%02d:00", ((s / 3600).cast("int") + 1) % 24,
+                                               minute - (s / 60).cast("int") % 15))
+             .otherwise(F.lit("9:30")).alias("new_time"),
+        )
+
+    @cached_property
+    def lab_cancel_log(self) -> DataFrame:
+        m = F.col("m")
+        return self._log(16, 13).select(
+            F.col("event_id").alias("req_id"), "ts", "d",
+            seq3(F.when(m % 2 == 0, F.lit("lb")).otherwise(F.lit("LB")), 8 * m - 1).alias("booking_code"))
+
+    @cached_property
+    def pharmacy_cancel_log(self) -> DataFrame:
+        e, m = F.col("event_id"), F.col("m")
+        by_number = m % 4 == 3
+        return self._log(9, 4).select(
+            F.col("event_id").alias("req_id"), "ts", "d",
+            F.when(by_number, F.lit(0).cast("bigint"))
+             .otherwise((e - 3 - 3 * (m % 3)).cast("bigint")).alias("token_id"),
+            F.when(by_number, seq3(F.concat(F.lit("PH"), (F.col("user_id") % 2 + 1).cast("string"),
+                                            F.lit("-")), m % 50 + 1)).otherwise(F.lit("")).alias("token_number"),
+            F.when(F.col("event_type") != "error", F.lit("Patient left")).alias("reason"),
+        )
+
+    @cached_property
+    def pharmacy_status_log(self) -> DataFrame:
+        e, m = F.col("event_id"), F.col("m")
+        return self._log(3, 2).select(
+            F.col("event_id").alias("req_id"), "ts", "d",
+            (e - 1 - 3 * (m % 4)).cast("bigint").alias("token_id"),
+            _status({"view": "processing", "purchase": "completed", "error": "cancelled",
+                     "click": "waiting"}, "ready").alias("new_status"),
+        )
+
+    @cached_property
+    def lab_status_log(self) -> DataFrame:
+        e, m = F.col("event_id"), F.col("m")
+        return self._log(8, 5).select(
+            F.col("event_id").alias("req_id"), "ts", "d",
+            (e - 1 - 8 * (m % 3)).cast("bigint").alias("token_id"),
+            _status({"view": "in_progress", "purchase": "completed", "error": "cancelled",
+                     "click": "waiting"}, "no_show").alias("new_status"),
+        )
+
+    @cached_property
+    def checkin_log(self) -> DataFrame:
+        e, m = F.col("event_id"), F.col("m")
+        return self._log(8, 6).select(
+            F.col("event_id").alias("req_id"), "ts", "d",
+            seq3(F.when(m % 5 == 1, F.lit("pb")).otherwise(F.lit("PB")), e - 1 - 4 * (m % 2))
+            .alias("booking_id"))
+
+    @cached_property
+    def opd_issue_log(self) -> DataFrame:
+        """Walk-in issue requests (department text and/or doctor)."""
+        e = F.col("event_id")
+        ev = self.events.where(e % 2 == 0).withColumn(
+            "_doc", ((e + F.col("user_id")) % 10 + 1).cast("int"))
+        doc = self.doctors.select(F.col("id").alias("_doc"), F.col("department_id").alias("_dep"))
+        dep = F.broadcast(self.departments.select(F.col("id").alias("_dep"), F.col("name").alias("_dname")))
+        j = ev.join(doc, "_doc", "left").join(dep, "_dep", "left")
+        return j.select(
+            F.col("event_id").alias("req_id"), "ts", "d",
+            F.when(e % 11 == 5, F.lit(0)).otherwise(F.col("_doc")).cast("int").alias("doctor_id"),
+            F.when(e % 7 == 0, F.lit("")).when(e % 7 == 1, F.lower("_dname"))
+             .when(e % 7 == 2, F.lit("Cardiology")).otherwise(F.col("_dname")).alias("department"),
+            _patient_name().alias("patient_name"), _phone().alias("patient_phone"),
+        )
+
+    @cached_property
+    def lab_issue_log(self) -> DataFrame:
+        e, m = F.col("event_id"), F.col("m")
+        lt = F.broadcast(self.lab_tests.select(F.col("test_id").alias("_t"), F.col("test_code").alias("_c")))
+        ev = self._log(8, 3)
+        j = ev.join(lt, (m % 4 + 1) == lt._t)
+        u = F.col("user_id")
+        return j.select(
+            F.col("event_id").alias("req_id"), "ts", "d",
+            F.when(m % 7 == 0, F.lit("ecg")).when(m % 7 == 1, F.lower("_c"))
+             .when(m % 7 == 2, F.concat(F.lit(" "), F.col("_c"), F.lit(" "))).otherwise(F.col("_c"))
+             .alias("test_code"),
+            F.when(e % 13 == 0, F.lit("")).otherwise(_patient_name()).alias("patient_name"),
+            F.when(e % 17 == 0, F.lit(0)).otherwise(18 + u % 60).cast("int").alias("patient_age"),
+            F.when(u % 4 == 0, "Male").when(u % 4 == 1, "female").when(u % 4 == 2, "x")
+             .otherwise("").alias("patient_gender"),
+            _phone().alias("patient_phone"),
+            F.when(m % 2 == 0, F.lit(0)).otherwise(100 * (m % 7)).cast("int").alias("payment_amount"),
+        )
+
+    @cached_property
+    def pharmacy_issue_log(self) -> DataFrame:
+        e = F.col("event_id")
+        return self._log(3, 0).select(
+            F.col("event_id").alias("req_id"), "ts", "d",
+            F.when(e % 19 == 0, F.lit(6)).when(e % 23 == 0, F.lit(0))
+             .otherwise(F.col("user_id") % 2 + 1).cast("int").alias("pharmacy_id"),
+            F.when(e % 29 == 0, F.lit("")).otherwise(_patient_name()).alias("patient_name"),
+            _phone().alias("patient_phone"),
+            F.when(e % 2 == 0, "cash").otherwise("online").alias("payment_method"),
+        )

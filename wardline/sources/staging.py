@@ -22,7 +22,10 @@ from wardline.session import ensure_checkpoint_dir
 from wardline.sources.hospital import Hospital
 
 DOMAIN_TABLES = ("departments", "doctors", "tokens", "prebooked_appointments", "lab_tokens",
-                 "prebooked_lab_appointments", "pharmacy_tokens", "status_log", "break_log")
+                 "prebooked_lab_appointments", "pharmacy_tokens", "status_log", "break_log",
+                 "lookup_log", "cancel_log", "booking_cancel_log", "reschedule_log",
+                 "lab_cancel_log", "pharmacy_cancel_log", "pharmacy_status_log", "lab_status_log",
+                 "checkin_log", "opd_issue_log", "lab_issue_log", "pharmacy_issue_log")
 
 _LOCK = threading.Lock()
 _CACHE: dict[tuple[str, str], "StagedHospital"] = {}
