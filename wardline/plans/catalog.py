@@ -265,3 +265,71 @@ def q_queue_totals(spark, sf_dir):
 def q_doctor_remaining(spark, sf_dir):
     h = _h(spark, sf_dir)
     return portable(stats.doctor_remaining(queues.doctor_worklist(h.tokens)))
+
+
+# -- lookups ------------------------------------------------------------------------
+from wardline.operators import lookups  # noqa: E402
+
+
+def _active(h):
+    return lookups.active_tokens(h.tokens, h.lab_tokens, h.doctors, h.lab_tests)
+
+
+@register("active_tokens")
+def q_active_tokens(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(_active(h).drop("kind_rank"))
+
+
+@register("active_token_by_patient")
+def q_active_token_by_patient(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(lookups.active_token_lookup(h.lookup_log, _active(h)))
+
+
+@register("admission")
+def q_admission(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(lookups.admission(lookups.active_token_lookup(h.lookup_log, _active(h))))
+
+
+def status_requests(h):
+    """Status polls: token text from the lookup log; every fourth also sends a booking id."""
+    lg = h.lookup_log
+    return lg.select("req_id", "d", "token",
+                     F.when(F.col("req_id") % 4 == 1, F.col("booking_id")).otherwise(F.lit(""))
+                     .alias("booking"))
+
+
+@register("token_status")
+def q_token_status(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(lookups.token_status(status_requests(h), h.tokens, h.prebooked_appointments,
+                                         h.doctors, h.departments))
+
+
+@register("verify_bookings")
+def q_verify_bookings(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(lookups.verify_bookings(h.lookup_log, h.prebooked_appointments, h.doctors,
+                                            h.departments))
+
+
+@register("verify_lab_bookings")
+def q_verify_lab_bookings(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(lookups.verify_lab_bookings(h.lookup_log, h.prebooked_lab_appointments,
+                                                h.lab_tokens, h.lab_tests))
+
+
+@register("booking_ahead")
+def q_booking_ahead(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(lookups.booking_ahead(h.prebooked_appointments, h.tokens))
+
+
+@register("lab_booking_ahead")
+def q_lab_booking_ahead(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(lookups.lab_booking_ahead(h.prebooked_lab_appointments, h.lab_tokens,
+                                              h.lab_tests))

@@ -597,3 +597,170 @@ SELECT CAST(queue_date AS VARCHAR) AS queue_date, CAST(doctor_id AS BIGINT) AS d
                         ' waiting') END AS queue_status
 FROM r
 """
+
+
+_ACT = """,
+act AS (
+  SELECT 'opd' AS token_type, 0 AS kind_rank, t.id, t.token_number, t.status AS token_status, t.patient_id,
+         t.patient_phone, t.queue_date, (SELECT d.name FROM doctors d WHERE d.id = t.doctor_id) AS location_name
+  FROM tokens t WHERE t.status IN ('waiting', 'consulting')
+  UNION ALL
+  SELECT 'lab', 1, lt.token_id, lt.token_number, lt.token_status, lt.patient_id, lt.patient_phone,
+         lt.scheduled_date, (SELECT x.test_name FROM lab_tests x WHERE x.test_id = lt.test_id)
+  FROM lab_tokens lt WHERE lt.token_status IN ('waiting', 'in_progress')),
+req AS (
+  SELECT req_id, d, patient_id, patient_phone,
+         CASE WHEN patient_id IS NOT NULL THEN 'patient_id'
+              WHEN COALESCE(trim(patient_phone), '') <> '' THEN 'phone' ELSE 'none' END AS key_kind
+  FROM lookup_log),
+m AS (
+  SELECT r.req_id, a.token_type, a.token_number, a.token_status, a.location_name,
+         row_number() OVER (PARTITION BY r.req_id ORDER BY a.kind_rank, a.id) AS rn
+  FROM req r JOIN act a ON a.queue_date = r.d
+   AND ((r.key_kind = 'patient_id' AND a.patient_id = r.patient_id)
+        OR (r.key_kind = 'phone' AND a.patient_phone = r.patient_phone)))
+"""
+
+SQL["active_tokens"] = ADAPTER + _ACT + """
+SELECT token_type, CAST(id AS BIGINT) AS id, token_number, token_status, CAST(patient_id AS BIGINT) AS patient_id,
+       patient_phone, CAST(queue_date AS VARCHAR) AS queue_date, location_name
+FROM act
+"""
+
+SQL["active_token_by_patient"] = ADAPTER + _ACT + """
+SELECT CAST(r.req_id AS BIGINT) AS req_id, r.key_kind, m.req_id IS NOT NULL AS found, m.token_type,
+       m.token_number, m.token_status, m.location_name
+FROM req r LEFT JOIN m ON m.req_id = r.req_id AND m.rn = 1
+"""
+
+SQL["admission"] = ADAPTER + _ACT + """
+SELECT CAST(r.req_id AS BIGINT) AS req_id, m.req_id IS NULL AS allowed, m.token_number AS existing_token,
+       CASE WHEN m.req_id IS NULL THEN NULL
+            WHEN r.key_kind = 'patient_id' THEN
+              'You already have an active ' || CASE WHEN m.token_type = 'opd' THEN 'OPD consultation' ELSE 'Lab test' END
+              || ' token (' || m.token_number || ') from your account. Only one token per account is allowed. '
+              || 'Please complete, cancel, or wait for it to expire.'
+            ELSE
+              'You already have an active ' || CASE WHEN m.token_type = 'opd' THEN 'OPD consultation' ELSE 'Lab test' END
+              || ' token (' || m.token_number || '). You can only have one token at a time. '
+              || 'Please complete, cancel, or wait for it to expire.' END AS message
+FROM req r LEFT JOIN m ON m.req_id = r.req_id AND m.rn = 1
+"""
+
+SQL["token_status"] = ADAPTER + """,
+req AS (
+  SELECT req_id, d, upper(trim(token)) AS T,
+         upper(trim(CASE WHEN req_id % 4 = 1 THEN booking_id ELSE '' END)) AS B
+  FROM lookup_log),
+tk AS (
+  SELECT t.id, t.token_number, t.booking_id, t.status, t.queue_date, d.name AS doctor_name,
+         dep.name AS department_name, d.floor_block, d.wing, d.room_number
+  FROM tokens t LEFT JOIN doctors d ON t.doctor_id = d.id LEFT JOIN departments dep ON t.department_id = dep.id),
+s1 AS (
+  SELECT r.req_id, tk.*, row_number() OVER (PARTITION BY r.req_id ORDER BY tk.id) AS rn
+  FROM req r JOIN tk ON (upper(trim(tk.token_number)) = r.T OR upper(trim(tk.booking_id)) = r.T)
+                    AND tk.queue_date = r.d
+  WHERE r.T <> ''),
+s2 AS (
+  SELECT r.req_id, pa.status, pa.booking_id, d.name AS doctor_name, dep.name AS department_name
+  FROM req r JOIN prebooked_appointments pa ON upper(trim(pa.booking_id)) = r.B
+  LEFT JOIN doctors d ON pa.doctor_id = d.id LEFT JOIN departments dep ON pa.department_id = dep.id
+  WHERE r.B <> ''),
+s3 AS (
+  SELECT r.req_id, tk.*, row_number() OVER (PARTITION BY r.req_id ORDER BY tk.id) AS rn
+  FROM req r JOIN tk ON upper(trim(tk.booking_id)) = r.B AND tk.queue_date = r.d
+  WHERE r.B <> ''),
+j AS (
+  SELECT r.req_id, r.T, r.B,
+         s1.req_id IS NOT NULL AS h1, s2.req_id IS NOT NULL AS h2, s3.req_id IS NOT NULL AS h3,
+         s1.status AS st1, s2.status AS st2, s3.status AS st3,
+         s1.token_number AS tn1, s3.token_number AS tn3,
+         s1.booking_id AS b1, s2.booking_id AS b2, s3.booking_id AS b3,
+         s1.doctor_name AS dn1, s2.doctor_name AS dn2, s3.doctor_name AS dn3,
+         s1.department_name AS dp1, s2.department_name AS dp2, s3.department_name AS dp3,
+         s1.floor_block, s1.wing, s1.room_number
+  FROM req r LEFT JOIN s1 ON s1.req_id = r.req_id AND s1.rn = 1
+  LEFT JOIN s2 ON s2.req_id = r.req_id
+  LEFT JOIN s3 ON s3.req_id = r.req_id AND s3.rn = 1)
+SELECT CAST(req_id AS BIGINT) AS req_id,
+       CASE WHEN T = '' AND B = '' THEN NULL ELSE COALESCE(st1, st2, st3, 'not_found') END AS status,
+       CASE WHEN COALESCE(st1, st2, st3) = 'cancelled' THEN 'due to being late' END AS reason,
+       CASE WHEN h1 THEN tn1 WHEN h2 THEN NULL WHEN h3 THEN tn3 END AS token_number,
+       CASE WHEN h1 THEN COALESCE(b1, B) WHEN h2 THEN b2 WHEN h3 THEN b3 END AS booking_id,
+       CASE WHEN h1 THEN dn1 WHEN h2 THEN dn2 WHEN h3 THEN dn3 END AS doctor_name,
+       CASE WHEN h1 THEN dp1 WHEN h2 THEN dp2 WHEN h3 THEN dp3 END AS department_name,
+       CASE WHEN h1 THEN COALESCE(floor_block, '') WHEN h2 OR h3 THEN '' END AS floor_block,
+       CASE WHEN h1 THEN COALESCE(wing, '') WHEN h2 OR h3 THEN '' END AS wing,
+       CASE WHEN h1 THEN COALESCE(room_number, '') WHEN h2 OR h3 THEN '' END AS room_number,
+       CAST(CASE WHEN h1 THEN 1 WHEN h2 THEN 2 WHEN h3 THEN 3 END AS BIGINT) AS step
+FROM j
+"""
+
+SQL["verify_bookings"] = ADAPTER + f""",
+b AS (
+  SELECT pb.*, d.name AS doctor_name, d.fees AS doctor_fees, d.floor_block, d.wing, d.room_number,
+         dep.name AS department_name
+  FROM prebooked_appointments pb JOIN doctors d ON pb.doctor_id = d.id
+  JOIN departments dep ON pb.department_id = dep.id
+  WHERE pb.status IN ('booked', 'confirmed'))
+SELECT CAST(r.req_id AS BIGINT) AS req_id, b.booking_id IS NOT NULL AS found, b.booking_id, b.patient_name,
+       b.patient_phone, strftime(b.appointment_date, '%d %b %Y') AS appointment_date,
+       {_hms('b.appointment_sod')} AS appointment_time, b.status, CAST(b.doctor_id AS BIGINT) AS doctor_id,
+       b.doctor_name, CAST(b.doctor_fees AS BIGINT) AS doctor_fees, b.floor_block, b.wing, b.room_number,
+       CAST(b.department_id AS BIGINT) AS department_id, b.department_name
+FROM lookup_log r LEFT JOIN b ON upper(trim(b.booking_id)) = upper(trim(r.booking_id)) AND b.appointment_date >= r.d
+"""
+
+SQL["booking_ahead"] = ADAPTER + f""",
+a AS (
+  SELECT v.*,
+    (SELECT count(*) FROM tokens t
+      WHERE t.doctor_id = v.doctor_id AND t.queue_date = v.appointment_date
+        AND t.status IN ('waiting', 'consulting')
+        AND (t.token_type = 'prebooked' OR upper(t.token_number) LIKE 'PB%')
+        AND COALESCE(t.expected_sod, t.created_sod) < v.appointment_sod)
+    + (SELECT count(*) FROM prebooked_appointments p
+        WHERE p.doctor_id = v.doctor_id AND p.appointment_date = v.appointment_date AND p.status = 'booked'
+          AND p.appointment_sod < v.appointment_sod AND p.booking_id <> v.booking_id) AS ahead
+  FROM prebooked_appointments v WHERE v.status IN ('booked', 'confirmed'))
+SELECT CAST(id AS BIGINT) AS id, booking_id, CAST(doctor_id AS BIGINT) AS doctor_id,
+       CAST(appointment_date AS VARCHAR) AS queue_date, {_hms('appointment_sod')} AS appointment_time,
+       CAST(ahead AS BIGINT) AS patients_ahead, CAST(ahead * 10 AS BIGINT) AS wait_time
+FROM a
+"""
+
+_LAB_AHEAD = """(SELECT count(*) FROM lab_tokens lt
+      WHERE lt.test_id = {v}.test_id AND lt.scheduled_date = {day} AND lt.token_status IN ('waiting', 'in_progress'))
+    + (SELECT count(*) FROM prebooked_lab_appointments p2
+        WHERE p2.test_id = {v}.test_id AND p2.appointment_date = {day} AND p2.booking_status = 'booked'
+          AND p2.appointment_sod < {v}.appointment_sod AND p2.booking_code <> {v}.booking_code)"""
+
+SQL["lab_booking_ahead"] = ADAPTER + f""",
+v AS (
+  SELECT p.*, t.test_code, t.duration_minutes FROM prebooked_lab_appointments p JOIN lab_tests t ON p.test_id = t.test_id
+  WHERE p.booking_status IN ('booked', 'checked_in', 'in_progress')),
+a AS (SELECT v.*, {_LAB_AHEAD.format(v='v', day='v.appointment_date')} AS ahead FROM v)
+SELECT CAST(booking_id AS BIGINT) AS booking_id, booking_code, CAST(test_id AS BIGINT) AS test_id, test_code,
+       CAST(appointment_date AS VARCHAR) AS queue_date, {_hms('appointment_sod')} AS scheduled_time,
+       CAST(ahead AS BIGINT) AS people_ahead, CAST(ahead * duration_minutes AS BIGINT) AS wait_time,
+       {_hms('((appointment_sod + ahead * duration_minutes * 60) % 86400)')} AS expected_time,
+       CAST(ahead + 1 AS BIGINT) AS position
+FROM a
+"""
+
+SQL["verify_lab_bookings"] = ADAPTER + f""",
+x AS (
+  SELECT r.req_id, r.d, p.*, t.test_code, t.test_name, t.duration_minutes
+  FROM lookup_log r JOIN prebooked_lab_appointments p
+    ON p.booking_code = upper(trim(r.lab_code)) AND p.appointment_date >= r.d
+   AND p.booking_status IN ('booked', 'checked_in', 'in_progress')
+  JOIN lab_tests t ON p.test_id = t.test_id),
+a AS (SELECT x.*, {_LAB_AHEAD.format(v='x', day='x.d')} AS ahead FROM x)
+SELECT CAST(req_id AS BIGINT) AS req_id, booking_code AS booking_id, CAST(test_id AS BIGINT) AS test_id, test_code,
+       test_name, patient_name, patient_phone, CAST(appointment_date AS VARCHAR) AS appointment_date,
+       {_hms('appointment_sod')} AS scheduled_time,
+       {_hms('((appointment_sod + ahead * duration_minutes * 60) % 86400)')} AS expected_time,
+       booking_status, CAST(ahead AS BIGINT) AS people_ahead, CAST(ahead * duration_minutes AS BIGINT) AS wait_time,
+       CAST(ahead + 1 AS BIGINT) AS position
+FROM a
+"""
