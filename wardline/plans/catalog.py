@@ -333,3 +333,275 @@ def q_lab_booking_ahead(spark, sf_dir):
     h = _h(spark, sf_dir)
     return portable(lookups.lab_booking_ahead(h.prebooked_lab_appointments, h.lab_tokens,
                                               h.lab_tests))
+
+
+# -- numbering, labels, requests, tables -------------------------------------------------
+from wardline.functions.columns import hour_label, seq3, starts_pb, ucfirst, wrap_sod  # noqa: E402
+from wardline.operators import folds, labels, numbering, requests, tables  # noqa: E402
+
+
+@register("opd_token_numbers")
+def q_opd_token_numbers(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    dep = F.broadcast(h.departments.select(F.col("id").alias("department_id"),
+                                           F.col("name").alias("_dn")))
+    t = h.tokens.select("id", "department_id", "queue_date", "created_at").join(dep, "department_id")
+    out = numbering.sequence_numbers(t, ["department_id", "queue_date"], ["created_at", "id"],
+                                     numbering.department_initial(F.col("_dn")))
+    return portable(out.select("id", "queue_date", "department_id", "sequence", "issued_number"))
+
+
+@register("lab_token_numbers")
+def q_lab_token_numbers(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    lt = F.broadcast(h.lab_tests.select("test_id", "test_code"))
+    t = h.lab_tokens.select("token_id", "test_id", "scheduled_date", "created_at").join(lt, "test_id")
+    out = numbering.sequence_numbers(t, ["test_id", "scheduled_date"], ["created_at", "token_id"],
+                                     F.concat(F.col("test_code"), F.lit("-")))
+    return portable(out.select("token_id", F.col("scheduled_date").alias("queue_date"), "test_id",
+                               "sequence", "issued_number"))
+
+
+@register("pharmacy_token_numbers")
+def q_pharmacy_token_numbers(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    t = h.pharmacy_tokens.select("id", "pharmacy_id", "queue_date", "created_at")
+    out = numbering.sequence_numbers(
+        t, ["pharmacy_id", "queue_date"], ["created_at", "id"],
+        F.concat(F.lit("PH"), F.col("pharmacy_id").cast("string"), F.lit("-")))
+    return portable(out.select("id", "queue_date", "pharmacy_id", "sequence", "issued_number"))
+
+
+def _depths(h):
+    opd = numbering.depth_at_arrival(
+        h.tokens.select(F.col("id").alias("token_id"), F.col("created_at").alias("ts"),
+                        F.col("department_id").alias("group_id"), "queue_date"),
+        h.status_log, ["group_id", "queue_date"], ["waiting"]).withColumn("kind", F.lit("opd"))
+    lab = numbering.depth_at_arrival(
+        h.lab_tokens.select("token_id", F.col("created_at").alias("ts"),
+                            F.col("test_id").alias("group_id"), F.col("scheduled_date").alias("queue_date")),
+        h.lab_status_log, ["group_id", "queue_date"], ["waiting", "in_progress"]) \
+        .withColumn("kind", F.lit("lab"))
+    ph = numbering.depth_at_arrival(
+        h.pharmacy_tokens.select(F.col("id").alias("token_id"), F.col("created_at").alias("ts"),
+                                 F.col("pharmacy_id").alias("group_id"), "queue_date"),
+        h.pharmacy_status_log, ["group_id", "queue_date"], ["waiting"]).withColumn("kind", F.lit("pharmacy"))
+    return opd, lab, ph
+
+
+@register("depth_at_arrival")
+def q_depth_at_arrival(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    opd, lab, ph = _depths(h)
+    slots = F.broadcast(h.lab_tests.select(F.col("test_id").alias("group_id"), "slot_duration"))
+    lab = lab.join(slots, "group_id").withColumn("wait_minutes", F.col("patients_ahead") * F.col("slot_duration")) \
+        .drop("slot_duration")
+    opd = opd.withColumn("wait_minutes", F.col("patients_ahead") * 10)
+    ph = ph.withColumn("wait_minutes", F.col("patients_ahead") * 3)
+    return portable(opd.unionByName(lab).unionByName(ph).select(
+        "kind", "token_id", "queue_date", "group_id", "patients_ahead", "wait_minutes"))
+
+
+@register("expected_times")
+def q_expected_times(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    opd, _, _ = _depths(h)
+    t = h.tokens.select(F.col("id").alias("token_id"), "created_sod")
+    e = opd.join(t, "token_id").withColumn(
+        "expected_sod", wrap_sod(F.col("created_sod") + F.col("patients_ahead") * 600))
+    return portable(e.select("token_id", "queue_date", "patients_ahead", "expected_sod",
+                             hms("expected_sod").alias("expected_time"),
+                             hhmm_ampm("expected_sod").alias("expected_label")))
+
+
+@register("scalar_suite")
+def q_scalar_suite(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    t = h.tokens
+    wrapped = wrap_sod(F.col("created_sod") + 600 * (F.col("id") % 200))
+    return portable(t.select(
+        "id", "queue_date", hms("created_sod").alias("created_time"),
+        hhmm_ampm("created_sod").alias("created_label"), hour_label("created_sod").alias("board_time"),
+        seq3("T", "id").alias("padded"), wrapped.alias("wrapped_sod"), hms(wrapped).alias("wrapped_time"),
+        ucfirst("status").alias("status_title"), F.upper("status").alias("status_upper"),
+        F.date_format("queue_date", "dd MMM yyyy").alias("day_label"),
+        starts_pb("token_number").alias("is_pb"),
+        F.col("patient_phone").rlike(r"^[0-9]{10}$").alias("phone_ok"),
+        requests.intval(F.substring("token_number", 2, 10)).alias("number_part")))
+
+
+@register("status_labels")
+def q_status_labels(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(labels.status_labels(h.tokens, h.lab_tokens, h.pharmacy_tokens))
+
+
+@register("queue_badges")
+def q_queue_badges(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    q = queues.live_queue(h.tokens, h.prebooked_appointments, scope="day")
+    return portable(labels.queue_badges(queues.queue_neighbourhood(q, ["queue_date"])))
+
+
+@register("pharmacy_board")
+def q_pharmacy_board(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(labels.pharmacy_board(directory.pharmacy_queue(h.pharmacy_tokens, h.pharmacies)))
+
+
+@register("next_patient")
+def q_next_patient(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(labels.next_patient(queues.doctor_worklist(h.tokens)))
+
+
+@register("pharmacy_next")
+def q_pharmacy_next(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(labels.pharmacy_next(directory.pharmacy_queue(h.pharmacy_tokens, h.pharmacies)))
+
+
+@register("parse_props")
+def q_parse_props(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    ev = h.events.select("event_id", F.col("d").alias("queue_date"))
+    from wardline.sources.driver import read_table
+    raw = read_table(spark, sf_dir, "events").select("event_id", "props")
+    p = requests.parse_requests(raw, "props", ("k",))
+    return portable(p.join(ev, "event_id").select(
+        "event_id", "queue_date", "k_raw", "k_present", "k", (F.col("k") > 0).alias("k_valid")))
+
+
+@register("request_rejects")
+def q_request_rejects(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    a = requests.validate_enum(h.status_log, "new_status", "opd_status", "update_token")
+    b = requests.validate_enum(h.pharmacy_status_log, "new_status", "pharmacy_status",
+                               "update_pharmacy_token")
+    c = requests.validate_enum(h.lab_status_log, "new_status", "lab_status", "lab_status")
+    d = requests.validate_enum(h.break_log, "action", "break_action", "manage_break")
+    return portable(a.unionByName(b).unionByName(c).unionByName(d))
+
+
+@register("booking_checks")
+def q_booking_checks(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(requests.reschedule_checks(h.reschedule_log).drop("d", "ts"))
+
+
+def _doctor_updates(h):
+    s = read_supplier(h)
+    k = F.col("s_suppkey")
+    upd1 = s.where(k % 7 == 0).select((k + 1).cast("int").alias("id"),
+                                      F.concat(F.col("s_name"), F.lit(" (updated)")).alias("name"),
+                                      F.lit(1000).alias("fees"), F.col("department_id"),
+                                      F.lit(None).cast("string").alias("floor_block"), F.lit(1).alias("seq"))
+    upd2 = s.where(k % 14 == 0).select((k + 1).cast("int").alias("id"), F.col("s_name").alias("name"),
+                                       F.lit(1200).alias("fees"), F.col("department_id"),
+                                       F.lit("Annex").alias("floor_block"), F.lit(2).alias("seq"))
+    new = s.where(k % 50 == 3).select((k + 1000001).cast("int").alias("id"),
+                                      F.concat(F.lit("New "), F.col("s_name")).alias("name"),
+                                      F.lit(500).alias("fees"), F.col("department_id"),
+                                      F.lit("Block N").alias("floor_block"), F.lit(1).alias("seq"))
+    return upd1.unionByName(upd2).unionByName(new)
+
+
+def read_supplier(h):
+    from wardline.sources.driver import read_table
+    s = read_table(h.spark, h.sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    n = read_table(h.spark, h.sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    return s.join(n, s.s_nationkey == n.n_nationkey).withColumn(
+        "department_id", (F.col("n_regionkey") + 1).cast("int"))
+
+
+@register("upsert_doctors")
+def q_upsert_doctors(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    base = h.doctors.select("id", "name", "fees", "department_id", "floor_block")
+    return portable(tables.upsert(base, _doctor_updates(h), ["id"], ["name", "fees"], "seq"))
+
+
+@register("insert_absent")
+def q_insert_absent(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    base = h.doctors.select("id", "name", "department_id")
+    s = read_supplier(h)
+    k = F.col("s_suppkey")
+    cand = s.where(k % 9 == 0).select((k + 1).cast("int").alias("id"), F.lit("Dup").alias("name"),
+                                      "department_id", F.lit(1).alias("seq")) \
+        .unionByName(s.where(k % 9 == 4).select((k + 2000001).cast("int").alias("id"),
+                                                F.concat(F.lit("Staff "), F.col("s_name")).alias("name"),
+                                                "department_id", F.lit(1).alias("seq")))
+    return portable(tables.insert_absent(base, cand, ["id"], "seq"))
+
+
+# -- folds ------------------------------------------------------------------------------
+@register("opd_status_fold")
+def q_opd_status_fold(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(folds.opd_status_fold(h.tokens, h.status_log))
+
+
+@register("cancel_tokens")
+def q_cancel_tokens(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(folds.cancel_tokens(h.tokens, h.prebooked_appointments, h.cancel_log))
+
+
+@register("cancel_notifications")
+def q_cancel_notifications(spark, sf_dir):
+    return portable(folds.cancel_notifications(_h(spark, sf_dir).cancel_log))
+
+
+@register("cancel_bookings")
+def q_cancel_bookings(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(folds.cancel_bookings(h.tokens, h.prebooked_appointments, h.booking_cancel_log))
+
+
+@register("reschedule")
+def q_reschedule(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(folds.reschedule(h.prebooked_appointments, h.reschedule_log))
+
+
+@register("cancel_lab")
+def q_cancel_lab(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(folds.cancel_lab(h.prebooked_lab_appointments, h.lab_tokens, h.lab_cancel_log))
+
+
+@register("cancel_pharmacy")
+def q_cancel_pharmacy(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(folds.cancel_pharmacy(h.pharmacy_tokens, h.pharmacy_cancel_log))
+
+
+@register("pharmacy_status_fold")
+def q_pharmacy_status_fold(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(folds.pharmacy_status_fold(h.pharmacy_tokens, h.pharmacy_status_log))
+
+
+@register("break_state")
+def q_break_state(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(folds.break_state(h.doctors, h.break_log))
+
+
+@register("issue_opd")
+def q_issue_opd(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(folds.issue_opd(h.opd_issue_log, h.departments, h.doctors, h.status_log))
+
+
+@register("issue_lab")
+def q_issue_lab(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(folds.issue_lab(h.lab_issue_log, h.lab_tests, h.lab_status_log))
+
+
+@register("issue_pharmacy")
+def q_issue_pharmacy(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(folds.issue_pharmacy(h.pharmacy_issue_log, h.pharmacies, h.pharmacy_status_log))
