@@ -764,3 +764,485 @@ SELECT CAST(req_id AS BIGINT) AS req_id, booking_code AS booking_id, CAST(test_i
        CAST(ahead + 1 AS BIGINT) AS position
 FROM a
 """
+
+
+def _sod(ts: str) -> str:
+    return f"(hour({ts})*3600 + minute({ts})*60 + second({ts}))"
+
+
+def _intval(x: str) -> str:
+    return f"COALESCE(CAST(NULLIF(regexp_extract({x}, '^\\s*([+-]?[0-9]+)', 1), '') AS BIGINT), 0)"
+
+
+def _initial(x: str) -> str:
+    return (f"CASE WHEN upper(substr(COALESCE({x}, ''), 1, 1)) = '' THEN 'T' "
+            f"ELSE upper(substr(COALESCE({x}, ''), 1, 1)) END")
+
+
+def _depth(arr: str, upd: str, group: str, active: str) -> str:
+    """CTEs ``dl``/``dp``: depth at arrival for arrivals ``arr`` (token_id, ts,
+    group cols) and status requests ``upd`` (req_id, token_id, ts, new_status)."""
+    return f""",
+ev_{arr} AS (
+  SELECT token_id, ts, {group}, 0 AS k, token_id AS s, 1 AS act FROM {arr}
+  UNION ALL
+  SELECT u.token_id, u.ts, {', '.join('a.' + g.strip() for g in group.split(','))}, 1, u.req_id,
+         CASE WHEN u.new_status IN ({active}) THEN 1 ELSE 0 END
+  FROM {upd} u JOIN {arr} a ON a.token_id = u.token_id),
+dl_{arr} AS (
+  SELECT *, act - COALESCE(lag(act) OVER (PARTITION BY token_id ORDER BY ts, k, s), 0) AS delta FROM ev_{arr}),
+dp_{arr} AS (
+  SELECT token_id, COALESCE(sum(delta) OVER (PARTITION BY {group} ORDER BY ts, k, s
+                                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+  FROM dl_{arr} WHERE TRUE QUALIFY k = 0)
+"""
+
+
+SQL["opd_token_numbers"] = ADAPTER + f"""
+SELECT CAST(t.id AS BIGINT) AS id, CAST(t.queue_date AS VARCHAR) AS queue_date,
+       CAST(t.department_id AS BIGINT) AS department_id, CAST(row_number() OVER w AS BIGINT) AS sequence,
+       concat({_initial('dp.name')}, printf('%03d', row_number() OVER w)) AS issued_number
+FROM tokens t JOIN departments dp ON dp.id = t.department_id
+WINDOW w AS (PARTITION BY t.department_id, t.queue_date ORDER BY t.created_at, t.id)
+"""
+
+SQL["lab_token_numbers"] = ADAPTER + """
+SELECT CAST(lt.token_id AS BIGINT) AS token_id, CAST(lt.scheduled_date AS VARCHAR) AS queue_date,
+       CAST(lt.test_id AS BIGINT) AS test_id, CAST(row_number() OVER w AS BIGINT) AS sequence,
+       concat(t.test_code, '-', printf('%03d', row_number() OVER w)) AS issued_number
+FROM lab_tokens lt JOIN lab_tests t ON t.test_id = lt.test_id
+WINDOW w AS (PARTITION BY lt.test_id, lt.scheduled_date ORDER BY lt.created_at, lt.token_id)
+"""
+
+SQL["pharmacy_token_numbers"] = ADAPTER + """
+SELECT CAST(id AS BIGINT) AS id, CAST(queue_date AS VARCHAR) AS queue_date, CAST(pharmacy_id AS BIGINT) AS pharmacy_id,
+       CAST(row_number() OVER w AS BIGINT) AS sequence,
+       concat('PH', CAST(pharmacy_id AS VARCHAR), '-', printf('%03d', row_number() OVER w)) AS issued_number
+FROM pharmacy_tokens
+WINDOW w AS (PARTITION BY pharmacy_id, queue_date ORDER BY created_at, id)
+"""
+
+_ARRIVALS = """,
+a_opd AS (SELECT id AS token_id, created_at AS ts, department_id AS group_id, queue_date FROM tokens),
+a_lab AS (SELECT token_id, created_at AS ts, test_id AS group_id, scheduled_date AS queue_date FROM lab_tokens),
+a_ph AS (SELECT id AS token_id, created_at AS ts, pharmacy_id AS group_id, queue_date FROM pharmacy_tokens)"""
+
+_DEPTHS = (_ARRIVALS + _depth("a_opd", "status_log", "group_id, queue_date", "'waiting'")
+           + _depth("a_lab", "lab_status_log", "group_id, queue_date", "'waiting', 'in_progress'")
+           + _depth("a_ph", "pharmacy_status_log", "group_id, queue_date", "'waiting'"))
+
+SQL["depth_at_arrival"] = ADAPTER + _DEPTHS + """
+SELECT 'opd' AS kind, CAST(a.token_id AS BIGINT) AS token_id, CAST(a.queue_date AS VARCHAR) AS queue_date,
+       CAST(a.group_id AS BIGINT) AS group_id, CAST(d.ahead AS BIGINT) AS patients_ahead,
+       CAST(d.ahead * 10 AS BIGINT) AS wait_minutes
+FROM a_opd a JOIN dp_a_opd d ON d.token_id = a.token_id
+UNION ALL
+SELECT 'lab', a.token_id, CAST(a.queue_date AS VARCHAR), a.group_id, d.ahead, d.ahead * t.slot_duration
+FROM a_lab a JOIN dp_a_lab d ON d.token_id = a.token_id JOIN lab_tests t ON t.test_id = a.group_id
+UNION ALL
+SELECT 'pharmacy', a.token_id, CAST(a.queue_date AS VARCHAR), a.group_id, d.ahead, d.ahead * 3
+FROM a_ph a JOIN dp_a_ph d ON d.token_id = a.token_id
+"""
+
+SQL["expected_times"] = ADAPTER + _ARRIVALS + _depth("a_opd", "status_log", "group_id, queue_date", "'waiting'") + f""",
+e AS (SELECT t.id, t.queue_date, d.ahead, (t.created_sod + d.ahead * 600) % 86400 AS es
+      FROM tokens t JOIN dp_a_opd d ON d.token_id = t.id)
+SELECT CAST(id AS BIGINT) AS token_id, CAST(queue_date AS VARCHAR) AS queue_date, CAST(ahead AS BIGINT) AS patients_ahead,
+       CAST(es AS BIGINT) AS expected_sod, {_hms('es')} AS expected_time, {_ampm('es')} AS expected_label
+FROM e
+"""
+
+SQL["scalar_suite"] = ADAPTER + f""",
+s AS (SELECT *, (created_sod + 600 * (id % 200)) % 86400 AS w FROM tokens)
+SELECT CAST(id AS BIGINT) AS id, CAST(queue_date AS VARCHAR) AS queue_date, {_hms('created_sod')} AS created_time,
+       {_ampm('created_sod')} AS created_label,
+       printf('%d:%02d %s', CASE WHEN (created_sod // 3600) % 12 = 0 THEN 12 ELSE (created_sod // 3600) % 12 END,
+              (created_sod // 60) % 60, CASE WHEN created_sod // 3600 < 12 THEN 'AM' ELSE 'PM' END) AS board_time,
+       concat('T', printf('%03d', id)) AS padded, CAST(w AS BIGINT) AS wrapped_sod, {_hms('w')} AS wrapped_time,
+       concat(upper(substr(status, 1, 1)), substr(status, 2)) AS status_title, upper(status) AS status_upper,
+       strftime(queue_date, '%d %b %Y') AS day_label, upper(token_number) LIKE 'PB%' AS is_pb,
+       regexp_matches(patient_phone, '^[0-9]{{10}}$') AS phone_ok,
+       {_intval('substr(token_number, 2, 10)')} AS number_part
+FROM s
+"""
+
+SQL["status_labels"] = ADAPTER + """,
+u AS (SELECT 'opd' AS source, id, queue_date, status FROM tokens
+      UNION ALL SELECT 'lab', token_id, scheduled_date, token_status FROM lab_tokens
+      UNION ALL SELECT 'pharmacy', id, queue_date, status FROM pharmacy_tokens),
+c AS (SELECT *, CASE WHEN status IS NULL OR status = '' THEN 'waiting'
+                     ELSE CASE lower(status) WHEN 'waiting' THEN 'waiting' WHEN 'consulting' THEN 'inprogress'
+                          WHEN 'in_progress' THEN 'inprogress' WHEN 'in progress' THEN 'inprogress'
+                          WHEN 'completed' THEN 'completed' WHEN 'done' THEN 'completed'
+                          WHEN 'skipped' THEN 'skipped' WHEN 'cancelled' THEN 'skipped' WHEN 'canceled' THEN 'skipped'
+                          WHEN 'break' THEN 'break' WHEN 'on_break' THEN 'break' WHEN 'on break' THEN 'break'
+                          ELSE lower(status) END END AS category FROM u),
+l AS (SELECT *, CASE category WHEN 'waiting' THEN 'Waiting' WHEN 'inprogress' THEN 'In progress'
+                     WHEN 'completed' THEN 'Completed' WHEN 'skipped' THEN 'Skipped' WHEN 'break' THEN 'On Break'
+                     ELSE category END AS label,
+                CASE category WHEN 'waiting' THEN 'status-waiting' WHEN 'inprogress' THEN 'status-inprogress'
+                     WHEN 'completed' THEN 'status-completed' WHEN 'skipped' THEN 'status-skipped'
+                     WHEN 'break' THEN 'status-break' ELSE 'status-waiting' END AS css_class FROM c)
+SELECT source, CAST(id AS BIGINT) AS id, CAST(queue_date AS VARCHAR) AS queue_date, status, category, label, css_class,
+       CASE source
+         WHEN 'opd' THEN COALESCE(CASE status WHEN 'consulting' THEN 'In Process' WHEN 'waiting' THEN 'Waiting'
+                                  WHEN 'completed' THEN 'Completed' WHEN 'cancelled' THEN 'Cancelled' END, 'Waiting')
+         WHEN 'pharmacy' THEN COALESCE(CASE status WHEN 'waiting' THEN 'Waiting' WHEN 'processing' THEN 'Processing'
+                                       WHEN 'completed' THEN 'Completed' WHEN 'cancelled' THEN 'Cancelled' END, status)
+         ELSE label END AS board_label
+FROM l
+"""
+
+SQL["queue_badges"] = "SELECT *, CASE WHEN is_you OR upper(shown_token) = upper(viewer_token) THEN 'YOU' " \
+    "WHEN status = 'consulting' THEN 'In Consult' " \
+    "WHEN token_type = 'prebooked' OR starts_with(shown_token, 'PB') THEN 'Booked' ELSE 'Walk-in' END AS badge " \
+    "FROM (" + SQL["queue_neighbourhood"] + ") nb"
+
+_PQ = """,
+pq AS (SELECT pt.*, row_number() OVER (PARTITION BY pt.queue_date, pt.pharmacy_id ORDER BY pt.created_at, pt.id) AS position
+       FROM pharmacy_tokens pt JOIN pharmacies p ON pt.pharmacy_id = p.id)"""
+
+SQL["pharmacy_board"] = ADAPTER + _PQ + """,
+q AS (SELECT *, row_number() OVER (PARTITION BY queue_date, pharmacy_id ORDER BY position, id) AS board_position
+      FROM pq WHERE status <> 'cancelled'),
+w AS (SELECT id, row_number() OVER (PARTITION BY queue_date, pharmacy_id ORDER BY position, id) AS waiting_position
+      FROM q WHERE status = 'waiting'),
+s AS (SELECT queue_date, pharmacy_id, arg_min(id, position) AS serving FROM q WHERE status = 'processing'
+      GROUP BY queue_date, pharmacy_id)
+SELECT CAST(q.queue_date AS VARCHAR) AS queue_date, CAST(q.pharmacy_id AS BIGINT) AS pharmacy_id, CAST(q.id AS BIGINT) AS id,
+       q.token_number, q.status, CAST(q.board_position AS BIGINT) AS board_position,
+       CAST(w.waiting_position AS BIGINT) AS waiting_position, COALESCE(q.id = s.serving, FALSE) AS now_serving
+FROM q LEFT JOIN w ON w.id = q.id LEFT JOIN s ON s.queue_date = q.queue_date AND s.pharmacy_id = q.pharmacy_id
+"""
+
+SQL["pharmacy_next"] = ADAPTER + _PQ + """,
+g AS (SELECT queue_date, pharmacy_id, count(*) FILTER (WHERE status = 'processing') AS processing,
+             arg_min(id, position) FILTER (WHERE status = 'waiting') AS nxt
+      FROM pq GROUP BY queue_date, pharmacy_id)
+SELECT CAST(queue_date AS VARCHAR) AS queue_date, CAST(pharmacy_id AS BIGINT) AS pharmacy_id,
+       CAST(processing AS BIGINT) AS processing,
+       CASE WHEN processing > 0 THEN 'busy' WHEN nxt IS NULL THEN 'empty' ELSE 'call_next' END AS action,
+       CAST(CASE WHEN processing = 0 AND nxt IS NOT NULL THEN nxt END AS BIGINT) AS next_token_id,
+       CASE WHEN processing = 0 AND nxt IS NOT NULL THEN 'processing' END AS new_status
+FROM g
+"""
+
+SQL["next_patient"] = ADAPTER + """,
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY queue_date, doctor_id ORDER BY
+            CASE WHEN status = 'consulting' THEN 0 ELSE 1 END,
+            CASE WHEN status = 'consulting' THEN 0
+                 WHEN COALESCE(token_type, type) = 'prebooked' OR upper(token_number) LIKE 'PB%' THEN 1
+                 WHEN COALESCE(token_type, type) = 'review' THEN 2 ELSE 3 END,
+            expected_sod NULLS FIRST, id) AS position
+  FROM tokens WHERE status IN ('waiting', 'consulting'))
+SELECT CAST(queue_date AS VARCHAR) AS queue_date, CAST(doctor_id AS BIGINT) AS doctor_id, CAST(position AS BIGINT) AS step,
+       CAST(id AS BIGINT) AS token_id, token_number,
+       CASE WHEN position = 1 THEN 'completed' ELSE 'consulting' END AS new_status
+FROM r WHERE position <= 2
+"""
+
+SQL["parse_props"] = ADAPTER + f""",
+p AS (SELECT event_id, json_extract_string(props, '$.k') AS k_raw FROM events)
+SELECT p.event_id, CAST(ev.d AS VARCHAR) AS queue_date, p.k_raw, p.k_raw IS NOT NULL AS k_present,
+       {_intval('p.k_raw')} AS k, {_intval('p.k_raw')} > 0 AS k_valid
+FROM p JOIN ev ON ev.event_id = p.event_id
+"""
+
+SQL["request_rejects"] = ADAPTER + """
+SELECT 'update_token' AS source, CAST(req_id AS BIGINT) AS req_id, new_status AS value,
+       'Invalid value for new_status. Must be: waiting, consulting, completed, cancelled' AS reason
+FROM status_log WHERE NOT COALESCE(new_status IN ('waiting', 'consulting', 'completed', 'cancelled'), FALSE)
+UNION ALL
+SELECT 'update_pharmacy_token', req_id, new_status,
+       'Invalid value for new_status. Must be: waiting, processing, completed, cancelled'
+FROM pharmacy_status_log WHERE NOT COALESCE(new_status IN ('waiting', 'processing', 'completed', 'cancelled'), FALSE)
+UNION ALL
+SELECT 'lab_status', req_id, new_status,
+       'Invalid value for new_status. Must be: waiting, in_progress, completed, cancelled, no_show'
+FROM lab_status_log
+WHERE NOT COALESCE(new_status IN ('waiting', 'in_progress', 'completed', 'cancelled', 'no_show'), FALSE)
+UNION ALL
+SELECT 'manage_break', req_id, action, 'Invalid value for action. Must be: start_break, end_break'
+FROM break_log WHERE NOT COALESCE(action IN ('start_break', 'end_break'), FALSE)
+"""
+
+_CHECKS = """,
+chk AS (
+  SELECT req_id, ts, d, upper(trim(booking_id)) AS booking_id, trim(new_date) AS new_date, trim(new_time) AS new_time,
+         CASE WHEN COALESCE(upper(trim(booking_id)), '') = '' THEN 'Booking ID is required'
+              WHEN COALESCE(trim(new_date), '') = '' THEN 'New appointment date is required'
+              WHEN NOT regexp_matches(trim(new_date), '^[0-9]{4}-[0-9]{2}-[0-9]{2}$')
+                THEN 'Invalid date format. Use YYYY-MM-DD'
+              WHEN trim(new_date) < CAST(d AS VARCHAR) THEN 'Cannot reschedule to a past date'
+              WHEN COALESCE(trim(new_time), '') <> ''
+                   AND NOT regexp_matches(trim(new_time), '^[0-9]{2}:[0-9]{2}:[0-9]{2}$')
+                THEN 'Invalid time format. Use HH:MM:SS' END AS reason
+  FROM reschedule_log)
+"""
+
+SQL["booking_checks"] = ADAPTER + _CHECKS + """
+SELECT CAST(req_id AS BIGINT) AS req_id, booking_id, new_date, new_time, reason, reason IS NULL AS accepted FROM chk
+"""
+
+_SUPP = """,
+s AS (SELECT s_suppkey, s_name, CAST(n_regionkey+1 AS INT) AS department_id
+      FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
+
+SQL["upsert_doctors"] = ADAPTER + _SUPP + """,
+upd AS (
+  SELECT CAST(s_suppkey+1 AS INT) AS id, concat(s_name, ' (updated)') AS name, 1000 AS fees, department_id,
+         CAST(NULL AS VARCHAR) AS floor_block, 1 AS seq FROM s WHERE s_suppkey % 7 = 0
+  UNION ALL
+  SELECT CAST(s_suppkey+1 AS INT), s_name, 1200, department_id, 'Annex', 2 FROM s WHERE s_suppkey % 14 = 0
+  UNION ALL
+  SELECT CAST(s_suppkey+1000001 AS INT), concat('New ', s_name), 500, department_id, 'Block N', 1
+  FROM s WHERE s_suppkey % 50 = 3),
+lst AS (SELECT id, name, fees FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS rn FROM upd)
+        WHERE rn = 1),
+fst AS (SELECT id, department_id, floor_block FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS rn
+        FROM upd) WHERE rn = 1)
+SELECT CAST(COALESCE(b.id, l.id) AS BIGINT) AS id,
+       CASE WHEN l.id IS NOT NULL THEN l.name ELSE b.name END AS name,
+       CAST(CASE WHEN l.id IS NOT NULL THEN l.fees ELSE b.fees END AS BIGINT) AS fees,
+       CAST(CASE WHEN b.id IS NOT NULL THEN b.department_id ELSE f.department_id END AS BIGINT) AS department_id,
+       CASE WHEN b.id IS NOT NULL THEN b.floor_block ELSE f.floor_block END AS floor_block
+FROM doctors b FULL JOIN lst l ON l.id = b.id LEFT JOIN fst f ON f.id = COALESCE(b.id, l.id)
+"""
+
+SQL["insert_absent"] = ADAPTER + _SUPP + """,
+cand AS (SELECT CAST(s_suppkey+1 AS INT) AS id, 'Dup' AS name, department_id FROM s WHERE s_suppkey % 9 = 0
+         UNION ALL
+         SELECT CAST(s_suppkey+2000001 AS INT), concat('Staff ', s_name), department_id FROM s WHERE s_suppkey % 9 = 4)
+SELECT CAST(id AS BIGINT) AS id, name, CAST(department_id AS BIGINT) AS department_id, 'base' AS source FROM doctors
+UNION ALL
+SELECT CAST(c.id AS BIGINT), c.name, CAST(c.department_id AS BIGINT), 'inserted'
+FROM cand c WHERE NOT EXISTS (SELECT 1 FROM doctors d WHERE d.id = c.id)
+"""
+
+SQL["opd_status_fold"] = ADAPTER + """,
+r AS (SELECT s.*, t.department_id FROM status_log s JOIN tokens t ON t.id = s.token_id
+      WHERE s.new_status IN ('waiting', 'consulting', 'completed', 'cancelled')),
+own AS (SELECT token_id, new_status, ts, req_id FROM (
+          SELECT *, row_number() OVER (PARTITION BY token_id ORDER BY ts DESC, req_id DESC) AS rn FROM r) WHERE rn = 1),
+lc AS (SELECT department_id, d, ts, req_id FROM (
+         SELECT *, row_number() OVER (PARTITION BY department_id, d ORDER BY ts DESC, req_id DESC) AS rn
+         FROM r WHERE new_status = 'consulting') WHERE rn = 1),
+j AS (SELECT t.id, t.queue_date, t.department_id, t.status AS old_status, COALESCE(o.new_status, t.status) AS eff,
+             lc.ts IS NOT NULL AND (o.token_id IS NULL OR lc.ts > o.ts OR (lc.ts = o.ts AND lc.req_id > o.req_id)) AS later
+      FROM tokens t LEFT JOIN own o ON o.token_id = t.id
+      LEFT JOIN lc ON lc.department_id = t.department_id AND lc.d = t.queue_date),
+f AS (SELECT *, CASE WHEN eff = 'consulting' AND later THEN 'completed' ELSE eff END AS new_status FROM j)
+SELECT CAST(id AS BIGINT) AS id, CAST(queue_date AS VARCHAR) AS queue_date, CAST(department_id AS BIGINT) AS department_id,
+       old_status, new_status, new_status <> old_status AS changed
+FROM f
+"""
+
+_CANCEL_REQ = """,
+r AS (SELECT req_id, ts, d, COALESCE(token_id, 0) AS token_id, upper(trim(token)) AS T,
+             COALESCE(upper(trim(booking_id)), upper(trim(token))) AS B,
+             COALESCE(trim(reason), 'due to being late') AS reason, COALESCE(notify, TRUE) AS notify
+      FROM cancel_log WHERE NOT (upper(trim(token)) = '' AND COALESCE(token_id, 0) = 0))
+"""
+
+SQL["cancel_tokens"] = ADAPTER + _CANCEL_REQ + """,
+hits AS (
+  SELECT r.req_id, r.ts, t.id FROM r JOIN tokens t ON r.token_id > 0 AND t.id = r.token_id
+  UNION ALL
+  SELECT r.req_id, r.ts, t.id FROM r JOIN tokens t
+    ON r.token_id <= 0 AND t.queue_date = r.d
+   AND (upper(trim(t.token_number)) = r.T OR upper(trim(t.booking_id)) = r.B)),
+tokf AS (SELECT id, req_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts, req_id) AS rn FROM hits)
+         WHERE rn = 1),
+pbk AS (SELECT req_id, ts, B AS k FROM r WHERE starts_with(B, 'PB')
+        UNION ALL SELECT req_id, ts, T FROM r WHERE T <> B AND starts_with(T, 'PB')),
+bkf AS (SELECT * FROM (
+          SELECT p.booking_id, p.appointment_date, p.status, k.req_id,
+                 row_number() OVER (PARTITION BY p.booking_id ORDER BY k.ts, k.req_id) AS rn
+          FROM pbk k JOIN prebooked_appointments p ON upper(trim(p.booking_id)) = k.k) WHERE rn = 1)
+SELECT 'token' AS target, CAST(t.id AS VARCHAR) AS target_key, CAST(t.queue_date AS VARCHAR) AS queue_date,
+       t.status AS old_status, CAST(f.req_id AS BIGINT) AS req_id, 'cancelled' AS new_status
+FROM tokf f JOIN tokens t ON t.id = f.id
+UNION ALL
+SELECT 'booking', booking_id, CAST(appointment_date AS VARCHAR), status, CAST(req_id AS BIGINT), 'cancelled' FROM bkf
+"""
+
+SQL["cancel_notifications"] = ADAPTER + _CANCEL_REQ + """
+SELECT CAST(req_id AS BIGINT) AS req_id, T AS token_number, B AS booking_id, 'cancelled' AS notification_type,
+       'Your token has been cancelled ' || reason || '. Please contact reception.' AS message,
+       'pending' AS delivery_status
+FROM r WHERE notify
+"""
+
+SQL["cancel_bookings"] = ADAPTER + """,
+r AS (SELECT req_id, ts, upper(trim(booking_id)) AS B FROM booking_cancel_log WHERE upper(trim(booking_id)) <> ''),
+bf AS (SELECT * FROM (
+         SELECT p.booking_id, p.status, r.req_id,
+                row_number() OVER (PARTITION BY p.booking_id ORDER BY r.ts, r.req_id) AS rn
+         FROM r JOIN prebooked_appointments p ON upper(trim(p.booking_id)) = r.B) WHERE rn = 1),
+hits AS (SELECT r.req_id, r.ts, t.id FROM r JOIN tokens t
+           ON upper(trim(t.booking_id)) = r.B OR upper(trim(t.token_number)) = r.B),
+tf AS (SELECT id, req_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts, req_id) AS rn FROM hits)
+       WHERE rn = 1)
+SELECT 'booking' AS target, booking_id AS target_key, status AS old_status, CAST(req_id AS BIGINT) AS req_id,
+       'cancelled' AS new_status, status <> 'cancelled' AS success
+FROM bf
+UNION ALL
+SELECT 'token', CAST(t.id AS VARCHAR), t.status, CAST(tf.req_id AS BIGINT), 'cancelled', FALSE
+FROM tf JOIN tokens t ON t.id = tf.id
+"""
+
+SQL["reschedule"] = ADAPTER + _CHECKS + f""",
+x AS (SELECT c.*, b.appointment_date AS d0, b.appointment_sod AS t0
+      FROM chk c LEFT JOIN prebooked_appointments b ON upper(trim(b.booking_id)) = c.booking_id),
+y AS (SELECT *, reason IS NULL AND d0 IS NOT NULL AS ok,
+             CASE WHEN reason IS NULL AND d0 IS NOT NULL THEN CAST(new_date AS DATE) END AS nd,
+             CASE WHEN reason IS NULL AND d0 IS NOT NULL AND new_time <> ''
+                  THEN CAST(substr(new_time, 1, 2) AS INT) * 3600 + CAST(substr(new_time, 4, 2) AS INT) * 60
+                       + CAST(substr(new_time, 7, 2) AS INT) END AS nt
+      FROM x),
+z AS (SELECT *, COALESCE(last_value(nd IGNORE NULLS) OVER w, d0) AS old_date,
+                COALESCE(last_value(nt IGNORE NULLS) OVER w, t0) AS old_sod
+      FROM y WINDOW w AS (PARTITION BY booking_id ORDER BY ts, req_id
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS (SELECT *, COALESCE(nd, old_date) AS new_d, COALESCE(nt, old_sod) AS new_t,
+             (COALESCE(nd, old_date) <> old_date OR COALESCE(nt, old_sod) <> old_sod) AS changed FROM z)
+SELECT CAST(req_id AS BIGINT) AS req_id, booking_id, ok AS applied, ok AND changed AS success,
+       CASE WHEN reason IS NOT NULL THEN reason WHEN d0 IS NULL THEN 'Booking ID not found'
+            WHEN changed THEN 'Appointment rescheduled successfully' ELSE 'No changes made to the appointment' END AS message,
+       CASE WHEN ok THEN CAST(old_date AS VARCHAR) END AS old_date,
+       CASE WHEN ok THEN {_hms('old_sod')} END AS old_time,
+       CASE WHEN ok THEN CAST(new_d AS VARCHAR) END AS new_date,
+       CASE WHEN ok THEN {_hms('new_t')} END AS new_time,
+       ok AND new_time <> '' AS token_time_updated
+FROM v
+"""
+
+SQL["cancel_lab"] = ADAPTER + """,
+r AS (SELECT req_id, ts, upper(trim(booking_code)) AS code FROM lab_cancel_log WHERE upper(trim(booking_code)) <> ''),
+f AS (SELECT * FROM (
+        SELECT p.booking_code, p.booking_status, r.req_id,
+               row_number() OVER (PARTITION BY p.booking_code ORDER BY r.ts, r.req_id) AS rn
+        FROM r JOIN prebooked_lab_appointments p ON p.booking_code = r.code
+         AND p.booking_status IN ('booked', 'checked_in')) WHERE rn = 1)
+SELECT 'booking' AS target, booking_code AS target_key, booking_status AS old_status, CAST(req_id AS BIGINT) AS req_id,
+       'cancelled' AS new_status
+FROM f
+UNION ALL
+SELECT 'lab_token', CAST(lt.token_id AS VARCHAR), lt.token_status, CAST(f.req_id AS BIGINT), 'cancelled'
+FROM f JOIN lab_tokens lt ON upper(trim(lt.token_number)) = f.booking_code
+ AND lt.token_status IN ('waiting', 'in_progress')
+"""
+
+SQL["cancel_pharmacy"] = ADAPTER + """,
+r AS (SELECT req_id, ts, d, COALESCE(token_id, 0) AS token_id, upper(trim(token_number)) AS T,
+             COALESCE(trim(reason), 'Cancelled by patient') AS reason FROM pharmacy_cancel_log),
+tgt AS (
+  SELECT r.req_id, t.id AS target_id FROM r LEFT JOIN pharmacy_tokens t ON t.id = r.token_id WHERE r.token_id > 0
+  UNION ALL
+  SELECT r.req_id, min(t.id) FROM r LEFT JOIN pharmacy_tokens t
+    ON upper(trim(t.token_number)) = r.T AND t.queue_date = r.d
+  WHERE r.token_id <= 0 AND r.T <> '' GROUP BY r.req_id),
+x AS (SELECT r.*, g.target_id, t.status FROM r LEFT JOIN tgt g ON g.req_id = r.req_id
+      LEFT JOIN pharmacy_tokens t ON t.id = g.target_id),
+fo AS (SELECT req_id FROM (
+         SELECT req_id, row_number() OVER (PARTITION BY target_id ORDER BY ts, req_id) AS rn
+         FROM x WHERE status IS NOT NULL AND status NOT IN ('cancelled', 'completed')) WHERE rn = 1),
+m AS (SELECT x.*, CASE WHEN T = '' AND token_id = 0 THEN 'Token number or ID is required'
+                       WHEN status IS NULL THEN 'Token not found'
+                       WHEN status = 'completed' THEN 'Cannot cancel a completed token'
+                       WHEN x.req_id IN (SELECT req_id FROM fo) THEN NULL
+                       ELSE 'Token is already cancelled' END AS refusal FROM x)
+SELECT CAST(req_id AS BIGINT) AS req_id, CAST(target_id AS BIGINT) AS target_id, status AS snapshot_status,
+       refusal IS NULL AS accepted, refusal, CASE WHEN refusal IS NULL THEN reason END AS cancellation_reason
+FROM m
+"""
+
+SQL["pharmacy_status_fold"] = ADAPTER + """,
+x AS (SELECT r.req_id, r.ts, r.token_id, trim(r.new_status) AS new_status, t.status AS snap, t.token_number
+      FROM pharmacy_status_log r LEFT JOIN pharmacy_tokens t ON t.id = r.token_id),
+y AS (SELECT *, CASE WHEN token_id <= 0 THEN 'Invalid token ID'
+                     WHEN new_status NOT IN ('waiting', 'processing', 'completed', 'cancelled')
+                       THEN 'Invalid status. Must be: waiting, processing, completed, cancelled'
+                     WHEN snap IS NULL THEN 'Token not found' END AS reason FROM x)
+SELECT CAST(req_id AS BIGINT) AS req_id, CAST(token_id AS BIGINT) AS token_id, token_number,
+       CASE WHEN reason IS NULL THEN COALESCE(lag(new_status) OVER (PARTITION BY token_id, reason IS NULL
+                                                                    ORDER BY ts, req_id), snap) END AS old_status,
+       new_status, reason, reason IS NULL AS accepted
+FROM y
+"""
+
+SQL["break_state"] = ADAPTER + """,
+r AS (SELECT * FROM break_log WHERE action IN ('start_break', 'end_break') AND doctor_id <> 0),
+st AS (SELECT doctor_id, d AS break_date, ts, req_id FROM (
+         SELECT *, row_number() OVER (PARTITION BY doctor_id, d ORDER BY ts DESC, req_id DESC) AS rn
+         FROM r WHERE action = 'start_break') WHERE rn = 1),
+en AS (SELECT st.doctor_id, st.break_date, e.ts,
+              row_number() OVER (PARTITION BY st.doctor_id, st.break_date ORDER BY e.ts DESC, e.req_id DESC) AS rn
+       FROM st JOIN r e ON e.action = 'end_break' AND e.doctor_id = st.doctor_id AND e.d = st.break_date
+        AND (e.ts > st.ts OR (e.ts = st.ts AND e.req_id > st.req_id)))
+SELECT CAST(st.doctor_id AS BIGINT) AS doctor_id, CAST(st.break_date AS VARCHAR) AS break_date,
+       strftime(st.ts, '%Y-%m-%d %H:%M:%S') AS break_start, strftime(en.ts, '%Y-%m-%d %H:%M:%S') AS break_end,
+       CASE WHEN en.ts IS NULL THEN 'on_break' ELSE 'available' END AS status, en.ts IS NULL AS is_on_break
+FROM st LEFT JOIN en ON en.doctor_id = st.doctor_id AND en.break_date = st.break_date AND en.rn = 1
+"""
+
+SQL["issue_opd"] = ADAPTER + """,
+ra AS (SELECT l.*,
+              (SELECT dp.id FROM departments dp WHERE upper(rtrim(dp.name)) = upper(rtrim(COALESCE(l.department, ''))))
+                AS dep_by_name,
+              (SELECT dr.department_id FROM doctors dr WHERE dr.id = l.doctor_id) AS dep_by_doc
+       FROM opd_issue_log l),
+a AS (SELECT *, COALESCE(dep_by_name, CASE WHEN doctor_id > 0 THEN dep_by_doc END) AS department_id FROM ra),
+ok AS (SELECT *, req_id + 1 AS token_id,
+              row_number() OVER (PARTITION BY department_id, d ORDER BY ts, req_id) AS seq
+       FROM a WHERE department_id IS NOT NULL)""" + _depth("ok", "status_log", "department_id, d", "'waiting'") + f"""
+SELECT CAST(ok.req_id AS BIGINT) AS req_id, TRUE AS accepted, CAST(NULL AS VARCHAR) AS reason,
+       CAST(ok.token_id AS BIGINT) AS token_id, concat({_initial('ok.department')}, printf('%03d', ok.seq)) AS token_number,
+       CAST(ok.department_id AS BIGINT) AS department_id, CAST(ok.d AS VARCHAR) AS queue_date,
+       CAST(dp.ahead AS BIGINT) AS patients_ahead, {_hms(f"(({_sod('ok.ts')} + dp.ahead * 600) % 86400)")} AS expected_time
+FROM ok JOIN dp_ok dp ON dp.token_id = ok.token_id
+UNION ALL
+SELECT CAST(req_id AS BIGINT), FALSE, 'Invalid department', NULL, NULL, NULL, CAST(d AS VARCHAR), NULL, NULL
+FROM a WHERE department_id IS NULL
+"""
+
+SQL["issue_lab"] = ADAPTER + """,
+j AS (SELECT l.*, upper(trim(l.test_code)) AS code, t.test_id, t.fee, t.slot_duration,
+             CASE WHEN upper(trim(l.test_code)) = '' OR trim(l.patient_name) = '' OR trim(l.patient_phone) = ''
+                       OR COALESCE(l.patient_age, 0) <= 0
+                    THEN 'Missing required fields: test_code, patient_name, patient_age, patient_phone'
+                  WHEN t.test_id IS NULL THEN 'Invalid test code or test not available' END AS reason
+      FROM lab_issue_log l LEFT JOIN lab_tests t ON t.test_code = upper(trim(l.test_code))),
+ok AS (SELECT *, req_id + 1 AS token_id, row_number() OVER (PARTITION BY test_id, d ORDER BY ts, req_id) AS seq
+       FROM j WHERE reason IS NULL)""" + _depth("ok", "lab_status_log", "test_id, d", "'waiting', 'in_progress'") + """
+SELECT CAST(ok.req_id AS BIGINT) AS req_id, TRUE AS accepted, CAST(NULL AS VARCHAR) AS reason,
+       CAST(ok.token_id AS BIGINT) AS token_id, concat(ok.code, '-', printf('%03d', ok.seq)) AS token_number,
+       CAST(ok.test_id AS BIGINT) AS test_id, CAST(ok.d AS VARCHAR) AS queue_date,
+       CASE WHEN lower(trim(ok.patient_gender)) IN ('male', 'female', 'other') THEN lower(trim(ok.patient_gender))
+            ELSE 'other' END AS patient_gender,
+       CAST(CASE WHEN ok.payment_amount <= 0 THEN ok.fee ELSE ok.payment_amount END AS BIGINT) AS payment_amount,
+       CAST(dp.ahead + 1 AS BIGINT) AS queue_position, CAST(dp.ahead * ok.slot_duration AS BIGINT) AS wait_time
+FROM ok JOIN dp_ok dp ON dp.token_id = ok.token_id
+UNION ALL
+SELECT CAST(req_id AS BIGINT), FALSE, reason, NULL, NULL, NULL, CAST(d AS VARCHAR), NULL, NULL, NULL, NULL
+FROM j WHERE reason IS NOT NULL
+"""
+
+SQL["issue_pharmacy"] = ADAPTER + """,
+j AS (SELECT l.*, CASE WHEN COALESCE(l.pharmacy_id, 0) <= 0 THEN 'Invalid pharmacy selected'
+                       WHEN COALESCE(trim(l.patient_name), '') = '' THEN 'Patient name is required'
+                       WHEN p.id IS NULL THEN 'Selected pharmacy not found or inactive' END AS reason
+      FROM pharmacy_issue_log l LEFT JOIN pharmacies p ON p.id = l.pharmacy_id AND p.is_active),
+ok AS (SELECT *, req_id + 1 AS token_id, row_number() OVER (PARTITION BY pharmacy_id, d ORDER BY ts, req_id) AS seq
+       FROM j WHERE reason IS NULL)""" + _depth("ok", "pharmacy_status_log", "pharmacy_id, d", "'waiting'") + """
+SELECT CAST(ok.req_id AS BIGINT) AS req_id, TRUE AS accepted, CAST(NULL AS VARCHAR) AS reason,
+       CAST(ok.token_id AS BIGINT) AS token_id,
+       concat('PH', CAST(ok.pharmacy_id AS VARCHAR), '-', printf('%03d', ok.seq)) AS token_number,
+       CAST(ok.pharmacy_id AS BIGINT) AS pharmacy_id, CAST(ok.d AS VARCHAR) AS queue_date,
+       CAST(dp.ahead AS BIGINT) AS patients_ahead, CAST(dp.ahead * 3 AS VARCHAR) || ' mins' AS estimated_wait
+FROM ok JOIN dp_ok dp ON dp.token_id = ok.token_id
+UNION ALL
+SELECT CAST(req_id AS BIGINT), FALSE, reason, NULL, NULL, CAST(pharmacy_id AS BIGINT), CAST(d AS VARCHAR), NULL, NULL
+FROM j WHERE reason IS NOT NULL
+"""
