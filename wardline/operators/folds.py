@@ -41,7 +41,7 @@ def _order(prefix: str = "") -> F.Column:
 
 
 # -- T5 -----------------------------------------------------------------------------
-def opd_status_fold(tokens: DataFrame, status_log: DataFrame) -> DataFrame:
+def opd_status_fold(tokens: DataFrame, status_log: DataFrame, until_day_end: bool = False) -> DataFrame:
     """T5: final OPD status after a log of ``update_token`` requests.
 
     A request for an unknown token or with an invalid status does nothing.
@@ -49,12 +49,15 @@ def opd_status_fold(tokens: DataFrame, status_log: DataFrame) -> DataFrame:
     target's department created on the request day.  Hence a token ends as
     its last own request (or its snapshot status), except that a token left
     consulting is completed when a later consulting request exists for its
-    department on its own day.
+    department on its own day.  ``until_day_end`` keeps only requests made
+    up to the token's own day (the status when its day closed).
     """
     t = tokens.select("id", "department_id", "queue_date", "status")
     r = status_log.where(F.col("new_status").isin(*ENUMS["opd_status"])).join(
-        t.select(F.col("id").alias("token_id"), "department_id"), "token_id")
-    own = r.groupBy("token_id").agg(F.max_by(F.struct(_order().alias("o"), "new_status"),
+        t.select(F.col("id").alias("token_id"), "department_id", F.col("queue_date").alias("_td")),
+        "token_id")
+    mine = r.where(F.col("d") <= F.col("_td")) if until_day_end else r
+    own = mine.groupBy("token_id").agg(F.max_by(F.struct(_order().alias("o"), "new_status"),
                                              _order()).alias("own"))
     last_consult = r.where(F.col("new_status") == "consulting").groupBy(
         "department_id", F.col("d").alias("queue_date")).agg(F.max(_order()).alias("c_last"))
@@ -393,3 +396,87 @@ def issue_pharmacy(log: DataFrame, pharmacies: DataFrame, status_log: DataFrame)
         F.lit(None).cast("string").alias("token_number"), "pharmacy_id", F.col("d").alias("queue_date"),
         F.lit(None).cast("long").alias("patients_ahead"), F.lit(None).cast("string").alias("estimated_wait"))
     return acc.unionByName(rej)
+
+
+# -- T4 -----------------------------------------------------------------------------
+MSG_INVALID_BOOKING = "Invalid or expired booking"
+
+
+def _earlier_lower(pdf):
+    """Per (doctor, day) group of accepted check-ins: for each row, how many
+    earlier rows (log order) with weight 1 have a smaller appointment time.
+    Fenwick tree over time ranks: O(n log n)."""
+    import numpy as np
+    import pandas as pd
+    pdf = pdf.sort_values(["ts", "req_id"], kind="mergesort")
+    t = pdf["appointment_sod"].to_numpy()
+    w = pdf["w"].to_numpy()
+    ranks = np.searchsorted(np.unique(t), t) + 1
+    tree = np.zeros(len(np.unique(t)) + 1, dtype=np.int64)
+    out = np.zeros(len(pdf), dtype=np.int64)
+    for i, (r, wi) in enumerate(zip(ranks, w)):
+        j, s = int(r) - 1, 0
+        while j > 0:
+            s += tree[j]
+            j -= j & -j
+        out[i] = s
+        if wi:
+            j = int(r)
+            while j < len(tree):
+                tree[j] += 1
+                j += j & -j
+    return pd.DataFrame({"req_id": pdf["req_id"].to_numpy(), "_extra": out})
+
+
+def checkin_bookings(bookings: DataFrame, tokens: DataFrame, doctors: DataFrame,
+                     log: DataFrame) -> DataFrame:
+    """T4: check-in of pre-booked appointments over a request log.
+
+    A request succeeds for a booking that is booked or confirmed and not
+    dated before the request day; the first such request per booking wins
+    (it turns the booking ``checked_in``).  The new token takes the booking
+    id as number and the appointment time as expected time.  Patients ahead
+    = the snapshot count (active pre-booked tokens of the doctor that day
+    with an earlier time + booked bookings that day with an earlier slot)
+    plus the effect of earlier check-ins of the same batch: each adds a token
+    with an earlier time, and removes a booked booking of that day from the
+    count.  That last term is a 2-D dominance count per (doctor, day),
+    computed with a Fenwick tree in ``applyInPandas`` over the accepted
+    check-ins only (one row per accepted request).
+    """
+    r = log.select("req_id", "ts", "d", upper_key("booking_id").alias("B"))
+    doc = doctors.select(F.col("id").alias("doctor_id"))
+    b = bookings.where(F.col("status").isin("booked", "confirmed")).join(doc, "doctor_id").select(
+        upper_key("booking_id").alias("B"), "booking_id", "doctor_id", "department_id",
+        "appointment_date", "appointment_sod", F.col("status").alias("snap_status"))
+    v = r.join(b, "B").where(F.col("appointment_date") >= F.col("d"))
+    first = v.groupBy("B").agg(F.min(_order()).alias("_first"))
+    acc = v.join(first, "B").where(_order() == F.col("_first")).drop("_first")
+    # Snapshot count (A8 rule on the request day).
+    from wardline.operators.lookups import count_before
+    from wardline.functions.columns import OPD_ACTIVE, starts_pb
+    probes = acc.select(F.col("req_id").alias("_pid"), "doctor_id", F.col("d").alias("queue_date"),
+                        F.col("appointment_sod").alias("_t"))
+    tok = tokens.where(F.col("status").isin(*OPD_ACTIVE)
+                       & ((F.col("token_type") == "prebooked") | starts_pb("token_number"))).select(
+        "doctor_id", "queue_date", F.coalesce("expected_sod", "created_sod").alias("_t"))
+    bk = bookings.where(F.col("status") == "booked").select(
+        "doctor_id", F.col("appointment_date").alias("queue_date"), F.col("appointment_sod").alias("_t"))
+    snap = count_before(probes, tok.unionByName(bk), ["doctor_id", "queue_date"], "_snap")
+    weight = F.when((F.col("snap_status") == "booked") & (F.col("appointment_date") == F.col("d")),
+                    F.lit(0)).otherwise(F.lit(1))
+    batch = acc.select("req_id", "ts", "doctor_id", "d", "appointment_sod", weight.alias("w")) \
+        .groupBy("doctor_id", "d").applyInPandas(_earlier_lower, "req_id long, _extra long")
+    x = acc.join(snap, acc.req_id == snap._pid).join(batch, "req_id")
+    ahead = F.col("_snap") + F.col("_extra")
+    ok = x.select("req_id", "B", F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("reason"),
+                  F.col("booking_id").alias("token_number"), "doctor_id", "department_id",
+                  F.col("d").alias("queue_date"), hms("appointment_sod").alias("expected_time"),
+                  ahead.alias("patients_ahead"), (ahead * OPD_MINUTES_PER_PATIENT).alias("wait_time"))
+    rej = r.join(acc.select("req_id"), "req_id", "left_anti").select(
+        "req_id", "B", F.lit(False).alias("accepted"), F.lit(MSG_INVALID_BOOKING).alias("reason"),
+        F.lit(None).cast("string").alias("token_number"), F.lit(None).cast("int").alias("doctor_id"),
+        F.lit(None).cast("int").alias("department_id"), F.col("d").alias("queue_date"),
+        F.lit(None).cast("string").alias("expected_time"), F.lit(None).cast("long").alias("patients_ahead"),
+        F.lit(None).cast("long").alias("wait_time"))
+    return ok.unionByName(rej).withColumnRenamed("B", "booking_id")

@@ -605,3 +605,25 @@ def q_issue_lab(spark, sf_dir):
 def q_issue_pharmacy(spark, sf_dir):
     h = _h(spark, sf_dir)
     return portable(folds.issue_pharmacy(h.pharmacy_issue_log, h.pharmacies, h.pharmacy_status_log))
+
+
+@register("checkin_bookings")
+def q_checkin_bookings(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(folds.checkin_bookings(h.prebooked_appointments, h.tokens, h.doctors, h.checkin_log))
+
+
+# -- streaming operators (batch twins) --------------------------------------------------
+from wardline.streaming import alerts  # noqa: E402
+
+
+@register("status_alerts")
+def q_status_alerts(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(alerts.status_alerts(h.tokens, h.status_log, h.doctors))
+
+
+@register("expired_tokens")
+def q_expired_tokens(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(alerts.expired_tokens(h.tokens, h.status_log))

@@ -1246,3 +1246,88 @@ UNION ALL
 SELECT CAST(req_id AS BIGINT), FALSE, reason, NULL, NULL, CAST(pharmacy_id AS BIGINT), CAST(d AS VARCHAR), NULL, NULL
 FROM j WHERE reason IS NOT NULL
 """
+
+SQL["checkin_bookings"] = ADAPTER + f""",
+r AS (SELECT req_id, ts, d, upper(trim(booking_id)) AS B FROM checkin_log),
+v AS (SELECT r.*, p.booking_id, p.doctor_id, p.department_id, p.appointment_date, p.appointment_sod,
+             p.status AS snap_status
+      FROM r JOIN prebooked_appointments p ON upper(trim(p.booking_id)) = r.B
+       AND p.status IN ('booked', 'confirmed') AND p.appointment_date >= r.d
+      JOIN doctors dr ON dr.id = p.doctor_id),
+acc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY B ORDER BY ts, req_id) AS rn FROM v) WHERE rn = 1),
+a AS (SELECT acc.*,
+        (SELECT count(*) FROM tokens t
+          WHERE t.doctor_id = acc.doctor_id AND t.queue_date = acc.d AND t.status IN ('waiting', 'consulting')
+            AND (t.token_type = 'prebooked' OR upper(t.token_number) LIKE 'PB%')
+            AND COALESCE(t.expected_sod, t.created_sod) < acc.appointment_sod)
+      + (SELECT count(*) FROM prebooked_appointments p
+          WHERE p.doctor_id = acc.doctor_id AND p.appointment_date = acc.d AND p.status = 'booked'
+            AND p.appointment_sod < acc.appointment_sod AND upper(trim(p.booking_id)) <> acc.B)
+      + (SELECT count(*) FROM acc c
+          WHERE c.doctor_id = acc.doctor_id AND c.d = acc.d
+            AND (c.ts < acc.ts OR (c.ts = acc.ts AND c.req_id < acc.req_id))
+            AND c.appointment_sod < acc.appointment_sod
+            AND NOT (c.snap_status = 'booked' AND c.appointment_date = c.d)) AS ahead
+      FROM acc)
+SELECT CAST(req_id AS BIGINT) AS req_id, B AS booking_id, TRUE AS accepted, CAST(NULL AS VARCHAR) AS reason,
+       booking_id AS token_number, CAST(doctor_id AS BIGINT) AS doctor_id,
+       CAST(department_id AS BIGINT) AS department_id, CAST(d AS VARCHAR) AS queue_date,
+       {_hms('appointment_sod')} AS expected_time, CAST(ahead AS BIGINT) AS patients_ahead,
+       CAST(ahead * 10 AS BIGINT) AS wait_time
+FROM a
+UNION ALL
+SELECT CAST(req_id AS BIGINT), B, FALSE, 'Invalid or expired booking', NULL, NULL, NULL, CAST(d AS VARCHAR),
+       NULL, NULL, NULL
+FROM r WHERE req_id NOT IN (SELECT req_id FROM acc)
+"""
+
+SQL["status_alerts"] = ADAPTER + """,
+t AS (SELECT id, department_id, queue_date, status AS snap, token_number, doctor_id FROM tokens),
+r AS (SELECT s.req_id, s.ts, s.d, s.token_id, s.new_status, t.department_id, t.queue_date, t.snap, t.token_number,
+             t.doctor_id
+      FROM status_log s JOIN t ON t.id = s.token_id
+      WHERE s.new_status IN ('waiting', 'consulting', 'completed', 'cancelled')),
+c AS (SELECT department_id, d, ts, req_id FROM r WHERE new_status = 'consulting'),
+o AS (SELECT r.*, lag(new_status) OVER w AS pst, lag(ts) OVER w AS pts, lag(req_id) OVER w AS preq
+      FROM r WINDOW w AS (PARTITION BY token_id ORDER BY ts, req_id)),
+b AS (SELECT o.*, COALESCE(pst, snap) AS prev,
+             COALESCE(pst, snap) = 'consulting' AND EXISTS (
+               SELECT 1 FROM c WHERE c.department_id = o.department_id AND c.d = o.queue_date
+                 AND (o.pts IS NULL OR c.ts > o.pts OR (c.ts = o.pts AND c.req_id > o.preq))
+                 AND (c.ts < o.ts OR (c.ts = o.ts AND c.req_id < o.req_id))) AS displaced
+      FROM o),
+f AS (SELECT b.*, new_status IN ('cancelled', 'consulting')
+                  AND new_status <> CASE WHEN displaced THEN 'completed' ELSE prev END AS alert FROM b),
+g AS (SELECT f.*, COALESCE(sum(CASE WHEN alert AND new_status = 'cancelled' THEN 1 ELSE 0 END)
+                    OVER (PARTITION BY token_id ORDER BY ts, req_id
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cb FROM f)
+SELECT CAST(g.token_id AS BIGINT) AS token_id, CAST(g.req_id AS BIGINT) AS req_id,
+       CAST(g.queue_date AS VARCHAR) AS queue_date, g.new_status AS alert,
+       CASE WHEN g.new_status = 'cancelled' THEN '❌ Token Cancelled' ELSE '\U0001f514 Your Turn!' END AS title,
+       CASE WHEN g.new_status = 'cancelled'
+            THEN 'Your token ' || g.token_number || ' has been cancelled due to being late. Please contact reception.'
+            ELSE 'Token ' || g.token_number || ' is now being called. Please proceed to '
+                 || COALESCE(dr.name, 'the consultation room') || '.' END AS message
+FROM g LEFT JOIN doctors dr ON dr.id = g.doctor_id
+WHERE g.alert AND g.cb = 0
+"""
+
+SQL["expired_tokens"] = ADAPTER + """,
+r AS (SELECT s.*, t.department_id, t.queue_date AS td FROM status_log s JOIN tokens t ON t.id = s.token_id
+      WHERE s.new_status IN ('waiting', 'consulting', 'completed', 'cancelled')),
+own AS (SELECT token_id, new_status, ts, req_id FROM (
+          SELECT *, row_number() OVER (PARTITION BY token_id ORDER BY ts DESC, req_id DESC) AS rn
+          FROM r WHERE d <= td) WHERE rn = 1),
+lc AS (SELECT department_id, d, ts, req_id FROM (
+         SELECT *, row_number() OVER (PARTITION BY department_id, d ORDER BY ts DESC, req_id DESC) AS rn
+         FROM r WHERE new_status = 'consulting') WHERE rn = 1),
+j AS (SELECT t.id, t.token_number, t.queue_date, t.department_id, t.doctor_id, COALESCE(o.new_status, t.status) AS eff,
+             lc.ts IS NOT NULL AND (o.token_id IS NULL OR lc.ts > o.ts OR (lc.ts = o.ts AND lc.req_id > o.req_id)) AS later
+      FROM tokens t LEFT JOIN own o ON o.token_id = t.id
+      LEFT JOIN lc ON lc.department_id = t.department_id AND lc.d = t.queue_date),
+f AS (SELECT *, CASE WHEN eff = 'consulting' AND later THEN 'completed' ELSE eff END AS st FROM j)
+SELECT CAST(id AS BIGINT) AS id, token_number, CAST(queue_date AS VARCHAR) AS queue_date,
+       CAST(department_id AS BIGINT) AS department_id, CAST(doctor_id AS BIGINT) AS doctor_id,
+       st AS status_at_close, strftime(queue_date + 1, '%Y-%m-%d') || ' 00:00:00' AS expired_at
+FROM f WHERE st IN ('waiting', 'consulting')
+"""
