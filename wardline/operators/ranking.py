@@ -86,6 +86,8 @@ def number_rows(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[s
     spark = df.sparkSession
     if strategy == "range":
         return _range_number(df, partition_by, order_by, name, count_name, None, value_col)
+    if (spark.conf.get("wardline.skewCheck", None) or os.environ.get("WARDLINE_SKEW_CHECK", "auto")) == "off":
+        return _window_number(df, partition_by, order_by, name, count_name, value_col)
     limit = hot_rows or hot_group_rows(spark)
     sizes = df.groupBy(*partition_by).agg(F.count(F.lit(1)).alias("_group_rows"))
     # Bounded: a group above ``limit`` rows holds more than 1/(rows/limit) of

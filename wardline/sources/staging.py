@@ -40,15 +40,26 @@ class StagedHospital:
         self.spark = base.spark
         self.sf_dir = base.sf_dir
         self._tables: dict[str, DataFrame] = {}
+        self._locks = {n: threading.Lock() for n in DOMAIN_TABLES}
+
+    def _stage(self, name: str) -> DataFrame:
+        with self._locks[name]:
+            if name not in self._tables:
+                path = f"{self.root}/{name}"
+                getattr(self.base, name).write.mode("overwrite").parquet(path)
+                self._tables[name] = self.spark.read.parquet(path)
+            return self._tables[name]
+
+    def stage_all(self, names=DOMAIN_TABLES, threads: int = 4) -> None:
+        """Stage several tables at once: independent Spark jobs submitted from
+        a few driver threads share the cluster instead of running one by one."""
+        from concurrent.futures import ThreadPoolExecutor
+        with ThreadPoolExecutor(max_workers=threads) as pool:
+            list(pool.map(self._stage, names))
 
     def __getattr__(self, name: str):
         if name in DOMAIN_TABLES:
-            with _LOCK:
-                if name not in self._tables:
-                    path = f"{self.root}/{name}"
-                    getattr(self.base, name).write.mode("overwrite").parquet(path)
-                    self._tables[name] = self.spark.read.parquet(path)
-                return self._tables[name]
+            return self._stage(name)
         return getattr(self.base, name)
 
 
