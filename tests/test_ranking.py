@@ -45,3 +45,24 @@ def test_positions_are_dense(spark):
                              F.count("*").alias("c"), F.max("n").alias("n")) \
         .where((F.col("lo") != 1) | (F.col("hi") != F.col("c")) | (F.col("n") != F.col("c")))
     assert bad.count() == 0
+
+
+from wardline.operators.ranking import lag_within  # noqa: E402
+
+
+def _lag_data(spark):
+    return spark.range(0, 3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 13 + 1).alias("g"),
+        ((F.col("id") * 7919) % 1000).alias("k"), F.col("id"),
+        F.when(F.col("id") % 5 == 0, F.lit(None)).otherwise(F.col("id") * 10).alias("v"))
+
+
+def test_lag_paths_agree(spark):
+    df = _lag_data(spark)
+    for ign in (False, True):
+        a = lag_within(df, ["g"], ["k", "id"], "v", "p", ignore_nulls=ign, strategy="window")
+        b = lag_within(df, ["g"], ["k", "id"], "v", "p", ignore_nulls=ign, strategy="range")
+        c = lag_within(df, ["g"], ["k", "id"], "v", "p", ignore_nulls=ign, hot_rows=500)
+        ra = sorted(a.select("id", "p").collect())
+        assert ra == sorted(b.select("id", "p").collect()), ign
+        assert ra == sorted(c.select("id", "p").collect()), ign

@@ -17,7 +17,7 @@ from wardline.functions.columns import (LAB_ACTIVE, OPD_MINUTES_PER_PATIENT,
                                         PHARMACY_MINUTES_PER_PATIENT, hms, seq3, sod, upper_key,
                                         wrap_sod)
 from wardline.operators.numbering import department_initial, depth_at_arrival
-from wardline.operators.ranking import number_rows
+from wardline.operators.ranking import lag_within, number_rows
 from wardline.operators.requests import ENUMS, reschedule_checks
 
 # Fixed texts of the application.
@@ -168,11 +168,11 @@ def reschedule(bookings: DataFrame, log: DataFrame) -> DataFrame:
                          (F.substring("new_time", 1, 2).cast("int") * 3600
                           + F.substring("new_time", 4, 2).cast("int") * 60
                           + F.substring("new_time", 7, 2).cast("int"))))
-    from pyspark.sql import Window
-    w = Window.partitionBy("booking_id").orderBy("ts", "req_id")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumn("old_date", F.coalesce(F.last("_new_d", ignorenulls=True).over(before), F.col("d0")))
-    x = x.withColumn("old_sod", F.coalesce(F.last("_new_t", ignorenulls=True).over(before), F.col("t0")))
+    # Last accepted date / time before each request of the booking (skew-safe scan).
+    x = lag_within(x, ["booking_id"], ["ts", "req_id"], "_new_d", "_prev_d", ignore_nulls=True)
+    x = lag_within(x, ["booking_id"], ["ts", "req_id"], "_new_t", "_prev_t", ignore_nulls=True)
+    x = x.withColumn("old_date", F.coalesce(F.col("_prev_d"), F.col("d0")))
+    x = x.withColumn("old_sod", F.coalesce(F.col("_prev_t"), F.col("t0")))
     new_d = F.coalesce(F.col("_new_d"), F.col("old_date"))
     new_t = F.coalesce(F.col("_new_t"), F.col("old_sod"))
     changed = (new_d != F.col("old_date")) | (new_t != F.col("old_sod"))
@@ -248,7 +248,6 @@ def pharmacy_status_fold(pharmacy_tokens: DataFrame, log: DataFrame) -> DataFram
     """``update_pharmacy_token`` requests: validated (positive id, known
     status, existing token), each reporting old and new status; the old
     status of a request is the new status of the previous valid one."""
-    from pyspark.sql import Window
     t = pharmacy_tokens.select(F.col("id").alias("token_id"), F.col("status").alias("snap"),
                                "token_number")
     r = log.select("req_id", "ts", "token_id", F.trim("new_status").alias("new_status"))
@@ -260,8 +259,8 @@ def pharmacy_status_fold(pharmacy_tokens: DataFrame, log: DataFrame) -> DataFram
               .when(F.col("snap").isNull(), F.lit(MSG_NOT_FOUND)))
     x = x.withColumn("reason", reason)
     ok = x.where(F.col("reason").isNull())
-    w = Window.partitionBy("token_id").orderBy("ts", "req_id")
-    ok = ok.withColumn("old_status", F.coalesce(F.lag("new_status").over(w), F.col("snap")))
+    ok = lag_within(ok, ["token_id"], ["ts", "req_id"], "new_status", "_prev_status")
+    ok = ok.withColumn("old_status", F.coalesce(F.col("_prev_status"), F.col("snap")))
     bad = x.where(F.col("reason").isNotNull()).withColumn("old_status", F.lit(None).cast("string"))
     cols = ["req_id", "token_id", "token_number", "old_status", "new_status", "reason"]
     out = ok.select(*cols).unionByName(bad.select(*cols))

@@ -16,11 +16,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.columns import seq3
-from wardline.operators.ranking import number_rows, running_sum
+from wardline.operators.ranking import lag_within, number_rows, running_sum
 
 
 def sequence_numbers(df: DataFrame, group: Sequence[str], order: Sequence[str], prefix: F.Column,
@@ -53,10 +53,9 @@ def depth_at_arrival(arrivals: DataFrame, updates: DataFrame, group: Sequence[st
         "token_id", "ts", *group, F.lit(1).alias("_kind"), F.col("req_id").cast("long").alias("_seq"),
         F.col("new_status").isin(*active).cast("int").alias("_act"))
     ev = a.unionByName(u)
-    # Previous flag of the same token: requests per token are a handful, so a
-    # window over the token's own events stays small.
-    w_tok = Window.partitionBy("token_id").orderBy("ts", "_kind", "_seq")
-    ev = ev.withColumn("_delta", F.col("_act") - F.coalesce(F.lag("_act").over(w_tok), F.lit(0)))
+    # Previous flag of the same token (skew-safe lag over the token's events).
+    ev = lag_within(ev, ["token_id"], ["ts", "_kind", "_seq"], "_act", "_prev_act")
+    ev = ev.withColumn("_delta", F.col("_act") - F.coalesce(F.col("_prev_act"), F.lit(0)))
     summed = running_sum(ev, group, ["ts", "_kind", "_seq"], "_delta", "_running")
     return summed.where(F.col("_kind") == 0).select(
         "token_id", *group, (F.col("_running") - F.col("_delta")).alias("patients_ahead"))

@@ -25,6 +25,7 @@ import os
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -34,6 +35,7 @@ from pyspark.sql import types as T
 from wardline.session import ensure_checkpoint_dir
 
 DEFAULT_HOT_ROWS = 2_000_000
+_HOT_MEMO: dict = {}
 MAX_HOT_GROUPS = 100_000
 
 
@@ -86,23 +88,164 @@ def number_rows(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[s
     spark = df.sparkSession
     if strategy == "range":
         return _range_number(df, partition_by, order_by, name, count_name, None, value_col)
-    if (spark.conf.get("wardline.skewCheck", None) or os.environ.get("WARDLINE_SKEW_CHECK", "auto")) == "off":
+    split = _split_hot(df, partition_by, hot_rows)
+    if split is None:
         return _window_number(df, partition_by, order_by, name, count_name, value_col)
+    cold, hot_part, hot_df = split
+    numbered_cold = _window_number(cold, partition_by, order_by, name, count_name, value_col)
+    numbered_hot = _range_number(hot_part, partition_by, order_by, name, count_name, hot_df,
+                                 value_col)
+    return numbered_cold.unionByName(numbered_hot)
+
+
+def _split_hot(df: DataFrame, partition_by: list[str], hot_rows: int | None):
+    """(cold rows, hot rows, hot keys) or None when no group exceeds the limit.
+
+    The key list is bounded: a group above ``limit`` rows holds more than
+    1/(rows/limit) of the input, so there are at most rows/limit such keys.
+    """
+    spark = df.sparkSession
+    if (spark.conf.get("wardline.skewCheck", None) or os.environ.get("WARDLINE_SKEW_CHECK", "auto")) == "off":
+        return None
     limit = hot_rows or hot_group_rows(spark)
     sizes = df.groupBy(*partition_by).agg(F.count(F.lit(1)).alias("_group_rows"))
-    # Bounded: a group above ``limit`` rows holds more than 1/(rows/limit) of
-    # the input, so there are at most rows/limit such keys.
-    hot = sizes.where(F.col("_group_rows") > limit).limit(MAX_HOT_GROUPS).collect()
+    # The same input and key are often checked by several queries of a
+    # session (e.g. the live queue feeds four boards): memoise the result.
+    memo_key = (spark.sparkContext.applicationId, sizes.semanticHash(), limit)
+    if memo_key in _HOT_MEMO:
+        hot = _HOT_MEMO[memo_key]
+    else:
+        hot = sizes.where(F.col("_group_rows") > limit).limit(MAX_HOT_GROUPS).collect()
+        _HOT_MEMO[memo_key] = hot
     if not hot:
-        return _window_number(df, partition_by, order_by, name, count_name, value_col)
+        return None
     hot_df = F.broadcast(spark.createDataFrame(hot, sizes.schema))
     cond = _key_match(df, hot_df, partition_by)
-    cold = df.join(hot_df, cond, "left_anti")
-    hot_rows_df = df.join(hot_df, cond, "left_semi")
-    numbered_cold = _window_number(cold, partition_by, order_by, name, count_name, value_col)
-    numbered_hot = _range_number(hot_rows_df, partition_by, order_by, name, count_name, hot_df,
-                                 value_col)
-    return numbered_cold.unionByName(numbered_hot)
+    return df.join(hot_df, cond, "left_anti"), df.join(hot_df, cond, "left_semi"), hot_df
+
+
+def lag_within(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str | Column],
+               col: str, name: str, ignore_nulls: bool = False, hot_rows: int | None = None,
+               strategy: str = "auto") -> DataFrame:
+    """Add ``name`` = ``col`` of the previous row of the group (``lag``), or
+    with ``ignore_nulls`` the last non-null ``col`` before this row.
+
+    Same hot-group handling as ``number_rows``: small groups use a window,
+    hot groups a range-partitioned scan whose partition boundaries are
+    patched from a per-partition table (one row per partition).
+    """
+    partition_by = list(partition_by)
+
+    def window(d):
+        w = Window.partitionBy(*partition_by).orderBy(*_order_cols(order_by))
+        if ignore_nulls:
+            return d.withColumn(name, F.last(col, ignorenulls=True).over(
+                w.rowsBetween(Window.unboundedPreceding, -1)))
+        return d.withColumn(name, F.lag(col).over(w))
+
+    if strategy == "window":
+        return window(df)
+    if strategy == "range":
+        return _range_lag(df, partition_by, order_by, col, name, ignore_nulls)
+    split = _split_hot(df, partition_by, hot_rows)
+    if split is None:
+        return window(df)
+    cold, hot_part, _ = split
+    return window(cold).unionByName(_range_lag(hot_part, partition_by, order_by, col, name, ignore_nulls))
+
+
+def _range_lag(df: DataFrame, partition_by, order_by, col, name, ignore_nulls):
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    sort_cols = [F.col(c) for c in partition_by] + _order_cols(order_by)
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartitionByRange(n_parts, *sort_cols).sortWithinPartitions(*sort_cols)
+    ctype = ordered.schema[col].dataType
+    schema = T.StructType(ordered.schema.fields + [
+        T.StructField("_pid", T.IntegerType()), T.StructField("_idx", T.LongType()),
+        T.StructField(name, ctype), T.StructField("_edge", T.BooleanType()),
+        T.StructField("_tail", ctype)])
+    keys = list(partition_by)
+
+    def scan(batches):
+        pid = TaskContext.get().partitionId()
+        idx, prev_hash, carry, first_hash, first_open = 0, None, None, None, True
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            h = pd.util.hash_pandas_object(pdf[keys], index=False).to_numpy()
+            new_run = pd.Series(h).ne(pd.Series(h).shift()).to_numpy()
+            if prev_hash is not None:
+                new_run[0] = h[0] != prev_hash
+            run_id = new_run.cumsum()
+            vals = pdf[col].reset_index(drop=True)
+            if ignore_nulls:
+                lagged = vals.groupby(run_id).ffill().groupby(run_id).shift(1)
+            else:
+                lagged = vals.groupby(run_id).shift(1)
+            lagged = lagged.astype(object).where(lagged.notna(), None)
+            cont = prev_hash is not None and not new_run[0]
+            first_run = run_id == run_id[0]
+            if cont:
+                if ignore_nulls:
+                    fill = [carry if (v is None and f) else v for v, f in zip(lagged, first_run)]
+                    lagged = pd.Series(fill, dtype=object)
+                else:
+                    lagged.iloc[0] = carry
+            if first_hash is None:
+                first_hash = h[0]
+            # rows of the partition's first group still lacking an earlier value here
+            in_first_group = (h == first_hash) & first_open
+            edge = in_first_group & pd.Series(lagged).isna().to_numpy()
+            if not ignore_nulls:
+                edge = edge & (np.arange(len(pdf)) + idx == 0)
+            if (h != first_hash).any():
+                first_open = False
+            # carry for the next batch of this partition
+            last_run = run_id == run_id[-1]
+            if ignore_nulls:
+                nn = vals[last_run].dropna()
+                carry = nn.iloc[-1] if len(nn) else (carry if (cont and first_run[-1]) else None)
+            else:
+                carry = vals.iloc[-1]
+            tail = [None] * len(pdf)
+            tail[-1] = carry
+            pdf = pdf.assign(_pid=pid, _idx=range(idx, idx + len(pdf)), **{name: list(lagged)},
+                             _edge=edge, _tail=tail)
+            idx += len(pdf)
+            prev_hash = h[-1]
+            yield pdf
+
+    scanned = ordered.mapInPandas(scan, schema).checkpoint(eager=True)
+    key_struct = F.struct(*[F.col(k) for k in keys])
+    bounds = scanned.groupBy("_pid").agg(
+        F.min_by(key_struct, "_idx").alias("first_key"),
+        F.max_by(F.struct(key_struct.alias("k"), F.col("_tail").alias("v")), "_idx").alias("last"),
+    ).collect()
+    bounds.sort(key=lambda r: r["_pid"])
+    patches, carry_key, carry = [], None, None
+    for r in bounds:
+        first = tuple(r["first_key"])
+        incoming = carry if carry_key == first else None
+        if incoming is not None:
+            patches.append((r["_pid"], *first, incoming))
+        last_key, last_v = tuple(r["last"]["k"]), r["last"]["v"]
+        if ignore_nulls and last_key == first and last_v is None:
+            carry = incoming          # a partition of one group with no value passes the carry on
+        else:
+            carry = last_v
+        carry_key = last_key
+    key_fields = [scanned.schema[k] for k in keys]
+    patch_schema = T.StructType([T.StructField("_ppid", T.IntegerType())] +
+                                [T.StructField(f"_p_{f.name}", f.dataType) for f in key_fields] +
+                                [T.StructField("_pv", ctype)])
+    patch = F.broadcast(spark.createDataFrame(patches, patch_schema))
+    cond = scanned["_pid"] == patch["_ppid"]
+    for k in keys:
+        cond = cond & scanned[k].eqNullSafe(patch[f"_p_{k}"])
+    out = scanned.join(patch, cond, "left").withColumn(
+        name, F.when(F.col("_edge") & F.col(name).isNull(), F.col("_pv")).otherwise(F.col(name)))
+    return out.drop("_pid", "_idx", "_edge", "_tail", "_ppid", "_pv", *[f"_p_{k}" for k in keys])
 
 
 def _range_number(df: DataFrame, partition_by, order_by, name, count_name, sizes_df,

@@ -13,11 +13,12 @@ day) timeline of consulting requests, done with ``count_before``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.operators.folds import opd_status_fold
 from wardline.operators.lookups import LATE_REASON, count_before
+from wardline.operators.ranking import lag_within, running_sum
 from wardline.operators.requests import ENUMS
 
 # Fixed texts of the alerts.
@@ -49,22 +50,24 @@ def status_alerts(tokens: DataFrame, status_log: DataFrame, doctors: DataFrame)
     probes = r.select(F.col("req_id").alias("_pid"), "department_id", "queue_date", order.alias("_t"))
     p_now = count_before(probes, counted, ["department_id", "queue_date"], "p_now")
     r = r.join(p_now, r.req_id == p_now._pid).drop("_pid")
-    # Requests per token are few; windows over a token's own requests stay small.
-    w = Window.partitionBy("token_id").orderBy("ts", "req_id")
-    prev_status = F.lag("new_status").over(w)
+    # Previous own request of the token (skew-safe lag over its requests).
+    order_cols = ["ts", "req_id"]
+    r = r.withColumn("_cur", F.struct("new_status", "d", "p_now"))
+    r = lag_within(r, ["token_id"], order_cols, "_cur", "_prev")
+    prev_status = F.col("_prev.new_status")
     r = r.withColumn("prev", F.coalesce(prev_status, F.col("snap"))) \
          .withColumn("_prev_counted", F.coalesce(
-             ((prev_status == "consulting") & (F.lag("d").over(w) == F.col("queue_date"))).cast("int"),
+             ((prev_status == "consulting") & (F.col("_prev.d") == F.col("queue_date"))).cast("int"),
              F.lit(0))) \
-         .withColumn("_p_prev", F.coalesce(F.lag("p_now").over(w), F.lit(0)))
+         .withColumn("_p_prev", F.coalesce(F.col("_prev.p_now"), F.lit(0)))
     between = F.col("p_now") - F.col("_p_prev") - F.col("_prev_counted")
     displaced = (F.col("prev") == "consulting") & (between > 0)
     before = F.when(displaced, F.lit("completed")).otherwise(F.col("prev"))
     alert = F.col("new_status").isin("cancelled", "consulting") & (F.col("new_status") != before)
-    r = r.withColumn("_alert", alert)
-    w_prior = w.rowsBetween(Window.unboundedPreceding, -1)
-    r = r.withColumn("_cancels_before", F.coalesce(F.sum(
-        (F.col("_alert") & (F.col("new_status") == "cancelled")).cast("int")).over(w_prior), F.lit(0)))
+    r = r.withColumn("_cancel_alert", (alert & (F.col("new_status") == "cancelled")).cast("int")) \
+         .withColumn("_alert", alert)
+    r = running_sum(r, ["token_id"], order_cols, "_cancel_alert", "_cancels_upto")
+    r = r.withColumn("_cancels_before", F.col("_cancels_upto") - F.col("_cancel_alert"))
     doc = doctors.select(F.col("id").alias("doctor_id"), F.col("name").alias("doctor_name"))
     out = r.where(F.col("_alert") & (F.col("_cancels_before") == 0)).join(doc, "doctor_id", "left")
     title = F.when(F.col("new_status") == "cancelled", F.lit(CANCEL_TITLE)).otherwise(F.lit(TURN_TITLE))
