@@ -91,3 +91,19 @@ def replace_days(df: DataFrame, path: str, day_col: str = "queue_date") -> None:
     """Write ``df`` replacing only the ``day_col`` partitions it holds."""
     df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     df.write.mode("overwrite").partitionBy(day_col).parquet(path)
+
+
+def to_response(df: DataFrame, cols=None, name: str = "response") -> DataFrame:
+    """One JSON document per row (``json_encode`` of the endpoint)."""
+    cols = cols or df.columns
+    return df.select(F.to_json(F.struct(*cols)).alias(name))
+
+
+def grouped_response(df: DataFrame, keys: Sequence[str], order_col: str, cols: Sequence[str],
+                     name: str = "queue") -> DataFrame:
+    """S11 for bounded groups (e.g. the five-row neighbourhood): the rows of a
+    group as an ordered JSON array.  Only for groups with a size bound --
+    ``collect_list`` puts a whole group in one row."""
+    item = F.struct(F.col(order_col).alias("_o"), F.struct(*cols).alias("_v"))
+    agg = df.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_items"))
+    return agg.select(*keys, F.to_json(F.transform("_items", lambda x: x["_v"])).alias(name))
