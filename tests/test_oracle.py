@@ -33,7 +33,7 @@ ADAPTER_TABLES = ["departments", "doctors", "tokens", "prebooked_appointments",
                   "prebooked_lab_appointments", "pharmacies", "pharmacy_tokens", "status_log", "break_log",
                   "lookup_log", "cancel_log", "booking_cancel_log", "reschedule_log", "lab_cancel_log",
                   "pharmacy_cancel_log", "pharmacy_status_log", "lab_status_log", "checkin_log",
-                  "opd_issue_log", "lab_issue_log", "pharmacy_issue_log"]
+                  "opd_issue_log", "lab_issue_log", "pharmacy_issue_log", "staff", "pharmacy_staff"]
 
 
 @pytest.mark.parametrize("table", ADAPTER_TABLES)

@@ -119,3 +119,18 @@ def lab_bookings_ordered(lab_bookings: DataFrame, lab_tests: DataFrame) -> DataF
 def public_view(queue: DataFrame) -> DataFrame:
     """board projection without personal data (no name or phone)."""
     return queue.drop("patient_name", "patient_phone")
+
+
+def staff_roster(staff: DataFrame, departments: DataFrame) -> DataFrame:
+    """Staff with their department name (left join; no credentials)."""
+    dep = F.broadcast(departments.select(F.col("id").alias("dept_id"), F.col("name").alias("department_name")))
+    return staff.join(dep, "dept_id", "left").select(
+        "id", "name", "email", "role", "dept_id", "doc_id", "department_name")
+
+
+def pharmacy_roster(pharmacy_staff: DataFrame, pharmacies: DataFrame) -> DataFrame:
+    """Pharmacy staff with their pharmacy (inner join; no credentials)."""
+    ph = F.broadcast(pharmacies.select(F.col("id").alias("pharmacy_id"), F.col("name").alias("pharmacy_name"),
+                                       "block", "floor", "wing"))
+    return pharmacy_staff.join(ph, "pharmacy_id").select(
+        "id", "staff_id", "name", "pharmacy_id", "pharmacy_name", "block", "floor", "wing")

@@ -627,3 +627,15 @@ def q_status_alerts(spark, sf_dir):
 def q_expired_tokens(spark, sf_dir):
     h = _h(spark, sf_dir)
     return portable(alerts.expired_tokens(h.tokens, h.status_log))
+
+
+@register("staff_roster")
+def q_staff_roster(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(directory.staff_roster(h.staff, h.departments))
+
+
+@register("pharmacy_roster")
+def q_pharmacy_roster(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(directory.pharmacy_roster(h.pharmacy_staff, h.pharmacies))

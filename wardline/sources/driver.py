@@ -28,6 +28,13 @@ INPUT_SCHEMAS: dict[str, T.StructType] = {
         T.StructField("s_nationkey", T.IntegerType()),
         T.StructField("s_acctbal", T.DoubleType()),
     ]),
+    "customer": T.StructType([
+        T.StructField("c_custkey", T.LongType()),
+        T.StructField("c_name", T.StringType()),
+        T.StructField("c_nationkey", T.IntegerType()),
+        T.StructField("c_acctbal", T.DoubleType()),
+        T.StructField("c_mktsegment", T.StringType()),
+    ]),
     "events": T.StructType([
         T.StructField("event_id", T.LongType()),
         T.StructField("ts", T.TimestampNTZType()),

@@ -446,3 +446,27 @@ class Hospital:
             _phone().alias("patient_phone"),
             F.when(e % 2 == 0, "cash").otherwise("online").alias("payment_method"),
         )
+
+    # -- staff rosters (credentials are never loaded) --------------------------
+    @cached_property
+    def staff(self) -> DataFrame:
+        """OPD staff: customers with ``c_custkey % 50 = 7``."""
+        c = read_table(self.spark, self.sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+        k = F.col("c_custkey")
+        role = F.when(k % 3 == 0, "doctor").when(k % 3 == 1, "nurse").otherwise("reception")
+        return c.where(k % 50 == 7).select(
+            (k + 1).cast("int").alias("id"), F.col("c_name").alias("name"),
+            F.concat(F.lower(F.regexp_replace("c_name", "#", ".")), F.lit("@clinic.test")).alias("email"),
+            role.alias("role"),
+            F.when(k % 7 == 0, F.lit(None).cast("int")).otherwise(F.col("c_nationkey") % 6 + 1)
+             .cast("int").alias("dept_id"),
+            F.when(role == "doctor", (k % 100 + 1).cast("int")).alias("doc_id"))
+
+    @cached_property
+    def pharmacy_staff(self) -> DataFrame:
+        """Pharmacy staff: customers with ``c_custkey % 50 = 13``."""
+        c = read_table(self.spark, self.sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+        k = F.col("c_custkey")
+        return c.where(k % 50 == 13).select(
+            (k + 1).cast("int").alias("id"), F.concat(F.lit("PHS"), F.format_string("%04d", k)).alias("staff_id"),
+            F.col("c_name").alias("name"), (F.col("c_nationkey") % 27 + 1).cast("int").alias("pharmacy_id"))
