@@ -163,7 +163,7 @@ def reschedule(bookings: DataFrame, log: DataFrame) -> DataFrame:
     found = F.col("d0").isNotNull()
     ok = F.col("accepted") & found
     x = x.withColumn("_ok", ok).withColumn(
-        "_new_d", F.when(ok, F.to_date("new_date"))).withColumn(
+        "_new_d", F.when(ok, F.try_to_date("new_date"))).withColumn(
         "_new_t", F.when(ok & (F.col("new_time") != ""),
                          (F.substring("new_time", 1, 2).cast("int") * 3600
                           + F.substring("new_time", 4, 2).cast("int") * 60

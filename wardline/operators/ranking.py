@@ -37,6 +37,7 @@ from wardline.session import ensure_checkpoint_dir
 DEFAULT_HOT_ROWS = 2_000_000
 _HOT_MEMO: dict = {}
 MAX_HOT_GROUPS = 100_000
+SAMPLE_HITS = 200
 
 
 def hot_group_rows(spark) -> int:
@@ -52,6 +53,24 @@ def _key_match(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
+_COMPLEX = (T.StructType, T.ArrayType, T.MapType)
+
+
+def _encode_complex(df: DataFrame):
+    """Nested columns travel through the pandas scans as JSON text."""
+    types = {f.name: f.dataType for f in df.schema.fields if isinstance(f.dataType, _COMPLEX)}
+    if not types:
+        return df, types
+    return df.select(*[F.to_json(F.col(c)).alias(c) if c in types else F.col(c) for c in df.columns]), types
+
+
+def _decode_complex(df: DataFrame, types: dict) -> DataFrame:
+    for c, t in types.items():
+        if c in df.columns:
+            df = df.withColumn(c, F.from_json(F.col(c), t))
+    return df
+
+
 def _window_number(df: DataFrame, partition_by, order_by, name, count_name, value_col=None):
     w = Window.partitionBy(*partition_by).orderBy(*_order_cols(order_by))
     if value_col is None:
@@ -93,7 +112,7 @@ def number_rows(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[s
         return _window_number(df, partition_by, order_by, name, count_name, value_col)
     cold, hot_part, hot_df = split
     numbered_cold = _window_number(cold, partition_by, order_by, name, count_name, value_col)
-    numbered_hot = _range_number(hot_part, partition_by, order_by, name, count_name, hot_df,
+    numbered_hot = _range_number(hot_part, partition_by, order_by, name, count_name, None,
                                  value_col)
     return numbered_cold.unionByName(numbered_hot)
 
@@ -101,25 +120,37 @@ def number_rows(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[s
 def _split_hot(df: DataFrame, partition_by: list[str], hot_rows: int | None):
     """(cold rows, hot rows, hot keys) or None when no group exceeds the limit.
 
-    The key list is bounded: a group above ``limit`` rows holds more than
-    1/(rows/limit) of the input, so there are at most rows/limit such keys.
+    Which path a group takes only affects speed -- both give the same
+    numbers -- so the check may be approximate: it counts a Bernoulli sample
+    of the key columns (fraction chosen so a group at the limit shows ~2x
+    ``SAMPLE_HITS`` sampled rows) and flags keys above half the expected
+    count.  The key list stays bounded (at most 2 * rows / limit keys) and the
+    shuffle of the check is tiny even when the groups are many and small.
     """
     spark = df.sparkSession
     if (spark.conf.get("wardline.skewCheck", None) or os.environ.get("WARDLINE_SKEW_CHECK", "auto")) == "off":
         return None
     limit = hot_rows or hot_group_rows(spark)
-    sizes = df.groupBy(*partition_by).agg(F.count(F.lit(1)).alias("_group_rows"))
+    frac = min(1.0, SAMPLE_HITS / (limit / 2.0))
+    keys_only = df.select(*partition_by)
+    if frac < 1.0:
+        keys_only = keys_only.sample(withReplacement=False, fraction=frac, seed=20240115)
+        threshold = frac * limit / 2.0
+    else:
+        threshold = limit
+    sizes = keys_only.groupBy(*partition_by).agg(F.count(F.lit(1)).alias("_wl_rows"))
     # The same input and key are often checked by several queries of a
     # session (e.g. the live queue feeds four boards): memoise the result.
     memo_key = (spark.sparkContext.applicationId, sizes.semanticHash(), limit)
     if memo_key in _HOT_MEMO:
         hot = _HOT_MEMO[memo_key]
     else:
-        hot = sizes.where(F.col("_group_rows") > limit).limit(MAX_HOT_GROUPS).collect()
+        hot = sizes.where(F.col("_wl_rows") > threshold).select(*partition_by) \
+                   .limit(MAX_HOT_GROUPS).collect()
         _HOT_MEMO[memo_key] = hot
     if not hot:
         return None
-    hot_df = F.broadcast(spark.createDataFrame(hot, sizes.schema))
+    hot_df = F.broadcast(spark.createDataFrame(hot, df.select(*partition_by).schema))
     cond = _key_match(df, hot_df, partition_by)
     return df.join(hot_df, cond, "left_anti"), df.join(hot_df, cond, "left_semi"), hot_df
 
@@ -160,11 +191,12 @@ def _range_lag(df: DataFrame, partition_by, order_by, col, name, ignore_nulls):
     sort_cols = [F.col(c) for c in partition_by] + _order_cols(order_by)
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = df.repartitionByRange(n_parts, *sort_cols).sortWithinPartitions(*sort_cols)
+    ordered, nested = _encode_complex(ordered)
     ctype = ordered.schema[col].dataType
     schema = T.StructType(ordered.schema.fields + [
-        T.StructField("_pid", T.IntegerType()), T.StructField("_idx", T.LongType()),
-        T.StructField(name, ctype), T.StructField("_edge", T.BooleanType()),
-        T.StructField("_tail", ctype)])
+        T.StructField("_wl_part", T.IntegerType()), T.StructField("_wl_idx", T.LongType()),
+        T.StructField(name, ctype), T.StructField("_wl_edge", T.BooleanType()),
+        T.StructField("_wl_tail", ctype)])
     keys = list(partition_by)
 
     def scan(batches):
@@ -210,25 +242,25 @@ def _range_lag(df: DataFrame, partition_by, order_by, col, name, ignore_nulls):
                 carry = vals.iloc[-1]
             tail = [None] * len(pdf)
             tail[-1] = carry
-            pdf = pdf.assign(_pid=pid, _idx=range(idx, idx + len(pdf)), **{name: list(lagged)},
-                             _edge=edge, _tail=tail)
+            pdf = pdf.assign(_wl_part=pid, _wl_idx=range(idx, idx + len(pdf)), **{name: list(lagged)},
+                             _wl_edge=edge, _wl_tail=tail)
             idx += len(pdf)
             prev_hash = h[-1]
             yield pdf
 
     scanned = ordered.mapInPandas(scan, schema).checkpoint(eager=True)
     key_struct = F.struct(*[F.col(k) for k in keys])
-    bounds = scanned.groupBy("_pid").agg(
-        F.min_by(key_struct, "_idx").alias("first_key"),
-        F.max_by(F.struct(key_struct.alias("k"), F.col("_tail").alias("v")), "_idx").alias("last"),
+    bounds = scanned.groupBy("_wl_part").agg(
+        F.min_by(key_struct, "_wl_idx").alias("first_key"),
+        F.max_by(F.struct(key_struct.alias("k"), F.col("_wl_tail").alias("v")), "_wl_idx").alias("last"),
     ).collect()
-    bounds.sort(key=lambda r: r["_pid"])
+    bounds.sort(key=lambda r: r["_wl_part"])
     patches, carry_key, carry = [], None, None
     for r in bounds:
         first = tuple(r["first_key"])
         incoming = carry if carry_key == first else None
         if incoming is not None:
-            patches.append((r["_pid"], *first, incoming))
+            patches.append((r["_wl_part"], *first, incoming))
         last_key, last_v = tuple(r["last"]["k"]), r["last"]["v"]
         if ignore_nulls and last_key == first and last_v is None:
             carry = incoming          # a partition of one group with no value passes the carry on
@@ -236,16 +268,19 @@ def _range_lag(df: DataFrame, partition_by, order_by, col, name, ignore_nulls):
             carry = last_v
         carry_key = last_key
     key_fields = [scanned.schema[k] for k in keys]
-    patch_schema = T.StructType([T.StructField("_ppid", T.IntegerType())] +
-                                [T.StructField(f"_p_{f.name}", f.dataType) for f in key_fields] +
-                                [T.StructField("_pv", ctype)])
+    patch_schema = T.StructType([T.StructField("_wl_ppid", T.IntegerType())] +
+                                [T.StructField(f"_wl_p_{f.name}", f.dataType) for f in key_fields] +
+                                [T.StructField("_wl_pv", ctype)])
     patch = F.broadcast(spark.createDataFrame(patches, patch_schema))
-    cond = scanned["_pid"] == patch["_ppid"]
+    cond = scanned["_wl_part"] == patch["_wl_ppid"]
     for k in keys:
-        cond = cond & scanned[k].eqNullSafe(patch[f"_p_{k}"])
+        cond = cond & scanned[k].eqNullSafe(patch[f"_wl_p_{k}"])
     out = scanned.join(patch, cond, "left").withColumn(
-        name, F.when(F.col("_edge") & F.col(name).isNull(), F.col("_pv")).otherwise(F.col(name)))
-    return out.drop("_pid", "_idx", "_edge", "_tail", "_ppid", "_pv", *[f"_p_{k}" for k in keys])
+        name, F.when(F.col("_wl_edge") & F.col(name).isNull(), F.col("_wl_pv")).otherwise(F.col(name)))
+    out = out.drop("_wl_part", "_wl_idx", "_wl_edge", "_wl_tail", "_wl_ppid", "_wl_pv", *[f"_wl_p_{k}" for k in keys])
+    if col in nested:
+        nested = {**nested, name: nested[col]}
+    return _decode_complex(out, nested)
 
 
 def _range_number(df: DataFrame, partition_by, order_by, name, count_name, sizes_df,
@@ -255,10 +290,11 @@ def _range_number(df: DataFrame, partition_by, order_by, name, count_name, sizes
     sort_cols = [F.col(c) for c in partition_by] + _order_cols(order_by)
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = df.repartitionByRange(n_parts, *sort_cols).sortWithinPartitions(*sort_cols)
+    ordered, nested = _encode_complex(ordered)
     schema = T.StructType(ordered.schema.fields + [
-        T.StructField("_pid", T.IntegerType()),
-        T.StructField("_idx", T.LongType()),
-        T.StructField("_local", T.LongType()),
+        T.StructField("_wl_part", T.IntegerType()),
+        T.StructField("_wl_idx", T.LongType()),
+        T.StructField("_wl_local", T.LongType()),
     ])
     keys = list(partition_by)
 
@@ -279,7 +315,7 @@ def _range_number(df: DataFrame, partition_by, order_by, name, count_name, sizes
             local = pd.Series(vals, index=range(len(pdf))).groupby(run_id).cumsum().to_numpy()
             if prev_hash is not None and not new_run[0]:
                 local[run_id == run_id[0]] += prev_local
-            pdf = pdf.assign(_pid=pid, _idx=range(idx, idx + len(pdf)), _local=local)
+            pdf = pdf.assign(_wl_part=pid, _wl_idx=range(idx, idx + len(pdf)), _wl_local=local)
             idx += len(pdf)
             prev_hash, prev_local = h[-1], int(local[-1])
             yield pdf
@@ -288,39 +324,41 @@ def _range_number(df: DataFrame, partition_by, order_by, name, count_name, sizes
     # One row per partition: its first group and its last group with the
     # length of its final run.  Bounded by the partition count.
     key_struct = F.struct(*[F.col(k) for k in keys])
-    bounds = sliced.groupBy("_pid").agg(
-        F.min_by(key_struct, "_idx").alias("first_key"),
-        F.max_by(F.struct(key_struct.alias("k"), F.col("_local").alias("n")), "_idx").alias("last"),
+    bounds = sliced.groupBy("_wl_part").agg(
+        F.min_by(key_struct, "_wl_idx").alias("first_key"),
+        F.max_by(F.struct(key_struct.alias("k"), F.col("_wl_local").alias("n")), "_wl_idx").alias("last"),
     ).collect()
-    bounds.sort(key=lambda r: r["_pid"])
+    bounds.sort(key=lambda r: r["_wl_part"])
     offsets = []
     carry_key, carry = None, 0
     for r in bounds:
         first = tuple(r["first_key"])
         off = carry if (carry_key is not None and first == carry_key) else 0
         if off:
-            offsets.append((r["_pid"], *first, off))
+            offsets.append((r["_wl_part"], *first, off))
         last_key, last_n = tuple(r["last"]["k"]), r["last"]["n"]
         # A partition made of one run continues the carried count.
         carry = (off + last_n) if (last_key == first and off) else last_n
         carry_key = last_key
     key_fields = [sliced.schema[k] for k in keys]
-    off_schema = T.StructType([T.StructField("_opid", T.IntegerType())] +
-                              [T.StructField(f"_o_{f.name}", f.dataType) for f in key_fields] +
-                              [T.StructField("_off", T.LongType())])
+    off_schema = T.StructType([T.StructField("_wl_opid", T.IntegerType())] +
+                              [T.StructField(f"_wl_o_{f.name}", f.dataType) for f in key_fields] +
+                              [T.StructField("_wl_off", T.LongType())])
     off_df = F.broadcast(spark.createDataFrame(offsets, off_schema))
-    cond = (sliced["_pid"] == off_df["_opid"])
+    cond = (sliced["_wl_part"] == off_df["_wl_opid"])
     for k in keys:
-        cond = cond & sliced[k].eqNullSafe(off_df[f"_o_{k}"])
+        cond = cond & sliced[k].eqNullSafe(off_df[f"_wl_o_{k}"])
     out = sliced.join(off_df, cond, "left").withColumn(
-        name, (F.col("_local") + F.coalesce(F.col("_off"), F.lit(0))).cast(
+        name, (F.col("_wl_local") + F.coalesce(F.col("_wl_off"), F.lit(0))).cast(
             "long" if value_col else "int"))
-    out = out.drop("_pid", "_idx", "_local", "_opid", "_off", *[f"_o_{k}" for k in keys])
+    out = out.drop("_wl_part", "_wl_idx", "_wl_local", "_wl_opid", "_wl_off", *[f"_wl_o_{k}" for k in keys])
+    out = _decode_complex(out, nested)
     if count_name:
         if sizes_df is None:
-            sizes_df = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_group_rows"))
-        renamed = sizes_df.select(*[F.col(k).alias(f"_s_{k}") for k in keys], "_group_rows")
-        scond = reduce(lambda a, b: a & b, [out[k].eqNullSafe(renamed[f"_s_{k}"]) for k in keys])
-        out = out.join(renamed, scond, "left").withColumn(count_name, F.col("_group_rows")) \
-                 .drop("_group_rows", *[f"_s_{k}" for k in keys])
+            # exact sizes of the (few) hot groups
+            sizes_df = F.broadcast(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_wl_rows")))
+        renamed = sizes_df.select(*[F.col(k).alias(f"_wl_s_{k}") for k in keys], "_wl_rows")
+        scond = reduce(lambda a, b: a & b, [out[k].eqNullSafe(renamed[f"_wl_s_{k}"]) for k in keys])
+        out = out.join(renamed, scond, "left").withColumn(count_name, F.col("_wl_rows")) \
+                 .drop("_wl_rows", *[f"_wl_s_{k}" for k in keys])
     return out

@@ -30,7 +30,7 @@ MSG_TIME_FORMAT = "Invalid time format. Use HH:MM:SS"
 def intval(c: F.Column) -> F.Column:
     """PHP ``intval`` of text: leading (signed) integer after blanks, else 0."""
     digits = F.regexp_extract(c, r"^\s*([+-]?[0-9]+)", 1)
-    return F.coalesce(F.when(digits != "", digits.cast("bigint")), F.lit(0).cast("bigint"))
+    return F.coalesce(F.when(digits != "", digits.try_cast("bigint")), F.lit(0).cast("bigint"))
 
 
 def parse_requests(df: DataFrame, body_col: str = "props", fields=("k",)) -> DataFrame:

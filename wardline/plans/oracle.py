@@ -782,7 +782,7 @@ def _sod(ts: str) -> str:
 
 
 def _intval(x: str) -> str:
-    return f"COALESCE(CAST(NULLIF(regexp_extract({x}, '^\\s*([+-]?[0-9]+)', 1), '') AS BIGINT), 0)"
+    return f"COALESCE(TRY_CAST(NULLIF(regexp_extract({x}, '^\\s*([+-]?[0-9]+)', 1), '') AS BIGINT), 0)"
 
 
 def _initial(x: str) -> str:
@@ -1107,7 +1107,7 @@ SQL["reschedule"] = ADAPTER + _CHECKS + f""",
 x AS (SELECT c.*, b.appointment_date AS d0, b.appointment_sod AS t0
       FROM chk c LEFT JOIN prebooked_appointments b ON upper(trim(b.booking_id)) = c.booking_id),
 y AS (SELECT *, reason IS NULL AND d0 IS NOT NULL AS ok,
-             CASE WHEN reason IS NULL AND d0 IS NOT NULL THEN CAST(new_date AS DATE) END AS nd,
+             CASE WHEN reason IS NULL AND d0 IS NOT NULL THEN TRY_CAST(new_date AS DATE) END AS nd,
              CASE WHEN reason IS NULL AND d0 IS NOT NULL AND new_time <> ''
                   THEN CAST(substr(new_time, 1, 2) AS INT) * 3600 + CAST(substr(new_time, 4, 2) AS INT) * 60
                        + CAST(substr(new_time, 7, 2) AS INT) END AS nt
