@@ -42,7 +42,7 @@ def _order(prefix: str = "") -> F.Column:
 
 # -- T5 -----------------------------------------------------------------------------
 def opd_status_fold(tokens: DataFrame, status_log: DataFrame, until_day_end: bool = False) -> DataFrame:
-    """T5: final OPD status after a log of ``update_token`` requests.
+    """T5: final OPD status after a log of OPD status requests.
 
     A request for an unknown token or with an invalid status does nothing.
     Setting ``consulting`` first completes every consulting token of the
@@ -83,7 +83,7 @@ def _cancel_requests(cancel_log: DataFrame) -> DataFrame:
 
 
 def cancel_tokens(tokens: DataFrame, bookings: DataFrame, cancel_log: DataFrame) -> DataFrame:
-    """Tokens and bookings cancelled by a log of ``cancel_token`` requests.
+    """Tokens and bookings cancelled by a log of OPD cancel requests.
 
     By id: that token, any day.  Otherwise tokens of the request day whose
     number equals the token text or whose booking id equals the booking text
@@ -127,7 +127,7 @@ def cancel_notifications(cancel_log: DataFrame) -> DataFrame:
 
 # -- T7 -----------------------------------------------------------------------------
 def cancel_bookings(tokens: DataFrame, bookings: DataFrame, log: DataFrame) -> DataFrame:
-    """``cancel_booking``: the booking, plus tokens of any day whose booking
+    """Booking cancel requests: the booking, plus tokens of any day whose booking
     id or number equals it.  ``success`` follows MySQL's changed-row count:
     only a request that actually changed the booking succeeds."""
     r = log.select("req_id", "ts", upper_key("booking_id").alias("B")).where(F.col("B") != "")
@@ -147,7 +147,7 @@ def cancel_bookings(tokens: DataFrame, bookings: DataFrame, log: DataFrame) -> D
 
 # -- T8 -----------------------------------------------------------------------------
 def reschedule(bookings: DataFrame, log: DataFrame) -> DataFrame:
-    """``update_appointment`` requests applied in order per booking.
+    """Reschedule requests applied in order per booking.
 
     Checks (F7) reject a request before any change.  An accepted request
     sets the date (and the time when given); it reports the values before
@@ -245,7 +245,7 @@ def cancel_pharmacy(pharmacy_tokens: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def pharmacy_status_fold(pharmacy_tokens: DataFrame, log: DataFrame) -> DataFrame:
-    """``update_pharmacy_token`` requests: validated (positive id, known
+    """Pharmacy status requests: validated (positive id, known
     status, existing token), each reporting old and new status; the old
     status of a request is the new status of the previous valid one."""
     t = pharmacy_tokens.select(F.col("id").alias("token_id"), F.col("status").alias("snap"),
@@ -269,7 +269,7 @@ def pharmacy_status_fold(pharmacy_tokens: DataFrame, log: DataFrame) -> DataFram
 
 # -- T12 ----------------------------------------------------------------------------
 def break_state(doctors: DataFrame, break_log: DataFrame) -> DataFrame:
-    """Doctor break row per (doctor, day) after ``manage_break`` requests.
+    """Doctor break row per (doctor, day) after break requests.
 
     A start upserts the row (start time, on_break, end cleared); an end
     before any start that day does nothing; later ends move break_end.  So:

@@ -475,11 +475,11 @@ def q_parse_props(spark, sf_dir):
 @register("request_rejects")
 def q_request_rejects(spark, sf_dir):
     h = _h(spark, sf_dir)
-    a = requests.validate_enum(h.status_log, "new_status", "opd_status", "update_token")
+    a = requests.validate_enum(h.status_log, "new_status", "opd_status", "opd_status")
     b = requests.validate_enum(h.pharmacy_status_log, "new_status", "pharmacy_status",
-                               "update_pharmacy_token")
+                               "pharmacy_status")
     c = requests.validate_enum(h.lab_status_log, "new_status", "lab_status", "lab_status")
-    d = requests.validate_enum(h.break_log, "action", "break_action", "manage_break")
+    d = requests.validate_enum(h.break_log, "action", "break_action", "doctor_break")
     return portable(a.unionByName(b).unionByName(c).unionByName(d))
 
 

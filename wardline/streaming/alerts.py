@@ -5,7 +5,7 @@ The patient page polls the token status and alerts when it becomes
 polling after a cancellation.  We emit on transitions only.  A token's
 status between its own requests can also change because a consulting
 request for another token of its department on its day completes it
-(``update_token``'s reset), so "status before request k" is the previous
+(the status endpoint's reset), so "status before request k" is the previous
 own status, or ``completed`` when it was consulting and such a request
 falls between request k-1 and k.  That is a count over the (department,
 day) timeline of consulting requests, done with ``count_before``.

@@ -6,7 +6,7 @@ to the state key it affects:
 
 * its own status change goes to key (department, token day);
 * a ``consulting`` request also goes, as a reset, to key (department,
-  request day), because ``update_token`` first completes every consulting
+  request day), because a consulting request first completes every consulting
   token of that department created on the request day.
 
 ``applyInPandasWithState`` keeps per key the tokens touched so far and the
