@@ -24,6 +24,13 @@ order; within one request the own change is evaluated before its reset, so
 
 Token arrivals are part of the stream (the issue endpoints emit them), at
 the start of their day, so a key knows every token of its day.
+
+Hot keys: a (department, day) may hold a large share of all tokens, so the
+key is salted with ``token_id % STATE_BUCKETS``.  A token's own events and
+its arrival go to its bucket; a reset is copied to every bucket of its
+(department, day).  Each bucket then sees exactly the events that decide its
+tokens, so the result is unchanged while one key's state is split
+``STATE_BUCKETS`` ways (the price: resets are fanned out).
 """
 
 from __future__ import annotations
@@ -53,6 +60,7 @@ REQUEST_SCHEMA = T.StructType([
 EVENT_SCHEMA = T.StructType([
     T.StructField("department_id", T.IntegerType()),
     T.StructField("key_day", T.DateType()),
+    T.StructField("bucket", T.IntegerType()),
     T.StructField("ts", T.TimestampType()),  # event time (watermarks need TIMESTAMP)
     T.StructField("req_id", T.LongType()),
     T.StructField("kind", T.IntegerType()),      # 0 arrival, 1 own change, 2 reset
@@ -82,6 +90,7 @@ STATE_SCHEMA = T.StructType([
 ])
 
 LATENESS_DAYS = 1
+STATE_BUCKETS = 8
 
 
 def route_requests(requests: DataFrame, tokens: DataFrame, doctors: DataFrame) -> DataFrame:
@@ -91,11 +100,14 @@ def route_requests(requests: DataFrame, tokens: DataFrame, doctors: DataFrame) -
     t = tokens.select(F.col("id").alias("token_id"), "department_id", F.col("queue_date").alias("tday"),
                       "token_number", "doctor_id").join(doc, "doctor_id", "left").drop("doctor_id")
     r = requests.where(F.col("new_status").isin(*ENUMS["opd_status"])).join(t, "token_id")
-    own = r.select("department_id", F.col("tday").alias("key_day"), F.col("ts").cast("timestamp").alias("ts"), "req_id",
+    own = r.select("department_id", F.col("tday").alias("key_day"),
+                   (F.col("token_id") % STATE_BUCKETS).cast("int").alias("bucket"),
+                   F.col("ts").cast("timestamp").alias("ts"), "req_id",
                    F.lit(1).alias("kind"), "token_id", "new_status", "token_number", "doctor_name")
     reset = r.where(F.col("new_status") == "consulting").select(
-        "department_id", F.col("d").alias("key_day"), F.col("ts").cast("timestamp").alias("ts"), "req_id",
-        F.lit(2).alias("kind"),
+        "department_id", F.col("d").alias("key_day"),
+        F.explode(F.sequence(F.lit(0), F.lit(STATE_BUCKETS - 1))).alias("bucket"),
+        F.col("ts").cast("timestamp").alias("ts"), "req_id", F.lit(2).alias("kind"),
         "token_id", "new_status", "token_number", "doctor_name")
     return own.unionByName(reset)
 
@@ -106,6 +118,7 @@ def arrival_events(tokens: DataFrame, doctors: DataFrame) -> DataFrame:
     doc = doctors.select(F.col("id").alias("doctor_id"), F.col("name").alias("doctor_name"))
     t = tokens.join(doc, "doctor_id", "left")
     return t.select("department_id", F.col("queue_date").alias("key_day"),
+                    (F.col("id") % STATE_BUCKETS).cast("int").alias("bucket"),
                     F.col("queue_date").cast("timestamp").alias("ts"), F.lit(-1).cast("long").alias("req_id"),
                     F.lit(0).alias("kind"), F.col("id").alias("token_id"), F.col("status").alias("new_status"),
                     "token_number", "doctor_name")
@@ -116,7 +129,7 @@ def _us(ts) -> int:
 
 
 def _fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    dept, day = key
+    dept, day, _bucket = key
     day_end = pd.Timestamp(day) + pd.Timedelta(days=1)
     day_end_us = _us(day_end)
     if state.hasTimedOut:
@@ -197,8 +210,9 @@ def _fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.D
 
 
 def status_fold_stream(events: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """Keyed stateful fold over routed events (arrivals + requests)."""
+    """Keyed stateful fold over routed events (arrivals + requests), keyed by
+    (department, day, token bucket)."""
     return (events.withWatermark("ts", watermark)
-            .groupBy("department_id", "key_day")
+            .groupBy("department_id", "key_day", "bucket")
             .applyInPandasWithState(_fold, OUTPUT_SCHEMA, STATE_SCHEMA, "append",
                                     GroupStateTimeout.EventTimeTimeout))
