@@ -19,6 +19,7 @@ from wardline.functions.columns import (LAB_ACTIVE, OPD_MINUTES_PER_PATIENT,
 from wardline.operators.numbering import department_initial, depth_at_arrival
 from wardline.operators.ranking import lag_within, number_rows
 from wardline.operators.requests import ENUMS, reschedule_checks
+from wardline.session import ensure_checkpoint_dir
 
 # Fixed texts of the application.
 CANCEL_DEFAULT_REASON = "due to being late"
@@ -451,6 +452,11 @@ def checkin_bookings(bookings: DataFrame, tokens: DataFrame, doctors: DataFrame,
     v = r.join(b, "B").where(F.col("appointment_date") >= F.col("d"))
     first = v.groupBy("B").agg(F.min(_order()).alias("_first"))
     acc = v.join(first, "B").where(_order() == F.col("_first")).drop("_first")
+    # The accepted check-ins (one row per booking, small) feed four branches
+    # below; a reliable checkpoint stops each branch from re-joining the log
+    # with the booking table.
+    ensure_checkpoint_dir(acc.sparkSession)
+    acc = acc.checkpoint(eager=True)
     # Snapshot count (A8 rule on the request day).
     from wardline.operators.lookups import count_before
     from wardline.functions.columns import OPD_ACTIVE, starts_pb
