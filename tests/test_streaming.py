@@ -67,3 +67,41 @@ def test_board_refresh_is_partition_scoped_and_idempotent(spark):
     want = queues.live_queue(t, h.prebooked_appointments.where(F.col("appointment_date") == "2024-01-02"))
     cols = ["doctor_id", "position", "token_number", "status"]
     assert sorted(board.select(*cols).collect()) == sorted(want.select(*cols).collect())
+
+
+def test_board_and_break_streams_end_to_end(spark):
+    """M2 / M5: request streams through foreachBatch; final boards equal the
+    batch operators over the whole log."""
+    from wardline.operators import folds, queues
+    h = Hospital(spark, SF001)
+    root = tempfile.mkdtemp(prefix="wl-boards-", dir="/tmp")
+    _split_write(h.status_log, os.path.join(root, "status_in"), 3)
+    _split_write(h.break_log, os.path.join(root, "break_in"), 3)
+
+    def run(src, schema_df, sink, name):
+        stream = (spark.readStream.schema(schema_df.schema).option("maxFilesPerTrigger", 1)
+                  .option("recursiveFileLookup", "true").parquet(os.path.join(root, src)))
+        q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", os.path.join(root, name))
+             .trigger(availableNow=True).start())
+        q.awaitTermination(600)
+
+    board_path = os.path.join(root, "board")
+    run("status_in", h.status_log, boards.refresh_sink(os.path.join(root, "status_log"), board_path,
+                                                       boards.live_board(h.tokens, h.prebooked_appointments),
+                                                       boards.status_touched_days(h.tokens)),
+        "ck1")
+    days = boards.status_touched_days(h.tokens)(h.status_log)
+    t = h.tokens.where(F.col("queue_date").isin(days))
+    f = folds.opd_status_fold(t, h.status_log).select("id", F.col("new_status").alias("_s"))
+    t = t.join(f, "id").withColumn("status", F.col("_s")).drop("_s")
+    want = queues.live_queue(t, h.prebooked_appointments.where(F.col("appointment_date").isin(days)))
+    cols = ["doctor_id", "position", "token_number", "status"]
+    got = spark.read.parquet(board_path)
+    assert sorted(got.select(*cols).collect()) == sorted(want.select(*cols).collect())
+
+    break_path = os.path.join(root, "breaks")
+    run("break_in", h.break_log, boards.refresh_sink(os.path.join(root, "break_log"), break_path,
+                                                     boards.break_board(h.doctors)), "ck2")
+    want_b = folds.break_state(h.doctors, h.break_log).select("doctor_id", "status", "break_start")
+    got_b = spark.read.parquet(break_path).select("doctor_id", "status", "break_start")
+    assert sorted(got_b.collect()) == sorted(want_b.collect())

@@ -89,8 +89,8 @@ def reset_bookings(bookings: DataFrame, day) -> DataFrame:
 
 def replace_days(df: DataFrame, path: str, day_col: str = "queue_date") -> None:
     """Write ``df`` replacing only the ``day_col`` partitions it holds."""
-    df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    df.write.mode("overwrite").partitionBy(day_col).parquet(path)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+      .partitionBy(day_col).parquet(path)
 
 
 def to_response(df: DataFrame, cols=None, name: str = "response") -> DataFrame:

@@ -24,23 +24,35 @@ def touched_days(batch: DataFrame, col: str = "d") -> list:
 
 
 def refresh_sink(log_path: str, out_path: str,
-                 recompute: Callable[[DataFrame, list], DataFrame]) -> Callable[[DataFrame, int], None]:
+                 recompute: Callable[[DataFrame, list], DataFrame],
+                 touched: Callable[[DataFrame], list] = touched_days) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` writer: append the batch to the log, then overwrite the
-    recomputed partitions of the touched days."""
+    recomputed partitions of the days the batch can change."""
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
-             .partitionBy("batch_id").parquet(log_path)
-        days = touched_days(batch)
+             .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(log_path)
+        days = touched(batch)
         if not days:
             return
         log = spark.read.parquet(log_path).drop("batch_id")
         result = recompute(log, days)
-        result.write.mode("overwrite").partitionBy("queue_date").parquet(out_path)
+        result.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+              .partitionBy("queue_date").parquet(out_path)
     return write
 
 
+def status_touched_days(tokens: DataFrame) -> Callable[[DataFrame], list]:
+    """Days a batch of status requests can change: each target token's own day,
+    and the request day of every consulting request (its reset)."""
+    def touched(batch: DataFrame) -> list:
+        own = batch.join(tokens.select(F.col("id").alias("token_id"), F.col("queue_date").alias("_day")),
+                         "token_id").select("_day")
+        reset = batch.where(F.col("new_status") == "consulting").select(F.col("d").alias("_day"))
+        return [r[0] for r in own.union(reset).distinct().collect()]
+    return touched
+
+
 def live_board(tokens: DataFrame, bookings: DataFrame) -> Callable[[DataFrame, list], DataFrame]:
     """M2: live queue per (day, doctor) after applying the status log so far."""
     def recompute(log: DataFrame, days: list) -> DataFrame:
