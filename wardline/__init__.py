@@ -1,0 +1,3 @@
+"""wardline: service-queue analytics on Spark (see README.md)."""
+
+__version__ = "0.1.0"

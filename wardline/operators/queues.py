@@ -17,10 +17,6 @@ from wardline.functions.columns import (LAB_ACTIVE, OPD_ACTIVE, effective_type,
                                         upper_key)
 from wardline.operators.ranking import number_rows
 
-_LIVE_COLS = ["id", "token_number", "patient_name", "token_type", "status", "doctor_id",
-              "queue_date", "appointment_sod", "created_at", "checkin_status", "branch"]
-
-
 def booked_not_arrived(bookings: DataFrame, tokens: DataFrame, statuses=("booked",),
                        match_booking_id: bool = False) -> DataFrame:
     """Bookings in ``statuses`` with no live (non-cancelled) token on their day.
