@@ -53,12 +53,16 @@ def compare(spark, con, sf_dir: str, fn, sql: str | None):
         return {"ok": True, "rows": len(s_rows), "oracle": False}
     rel = con.sql(sql)
     d_cols = rel.columns
+    d_types = dict(zip(d_cols, [str(t) for t in rel.types]))
     d_rows = rel.fetchall()
+    family = {"bigint": "BIGINT", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    s_types = {f.name: family.get(f.dataType.simpleString(), f.dataType.simpleString())
+               for f in sdf.schema.fields}
     res = {"rows": len(s_rows), "oracle_rows": len(d_rows),
-           "cols_ok": sorted(s_cols) == sorted(d_cols), "oracle": True}
+           "cols_ok": sorted(s_cols) == sorted(d_cols) and s_types == d_types, "oracle": True}
     if not res["cols_ok"]:
         res["ok"] = False
-        res["detail"] = f"spark {sorted(s_cols)} vs sql {sorted(d_cols)}"
+        res["detail"] = f"spark {sorted(s_types.items())} vs sql {sorted(d_types.items())}"
         return res
     a, b = rows_of(s_cols, s_rows), rows_of(d_cols, d_rows)
     res["ok"] = a == b

@@ -848,10 +848,12 @@ SELECT 'opd' AS kind, CAST(a.token_id AS BIGINT) AS token_id, CAST(a.queue_date
        CAST(d.ahead * 10 AS BIGINT) AS wait_minutes
 FROM a_opd a JOIN dp_a_opd d ON d.token_id = a.token_id
 UNION ALL
-SELECT 'lab', a.token_id, CAST(a.queue_date AS VARCHAR), a.group_id, d.ahead, d.ahead * t.slot_duration
+SELECT 'lab', CAST(a.token_id AS BIGINT), CAST(a.queue_date AS VARCHAR), CAST(a.group_id AS BIGINT),
+       CAST(d.ahead AS BIGINT), CAST(d.ahead * t.slot_duration AS BIGINT)
 FROM a_lab a JOIN dp_a_lab d ON d.token_id = a.token_id JOIN lab_tests t ON t.test_id = a.group_id
 UNION ALL
-SELECT 'pharmacy', a.token_id, CAST(a.queue_date AS VARCHAR), a.group_id, d.ahead, d.ahead * 3
+SELECT 'pharmacy', CAST(a.token_id AS BIGINT), CAST(a.queue_date AS VARCHAR), CAST(a.group_id AS BIGINT),
+       CAST(d.ahead AS BIGINT), CAST(d.ahead * 3 AS BIGINT)
 FROM a_ph a JOIN dp_a_ph d ON d.token_id = a.token_id
 """
 
