@@ -1,22 +1,26 @@
-"""Per-group row numbering that survives hot groups.
-
-Queue positions, token sequences and "people ahead" are all a
-``row_number()`` over a (day, doctor | department | test | pharmacy) group.
-A plain window puts a whole group into one task, so a group holding a third
-of all rows would serialise the job.  ``number_rows`` therefore:
-
-1. counts rows per group (partial aggregation, one small shuffle);
-2. numbers groups below ``hot_rows`` with an ordinary window
-   (``partitionBy(group).orderBy(order)``) -- the common case;
-3. numbers the few hot groups (at most ``total_rows / hot_rows`` of them, so
-   the key list has a proven bound) with a range-partitioned sort: Spark
-   splits each hot group over many tasks by sampled key ranges, every task
-   numbers its sorted slice, and a per-partition offset table (one row per
-   partition) adds the rows of the same group held by earlier partitions.
-
-The slice numbering is checkpointed (reliable checkpoint in the session's
-``spark.checkpoint.dir``) so partition ids and local numbers are fixed
-before the offsets are computed from them, also after an executor loss.
+"""Per-group scans that survive hot groups: row numbers, running sums, lags.
+
+Queue positions, token sequences, "people ahead" counts and "previous
+request" lookups are all ordered scans over a (day, doctor | department |
+test | pharmacy | token) group.  A plain window puts a whole group into one
+task, so a group holding a third of all rows would serialise the job.  Each
+helper here (``number_rows``, ``running_sum``, ``lag_within``) therefore:
+
+1. checks for hot groups on a seeded Bernoulli sample of the key columns
+   (memoised per session; a wrong guess only changes speed, both paths are
+   exact);
+2. scans ordinary groups with a window (``partitionBy(group).orderBy(...)``)
+   -- the common case;
+3. scans the few hot groups (bounded key list, broadcast) with a
+   range-partitioned sort: Spark splits each hot group over many tasks by
+   sampled key ranges, every task scans its sorted slice with vectorised
+   pandas, and a table with one row per partition patches the slice
+   boundaries (offsets for counts and sums, carried values for lags).
+
+The slice scan is checkpointed (reliable checkpoint in the session's
+``spark.checkpoint.dir``) so partition ids and local results are fixed
+before the boundary table is computed from them, also after an executor
+loss.  ``order_by`` must end in a unique tie-break.
 """
 
 from __future__ import annotations
