@@ -60,3 +60,25 @@ def test_responses(spark):
 def test_intval_matches_php(spark):
     df = spark.createDataFrame([("12abc",), (" 7",), ("abc",), ("",), (None,), ("-3x",), ("4.9",)], "s string")
     assert [r[0] for r in df.select(requests.intval(F.col("s"))).collect()] == [12, 7, 0, 0, 0, -3, 4]
+
+
+def test_parse_typed_batch_and_stream(spark):
+    rows = [('{"token": " pb003 ", "notify": false}',), ('{"token_id": "12abc"}',), ('{}',)]
+    df = spark.createDataFrame(rows, "body string")
+    got = requests.parse_typed(df, "opd_cancel").select("token", "token_id", "booking_id", "reason", "notify").collect()
+    assert tuple(got[0]) == ("PB003", 0, None, "due to being late", False)
+    assert tuple(got[1]) == ("", 12, None, "due to being late", True)
+    assert tuple(got[2]) == ("", 0, None, "due to being late", True)
+    lab = spark.createDataFrame([('{"test_code": " mri", "payment_amount": "12.5x", "patient_age": 30}',)],
+                                "body string")
+    r = requests.parse_typed(lab, "lab_issue").collect()[0]
+    assert (r.test_code, r.payment_amount, r.patient_age, r.patient_gender) == ("MRI", 12.5, 30, "")
+    # the same columns on a stream
+    import tempfile, os
+    d = tempfile.mkdtemp(prefix="wl-req-", dir="/tmp")
+    df.write.mode("overwrite").json(os.path.join(d, "in"))
+    stream = spark.readStream.schema("body string").json(os.path.join(d, "in"))
+    q = (requests.parse_typed(stream, "opd_cancel").writeStream.format("memory").queryName("parsed_requests")
+         .option("checkpointLocation", os.path.join(d, "ck")).trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    assert spark.table("parsed_requests").count() == 3

@@ -33,6 +33,52 @@ def intval(c: F.Column) -> F.Column:
     return F.coalesce(F.when(digits != "", digits.try_cast("bigint")), F.lit(0).cast("bigint"))
 
 
+# Request fields per endpoint kind with their coercion and the
+# default used when the field is missing (the endpoints' ``?? default``).
+REQUEST_FIELDS = {
+    "opd_issue": {"patient_name": ("str", "Walk-in Patient"), "patient_age": ("int", 0),
+                  "patient_phone": ("str", ""), "department": ("str", ""), "doctor_id": ("int", 0),
+                  "type": ("str", "walkin")},
+    "lab_issue": {"test_code": ("upper", ""), "patient_name": ("trim", ""), "patient_age": ("int", 0),
+                  "patient_gender": ("lower", ""), "patient_phone": ("trim", ""),
+                  "scheduled_time": ("str", None), "payment_amount": ("float", 0.0)},
+    "pharmacy_issue": {"pharmacy_id": ("int", 0), "patient_id": ("int", None), "patient_name": ("trim", ""),
+                       "patient_phone": ("trim", ""), "payment_method": ("trim", "cash"),
+                       "notes": ("trim", "")},
+    "opd_cancel": {"token": ("upper", ""), "token_id": ("int", 0), "booking_id": ("upper", None),
+                   "reason": ("trim", "due to being late"), "notify": ("bool", True)},
+    "opd_status": {"token_id": ("int", 0), "status": ("str", "")},
+}
+
+
+def _coerce(raw: F.Column, how: str, default) -> F.Column:
+    if how == "int":
+        value = F.when(raw.isNull(), F.lit(default).cast("bigint")).otherwise(intval(raw))
+    elif how == "float":
+        num = F.regexp_extract(raw, r"^\s*([+-]?([0-9]+\.?[0-9]*|\.[0-9]+))", 1)
+        value = F.when(raw.isNull(), F.lit(default).cast("double")).otherwise(
+            F.coalesce(F.when(num != "", num.try_cast("double")), F.lit(0.0)))
+    elif how == "bool":
+        # PHP (bool): '', '0', 'false'(JSON false) are false
+        value = F.when(raw.isNull(), F.lit(default)).otherwise(~F.lower(F.trim(raw)).isin("", "0", "false"))
+    else:
+        text = {"upper": F.upper(F.trim(raw)), "lower": F.lower(F.trim(raw)), "trim": F.trim(raw)}.get(how, raw)
+        value = F.coalesce(text, F.lit(default).cast("string"))
+    return value
+
+
+def parse_typed(df: DataFrame, kind: str, body_col: str = "body") -> DataFrame:
+    """JSON request bodies of one endpoint kind -> typed, defaulted columns.
+
+    Works the same on a batch DataFrame and on ``readStream`` input.
+    """
+    out = df
+    for name, (how, default) in REQUEST_FIELDS[kind].items():
+        raw = F.get_json_object(F.col(body_col), f"$.{name}")
+        out = out.withColumn(name, _coerce(raw, how, default))
+    return out
+
+
 def parse_requests(df: DataFrame, body_col: str = "props", fields=("k",)) -> DataFrame:
     """JSON body -> one raw text column and one coerced integer per field.
 
