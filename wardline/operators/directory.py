@@ -15,21 +15,35 @@ from wardline.functions.columns import LAB_ACTIVE, hhmm_ampm
 from wardline.operators.ranking import number_rows
 
 
-def department_list(departments: DataFrame) -> DataFrame:
-    """Departments in name order (as a rank column)."""
-    return number_rows(departments.withColumn("_all", F.lit(1)), ["_all"], ["name", "id"],
-                       "name_order", strategy="window").drop("_all")
-
-
-def active_pharmacies(pharmacies: DataFrame) -> DataFrame:
-    """S3: active pharmacies, counters defaulted, location text."""
-    return pharmacies.where(F.col("is_active")).select(
+def department_list(departments: DataFrame, doctors: DataFrame | None = None) -> DataFrame:
+    """Departments in name order (as a rank column).
+
+    With ``doctors``, each department also carries its doctor count (one
+    partial aggregation of the doctor table joined to the five-row list), the
+    figure the department picker shows next to each entry's doctor list.
+    """
+    out = number_rows(departments.withColumn("_all", F.lit(1)), ["_all"], ["name", "id"],
+                      "name_order", strategy="window").drop("_all")
+    if doctors is not None:
+        n = doctors.groupBy(F.col("department_id").alias("id")).agg(F.count(F.lit(1)).alias("doctor_count"))
+        out = out.join(n, "id", "left").withColumn("doctor_count", F.coalesce("doctor_count", F.lit(0)))
+    return out
+
+
+def active_pharmacies(pharmacies: DataFrame, staff: DataFrame | None = None) -> DataFrame:
+    """S3: active pharmacies, counters defaulted, location text; with
+    ``staff``, the number of pharmacy staff on each roster."""
+    out = pharmacies.where(F.col("is_active")).select(
         "id", "name", "block", "floor", "wing",
         F.coalesce("cash_counter", F.lit("Counter A")).alias("cash_counter"),
         F.coalesce("online_counter", F.lit("Counter 1")).alias("online_counter"),
         F.format_string("Block: %s, Floor: %s, Wing: %s", F.coalesce("block", F.lit("")),
                         F.coalesce("floor", F.lit("")), F.coalesce("wing", F.lit(""))).alias("location"),
     )
+    if staff is not None:
+        n = staff.groupBy(F.col("pharmacy_id").alias("id")).agg(F.count(F.lit(1)).alias("staff_count"))
+        out = out.join(n, "id", "left").withColumn("staff_count", F.coalesce("staff_count", F.lit(0)))
+    return out
 
 
 def location_struct(prefix: str = "") -> F.Column:

@@ -139,12 +139,14 @@ from wardline.operators import directory, stats  # noqa: E402
 
 @register("departments")
 def q_departments(spark, sf_dir):
-    return portable(directory.department_list(_h(spark, sf_dir).departments))
+    h = _h(spark, sf_dir)
+    return portable(directory.department_list(h.departments, h.doctors))
 
 
 @register("pharmacies_active")
 def q_pharmacies_active(spark, sf_dir):
-    return portable(directory.active_pharmacies(_h(spark, sf_dir).pharmacies))
+    h = _h(spark, sf_dir)
+    return portable(directory.active_pharmacies(h.pharmacies, h.pharmacy_staff))
 
 
 @register("doctor_locations")

@@ -394,9 +394,10 @@ def _ampm(x: str) -> str:
 
 
 SQL["departments"] = ADAPTER + """
-SELECT CAST(id AS BIGINT) AS id, name, description,
-       CAST(row_number() OVER (ORDER BY name, id) AS BIGINT) AS name_order
-FROM departments
+SELECT CAST(d.id AS BIGINT) AS id, d.name, d.description,
+       CAST(row_number() OVER (ORDER BY d.name, d.id) AS BIGINT) AS name_order,
+       CAST((SELECT count(*) FROM doctors x WHERE x.department_id = d.id) AS BIGINT) AS doctor_count
+FROM departments d
 """
 
 SQL["pharmacies_active"] = ADAPTER + """
@@ -404,8 +405,9 @@ SELECT CAST(id AS BIGINT) AS id, name, block, floor, wing,
        COALESCE(cash_counter, 'Counter A') AS cash_counter,
        COALESCE(online_counter, 'Counter 1') AS online_counter,
        concat('Block: ', COALESCE(block, ''), ', Floor: ', COALESCE(floor, ''), ', Wing: ', COALESCE(wing, ''))
-         AS location
-FROM pharmacies WHERE is_active
+         AS location,
+       CAST((SELECT count(*) FROM pharmacy_staff s WHERE s.pharmacy_id = p.id) AS BIGINT) AS staff_count
+FROM pharmacies p WHERE is_active
 """
 
 SQL["doctor_locations"] = ADAPTER + """
