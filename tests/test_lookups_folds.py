@@ -117,3 +117,28 @@ def test_lab_ahead_counts_all_active_tokens(spark):
     tests = spark.createDataFrame([(1, "MRI", 45)], "test_id int, test_code string, duration_minutes int")
     got = {r.booking_code: r.people_ahead for r in lookups.lab_booking_ahead(lb, lab_tokens, tests).collect()}
     assert got == {"LB011": 2, "LB010": 3, "LB012": 4}
+
+
+def test_dominance_count_matches_brute_force(spark):
+    import random
+    rnd = random.Random(7)
+    rows = [(i, rnd.randint(0, 2), rnd.randint(0, 40), rnd.randint(0, 1), TS(8, rnd.randint(0, 59)))
+            for i in range(300)]
+    df = spark.createDataFrame(rows, "req_id long, g int, v int, w int, ts timestamp_ntz")
+    got = {r.req_id: r.c for r in folds.dominance_count(df, ["g"], ["ts", "req_id"], "v", "w", "c").collect()}
+    for rid, g, v, w, ts in rows:
+        want = sum(1 for r2, g2, v2, w2, ts2 in rows
+                   if g2 == g and (ts2, r2) < (ts, rid) and v2 < v and w2 == 1)
+        assert got[rid] == want
+
+
+def test_checkin_counts_earlier_confirmed_checkins(spark):
+    bks = [booking(1, "PB001", 1, (10, 0)), booking(2, "PB002", 1, (10, 30)),
+           booking(3, "PB003", 1, (11, 0), status="confirmed"), booking(4, "PB004", 1, (11, 30))]
+    t, b = frames(spark, [], bks)
+    docs = spark.createDataFrame([(1, "Dr One", 1)], "id int, name string, department_id int")
+    log = spark.createDataFrame([(1, TS(9), DAY, "PB003"), (2, TS(9, 5), DAY, "PB004")],
+                                "req_id long, ts timestamp_ntz, d date, booking_id string")
+    out = {r.req_id: r.patients_ahead for r in folds.checkin_bookings(b, t, docs, log).collect()}
+    # PB003 was confirmed (not counted as booked); once checked in it is a token ahead of PB004
+    assert out == {1: 2, 2: 3}

@@ -402,30 +402,38 @@ def issue_pharmacy(log: DataFrame, pharmacies: DataFrame, status_log: DataFrame)
 MSG_INVALID_BOOKING = "Invalid or expired booking"
 
 
-def _earlier_lower(pdf):
-    """Per (doctor, day) group of accepted check-ins: for each row, how many
-    earlier rows (log order) with weight 1 have a smaller appointment time.
-    Fenwick tree over time ranks: O(n log n)."""
-    import numpy as np
-    import pandas as pd
-    pdf = pdf.sort_values(["ts", "req_id"], kind="mergesort")
-    t = pdf["appointment_sod"].to_numpy()
-    w = pdf["w"].to_numpy()
-    ranks = np.searchsorted(np.unique(t), t) + 1
-    tree = np.zeros(len(np.unique(t)) + 1, dtype=np.int64)
-    out = np.zeros(len(pdf), dtype=np.int64)
-    for i, (r, wi) in enumerate(zip(ranks, w)):
-        j, s = int(r) - 1, 0
-        while j > 0:
-            s += tree[j]
-            j -= j & -j
-        out[i] = s
-        if wi:
-            j = int(r)
-            while j < len(tree):
-                tree[j] += 1
-                j += j & -j
-    return pd.DataFrame({"req_id": pdf["req_id"].to_numpy(), "_extra": out})
+def dominance_count(df: DataFrame, keys: list[str], order: list[str], value: str, weight: str,
+                    out: str) -> DataFrame:
+    """For every row: the rows of its group that come earlier in ``order``,
+    have a smaller ``value`` and ``weight`` = 1 (a 2-D dominance count).
+
+    Divide and conquer over the rank in ``order``: at level L, rows are cut
+    into blocks of 2^(L+1) consecutive ranks; the left half of a block counts
+    for the right half.  Every earlier/later pair meets in exactly one level
+    (the highest bit where their ranks differ), and each level is one
+    ``count_before`` -- a running sum over (group, block) that is itself
+    skew-safe.  log2(largest group) levels, no Python per group, no pairs.
+    """
+    from wardline.operators.lookups import count_before
+    ranked = number_rows(df, keys, order, "_rk").withColumn("_p", F.col("_rk") - 1)
+    biggest = ranked.agg(F.max("_rk")).collect()[0][0] or 0
+    levels = int(biggest - 1).bit_length() if biggest > 1 else 0
+    base = ranked.select("req_id")
+    if levels == 0:
+        return base.withColumn(out, F.lit(0).cast("long"))
+    # All levels in one pass: each row appears once per level, keyed by
+    # (group, level, block); probe ids encode (request, level).
+    lv = F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("_lv")
+    x = ranked.select("req_id", *keys, F.col(value).alias("_t"), F.col(weight).alias("_w"), "_p", lv)
+    x = x.withColumn("_blk", F.expr("shiftright(_p, _lv + 1)")) \
+         .withColumn("_half", F.expr("shiftright(_p, _lv) & 1"))
+    probes = x.where(F.col("_half") == 1).select(
+        (F.col("req_id") * 64 + F.col("_lv")).alias("_pid"), *keys, "_lv", "_blk", "_t")
+    counted = x.where((F.col("_half") == 0) & (F.col("_w") == 1)).select(*keys, "_lv", "_blk", "_t")
+    c = count_before(probes, counted, keys + ["_lv", "_blk"], "_c")
+    summed = c.groupBy(F.floor(F.col("_pid") / 64).cast("long").alias("req_id")).agg(F.sum("_c").alias(out))
+    return base.join(summed, "req_id", "left").select(
+        "req_id", F.coalesce(F.col(out), F.lit(0)).cast("long").alias(out))
 
 
 def checkin_bookings(bookings: DataFrame, tokens: DataFrame, doctors: DataFrame,
@@ -441,8 +449,7 @@ def checkin_bookings(bookings: DataFrame, tokens: DataFrame, doctors: DataFrame,
     plus the effect of earlier check-ins of the same batch: each adds a token
     with an earlier time, and removes a booked booking of that day from the
     count.  That last term is a 2-D dominance count per (doctor, day),
-    computed with a Fenwick tree in ``applyInPandas`` over the accepted
-    check-ins only (one row per accepted request).
+    computed by ``dominance_count`` over the accepted check-ins only.
     """
     r = log.select("req_id", "ts", "d", upper_key("booking_id").alias("B"))
     doc = doctors.select(F.col("id").alias("doctor_id"))
@@ -470,8 +477,8 @@ def checkin_bookings(bookings: DataFrame, tokens: DataFrame, doctors: DataFrame,
     snap = count_before(probes, tok.unionByName(bk), ["doctor_id", "queue_date"], "_snap")
     weight = F.when((F.col("snap_status") == "booked") & (F.col("appointment_date") == F.col("d")),
                     F.lit(0)).otherwise(F.lit(1))
-    batch = acc.select("req_id", "ts", "doctor_id", "d", "appointment_sod", weight.alias("w")) \
-        .groupBy("doctor_id", "d").applyInPandas(_earlier_lower, "req_id long, _extra long")
+    batch = dominance_count(acc.select("req_id", "ts", "doctor_id", "d", "appointment_sod", weight.alias("w")),
+                            ["doctor_id", "d"], ["ts", "req_id"], "appointment_sod", "w", "_extra")
     x = acc.join(snap, acc.req_id == snap._pid).join(batch, "req_id")
     ahead = F.col("_snap") + F.col("_extra")
     ok = x.select("req_id", "B", F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("reason"),
