@@ -38,3 +38,11 @@ def test_tiers_and_tags(spark):
     assert (rows[2].a, rows[2].b, rows[2].pb, rows[2].you) == (1, 1, True, True)
     assert (rows[3].b, rows[3].qt) == (2, hms(9))
     assert (rows[4].a, rows[4].b, rows[4].c, rows[4].tag) == (2, 3, 2, "checked_in")
+
+
+def test_public_view_drops_personal_fields(spark):
+    from wardline.operators import directory, queues
+    t, b = frames(spark, [token(1, "A001")], [])
+    board = directory.public_view(queues.live_queue(t, b))
+    assert "patient_name" not in board.columns and "patient_phone" not in board.columns
+    assert board.count() == 1
