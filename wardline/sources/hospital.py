@@ -4,15 +4,15 @@ The application works on departments, doctors, OPD tokens, bookings, lab and
 pharmacy tables.  The test inputs are a star schema plus an ``events`` stream,
 so every domain table is a deterministic projection of them:
 
-* dimensions come from ``region`` / ``supplier`` / ``nation`` and two fixed
-  lookup lists (lab tests, pharmacies);
+* dimensions come from ``region`` / ``supplier`` / ``nation`` / ``customer``
+  and one fixed lookup list (the four lab tests of the application seed);
 * facts (tokens, bookings, lab and pharmacy tokens, request logs) are slices
   of ``events`` chosen by ``event_id`` residues, so they grow linearly with
   the input.
 
-Everything is lazy; nothing is collected.  Token numbers use a window
-partitioned by (department, day) / (test, day) / (pharmacy, day); see
-``wardline.operators.ranking`` for why such groups stay bounded.
+Everything is lazy; nothing is collected.  Token numbers are per-group row
+numbers over (department, day) / (test, day) / (pharmacy, day), computed by
+``wardline.operators.ranking`` (skew-safe for hot groups).
 """
 
 from __future__ import annotations
