@@ -40,6 +40,18 @@ def test_status_stream_matches_batch(spark):
     b = alerts.status_alerts(h.tokens, h.status_log, h.doctors).select("token_id", "req_id", "alert", "message")
     assert sorted(a.collect()) == sorted(b.collect())
     assert a.count() > 0
+    # M3: the status feed ends each token in the batch fold's final status
+    from pyspark.sql import Window
+    feed = got.where(F.col("kind") == "status")
+    w = Window.partitionBy("token_id").orderBy(F.desc("ts"), F.desc("req_id"))
+    last = feed.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1) \
+        .select("token_id", F.col("alert").alias("final"))
+    from wardline.operators import folds
+    fold = folds.opd_status_fold(h.tokens, h.status_log)
+    joined = fold.join(last, fold.id == last.token_id, "left")
+    bad = joined.where(F.coalesce(F.col("final"), F.col("old_status")) != F.col("new_status"))
+    assert bad.count() == 0
+    assert feed.count() > 0
     # expiry: every day whose end + lateness is behind the final watermark
     exp = got.where(F.col("kind") == "expired").select("token_id", "queue_date")
     done_days = [r[0] for r in exp.select("queue_date").distinct().collect()]

@@ -16,6 +16,8 @@ order; within one request the own change is evaluated before its reset, so
 
 * ``alert`` rows on transitions into cancelled / consulting (polling stops
   after a cancellation, so at most one cancel alert per token);
+* ``status`` rows: every status change, including tokens completed by
+  another token's consulting request (the M3 feed);
 * ``expired`` rows when the event-time watermark passes the end of the
   key's day (+ lateness): tokens still waiting or consulting at midnight,
   after which the key's state is dropped (bounded state);
@@ -71,13 +73,14 @@ EVENT_SCHEMA = T.StructType([
 ])
 
 OUTPUT_SCHEMA = T.StructType([
-    T.StructField("kind", T.StringType()),       # alert | expired | late
+    T.StructField("kind", T.StringType()),       # alert | status | expired | late
     T.StructField("token_id", T.LongType()),
     T.StructField("req_id", T.LongType()),
     T.StructField("queue_date", T.DateType()),
     T.StructField("alert", T.StringType()),
     T.StructField("title", T.StringType()),
     T.StructField("message", T.StringType()),
+    T.StructField("ts", T.TimestampType()),      # event time of the causing request
 ])
 
 STATE_SCHEMA = T.StructType([
@@ -128,6 +131,10 @@ def _us(ts) -> int:
     return int(pd.Timestamp(ts).value // 1000)
 
 
+def _ts(us):
+    return None if us is None else pd.Timestamp(us * 1000)
+
+
 def _fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     dept, day, _bucket = key
     day_end = pd.Timestamp(day) + pd.Timedelta(days=1)
@@ -135,7 +142,7 @@ def _fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.D
     if state.hasTimedOut:
         st = state.get
         toks = json.loads(st[0]) if st and st[0] else {}
-        rows = [("expired", int(k), None, day, None, None, None)
+        rows = [("expired", int(k), None, day, None, None, None, _ts(day_end_us))
                 for k, v in toks.items() if v[3] in ("waiting", "consulting")]
         state.remove()
         yield pd.DataFrame(rows, columns=[f.name for f in OUTPUT_SCHEMA.fields])
@@ -152,40 +159,59 @@ def _fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.D
     out = []
     reset = (reset_ts, reset_req) if reset_ts is not None else None
     last = (last_ts, last_req) if last_ts is not None else None
+    consulting = {t for t, v in toks.items() if v[0] == "consulting"}
     for e in ev.itertuples(index=False):
         order = (int(e.ord_us), int(e.req_id))
         tok = str(int(e.token_id))
+        when = _ts(order[0])
         if last is not None and order < last and e.kind != 0:
-            out.append(("late", int(e.token_id), int(e.req_id), day, None, None, None))
+            out.append(("late", int(e.token_id), int(e.req_id), day, None, None, None, when))
             continue
         if e.kind == 0:
-            toks.setdefault(tok, [e.new_status, None, None, e.new_status, False, None, None])
+            if tok not in toks:
+                toks[tok] = [e.new_status, None, None, e.new_status, False, None, None]
+                if e.new_status == "consulting":
+                    consulting.add(tok)
             continue
         if e.kind == 2:
+            # The reset completes every token of this key consulting before it
+            # (the request's own target, set at this same order, is kept).
+            for t in list(consulting):
+                v = toks[t]
+                since = (v[1], v[2]) if v[1] is not None else None
+                if since is None or since < order:
+                    v[0], v[1], v[2] = "completed", order[0], order[1]
+                    close_since = (v[5], v[6]) if v[5] is not None else None
+                    if v[3] == "consulting" and (close_since is None or close_since < order):
+                        v[3], v[5], v[6] = "completed", order[0], order[1]
+                    consulting.discard(t)
+                    out.append(("status", int(t), int(e.req_id), day, "completed", None, None, when))
             reset = order if reset is None or order > reset else reset
             last = order if last is None or order > last else last
             continue
         cur = toks.get(tok)
         if cur is None:  # token of this key not seen: its arrival precedes requests
             cur = [None, None, None, None, False, None, None]
-        status, o_ts, o_req = cur[0], cur[1], cur[2]
-        since = (o_ts, o_req) if o_ts is not None else None
-        displaced = (status == "consulting" and reset is not None
-                     and (since is None or reset > since))
-        before = "completed" if displaced else status
+        before = cur[0]
         new = e.new_status
         if new in ("cancelled", "consulting") and new != before and not cur[4]:
             if new == "cancelled":
                 msg = CANCEL_BODY.format(token=e.token_number, reason=LATE_REASON)
-                out.append(("alert", int(e.token_id), int(e.req_id), day, new, CANCEL_TITLE, msg))
+                out.append(("alert", int(e.token_id), int(e.req_id), day, new, CANCEL_TITLE, msg, when))
                 cur[4] = True
             else:
                 place = e.doctor_name if isinstance(e.doctor_name, str) else DEFAULT_PLACE
                 msg = TURN_BODY.format(token=e.token_number, place=place)
-                out.append(("alert", int(e.token_id), int(e.req_id), day, new, TURN_TITLE, msg))
+                out.append(("alert", int(e.token_id), int(e.req_id), day, new, TURN_TITLE, msg, when))
+        if new != before:
+            out.append(("status", int(e.token_id), int(e.req_id), day, new, None, None, when))
         cur[0], cur[1], cur[2] = new, order[0], order[1]
         if order[0] < day_end_us:
             cur[3], cur[5], cur[6] = new, order[0], order[1]
+        if new == "consulting":
+            consulting.add(tok)
+        else:
+            consulting.discard(tok)
         toks[tok] = cur
         last = order if last is None or order > last else last
     # Status at midnight also reflects resets: all resets of a key happen on
@@ -198,7 +224,7 @@ def _fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.D
     expire_ms = _us(day_end + pd.Timedelta(days=LATENESS_DAYS)) // 1000
     if expire_ms <= state.getCurrentWatermarkMs():
         # The watermark is already past this day: close it now.
-        out += [("expired", int(k), None, day, None, None, None)
+        out += [("expired", int(k), None, day, None, None, None, _ts(day_end_us))
                 for k, v in toks.items() if v[3] in ("waiting", "consulting")]
         if state.exists:
             state.remove()
