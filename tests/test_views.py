@@ -40,3 +40,17 @@ def test_other_views_run(spark):
     assert views.pharmacy_queue_view(h, DAY, pharmacy_id=1)["queue"].count() > 0
     tok = h.tokens.where(F.col("queue_date") == DAY).first().token_number
     assert views.status_poll(h, DAY, token=tok).collect()[0].step == 1
+
+
+def test_live_queue_response_shape(spark):
+    import json
+    h = Hospital(spark, SF001)
+    doc = json.loads(views.live_queue_response(h, DAY, doctor_id=3).collect()[0][0])
+    assert doc["success"] is True and set(doc) == {"success", "queue", "total_in_queue", "current_position",
+                                                    "people_ahead"}
+    assert len(doc["queue"]) == min(5, doc["total_in_queue"])
+    assert [q["position"] for q in doc["queue"]] == sorted(q["position"] for q in doc["queue"])
+    if doc["queue"]:
+        tok = doc["queue"][-1]["token_number"]
+        doc2 = json.loads(views.live_queue_response(h, DAY, doctor_id=3, current_token=tok).collect()[0][0])
+        assert doc2["current_position"] >= 1 and any(q["is_you"] for q in doc2["queue"])

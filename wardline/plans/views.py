@@ -100,3 +100,29 @@ def status_poll(h, as_of, token: str = "", booking_id: str = "") -> DataFrame:
     req = spark.createDataFrame([(0, as_of, token, booking_id)],
                                 "req_id long, d date, token string, booking string")
     return lookups.token_status(req, h.tokens, h.prebooked_appointments, h.doctors, h.departments)
+
+
+def live_queue_response(h, as_of, doctor_id: int = 0, current_token: str = "") -> DataFrame:
+    """The live-queue screen as one JSON document, shaped like the
+    application's response: ``{success, queue[<=5], total_in_queue,
+    current_position, people_ahead}``.  Built from ``live_queue_view``; the
+    array holds at most five rows (a bounded ``collect_list``)."""
+    v = live_queue_view(h, as_of, doctor_id, current_token)
+    shown = v["shown"]
+    if current_token:
+        shown = shown.select(F.col("shown_position").alias("position"),
+                             F.col("shown_token").alias("token_number"), "token_type", "status",
+                             "checkin_status", "is_you")
+    else:
+        shown = shown.select("position", "token_number", "token_type", "status", "checkin_status",
+                             F.lit(False).alias("is_you"))
+    item = F.struct("position", "token_number", "token_type", "status", "checkin_status", "is_you")
+    items = shown.agg(F.sort_array(F.collect_list(F.struct(F.col("position").alias("_o"),
+                                                          item.alias("_v")))).alias("_items"),
+                      F.lit(1).alias("_k"))
+    summary = v["summary"].withColumn("_k", F.lit(1))
+    doc = summary.join(items, "_k", "left")  # two one-row frames on a constant key
+    return doc.select(F.to_json(F.struct(
+        F.lit(True).alias("success"),
+        F.coalesce(F.transform("_items", lambda x: x["_v"]), F.array()).alias("queue"),
+        "total_in_queue", "current_position", "people_ahead")).alias("response"))
