@@ -22,9 +22,7 @@ BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
-    # Dimension tables (departments, doctors, lab tests, pharmacies) are
-    # broadcast by explicit, size-checked hints; keep the automatic
-    # threshold at its default so fact tables never get broadcast.
+    # Spark broadcasts a side only below this measured size.
     "spark.sql.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -50,14 +48,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint directory.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; it is used
-    as is.  Only when it is unset (local tests) is a scratch folder created.
+    as is.  A scratch folder is created only for a ``local[...]`` master
+    (tests) that names none; any other master without the setting is an
+    error, because its executors could not see a folder of the driver.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(current)
-        return current
-    path = tempfile.mkdtemp(prefix="wardline-ckpt-", dir="/tmp")
-    sc.setCheckpointDir(path)
-    return path
+    if not current:
+        if not is_local_master(sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all "
+                               f"executors share (master {sc.master})")
+        current = tempfile.mkdtemp(prefix="wardline-ckpt-", dir="/tmp")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(current)
+    return current
+
+
+def is_local_master(master: str) -> bool:
+    """One JVM that is driver and executor at once; ``local-cluster`` is not."""
+    return master == "local" or master.startswith("local[")
