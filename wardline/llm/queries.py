@@ -31,3 +31,15 @@ def q_mix_sources(spark, sf_dir):
 def q_shuffle_shards(spark, sf_dir):
     from wardline.llm.sharding import op4_query
     return op4_query(table(spark, sf_dir, "documents"))
+
+
+@register("op3_pack_sequences")
+def q_pack_sequences(spark, sf_dir):
+    from wardline.llm.packing import op3_query
+    return op3_query(table(spark, sf_dir, "documents"))
+
+
+@register("op5_quality_rules")
+def q_quality_rules(spark, sf_dir):
+    from wardline.llm.quality import op5_query
+    return op5_query(table(spark, sf_dir, "documents"))
