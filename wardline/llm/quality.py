@@ -34,7 +34,7 @@ MAX_REPEAT_PERCENT = 20
 WINDOW = 5
 MIN_CHARS = 200
 MIN_WORDS = 60
-MAX_CLASS_DISTANCE = 0.35
+MAX_CLASS_DISTANCE = 0.33
 MAX_WORD_DISTANCE = 0.50
 
 # Very common words of English, German, French and Spanish.

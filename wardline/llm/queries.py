@@ -43,3 +43,15 @@ def q_pack_sequences(spark, sf_dir):
 def q_quality_rules(spark, sf_dir):
     from wardline.llm.quality import op5_query
     return op5_query(table(spark, sf_dir, "documents"))
+
+
+@register("op8_url_filters")
+def q_url_filters(spark, sf_dir):
+    from wardline.llm.urls import op8_query
+    return op8_query(table(spark, sf_dir, "pages"))
+
+
+@register("op10_license_scans")
+def q_license_scans(spark, sf_dir):
+    from wardline.llm.licenses import op10_query
+    return op10_query(table(spark, sf_dir, "documents"))
