@@ -55,3 +55,9 @@ def q_url_filters(spark, sf_dir):
 def q_license_scans(spark, sf_dir):
     from wardline.llm.licenses import op10_query
     return op10_query(table(spark, sf_dir, "documents"))
+
+
+@register("op7_top_k_search")
+def q_top_k_search(spark, sf_dir):
+    from wardline.llm.topk import op7_query
+    return op7_query(table(spark, sf_dir, "embeddings"))
