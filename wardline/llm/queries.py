@@ -61,3 +61,9 @@ def q_license_scans(spark, sf_dir):
 def q_top_k_search(spark, sf_dir):
     from wardline.llm.topk import op7_query
     return op7_query(table(spark, sf_dir, "embeddings"))
+
+
+@register("op1_ngram_join")
+def q_ngram_join(spark, sf_dir):
+    from wardline.llm.ngram_join import op1_query
+    return op1_query(table(spark, sf_dir, "documents"))
