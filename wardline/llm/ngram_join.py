@@ -43,6 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm import rtree
+from wardline.llm.bitmaps import Bitmap
 from wardline.llm.components import components
 from wardline.llm.scratch import Scratch
 from wardline.llm.text import chunks, mix64, segment_sums, shingles, sort_distinct, words
@@ -89,29 +90,6 @@ def _int64(values: np.ndarray) -> pa.Array:
     return pa.array(values.astype(np.uint64).view(np.int64))
 
 
-class Bitmap:
-    """Membership of hashed values in a bit array of fixed size: no false negatives."""
-
-    def __init__(self, words64: np.ndarray):
-        self.words = words64
-
-    @classmethod
-    def of(cls, df: DataFrame, column: str, bits: int = BITMAP_BITS) -> "Bitmap":
-        """Collects at most 2^(bits - 6) numbers."""
-        at = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
-        bit = F.expr("shiftleft(1L, cast(at & 63 as int))")
-        rows = (df.select(at.alias("at")).select(F.shiftright("at", 6).alias("word"), bit.alias("bit"))
-                .groupBy("word").agg(F.bit_or("bit").alias("bits")).collect())
-        words64 = np.zeros(1 << (bits - 6), dtype=np.int64)
-        for r in rows:
-            words64[r["word"]] = r["bits"]
-        return cls(words64.view(np.uint64))
-
-    def has(self, values: np.ndarray) -> np.ndarray:
-        at = values & np.uint64(len(self.words) * 64 - 1)
-        return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-
-
 # -- step 1: profile ----------------------------------------------------------
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n", "cls", "vec", "element", "seen"]
@@ -241,7 +219,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 # -- step 3: trees ------------------------------------------------------------
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+def consecutive_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Consecutive rows with equal keys, as tables (rows are sorted by the keys)."""
     held: list[pa.Table] = []
     held_key = None
@@ -361,7 +339,7 @@ def _tree_pairs(percent: int):
     """Rows sorted by (unit, page, other, side): pairs of different components that pass the bound."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Pairs()
-        for t in _groups(batches, ["unit", "page", "other"]):
+        for t in consecutive_groups(batches, ["unit", "page", "other"]):
             side, cls = t["side"].to_numpy(), t["cls"].to_numpy()
             n, comp, vec = t["n"].to_numpy().astype(np.int64), t["comp"].to_numpy(), _vectors(t["vec"])
             rows = [np.flatnonzero(side == s) for s in (0, 1)]
@@ -451,7 +429,7 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         _profile, f"doc_id {id_type}, n int, cls long, vec binary, element long, seen long"), "profile")
     rows = profile.where("n is not null").select("doc_id", "n", "cls", "vec")
     frequent = Bitmap.of(profile.where("element is not null").groupBy("element").agg(F.sum("seen").alias("seen"))
-                         .where(F.col("seen") >= FREQUENT), "element")
+                         .where(F.col("seen") >= FREQUENT), "element", BITMAP_BITS)
 
     texts_only = docs.select("text")
     routed = texts_only.mapInArrow(_route(frequent, percent), "element long, cls long, n int")
@@ -461,7 +439,7 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         .distinct(), "units")
 
     met = units.select("cls").distinct()
-    wanted = Bitmap.of(met, "cls")
+    wanted = Bitmap.of(met, "cls", BITMAP_BITS)
     vectors = scratch.write(rows.select("cls", "vec").join(met, "cls", "left_semi").groupBy("cls")
                             .agg(F.first("vec").alias("vec")), "vectors")
     texts = scratch.write(

@@ -67,3 +67,9 @@ def q_top_k_search(spark, sf_dir):
 def q_ngram_join(spark, sf_dir):
     from wardline.llm.ngram_join import op1_query
     return op1_query(table(spark, sf_dir, "documents"))
+
+
+@register("op9_line_dedup")
+def q_line_dedup(spark, sf_dir):
+    from wardline.llm.lines import op9_query
+    return op9_query(table(spark, sf_dir, "documents"))

@@ -7,6 +7,7 @@ soon as a later table has been derived from it.
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,15 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Let Spark delete the exchange files of steps whose results are written.
+
+        Its cleaner does so once the driver has collected the garbage of their
+        plans, which on a quiet driver may otherwise take half an hour.
+        """
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more."""
         jvm = self.spark._jvm
