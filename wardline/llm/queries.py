@@ -73,3 +73,9 @@ def q_ngram_join(spark, sf_dir):
 def q_line_dedup(spark, sf_dir):
     from wardline.llm.lines import op9_query
     return op9_query(table(spark, sf_dir, "documents"))
+
+
+@register("op6_suffix_dedup")
+def q_suffix_dedup(spark, sf_dir):
+    from wardline.llm.repeats import op6_query
+    return op6_query(table(spark, sf_dir, "documents"))
