@@ -1,13 +1,55 @@
-"""A training-data pipeline from the operators of ``wardline.llm``."""
+"""A training-data pipeline from the operators of ``wardline.llm``.
+
+documents -> quality rules -> line dedup -> one document of each group of near
+copies -> mix of the sources -> packed sequences.  Each stage is written as
+Parquet and read again, so a lost executor costs at most the stage at hand.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wardline.llm.lines import drop_repeated_lines
+from wardline.llm.mixing import repeat_by_mix
+from wardline.llm.ngram_join import keep_one_per_group
+from wardline.llm.packing import pack_documents
+from wardline.llm.quality import keep_clean
 from wardline.llm.scratch import Scratch
 
-STAGES: list = []
-ORACLE_SQL = None
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the quality rules reject."""
+    return keep_clean(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes lines that stand earlier in the corpus, exactly or within two edits."""
+    return drop_repeated_lines(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies."""
+    return keep_one_per_group(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats and leaves out documents so that the sources have their target shares."""
+    return repeat_by_mix(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of the documents and their places in sequences of 2048 tokens."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("mix_sources", mix_sources),
+    ("pack_sequences", pack_sequences),
+]
+ORACLE_SQL = None  # the tokenizer and the drawn sample are not expressible; tests compare with brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -410,16 +410,16 @@ def line_report(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
 def drop_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` without the removed lines; rows of which no text is left are dropped."""
     scratch = Scratch(docs.sparkSession, "lines")
-    names = docs.columns
     removed = scratch.write(repeated_lines(_numbered(docs), scratch, threshold, min_chars).groupBy("row").agg(
-        F.collect_set("line").alias("_lines")).withColumnRenamed("row", "_row"), "removed")
+        F.collect_set("line").alias("lines")), "removed")
     scratch.release()
-    lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_lines", i)), "\n")
-    joined = docs.withColumn("_row", F.monotonically_increasing_id()).join(removed, "_row", "left")
-    cut = joined.withColumn("text", F.when(F.col("_lines").isNull(), F.col("text")).otherwise(kept))
-    return cut.where(F.col("_lines").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(
-        *[F.col(f"`{c}`") for c in names])
+    text = F.col("doc.text")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("lines", i)), "\n")
+    joined = (docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"))
+              .join(removed, "row", "left")
+              .withColumn("cut", F.when(F.col("lines").isNull(), text).otherwise(kept)))
+    left = joined.where(F.col("lines").isNull() | F.col("cut").rlike(r"[^\x20\x09-\x0D]"))
+    return left.select(*[F.col("cut").alias(c) if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def op9_query(documents: DataFrame) -> DataFrame:

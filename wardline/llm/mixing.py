@@ -167,15 +167,13 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, max_copies: int = MAX_COPIES, total
 
 def repeat_by_mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with their own columns."""
-    own = docs.columns
     seed = options.get("seed", SEED)
     # rows with the same key agree in id and text; they have the same copies
-    copies = (mix(docs, **options).groupBy("key").agg(F.max("copies").alias("_copies"))
-              .where("_copies > 0").withColumnRenamed("key", "_key"))
-    keyed = docs.withColumn("_key", random_key(docs["doc_id"], docs["text"], seed))
-    return (keyed.join(copies, "_key")
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-            .select(*[F.col(f"`{c}`") for c in own]))
+    copies = (mix(docs, **options).groupBy("key").agg(F.max("copies").cast("int").alias("copies"))
+              .where("copies > 0"))
+    keyed = docs.select(F.struct("*").alias("doc"), random_key(docs["doc_id"], docs["text"], seed).alias("key"))
+    return (keyed.join(copies, "key").select("doc", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+            .select("doc.*"))
 
 
 def op2_query(documents: DataFrame) -> DataFrame:
