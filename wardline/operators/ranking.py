@@ -7,362 +7,184 @@ task, so a group holding a third of all rows would serialise the job.  Each
 helper here (``number_rows``, ``running_sum``, ``lag_within``) therefore:
 
 1. checks for hot groups on a seeded Bernoulli sample of the key columns
-   (memoised per session; a wrong guess only changes speed, both paths are
-   exact);
+   (only whether there are any reaches the driver);
 2. scans ordinary groups with a window (``partitionBy(group).orderBy(...)``)
    -- the common case;
-3. scans the few hot groups (bounded key list, broadcast) with a
-   range-partitioned sort: Spark splits each hot group over many tasks by
-   sampled key ranges, every task scans its sorted slice with vectorised
-   pandas, and a table with one row per partition patches the slice
-   boundaries (offsets for counts and sums, carried values for lags).
-
-The slice scan is checkpointed (reliable checkpoint in the session's
-``spark.checkpoint.dir``) so partition ids and local results are fixed
-before the boundary table is computed from them, also after an executor
-loss.  ``order_by`` must end in a unique tie-break.
+3. cuts the hot groups into slices: a range exchange on (group, order) gives
+   every task a run of rows, a window scans each (group, slice), and a table
+   with one row per (group, slice) carries counts, sums and values from slice
+   to slice.
+
+Both ways give the same values; the check decides only where the work is done.
+Sliced rows are checkpointed (reliable checkpoint in the session's
+``spark.checkpoint.dir``), so a row keeps its slice also after an executor
+loss.  Everything stays in DataFrame functions; nested columns pass through.
+``order_by`` must end in a unique tie-break.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wardline.session import ensure_checkpoint_dir
 
 DEFAULT_HOT_ROWS = 2_000_000
-_HOT_MEMO: dict = {}
-MAX_HOT_GROUPS = 100_000
 SAMPLE_HITS = 200
+_ANY_HOT: dict = {}
 
 
 def hot_group_rows(spark) -> int:
-    v = spark.conf.get("wardline.hotGroupRows", None) or os.environ.get("WARDLINE_HOT_GROUP_ROWS")
-    return int(v) if v else DEFAULT_HOT_ROWS
+    """Rows above which a group is sliced (``wardline.hotGroupRows`` of the session)."""
+    return int(spark.conf.get("wardline.hotGroupRows", str(DEFAULT_HOT_ROWS)))
 
 
 def _order_cols(order_by: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order_by]
 
 
-def _key_match(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+def _match(left: str, right: str, keys: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
 
 
-_COMPLEX = (T.StructType, T.ArrayType, T.MapType)
+def _split_hot(df: DataFrame, keys: list[str], hot_rows: int | None) -> tuple[DataFrame, DataFrame] | None:
+    """(ordinary rows, rows of hot groups), or None when the check finds no hot group.
 
+    The check counts a sample of the key columns (a group at the limit shows
+    about ``2 * SAMPLE_HITS`` rows), so its exchange is tiny however many
+    groups there are.
+    """
+    spark = df.sparkSession
+    limit = hot_rows or hot_group_rows(spark)
+    fraction = min(1.0, SAMPLE_HITS / (limit / 2.0))
+    only_keys, threshold = df.select(*keys), limit
+    if fraction < 1.0:
+        only_keys = only_keys.sample(withReplacement=False, fraction=fraction, seed=20240115)
+        threshold = fraction * limit / 2.0
+    sizes = only_keys.groupBy(*keys).agg(F.count(F.lit(1)).alias("_wl_rows"))
+    hot = sizes.where(F.col("_wl_rows") > threshold).select(*keys)
+    # several queries of a session often check the same input
+    memo = (spark.sparkContext.applicationId, sizes.semanticHash(), limit)
+    if memo not in _ANY_HOT:
+        _ANY_HOT[memo] = not hot.isEmpty()
+    if not _ANY_HOT[memo]:
+        return None
+    ensure_checkpoint_dir(spark)
+    hot = hot.checkpoint(eager=True)
+    a, b = df.alias("_wl_a"), hot.alias("_wl_b")
+    cond = _match("_wl_a", "_wl_b", keys)
+    return a.join(b, cond, "left_anti"), a.join(b, cond, "left_semi")
 
-def _encode_complex(df: DataFrame):
-    """Nested columns travel through the pandas scans as JSON text."""
-    types = {f.name: f.dataType for f in df.schema.fields if isinstance(f.dataType, _COMPLEX)}
-    if not types:
-        return df, types
-    return df.select(*[F.to_json(F.col(c)).alias(c) if c in types else F.col(c) for c in df.columns]), types
+
+def _scan(df: DataFrame, keys: Sequence[str], hot_rows: int | None, strategy: str, whole, sliced) -> DataFrame:
+    """Run ``whole`` on ordinary groups and ``sliced`` on hot ones (or one of them on all, for tests)."""
+    keys = list(keys)
+    if strategy == "window":
+        return whole(df)
+    if strategy == "range":
+        return sliced(df)
+    split = _split_hot(df, keys, hot_rows)
+    if split is None:
+        return whole(df)
+    return whole(split[0]).unionByName(sliced(split[1]))
 
 
-def _decode_complex(df: DataFrame, types: dict) -> DataFrame:
-    for c, t in types.items():
-        if c in df.columns:
-            df = df.withColumn(c, F.from_json(F.col(c), t))
-    return df
+def _slices(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """Rows with ``_wl_slice``: consecutive runs of the (group, order) sequence."""
+    ensure_checkpoint_dir(df.sparkSession)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (df.repartitionByRange(n, *[F.col(k) for k in keys], *order)
+            .withColumn("_wl_slice", F.spark_partition_id()).checkpoint(eager=True))
 
 
-def _window_number(df: DataFrame, partition_by, order_by, name, count_name, value_col=None):
-    w = Window.partitionBy(*partition_by).orderBy(*_order_cols(order_by))
-    if value_col is None:
-        out = df.withColumn(name, F.row_number().over(w))
-    else:
-        w = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        out = df.withColumn(name, F.sum(F.coalesce(F.col(value_col), F.lit(0))).over(w).cast("long"))
-    if count_name:
-        out = out.withColumn(count_name, F.count(F.lit(1)).over(Window.partitionBy(*partition_by)))
-    return out
+def _carry(rows: DataFrame, per_slice: DataFrame, keys: list[str]) -> DataFrame:
+    """Join what each (group, slice) receives from earlier slices."""
+    a, b = rows.alias("_wl_a"), per_slice.alias("_wl_b")
+    cond = _match("_wl_a", "_wl_b", [*keys, "_wl_slice"])
+    carried = [c for c in per_slice.columns if c not in (*keys, "_wl_slice")]
+    return a.join(b, cond).select("_wl_a.*", *[F.col(f"_wl_b.{c}") for c in carried])
 
 
 def running_sum(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str | Column],
                 value_col: str, name: str, hot_rows: int | None = None,
                 strategy: str = "auto") -> DataFrame:
     """Add ``name`` = sum of ``value_col`` over the group's rows up to and
-    including this one (rows frame), with the same hot-group handling."""
+    including this one (rows frame; nulls count as 0)."""
     return number_rows(df, partition_by, order_by, name, None, hot_rows, strategy, value_col)
 
 
 def number_rows(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str | Column],
                 name: str, count_name: str | None = None, hot_rows: int | None = None,
                 strategy: str = "auto", value_col: str | None = None) -> DataFrame:
-    """Add ``name`` = 1..n within each ``partition_by`` group in ``order_by`` order.
+    """Add ``name`` = 1..n (BIGINT) within each ``partition_by`` group in ``order_by`` order.
 
     ``order_by`` must end in a unique tie-break so numbers are deterministic.
     ``count_name`` optionally adds the group size.  ``strategy``: ``auto``
-    (hot-group split), ``window`` or ``range`` (forces one path; for tests).
-    With ``value_col`` the result is a running sum of that column instead.
+    (slices for hot groups), ``window`` or ``range`` (forces one way; for
+    tests).  With ``value_col`` the result is a running sum of that column.
     """
-    partition_by = list(partition_by)
-    if strategy == "window":
-        return _window_number(df, partition_by, order_by, name, count_name, value_col)
-    spark = df.sparkSession
-    if strategy == "range":
-        return _range_number(df, partition_by, order_by, name, count_name, None, value_col)
-    split = _split_hot(df, partition_by, hot_rows)
-    if split is None:
-        return _window_number(df, partition_by, order_by, name, count_name, value_col)
-    cold, hot_part, hot_df = split
-    numbered_cold = _window_number(cold, partition_by, order_by, name, count_name, value_col)
-    numbered_hot = _range_number(hot_part, partition_by, order_by, name, count_name, None,
-                                 value_col)
-    return numbered_cold.unionByName(numbered_hot)
-
-
-def _split_hot(df: DataFrame, partition_by: list[str], hot_rows: int | None):
-    """(cold rows, hot rows, hot keys) or None when no group exceeds the limit.
-
-    Which path a group takes only affects speed -- both give the same
-    numbers -- so the check may be approximate: it counts a Bernoulli sample
-    of the key columns (fraction chosen so a group at the limit shows ~2x
-    ``SAMPLE_HITS`` sampled rows) and flags keys above half the expected
-    count.  The key list stays bounded (at most 2 * rows / limit keys) and the
-    shuffle of the check is tiny even when the groups are many and small.
-    """
-    spark = df.sparkSession
-    if (spark.conf.get("wardline.skewCheck", None) or os.environ.get("WARDLINE_SKEW_CHECK", "auto")) == "off":
-        return None
-    limit = hot_rows or hot_group_rows(spark)
-    frac = min(1.0, SAMPLE_HITS / (limit / 2.0))
-    keys_only = df.select(*partition_by)
-    if frac < 1.0:
-        keys_only = keys_only.sample(withReplacement=False, fraction=frac, seed=20240115)
-        threshold = frac * limit / 2.0
-    else:
-        threshold = limit
-    sizes = keys_only.groupBy(*partition_by).agg(F.count(F.lit(1)).alias("_wl_rows"))
-    # The same input and key are often checked by several queries of a
-    # session (e.g. the live queue feeds four boards): memoise the result.
-    memo_key = (spark.sparkContext.applicationId, sizes.semanticHash(), limit)
-    if memo_key in _HOT_MEMO:
-        hot = _HOT_MEMO[memo_key]
-    else:
-        hot = sizes.where(F.col("_wl_rows") > threshold).select(*partition_by) \
-                   .limit(MAX_HOT_GROUPS).collect()
-        _HOT_MEMO[memo_key] = hot
-    if not hot:
-        return None
-    hot_df = F.broadcast(spark.createDataFrame(hot, df.select(*partition_by).schema))
-    cond = _key_match(df, hot_df, partition_by)
-    return df.join(hot_df, cond, "left_anti"), df.join(hot_df, cond, "left_semi"), hot_df
+    keys, order = list(partition_by), _order_cols(order_by)
+    value = F.coalesce(F.col(value_col), F.lit(0)).cast("long") if value_col else F.lit(1).cast("long")
+
+    def along(*by: str) -> Column:
+        return F.sum(value).over(Window.partitionBy(*by).orderBy(*order)
+                                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
+    def whole(d: DataFrame) -> DataFrame:
+        if value_col:
+            out = d.withColumn(name, along(*keys))
+        else:
+            out = d.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+        return out.withColumn(count_name, F.count(F.lit(1)).over(Window.partitionBy(*keys))) if count_name else out
+
+    def sliced(d: DataFrame) -> DataFrame:
+        rows = _slices(d, keys, order)
+        totals = rows.groupBy(*keys, "_wl_slice").agg(F.sum(value).alias("_wl_sum"), F.count(F.lit(1)).alias("_wl_n"))
+        before = Window.partitionBy(*keys).orderBy("_wl_slice").rowsBetween(Window.unboundedPreceding, -1)
+        per_slice = totals.select(
+            *keys, "_wl_slice", F.coalesce(F.sum("_wl_sum").over(before), F.lit(0)).alias("_wl_before"),
+            F.sum("_wl_n").over(Window.partitionBy(*keys)).alias("_wl_total"))
+        local = rows.withColumn("_wl_local", along(*keys, "_wl_slice"))
+        out = _carry(local, per_slice, keys).withColumn(name, F.col("_wl_local") + F.col("_wl_before"))
+        if count_name:
+            out = out.withColumn(count_name, F.col("_wl_total"))
+        return out.drop("_wl_slice", "_wl_local", "_wl_before", "_wl_total")
+
+    return _scan(df, keys, hot_rows, strategy, whole, sliced)
 
 
 def lag_within(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str | Column],
                col: str, name: str, ignore_nulls: bool = False, hot_rows: int | None = None,
                strategy: str = "auto") -> DataFrame:
     """Add ``name`` = ``col`` of the previous row of the group (``lag``), or
-    with ``ignore_nulls`` the last non-null ``col`` before this row.
+    with ``ignore_nulls`` the last non-null ``col`` before this row."""
+    keys, order = list(partition_by), _order_cols(order_by)
 
-    Same hot-group handling as ``number_rows``: small groups use a window,
-    hot groups a range-partitioned scan whose partition boundaries are
-    patched from a per-partition table (one row per partition).
-    """
-    partition_by = list(partition_by)
-
-    def window(d):
-        w = Window.partitionBy(*partition_by).orderBy(*_order_cols(order_by))
+    def previous(value: str, by: list[str], *along: Column) -> Column:
+        w = Window.partitionBy(*by).orderBy(*along)
         if ignore_nulls:
-            return d.withColumn(name, F.last(col, ignorenulls=True).over(
-                w.rowsBetween(Window.unboundedPreceding, -1)))
-        return d.withColumn(name, F.lag(col).over(w))
-
-    if strategy == "window":
-        return window(df)
-    if strategy == "range":
-        return _range_lag(df, partition_by, order_by, col, name, ignore_nulls)
-    split = _split_hot(df, partition_by, hot_rows)
-    if split is None:
-        return window(df)
-    cold, hot_part, _ = split
-    return window(cold).unionByName(_range_lag(hot_part, partition_by, order_by, col, name, ignore_nulls))
-
-
-def _range_lag(df: DataFrame, partition_by, order_by, col, name, ignore_nulls):
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    sort_cols = [F.col(c) for c in partition_by] + _order_cols(order_by)
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.repartitionByRange(n_parts, *sort_cols).sortWithinPartitions(*sort_cols)
-    ordered, nested = _encode_complex(ordered)
-    ctype = ordered.schema[col].dataType
-    schema = T.StructType(ordered.schema.fields + [
-        T.StructField("_wl_part", T.IntegerType()), T.StructField("_wl_idx", T.LongType()),
-        T.StructField(name, ctype), T.StructField("_wl_edge", T.BooleanType()),
-        T.StructField("_wl_tail", ctype)])
-    keys = list(partition_by)
-
-    def scan(batches):
-        pid = TaskContext.get().partitionId()
-        idx, prev_hash, carry, first_hash, first_open = 0, None, None, None, True
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            h = pd.util.hash_pandas_object(pdf[keys], index=False).to_numpy()
-            new_run = pd.Series(h).ne(pd.Series(h).shift()).to_numpy()
-            if prev_hash is not None:
-                new_run[0] = h[0] != prev_hash
-            run_id = new_run.cumsum()
-            vals = pdf[col].reset_index(drop=True)
-            if ignore_nulls:
-                lagged = vals.groupby(run_id).ffill().groupby(run_id).shift(1)
-            else:
-                lagged = vals.groupby(run_id).shift(1)
-            lagged = lagged.astype(object).where(lagged.notna(), None)
-            cont = prev_hash is not None and not new_run[0]
-            first_run = run_id == run_id[0]
-            if cont:
-                if ignore_nulls:
-                    fill = [carry if (v is None and f) else v for v, f in zip(lagged, first_run)]
-                    lagged = pd.Series(fill, dtype=object)
-                else:
-                    lagged.iloc[0] = carry
-            if first_hash is None:
-                first_hash = h[0]
-            # rows of the partition's first group still lacking an earlier value here
-            in_first_group = (h == first_hash) & first_open
-            edge = in_first_group & pd.Series(lagged).isna().to_numpy()
-            if not ignore_nulls:
-                edge = edge & (np.arange(len(pdf)) + idx == 0)
-            if (h != first_hash).any():
-                first_open = False
-            # carry for the next batch of this partition
-            last_run = run_id == run_id[-1]
-            if ignore_nulls:
-                nn = vals[last_run].dropna()
-                carry = nn.iloc[-1] if len(nn) else (carry if (cont and first_run[-1]) else None)
-            else:
-                carry = vals.iloc[-1]
-            tail = [None] * len(pdf)
-            tail[-1] = carry
-            pdf = pdf.assign(_wl_part=pid, _wl_idx=range(idx, idx + len(pdf)), **{name: list(lagged)},
-                             _wl_edge=edge, _wl_tail=tail)
-            idx += len(pdf)
-            prev_hash = h[-1]
-            yield pdf
-
-    scanned = ordered.mapInPandas(scan, schema).checkpoint(eager=True)
-    key_struct = F.struct(*[F.col(k) for k in keys])
-    bounds = scanned.groupBy("_wl_part").agg(
-        F.min_by(key_struct, "_wl_idx").alias("first_key"),
-        F.max_by(F.struct(key_struct.alias("k"), F.col("_wl_tail").alias("v")), "_wl_idx").alias("last"),
-    ).collect()
-    bounds.sort(key=lambda r: r["_wl_part"])
-    patches, carry_key, carry = [], None, None
-    for r in bounds:
-        first = tuple(r["first_key"])
-        incoming = carry if carry_key == first else None
-        if incoming is not None:
-            patches.append((r["_wl_part"], *first, incoming))
-        last_key, last_v = tuple(r["last"]["k"]), r["last"]["v"]
-        if ignore_nulls and last_key == first and last_v is None:
-            carry = incoming          # a partition of one group with no value passes the carry on
-        else:
-            carry = last_v
-        carry_key = last_key
-    key_fields = [scanned.schema[k] for k in keys]
-    patch_schema = T.StructType([T.StructField("_wl_ppid", T.IntegerType())] +
-                                [T.StructField(f"_wl_p_{f.name}", f.dataType) for f in key_fields] +
-                                [T.StructField("_wl_pv", ctype)])
-    patch = F.broadcast(spark.createDataFrame(patches, patch_schema))
-    cond = scanned["_wl_part"] == patch["_wl_ppid"]
-    for k in keys:
-        cond = cond & scanned[k].eqNullSafe(patch[f"_wl_p_{k}"])
-    out = scanned.join(patch, cond, "left").withColumn(
-        name, F.when(F.col("_wl_edge") & F.col(name).isNull(), F.col("_wl_pv")).otherwise(F.col(name)))
-    out = out.drop("_wl_part", "_wl_idx", "_wl_edge", "_wl_tail", "_wl_ppid", "_wl_pv", *[f"_wl_p_{k}" for k in keys])
-    if col in nested:
-        nested = {**nested, name: nested[col]}
-    return _decode_complex(out, nested)
-
-
-def _range_number(df: DataFrame, partition_by, order_by, name, count_name, sizes_df,
-                  value_col=None):
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    sort_cols = [F.col(c) for c in partition_by] + _order_cols(order_by)
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.repartitionByRange(n_parts, *sort_cols).sortWithinPartitions(*sort_cols)
-    ordered, nested = _encode_complex(ordered)
-    schema = T.StructType(ordered.schema.fields + [
-        T.StructField("_wl_part", T.IntegerType()),
-        T.StructField("_wl_idx", T.LongType()),
-        T.StructField("_wl_local", T.LongType()),
-    ])
-    keys = list(partition_by)
-
-    def slice_numbers(batches):
-        pid = TaskContext.get().partitionId()
-        idx = 0
-        prev_hash, prev_local = None, 0
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            h = pd.util.hash_pandas_object(pdf[keys], index=False).to_numpy()
-            new_run = pd.Series(h).ne(pd.Series(h).shift()).to_numpy()
-            if prev_hash is not None:
-                new_run[0] = h[0] != prev_hash
-            run_id = new_run.cumsum()
-            vals = (pdf[value_col].fillna(0).astype("int64").to_numpy() if value_col
-                    else 1)
-            local = pd.Series(vals, index=range(len(pdf))).groupby(run_id).cumsum().to_numpy()
-            if prev_hash is not None and not new_run[0]:
-                local[run_id == run_id[0]] += prev_local
-            pdf = pdf.assign(_wl_part=pid, _wl_idx=range(idx, idx + len(pdf)), _wl_local=local)
-            idx += len(pdf)
-            prev_hash, prev_local = h[-1], int(local[-1])
-            yield pdf
-
-    sliced = ordered.mapInPandas(slice_numbers, schema).checkpoint(eager=True)
-    # One row per partition: its first group and its last group with the
-    # length of its final run.  Bounded by the partition count.
-    key_struct = F.struct(*[F.col(k) for k in keys])
-    bounds = sliced.groupBy("_wl_part").agg(
-        F.min_by(key_struct, "_wl_idx").alias("first_key"),
-        F.max_by(F.struct(key_struct.alias("k"), F.col("_wl_local").alias("n")), "_wl_idx").alias("last"),
-    ).collect()
-    bounds.sort(key=lambda r: r["_wl_part"])
-    offsets = []
-    carry_key, carry = None, 0
-    for r in bounds:
-        first = tuple(r["first_key"])
-        off = carry if (carry_key is not None and first == carry_key) else 0
-        if off:
-            offsets.append((r["_wl_part"], *first, off))
-        last_key, last_n = tuple(r["last"]["k"]), r["last"]["n"]
-        # A partition made of one run continues the carried count.
-        carry = (off + last_n) if (last_key == first and off) else last_n
-        carry_key = last_key
-    key_fields = [sliced.schema[k] for k in keys]
-    off_schema = T.StructType([T.StructField("_wl_opid", T.IntegerType())] +
-                              [T.StructField(f"_wl_o_{f.name}", f.dataType) for f in key_fields] +
-                              [T.StructField("_wl_off", T.LongType())])
-    off_df = F.broadcast(spark.createDataFrame(offsets, off_schema))
-    cond = (sliced["_wl_part"] == off_df["_wl_opid"])
-    for k in keys:
-        cond = cond & sliced[k].eqNullSafe(off_df[f"_wl_o_{k}"])
-    out = sliced.join(off_df, cond, "left").withColumn(
-        name, (F.col("_wl_local") + F.coalesce(F.col("_wl_off"), F.lit(0))).cast(
-            "long" if value_col else "int"))
-    out = out.drop("_wl_part", "_wl_idx", "_wl_local", "_wl_opid", "_wl_off", *[f"_wl_o_{k}" for k in keys])
-    out = _decode_complex(out, nested)
-    if count_name:
-        if sizes_df is None:
-            # exact sizes of the (few) hot groups
-            sizes_df = F.broadcast(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_wl_rows")))
-        renamed = sizes_df.select(*[F.col(k).alias(f"_wl_s_{k}") for k in keys], "_wl_rows")
-        scond = reduce(lambda a, b: a & b, [out[k].eqNullSafe(renamed[f"_wl_s_{k}"]) for k in keys])
-        out = out.join(renamed, scond, "left").withColumn(count_name, F.col("_wl_rows")) \
-                 .drop("_wl_rows", *[f"_wl_s_{k}" for k in keys])
-    return out
+            return F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        return F.lag(value).over(w)
+
+    def whole(d: DataFrame) -> DataFrame:
+        return d.withColumn(name, previous(col, keys, *order))
+
+    def sliced(d: DataFrame) -> DataFrame:
+        rows = _slices(d, keys, order)
+        by = [*keys, "_wl_slice"]
+        w = Window.partitionBy(*by).orderBy(*order)
+        local = rows.withColumn("_wl_i", F.row_number().over(w)).withColumn("_wl_prev", previous(col, by, *order))
+        # what a slice hands on: its last row's value, or the last one that is not null
+        last = F.coalesce(F.col(col), F.col("_wl_prev")) if ignore_nulls else F.col(col)
+        n = F.count(F.lit(1)).over(Window.partitionBy(*by))
+        tails = local.withColumn("_wl_n", n).where("_wl_i = _wl_n").select(*by, last.alias("_wl_tail"))
+        per_slice = tails.select(*by, previous("_wl_tail", keys, F.col("_wl_slice")).alias("_wl_in"))
+        out = _carry(local, per_slice, keys)
+        value = (F.coalesce(F.col("_wl_prev"), F.col("_wl_in")) if ignore_nulls
+                 else F.when(F.col("_wl_i") == 1, F.col("_wl_in")).otherwise(F.col("_wl_prev")))
+        return out.withColumn(name, value).drop("_wl_slice", "_wl_i", "_wl_prev", "_wl_in")
+
+    return _scan(df, keys, hot_rows, strategy, whole, sliced)
