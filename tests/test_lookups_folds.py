@@ -57,16 +57,24 @@ def test_admission_keys_and_messages(spark):
 def test_cancel_booking_and_lab_cancel(spark):
     t, b = frames(spark, [token(1, "PB003", token_type="prebooked", booking="PB003",
                                 day=dt.date(2024, 1, 14))], [booking(1, "PB003", 1, (10, 0))])
-    log = spark.createDataFrame([(1, TS(9), "pb003"), (2, TS(10), "PB003")], "req_id long, ts timestamp_ntz, booking_id string")
-    out = {(r.target, r.req_id): r for r in folds.cancel_bookings(t, b, log).collect()}
-    assert out[("booking", 1)].success and ("token", 1) in out              # token of another day too
+    log = spark.createDataFrame([(1, TS(9), "pb003"), (2, TS(10), "PB003"), (3, TS(10), "PB999"), (4, TS(10), " ")],
+                                "req_id long, ts timestamp_ntz, booking_id string")
+    out = {r.req_id: (r.success, r.message) for r in folds.cancel_bookings(b, log).collect()}
+    assert out == {1: (True, "Booking cancelled successfully"), 2: (True, "Booking cancelled"),
+                   3: (True, "Booking cancelled"), 4: (False, "Booking ID is required")}
+    hit = {(r.target, r.req_id) for r in folds.cancel_booking_targets(t, b, log).collect()}
+    assert hit == {("booking", 1), ("token", 1)}                            # token of another day too
     lb = spark.createDataFrame([(8, "LB007", "booked"), (16, "LB015", "completed")],
                                "booking_id long, booking_code string, booking_status string")
     lt = spark.createDataFrame([(4, "LB007", "waiting")], "token_id long, token_number string, token_status string")
     llog = spark.createDataFrame([(1, TS(9), "lb007"), (2, TS(10), "LB007"), (3, TS(11), "LB015")],
                                  "req_id long, ts timestamp_ntz, booking_code string")
-    got = sorted((r.target, r.target_key, r.req_id) for r in folds.cancel_lab(lb, lt, llog).collect())
+    got = sorted((r.target, r.target_key, r.req_id) for r in folds.cancel_lab_targets(lb, lt, llog).collect())
     assert got == [("booking", "LB007", 1), ("lab_token", "4", 1)]
+    answers = {r.req_id: (r.success, r.message) for r in folds.cancel_lab(lb, llog).collect()}
+    assert answers == {1: (True, "Lab booking cancelled successfully"),
+                       2: (False, "Booking not found or already cancelled"),
+                       3: (False, "Booking not found or already cancelled")}
 
 
 def test_break_rules(spark):
@@ -74,10 +82,13 @@ def test_break_rules(spark):
         [(1, TS(8), DAY, 1, "end_break"), (2, TS(9), DAY, 1, "start_break"), (3, TS(10), DAY, 1, "end_break"),
          (4, TS(11), DAY, 1, "end_break"), (5, TS(9), DAY, 2, "start_break"), (6, TS(10), DAY, 3, "end_break")],
         "req_id long, ts timestamp_ntz, d date, doctor_id int, action string")
-    out = {r.doctor_id: r for r in folds.break_state(None, log).collect()}
+    out = {r.doctor_id: r for r in folds.break_state(log).collect()}
     assert out[1].status == "available" and out[1].break_end == TS(11)      # later end moves break_end
     assert out[2].status == "on_break" and out[2].break_end is None
     assert 3 not in out                                                   # end without a row: no-op
+    doctors = spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "id int")
+    day = {r.doctor_id: (r.status, r.is_on_break) for r in folds.break_state_on(doctors, log, DAY).collect()}
+    assert day == {1: ("available", False), 2: ("on_break", True), 3: ("available", False), 4: ("available", False)}
 
 
 def test_reschedule_chain_and_pharmacy_status_chain(spark):
@@ -86,7 +97,11 @@ def test_reschedule_chain_and_pharmacy_status_chain(spark):
         [(1, TS(8), DAY, "PB001", "2024-01-17", "11:00:00"), (2, TS(9), DAY, "PB001", "2024-01-17", ""),
          (3, TS(10), DAY, "PB001", "2024-01-10", "")],
         "req_id long, ts timestamp_ntz, d date, booking_id string, new_date string, new_time string")
-    out = {r.req_id: r for r in folds.reschedule(b, log).collect()}
+    t, _ = frames(spark, [token(7, "A001", booking="pb001"), token(8, "A002")], [])
+    out = {r.req_id: r for r in folds.reschedule(b, log, t).collect()}
+    assert out[1].token_time_updated and not out[2].token_time_updated
+    assert not folds.reschedule(b, log, t.limit(0)).where("token_time_updated").count()
+    assert [(r.token_id, r.new_time) for r in folds.reschedule_tokens(b, log, t).collect()] == [(7, "11:00:00")]
     assert out[1].success and (out[1].old_date, out[1].old_time) == (DAY, "10:00:00")
     assert not out[2].success and out[2].message == "No changes made to the appointment"
     assert out[3].message == "Cannot reschedule to a past date"

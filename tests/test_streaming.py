@@ -113,7 +113,7 @@ def test_board_and_break_streams_end_to_end(spark):
 
     break_path = os.path.join(root, "breaks")
     run("break_in", h.break_log, boards.refresh_sink(os.path.join(root, "break_log"), break_path,
-                                                     boards.break_board(h.doctors)), "ck2")
-    want_b = folds.break_state(h.doctors, h.break_log).select("doctor_id", "status", "break_start")
+                                                     boards.break_board()), "ck2")
+    want_b = folds.break_state(h.break_log).select("doctor_id", "status", "break_start")
     got_b = spark.read.parquet(break_path).select("doctor_id", "status", "break_start")
     assert sorted(got_b.collect()) == sorted(want_b.collect())

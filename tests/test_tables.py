@@ -82,3 +82,15 @@ def test_parse_typed_batch_and_stream(spark):
          .option("checkpointLocation", os.path.join(d, "ck")).trigger(availableNow=True).start())
     q.awaitTermination(300)
     assert spark.table("parsed_requests").count() == 3
+
+
+def test_a_day_without_rows_loses_its_partition(spark, tmp_path):
+    import datetime as dt
+    path = str(tmp_path / "days")
+    days = [dt.date(2024, 1, 1), dt.date(2024, 1, 2), dt.date(2024, 1, 3)]
+    tables.replace_days(spark.createDataFrame([(i, d) for i, d in enumerate(days)], "v int, queue_date date"), path)
+    tables.replace_days(spark.createDataFrame([(9, days[0])], "v int, queue_date date"), path, days=days[:2])
+    left = sorted((r.v, r.queue_date) for r in spark.read.parquet(path).collect())
+    assert left == [(2, days[2]), (9, days[0])]
+    tables.delete_days(spark, path, [days[2], dt.date(2030, 1, 1)])
+    assert [r.v for r in spark.read.parquet(path).collect()] == [9]

@@ -29,6 +29,14 @@ def test_live_queue_view_matches_all_days(spark):
         assert v2["shown"].count() == min(5, allq.count())
 
 
+def test_a_viewer_who_is_not_listed_sees_the_head(spark):
+    h = Hospital(spark, SF001)
+    v = views.live_queue_view(h, DAY, doctor_id=3, current_token="ZZZ9")
+    n = v["queue"].count()
+    assert sorted(r.shown_position for r in v["shown"].collect()) == list(range(1, min(5, n) + 1))
+    assert v["summary"].collect()[0].current_position == 0
+
+
 def test_other_views_run(spark):
     h = Hospital(spark, SF001)
     assert views.lab_queue_view(h, DAY, "mri").where(F.col("test_name") != "MRI Scan").count() == 0

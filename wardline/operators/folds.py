@@ -35,6 +35,11 @@ MSG_NOT_FOUND = "Token not found"
 MSG_ALREADY_CANCELLED = "Token is already cancelled"
 MSG_COMPLETED = "Cannot cancel a completed token"
 MSG_ID_REQUIRED = "Token number or ID is required"
+MSG_BOOKING_REQUIRED = "Booking ID is required"
+MSG_BOOKING_CANCELLED = "Booking cancelled successfully"
+MSG_BOOKING_NOT_CHANGED = "Booking cancelled"
+MSG_LAB_CANCELLED = "Lab booking cancelled successfully"
+MSG_LAB_NOT_FOUND = "Booking not found or already cancelled"
 
 
 def _order(prefix: str = "") -> F.Column:
@@ -127,27 +132,58 @@ def cancel_notifications(cancel_log: DataFrame) -> DataFrame:
 
 
 # -- T7 -----------------------------------------------------------------------------
-def cancel_bookings(tokens: DataFrame, bookings: DataFrame, log: DataFrame) -> DataFrame:
-    """Booking cancel requests: the booking, plus tokens of any day whose booking
-    id or number equals it.  ``success`` follows MySQL's changed-row count:
-    only a request that actually changed the booking succeeds."""
-    r = log.select("req_id", "ts", upper_key("booking_id").alias("B")).where(F.col("B") != "")
+def _keyed_requests(log: DataFrame, col: str) -> DataFrame:
+    """Requests with their booking text as the application reads it; '' when it counts as missing."""
+    text = upper_key(col)
+    return log.select("req_id", "ts", F.when(F.coalesce(text, F.lit("")).isin("", "0"), F.lit(""))
+                      .otherwise(text).alias("B"))
+
+
+def _first_per(requests: DataFrame, key: str) -> DataFrame:
+    """The first request of each key: later ones find the change made."""
+    return requests.groupBy(key).agg(F.min(_order()).alias("first"))
+
+
+def cancel_bookings(bookings: DataFrame, log: DataFrame) -> DataFrame:
+    """The answer to every booking cancel request.
+
+    A request with an id always succeeds; its message tells whether the
+    booking changed (it exists, was not cancelled, and no earlier request
+    cancelled it).  Only a request without an id fails.
+    """
+    r = _keyed_requests(log, "booking_id")
+    # the first request of an id decides, so only one row per id meets the bookings
+    first = _first_per(r.where(F.col("B") != ""), "B")
+    b = bookings.select(upper_key("booking_id").alias("B"), "status")
+    changing = first.join(b, "B").where(F.col("status") != "cancelled").select(
+        F.col("first.req_id").alias("req_id")).distinct().withColumn("_changed", F.lit(True))
+    x = r.join(changing, "req_id", "left")
+    changed = F.coalesce(F.col("_changed"), F.lit(False))
+    given = F.col("B") != ""
+    return x.select("req_id", F.col("B").alias("booking_id"), given.alias("success"), changed.alias("changed"),
+                    F.when(~given, F.lit(MSG_BOOKING_REQUIRED)).when(changed, F.lit(MSG_BOOKING_CANCELLED))
+                    .otherwise(F.lit(MSG_BOOKING_NOT_CHANGED)).alias("message"))
+
+
+def cancel_booking_targets(tokens: DataFrame, bookings: DataFrame, log: DataFrame) -> DataFrame:
+    """The bookings and the tokens of any day (by booking id or number) that a
+    log of booking cancel requests sets to cancelled, with the first request of each."""
+    first = _first_per(_keyed_requests(log, "booking_id").where(F.col("B") != ""), "B")
     b = bookings.select(upper_key("booking_id").alias("B"), "booking_id", "status")
-    first = r.join(b, "B").groupBy("B", "booking_id", "status").agg(F.min(_order()).alias("first"))
-    booking_rows = first.select(F.lit("booking").alias("target"), F.col("booking_id").alias("target_key"),
-                                F.col("status").alias("old_status"), F.col("first.req_id").alias("req_id"))
+    booking_rows = first.join(b, "B").select(
+        F.lit("booking").alias("target"), F.col("booking_id").alias("target_key"),
+        F.col("status").alias("old_status"), F.col("first.req_id").alias("req_id"))
     t = tokens.select("id", "token_number", "booking_id", "status")
-    hits = r.join(t, r.B == upper_key(t.booking_id)).select("req_id", "ts", "id") \
-        .unionByName(r.join(t, r.B == upper_key(t.token_number)).select("req_id", "ts", "id"))
-    tok = hits.groupBy("id").agg(F.min(_order()).alias("first")).join(t, "id").select(
+    hits = first.join(t, F.col("B") == upper_key("booking_id")).select("first", "id") \
+        .unionByName(first.join(t, F.col("B") == upper_key("token_number")).select("first", "id"))
+    tok = hits.groupBy("id").agg(F.min("first").alias("first")).join(t, "id").select(
         F.lit("token").alias("target"), F.col("id").cast("string").alias("target_key"),
         F.col("status").alias("old_status"), F.col("first.req_id").alias("req_id"))
-    out = booking_rows.unionByName(tok).withColumn("new_status", F.lit("cancelled"))
-    return out.withColumn("success", (F.col("target") == "booking") & (F.col("old_status") != "cancelled"))
+    return booking_rows.unionByName(tok).withColumn("new_status", F.lit("cancelled"))
 
 
 # -- T8 -----------------------------------------------------------------------------
-def reschedule(bookings: DataFrame, log: DataFrame) -> DataFrame:
+def reschedule(bookings: DataFrame, log: DataFrame, tokens: DataFrame) -> DataFrame:
     """Reschedule requests applied in order per booking.
 
     Checks (F7) reject a request before any change.  An accepted request
@@ -155,12 +191,15 @@ def reschedule(bookings: DataFrame, log: DataFrame) -> DataFrame:
     it, and "no changes" when nothing differed (MySQL counts only changed
     rows).  Per booking the state after request k is the last accepted date
     and the last accepted non-empty time up to k, found with windows over the
-    booking's own requests.
+    booking's own requests.  ``token_time_updated``: a time was given and a
+    token has the booking (``reschedule_tokens`` gives these tokens).
     """
     chk = reschedule_checks(log)
     b = bookings.select(upper_key("booking_id").alias("booking_id"), F.col("appointment_date").alias("d0"),
                         F.col("appointment_sod").alias("t0"))
-    x = chk.join(b, "booking_id", "left")
+    with_token = tokens.select(upper_key("booking_id").alias("booking_id")).distinct().withColumn(
+        "_has_token", F.lit(True))
+    x = chk.join(b, "booking_id", "left").join(with_token, "booking_id", "left")
     found = F.col("d0").isNotNull()
     ok = F.col("accepted") & found
     x = x.withColumn("_ok", ok).withColumn(
@@ -187,27 +226,52 @@ def reschedule(bookings: DataFrame, log: DataFrame) -> DataFrame:
                     F.when(F.col("_ok"), hms("old_sod")).alias("old_time"),
                     F.when(F.col("_ok"), new_d).alias("new_date"),
                     F.when(F.col("_ok"), hms(new_t)).alias("new_time"),
-                    F.when(F.col("_ok") & (F.col("new_time") != ""), F.lit(True))
-                    .otherwise(F.lit(False)).alias("token_time_updated"))
+                    F.coalesce(F.col("_ok") & (F.col("new_time") != "") & F.col("_has_token"), F.lit(False))
+                    .alias("token_time_updated"))
+
+
+def reschedule_tokens(bookings: DataFrame, log: DataFrame, tokens: DataFrame) -> DataFrame:
+    """T8, token side: tokens of a booking take the time of its last accepted request with a time."""
+    known = bookings.select(upper_key("booking_id").alias("booking_id")).distinct()
+    timed = reschedule_checks(log).where(F.col("accepted") & (F.col("new_time") != "")).join(known, "booking_id")
+    last = timed.groupBy("booking_id").agg(F.max(F.struct("ts", "req_id", "new_time")).alias("last"))
+    t = tokens.select("id", upper_key("booking_id").alias("booking_id"), F.col("expected_sod").alias("_old"))
+    return t.join(last, "booking_id").select(
+        F.col("id").alias("token_id"), "booking_id", F.col("last.req_id").alias("req_id"),
+        hms("_old").alias("old_time"), F.col("last.new_time").alias("new_time"))
 
 
 # -- T9 -----------------------------------------------------------------------------
-def cancel_lab(lab_bookings: DataFrame, lab_tokens: DataFrame, log: DataFrame) -> DataFrame:
-    """Cancel a lab booking when booked or checked in (first request wins;
-    later ones find it cancelled), then any active lab token numbered like it."""
-    r = log.select("req_id", "ts", upper_key("booking_code").alias("code")).where(F.col("code") != "")
+def _lab_hits(lab_bookings: DataFrame, log: DataFrame) -> DataFrame:
+    """The first request of each code whose booking can be cancelled."""
     b = lab_bookings.where(F.col("booking_status").isin("booked", "checked_in")).select(
-        F.col("booking_code").alias("code"), "booking_id", "booking_status")
-    first = r.join(b, "code").groupBy("code", "booking_id", "booking_status").agg(
-        F.min(_order()).alias("first"))
-    bk = first.select(F.lit("booking").alias("target"), F.col("code").alias("target_key"),
-                      F.col("booking_status").alias("old_status"), F.col("first.req_id").alias("req_id"))
+        upper_key("booking_code").alias("B"), "booking_status")
+    return _first_per(_keyed_requests(log, "booking_code").where(F.col("B") != ""), "B").join(b, "B")
+
+
+def cancel_lab(lab_bookings: DataFrame, log: DataFrame) -> DataFrame:
+    """The answer to every lab cancel request.  It succeeds when the booking is
+    booked or checked in; a later request finds it cancelled."""
+    r = _keyed_requests(log, "booking_code")
+    hit = _lab_hits(lab_bookings, log).select(F.col("first.req_id").alias("req_id")).distinct().withColumn(
+        "_hit", F.lit(True))
+    x = r.join(hit, "req_id", "left")
+    ok = F.coalesce(F.col("_hit"), F.lit(False))
+    return x.select("req_id", F.col("B").alias("booking_code"), ok.alias("success"),
+                    F.when(F.col("B") == "", F.lit(MSG_BOOKING_REQUIRED)).when(ok, F.lit(MSG_LAB_CANCELLED))
+                    .otherwise(F.lit(MSG_LAB_NOT_FOUND)).alias("message"))
+
+
+def cancel_lab_targets(lab_bookings: DataFrame, lab_tokens: DataFrame, log: DataFrame) -> DataFrame:
+    """The cancelled bookings, and the active lab tokens numbered like them."""
+    hits = _lab_hits(lab_bookings, log)
+    bk = hits.select(F.lit("booking").alias("target"), F.col("B").alias("target_key"),
+                     F.col("booking_status").alias("old_status"), F.col("first.req_id").alias("req_id"))
     lt = lab_tokens.where(F.col("token_status").isin(*LAB_ACTIVE)).select(
-        upper_key("token_number").alias("code"), "token_id", "token_status")
-    tk = first.join(lt, "code").select(F.lit("lab_token").alias("target"),
-                                       F.col("token_id").cast("string").alias("target_key"),
-                                       F.col("token_status").alias("old_status"),
-                                       F.col("first.req_id").alias("req_id"))
+        upper_key("token_number").alias("B"), "token_id", "token_status")
+    tk = hits.join(lt, "B").select(F.lit("lab_token").alias("target"),
+                                   F.col("token_id").cast("string").alias("target_key"),
+                                   F.col("token_status").alias("old_status"), F.col("first.req_id").alias("req_id"))
     return bk.unionByName(tk).withColumn("new_status", F.lit("cancelled"))
 
 
@@ -269,29 +333,33 @@ def pharmacy_status_fold(pharmacy_tokens: DataFrame, log: DataFrame) -> DataFram
 
 
 # -- T12 ----------------------------------------------------------------------------
-def break_state(doctors: DataFrame, break_log: DataFrame) -> DataFrame:
+def break_state(break_log: DataFrame) -> DataFrame:
     """Doctor break row per (doctor, day) after break requests.
 
     A start upserts the row (start time, on_break, end cleared); an end
     before any start that day does nothing; later ends move break_end.  So:
-    start = last start; end = last end after it; status from the last
-    effective action.  Doctor-days without a start keep the default
-    ('available'), i.e. no row.
+    start = last start; end = last end if it came after it; one aggregate.
+    Doctor-days without a start have no row (``break_state_on`` adds the
+    default ones of a day).
     """
     r = break_log.where(F.col("action").isin(*ENUMS["break_action"]) & (F.col("doctor_id") != 0))
-    keys = ["doctor_id", "break_date"]
-    starts = r.where(F.col("action") == "start_break").groupBy("doctor_id", F.col("d").alias("break_date")) \
-        .agg(F.max(_order()).alias("s"))
-    ends = r.where(F.col("action") == "end_break").select("doctor_id", F.col("d").alias("break_date"),
-                                                         _order().alias("e"))
-    last_end = starts.join(ends, keys).where(F.col("e") > F.col("s")).groupBy(*keys).agg(
-        F.max("e").alias("e"))
-    agg = starts.join(last_end, keys, "left")
+    last = r.groupBy("doctor_id", F.col("d").alias("break_date")).agg(
+        F.max(F.when(F.col("action") == "start_break", _order())).alias("s"),
+        F.max(F.when(F.col("action") == "end_break", _order())).alias("e"))
     # No doctor check: the reference's break table has no foreign key.
-    return agg.select(
-        "doctor_id", "break_date", F.col("s.ts").alias("break_start"), F.col("e.ts").alias("break_end"),
-        F.when(F.col("e").isNull(), F.lit("on_break")).otherwise(F.lit("available")).alias("status"),
-        F.col("e").isNull().alias("is_on_break"))
+    ended = F.coalesce(F.col("e") > F.col("s"), F.lit(False))
+    return last.where(F.col("s").isNotNull()).select(
+        "doctor_id", "break_date", F.col("s.ts").alias("break_start"), F.when(ended, F.col("e.ts")).alias("break_end"),
+        F.when(ended, F.lit("available")).otherwise(F.lit("on_break")).alias("status"), (~ended).alias("is_on_break"))
+
+
+def break_state_on(doctors: DataFrame, break_log: DataFrame, day) -> DataFrame:
+    """T12 for one day: every doctor, 'available' without a break by default."""
+    own = break_state(break_log.where(F.col("d") == F.lit(day).cast("date")))
+    return doctors.select(F.col("id").alias("doctor_id")).join(own, "doctor_id", "left").select(
+        "doctor_id", F.lit(day).cast("date").alias("break_date"), "break_start", "break_end",
+        F.coalesce("status", F.lit("available")).alias("status"),
+        F.coalesce("is_on_break", F.lit(False)).alias("is_on_break"))
 
 
 # -- T1 / T2 / T3 -------------------------------------------------------------------

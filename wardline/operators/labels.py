@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.operators.ranking import number_rows
+from wardline.operators.ranking import number_rows, running_sum
 
 # Status aliases -> board category, category labels, the staff
 # selector labels for OPD statuses and the pharmacy labels.
@@ -79,18 +79,18 @@ def queue_badges(neighbourhood: DataFrame) -> DataFrame:
 
 def pharmacy_board(pharmacy_queue: DataFrame) -> DataFrame:
     """the pharmacy boards -- non-cancelled tokens in arrival order, the
-    staff waiting list, and the token now being served (first processing)."""
-    q = pharmacy_queue.where(F.col("status") != "cancelled")
-    q = number_rows(q, ["queue_date", "pharmacy_id"], ["position", "id"], "board_position")
-    w = q.where(F.col("status") == "waiting")
-    w = number_rows(w, ["queue_date", "pharmacy_id"], ["position", "id"], "waiting_position") \
-        .select("id", "waiting_position")
-    serving = q.where(F.col("status") == "processing").groupBy("queue_date", "pharmacy_id").agg(
-        F.min_by("id", "position").alias("_serving"))
-    out = q.join(w, "id", "left").join(serving, ["queue_date", "pharmacy_id"], "left")
-    return out.select("queue_date", "pharmacy_id", "id", "token_number", "status", "board_position",
-                      "waiting_position",
-                      F.coalesce(F.col("id") == F.col("_serving"), F.lit(False)).alias("now_serving"))
+    staff waiting list, and the token now being served (first processing).
+    Running counts along the one arrival order."""
+    group, order = ["queue_date", "pharmacy_id"], ["position", "id"]
+    q = pharmacy_queue.where(F.col("status") != "cancelled").withColumn(
+        "_waits", (F.col("status") == "waiting").cast("int")).withColumn(
+        "_serves", (F.col("status") == "processing").cast("int"))
+    q = number_rows(q, group, order, "board_position")
+    q = running_sum(q, group, order, "_waits", "_n_waiting")
+    q = running_sum(q, group, order, "_serves", "_n_serving")
+    return q.select("queue_date", "pharmacy_id", "id", "token_number", "status", "board_position",
+                    F.when(F.col("_waits") == 1, F.col("_n_waiting")).alias("waiting_position"),
+                    ((F.col("_serves") == 1) & (F.col("_n_serving") == 1)).alias("now_serving"))
 
 
 def next_patient(worklist: DataFrame) -> DataFrame:

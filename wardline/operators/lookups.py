@@ -48,6 +48,10 @@ def active_tokens(tokens: DataFrame, lab_tokens: DataFrame, doctors: DataFrame,
     return opd.unionByName(lab)
 
 
+# Fixed text of the application.
+LAB_BOOKING_NOT_FOUND = "Booking not found or already completed. Please check your Lab Booking ID."
+
+
 def _first_active(active: DataFrame, key: str) -> DataFrame:
     """One row per (key, day): OPD before lab, then lowest id (pre-aggregated
     before the request join, so a busy key never fans out)."""
@@ -252,9 +256,9 @@ def lab_booking_ahead(lab_bookings: DataFrame, lab_tokens: DataFrame, lab_tests:
 
 def verify_lab_bookings(requests: DataFrame, lab_bookings: DataFrame, lab_tokens: DataFrame,
                         lab_tests: DataFrame) -> DataFrame:
-    """J7 + A9: lab booking by code for each request; ahead counted on the
+    """J7 + A9: lab booking by code for each request, found or refused; ahead counted on the
     request day (the reference counts today's queue even for later dates)."""
-    tests = F.broadcast(lab_tests.select("test_id", "test_code", "test_name", "duration_minutes"))
+    tests = lab_tests.select("test_id", "test_code", "test_name", "duration_minutes")
     b = lab_bookings.where(F.col("booking_status").isin(*LAB_VALID_BOOKING)).join(tests, "test_id")
     r = requests.select("req_id", "d", upper_key("lab_code").alias("_code"))
     x = r.join(b, (r._code == b.booking_code) & (b.appointment_date >= r.d))
@@ -263,9 +267,13 @@ def verify_lab_bookings(requests: DataFrame, lab_bookings: DataFrame, lab_tokens
     ahead = _lab_ahead(probes, lab_tokens, lab_bookings)
     v = x.join(ahead, x.req_id == ahead._pid)
     wait = F.col("people_ahead") * F.col("duration_minutes")
-    return v.select("req_id", F.col("booking_code").alias("booking_id"), "test_id", "test_code",
-                    "test_name", "patient_name", "patient_phone", "appointment_date",
-                    hms("appointment_sod").alias("scheduled_time"),
-                    hms(wrap_sod(F.col("appointment_sod") + wait * 60)).alias("expected_time"),
-                    "booking_status", "people_ahead", wait.alias("wait_time"),
-                    (F.col("people_ahead") + 1).alias("position"))
+    found = v.select("req_id", F.col("booking_code").alias("booking_id"), "test_id", "test_code",
+                     "test_name", "patient_name", "patient_phone", "appointment_date",
+                     hms("appointment_sod").alias("scheduled_time"),
+                     hms(wrap_sod(F.col("appointment_sod") + wait * 60)).alias("expected_time"),
+                     "booking_status", "people_ahead", wait.alias("wait_time"),
+                     (F.col("people_ahead") + 1).alias("position"))
+    is_found = F.col("booking_id").isNotNull()
+    return requests.select("req_id").join(found, "req_id", "left") \
+        .withColumn("found", is_found) \
+        .withColumn("message", F.when(~is_found, F.lit(LAB_BOOKING_NOT_FOUND)))

@@ -99,6 +99,12 @@ def live_queue(tokens: DataFrame, bookings: DataFrame, scope: str = "doctor",
     return ranked.drop("_t1", "_t2").withColumn("people_ahead", F.col("position") - 1)
 
 
+# Rows that one screen of the application shows.
+WORKLIST_SHOWN = 20
+ARRIVALS_SHOWN = 10
+HEAD_SHOWN = 5
+
+
 def queue_neighbourhood(queue: DataFrame, group: list[str], size: int = 5) -> DataFrame:
     """For every token in a queue, the ``size`` entries shown around it.
 
@@ -152,8 +158,8 @@ def lab_queue(lab_tokens: DataFrame, lab_bookings: DataFrame, lab_tests: DataFra
         .withColumn("people_ahead", F.col("position") - 1)
 
 
-def doctor_worklist(tokens: DataFrame, limit: int = 20) -> DataFrame:
-    """Per (day, doctor) the first ``limit`` active tokens in four tiers.
+def doctor_worklist(tokens: DataFrame, limit: int | None = None) -> DataFrame:
+    """Per (day, doctor) the active tokens (the first ``limit`` if given) in four tiers.
 
     Tiers: consulting, pre-booked (type or PB number), review, rest; then
     expected time (NULL first) and id.  The top-k is a per-group
@@ -171,11 +177,11 @@ def doctor_worklist(tokens: DataFrame, limit: int = 20) -> DataFrame:
     ranked = number_rows(t, ["queue_date", "doctor_id"],
                          ["_c", "priority_order", F.col("expected_sod").asc_nulls_first(), "id"],
                          "position")
-    return ranked.where(F.col("position") <= limit).drop("_c")
+    return (ranked if limit is None else ranked.where(F.col("position") <= limit)).drop("_c")
 
 
-def expected_arrivals(bookings: DataFrame, tokens: DataFrame, limit: int = 10) -> DataFrame:
-    """First ``limit`` booked or confirmed bookings per (day, doctor)
+def expected_arrivals(bookings: DataFrame, tokens: DataFrame, limit: int | None = None) -> DataFrame:
+    """Booked or confirmed bookings (the first ``limit`` if given) per (day, doctor)
     with no live token matching by number or booking id."""
     rows = booked_not_arrived(bookings, tokens, statuses=("booked", "confirmed"),
                               match_booking_id=True)
@@ -184,7 +190,7 @@ def expected_arrivals(bookings: DataFrame, tokens: DataFrame, limit: int = 10) -
                        F.col("appointment_date").alias("queue_date"),
                        F.col("appointment_sod").alias("expected_sod"))
     ranked = number_rows(rows, ["queue_date", "doctor_id"], ["expected_sod", "prebook_id"], "position")
-    return ranked.where(F.col("position") <= limit)
+    return ranked if limit is None else ranked.where(F.col("position") <= limit)
 
 
 def simple_queue(tokens: DataFrame) -> DataFrame:

@@ -119,15 +119,19 @@ def lab_capacity(lab_bookings: DataFrame, lab_tests: DataFrame) -> DataFrame:
 
 def queue_totals(live: DataFrame, worklist: DataFrame, arrivals: DataFrame,
                  tokens: DataFrame) -> DataFrame:
-    """Per (day, doctor) the four counters the boards print."""
+    """Per (day, doctor) the four counters of the boards over all rows, and how
+    many rows of the worklist and of the arrivals a screen shows."""
+    from wardline.operators.queues import ARRIVALS_SHOWN, WORKLIST_SHOWN
     k = ["queue_date", "doctor_id"]
-    a = live.groupBy(*k).agg(F.count(F.lit(1)).alias("total_in_queue"))
-    b = worklist.groupBy(*k).agg(F.count(F.lit(1)).alias("total_waiting"))
-    c = arrivals.groupBy(*k).agg(F.count(F.lit(1)).alias("total_expected"))
-    d = tokens.groupBy(*k).agg(F.count(F.lit(1)).alias("count"))
-    out = a.join(b, k, "full").join(c, k, "full").join(d, k, "full")
-    return out.select(*k, *[F.coalesce(F.col(c), F.lit(0)).alias(c)
-                            for c in ["total_in_queue", "total_waiting", "total_expected", "count"]])
+    names = ["total_in_queue", "total_waiting", "total_expected", "count"]
+    parts = [df.select(*k, *[F.lit(1 if n == name else 0).alias(n) for n in names])
+             for name, df in zip(names, (live, worklist, arrivals, tokens))]
+    union = parts[0]
+    for p in parts[1:]:
+        union = union.unionByName(p)
+    out = union.groupBy(*k).agg(*[F.sum(n).alias(n) for n in names])
+    return out.withColumn("waiting_shown", F.least("total_waiting", F.lit(WORKLIST_SHOWN))) \
+        .withColumn("expected_shown", F.least("total_expected", F.lit(ARRIVALS_SHOWN)))
 
 
 def doctor_remaining(worklist: DataFrame) -> DataFrame:

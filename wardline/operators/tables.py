@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,10 +87,23 @@ def reset_bookings(bookings: DataFrame, day) -> DataFrame:
                                                 F.lit("booked")).otherwise(F.col("status")))
 
 
-def replace_days(df: DataFrame, path: str, day_col: str = "queue_date") -> None:
-    """Write ``df`` replacing only the ``day_col`` partitions it holds."""
+def replace_days(df: DataFrame, path: str, day_col: str = "queue_date", days: Sequence = ()) -> None:
+    """Write ``df`` replacing the ``day_col`` partitions it holds, and
+    remove those of ``days`` for which it has no row."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
       .partitionBy(day_col).parquet(path)
+    if days:
+        held = {r[0] for r in df.select(day_col).distinct().collect()}  # at most the days written
+        delete_days(df.sparkSession, path, [d for d in days if d not in held], day_col)
+
+
+def delete_days(spark: SparkSession, path: str, days: Sequence, day_col: str = "queue_date") -> None:
+    """Remove the partitions of ``days`` (``DELETE ... WHERE day IN (...)``); missing ones are fine."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for day in days:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(root, f"{day_col}={day}"), True)
 
 
 def to_response(df: DataFrame, cols=None, name: str = "response") -> DataFrame:

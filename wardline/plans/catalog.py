@@ -107,7 +107,7 @@ def q_lab_queue(spark, sf_dir):
 @register("doctor_worklist")
 def q_doctor_worklist(spark, sf_dir):
     h = _h(spark, sf_dir)
-    q = queues.doctor_worklist(h.tokens)
+    q = queues.doctor_worklist(h.tokens, queues.WORKLIST_SHOWN)
     return portable(q.select("queue_date", "doctor_id", "position", "id", "token_number",
                              "patient_name", "type", "status", "expected_sod", "department_id",
                              "priority_order", F.lit("checked_in").alias("checkin_status")))
@@ -116,7 +116,7 @@ def q_doctor_worklist(spark, sf_dir):
 @register("expected_arrivals")
 def q_expected_arrivals(spark, sf_dir):
     h = _h(spark, sf_dir)
-    q = queues.expected_arrivals(h.prebooked_appointments, h.tokens)
+    q = queues.expected_arrivals(h.prebooked_appointments, h.tokens, queues.ARRIVALS_SHOWN)
     return portable(q.select("queue_date", "doctor_id", "position", "prebook_id", "token_number",
                              "patient_name", F.lit("prebooked").alias("type"),
                              F.lit("not_arrived").alias("status"), "expected_sod",
@@ -465,13 +465,10 @@ def q_pharmacy_next(spark, sf_dir):
 
 @register("parse_props")
 def q_parse_props(spark, sf_dir):
-    h = _h(spark, sf_dir)
-    ev = h.events.select("event_id", F.col("d").alias("queue_date"))
     from wardline.sources.driver import read_table
-    raw = read_table(spark, sf_dir, "events").select("event_id", "props")
-    p = requests.parse_requests(raw, "props", ("k",))
-    return portable(p.join(ev, "event_id").select(
-        "event_id", "queue_date", "k_raw", "k_present", "k", (F.col("k") > 0).alias("k_valid")))
+    ev = read_table(spark, sf_dir, "events").select("event_id", F.to_date("ts").alias("queue_date"), "props")
+    p = requests.parse_requests(ev, "props", ("k",))
+    return portable(p.select("event_id", "queue_date", "k_raw", "k_present", "k", (F.col("k") > 0).alias("k_valid")))
 
 
 @register("request_rejects")
@@ -558,19 +555,37 @@ def q_cancel_notifications(spark, sf_dir):
 @register("cancel_bookings")
 def q_cancel_bookings(spark, sf_dir):
     h = _h(spark, sf_dir)
-    return portable(folds.cancel_bookings(h.tokens, h.prebooked_appointments, h.booking_cancel_log))
+    return portable(folds.cancel_bookings(h.prebooked_appointments, h.booking_cancel_log))
+
+
+@register("cancel_booking_targets")
+def q_cancel_booking_targets(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(folds.cancel_booking_targets(h.tokens, h.prebooked_appointments, h.booking_cancel_log))
+
+
+@register("reschedule_tokens")
+def q_reschedule_tokens(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(folds.reschedule_tokens(h.prebooked_appointments, h.reschedule_log, h.tokens))
 
 
 @register("reschedule")
 def q_reschedule(spark, sf_dir):
     h = _h(spark, sf_dir)
-    return portable(folds.reschedule(h.prebooked_appointments, h.reschedule_log))
+    return portable(folds.reschedule(h.prebooked_appointments, h.reschedule_log, h.tokens))
+
+
+@register("cancel_lab_targets")
+def q_cancel_lab_targets(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(folds.cancel_lab_targets(h.prebooked_lab_appointments, h.lab_tokens, h.lab_cancel_log))
 
 
 @register("cancel_lab")
 def q_cancel_lab(spark, sf_dir):
     h = _h(spark, sf_dir)
-    return portable(folds.cancel_lab(h.prebooked_lab_appointments, h.lab_tokens, h.lab_cancel_log))
+    return portable(folds.cancel_lab(h.prebooked_lab_appointments, h.lab_cancel_log))
 
 
 @register("cancel_pharmacy")
@@ -588,7 +603,7 @@ def q_pharmacy_status_fold(spark, sf_dir):
 @register("break_state")
 def q_break_state(spark, sf_dir):
     h = _h(spark, sf_dir)
-    return portable(folds.break_state(h.doctors, h.break_log))
+    return portable(folds.break_state(h.break_log))
 
 
 @register("issue_opd")

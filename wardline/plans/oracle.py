@@ -564,9 +564,9 @@ GROUP BY p.test_id, p.appointment_date, t.test_code, t.daily_capacity
 
 SQL["queue_totals"] = ADAPTER + _LIVE_ROWS + """,
 lq AS (SELECT queue_date, doctor_id, count(*) AS n FROM lq_rows GROUP BY ALL),
-wl AS (SELECT queue_date, doctor_id, least(count(*), 20) AS n FROM tokens
+wl AS (SELECT queue_date, doctor_id, count(*) AS n FROM tokens
        WHERE status IN ('waiting', 'consulting') GROUP BY ALL),
-ea AS (SELECT appointment_date AS queue_date, doctor_id, least(count(*), 10) AS n
+ea AS (SELECT appointment_date AS queue_date, doctor_id, count(*) AS n
        FROM prebooked_appointments pb
        WHERE pb.status IN ('booked', 'confirmed') AND NOT EXISTS (
          SELECT 1 FROM tokens t
@@ -579,7 +579,9 @@ k AS (SELECT queue_date, doctor_id FROM lq UNION SELECT queue_date, doctor_id FR
       UNION SELECT queue_date, doctor_id FROM ea UNION SELECT queue_date, doctor_id FROM ct)
 SELECT CAST(k.queue_date AS VARCHAR) AS queue_date, CAST(k.doctor_id AS BIGINT) AS doctor_id,
        CAST(COALESCE(lq.n, 0) AS BIGINT) AS total_in_queue, CAST(COALESCE(wl.n, 0) AS BIGINT) AS total_waiting,
-       CAST(COALESCE(ea.n, 0) AS BIGINT) AS total_expected, CAST(COALESCE(ct.n, 0) AS BIGINT) AS count
+       CAST(COALESCE(ea.n, 0) AS BIGINT) AS total_expected, CAST(COALESCE(ct.n, 0) AS BIGINT) AS count,
+       CAST(least(COALESCE(wl.n, 0), 20) AS BIGINT) AS waiting_shown,
+       CAST(least(COALESCE(ea.n, 0), 10) AS BIGINT) AS expected_shown
 FROM k
 LEFT JOIN lq ON lq.queue_date = k.queue_date AND lq.doctor_id IS NOT DISTINCT FROM k.doctor_id
 LEFT JOIN wl ON wl.queue_date = k.queue_date AND wl.doctor_id IS NOT DISTINCT FROM k.doctor_id
@@ -600,7 +602,7 @@ w AS (
 g AS (
   SELECT queue_date, doctor_id, count(*) AS total,
          COALESCE(min(position) FILTER (WHERE status = 'consulting'), 1) - 1 AS idx
-  FROM w WHERE position <= 20 GROUP BY queue_date, doctor_id),
+  FROM w GROUP BY queue_date, doctor_id),
 r AS (SELECT *, greatest(0, total - (idx + 1)) AS remaining FROM g)
 SELECT CAST(queue_date AS VARCHAR) AS queue_date, CAST(doctor_id AS BIGINT) AS doctor_id,
        CAST(total AS BIGINT) AS total, CAST(idx AS BIGINT) AS current_index,
@@ -769,13 +771,15 @@ x AS (
    AND p.booking_status IN ('booked', 'checked_in', 'in_progress')
   JOIN lab_tests t ON p.test_id = t.test_id),
 a AS (SELECT x.*, {_LAB_AHEAD.format(v='x', day='x.d')} AS ahead FROM x)
-SELECT CAST(req_id AS BIGINT) AS req_id, booking_code AS booking_id, CAST(test_id AS BIGINT) AS test_id, test_code,
-       test_name, patient_name, patient_phone, CAST(appointment_date AS VARCHAR) AS appointment_date,
+SELECT CAST(q.req_id AS BIGINT) AS req_id, booking_code AS booking_id, CAST(test_id AS BIGINT) AS test_id, test_code,
+       test_name, a.patient_name, a.patient_phone, CAST(appointment_date AS VARCHAR) AS appointment_date,
        {_hms('appointment_sod')} AS scheduled_time,
        {_hms('((appointment_sod + ahead * duration_minutes * 60) % 86400)')} AS expected_time,
        booking_status, CAST(ahead AS BIGINT) AS people_ahead, CAST(ahead * duration_minutes AS BIGINT) AS wait_time,
-       CAST(ahead + 1 AS BIGINT) AS position
-FROM a
+       CAST(ahead + 1 AS BIGINT) AS position, a.req_id IS NOT NULL AS found,
+       CASE WHEN a.req_id IS NULL
+            THEN 'Booking not found or already completed. Please check your Lab Booking ID.' END AS message
+FROM lookup_log q LEFT JOIN a ON a.req_id = q.req_id
 """
 
 
@@ -1089,24 +1093,45 @@ SELECT CAST(req_id AS BIGINT) AS req_id, T AS token_number, B AS booking_id, 'ca
 FROM r WHERE notify
 """
 
-SQL["cancel_bookings"] = ADAPTER + """,
-r AS (SELECT req_id, ts, upper(trim(booking_id)) AS B FROM booking_cancel_log WHERE upper(trim(booking_id)) <> ''),
-bf AS (SELECT * FROM (
-         SELECT p.booking_id, p.status, r.req_id,
-                row_number() OVER (PARTITION BY p.booking_id ORDER BY r.ts, r.req_id) AS rn
-         FROM r JOIN prebooked_appointments p ON upper(trim(p.booking_id)) = r.B) WHERE rn = 1),
-hits AS (SELECT r.req_id, r.ts, t.id FROM r JOIN tokens t
-           ON upper(trim(t.booking_id)) = r.B OR upper(trim(t.token_number)) = r.B),
+_BOOKING_REQ = """,
+r AS (SELECT req_id, ts, CASE WHEN upper(trim({c})) IN ('', '0') OR {c} IS NULL THEN '' ELSE upper(trim({c})) END AS B
+      FROM {log}),
+f AS (SELECT *, row_number() OVER (PARTITION BY B ORDER BY ts, req_id) AS rn FROM r WHERE B <> '')"""
+
+SQL["cancel_bookings"] = ADAPTER + _BOOKING_REQ.format(c="booking_id", log="booking_cancel_log") + """,
+c AS (SELECT r.req_id, r.B, r.B <> '' AS success,
+             EXISTS (SELECT 1 FROM f JOIN prebooked_appointments p ON upper(trim(p.booking_id)) = f.B
+                     WHERE f.req_id = r.req_id AND f.rn = 1 AND p.status <> 'cancelled') AS changed
+      FROM r)
+SELECT CAST(req_id AS BIGINT) AS req_id, B AS booking_id, success, changed,
+       CASE WHEN NOT success THEN 'Booking ID is required' WHEN changed THEN 'Booking cancelled successfully'
+            ELSE 'Booking cancelled' END AS message
+FROM c
+"""
+
+SQL["cancel_booking_targets"] = ADAPTER + _BOOKING_REQ.format(c="booking_id", log="booking_cancel_log") + """,
+hits AS (SELECT f.req_id, f.ts, t.id FROM f JOIN tokens t
+           ON upper(trim(t.booking_id)) = f.B OR upper(trim(t.token_number)) = f.B),
 tf AS (SELECT id, req_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts, req_id) AS rn FROM hits)
        WHERE rn = 1)
-SELECT 'booking' AS target, booking_id AS target_key, status AS old_status, CAST(req_id AS BIGINT) AS req_id,
-       'cancelled' AS new_status, status <> 'cancelled' AS success
-FROM bf
+SELECT 'booking' AS target, p.booking_id AS target_key, p.status AS old_status, CAST(f.req_id AS BIGINT) AS req_id,
+       'cancelled' AS new_status
+FROM f JOIN prebooked_appointments p ON upper(trim(p.booking_id)) = f.B WHERE f.rn = 1
 UNION ALL
-SELECT 'token', CAST(t.id AS VARCHAR), t.status, CAST(tf.req_id AS BIGINT), 'cancelled', FALSE
+SELECT 'token', CAST(t.id AS VARCHAR), t.status, CAST(tf.req_id AS BIGINT), 'cancelled'
 FROM tf JOIN tokens t ON t.id = tf.id
 """
 
+SQL["reschedule_tokens"] = ADAPTER + _CHECKS + f""",
+l AS (SELECT c.*, row_number() OVER (PARTITION BY c.booking_id ORDER BY ts DESC, req_id DESC) AS rn
+      FROM chk c
+      WHERE reason IS NULL AND new_time <> ''
+        AND EXISTS (SELECT 1 FROM prebooked_appointments b WHERE upper(trim(b.booking_id)) = c.booking_id))
+SELECT CAST(t.id AS BIGINT) AS token_id, l.booking_id, CAST(l.req_id AS BIGINT) AS req_id,
+       {_hms('t.expected_sod')} AS old_time, l.new_time
+FROM l JOIN tokens t ON upper(trim(t.booking_id)) = l.booking_id WHERE l.rn = 1
+"""
+
 SQL["reschedule"] = ADAPTER + _CHECKS + f""",
 x AS (SELECT c.*, b.appointment_date AS d0, b.appointment_sod AS t0
       FROM chk c LEFT JOIN prebooked_appointments b ON upper(trim(b.booking_id)) = c.booking_id),
@@ -1129,23 +1154,30 @@ SELECT CAST(req_id AS BIGINT) AS req_id, booking_id, ok AS applied, ok AND chang
        CASE WHEN ok THEN {_hms('old_sod')} END AS old_time,
        CASE WHEN ok THEN CAST(new_d AS VARCHAR) END AS new_date,
        CASE WHEN ok THEN {_hms('new_t')} END AS new_time,
-       ok AND new_time <> '' AS token_time_updated
+       ok AND new_time <> '' AND EXISTS (SELECT 1 FROM tokens t WHERE upper(trim(t.booking_id)) = v.booking_id)
+         AS token_time_updated
 FROM v
 """
 
-SQL["cancel_lab"] = ADAPTER + """,
-r AS (SELECT req_id, ts, upper(trim(booking_code)) AS code FROM lab_cancel_log WHERE upper(trim(booking_code)) <> ''),
-f AS (SELECT * FROM (
-        SELECT p.booking_code, p.booking_status, r.req_id,
-               row_number() OVER (PARTITION BY p.booking_code ORDER BY r.ts, r.req_id) AS rn
-        FROM r JOIN prebooked_lab_appointments p ON p.booking_code = r.code
-         AND p.booking_status IN ('booked', 'checked_in')) WHERE rn = 1)
-SELECT 'booking' AS target, booking_code AS target_key, booking_status AS old_status, CAST(req_id AS BIGINT) AS req_id,
+_LAB_HIT = _BOOKING_REQ.format(c="booking_code", log="lab_cancel_log") + """,
+hit AS (SELECT f.req_id, f.B, p.booking_status FROM f JOIN prebooked_lab_appointments p
+          ON upper(trim(p.booking_code)) = f.B AND p.booking_status IN ('booked', 'checked_in') WHERE f.rn = 1)"""
+
+SQL["cancel_lab"] = ADAPTER + _LAB_HIT + """
+SELECT CAST(r.req_id AS BIGINT) AS req_id, r.B AS booking_code, r.req_id IN (SELECT req_id FROM hit) AS success,
+       CASE WHEN r.B = '' THEN 'Booking ID is required'
+            WHEN r.req_id IN (SELECT req_id FROM hit) THEN 'Lab booking cancelled successfully'
+            ELSE 'Booking not found or already cancelled' END AS message
+FROM r
+"""
+
+SQL["cancel_lab_targets"] = ADAPTER + _LAB_HIT + """
+SELECT 'booking' AS target, B AS target_key, booking_status AS old_status, CAST(req_id AS BIGINT) AS req_id,
        'cancelled' AS new_status
-FROM f
+FROM hit
 UNION ALL
-SELECT 'lab_token', CAST(lt.token_id AS VARCHAR), lt.token_status, CAST(f.req_id AS BIGINT), 'cancelled'
-FROM f JOIN lab_tokens lt ON upper(trim(lt.token_number)) = f.booking_code
+SELECT 'lab_token', CAST(lt.token_id AS VARCHAR), lt.token_status, CAST(hit.req_id AS BIGINT), 'cancelled'
+FROM hit JOIN lab_tokens lt ON upper(trim(lt.token_number)) = hit.B
  AND lt.token_status IN ('waiting', 'in_progress')
 """
 

@@ -32,10 +32,18 @@ def live_queue_view(h, as_of, doctor_id: int = 0, current_token: str = "") -> di
         .select("total_in_queue", F.coalesce("_pos", F.lit(0)).alias("current_position"),
                 F.greatest(F.coalesce("_pos", F.lit(0)) - 1, F.lit(0)).alias("people_ahead"))
     if current_token:
-        nb = queues.queue_neighbourhood(q, ["queue_date"] + (["doctor_id"] if doctor_id else []))
-        shown = nb.where(F.col("viewer_token") == key)
+        group = ["queue_date"] + (["doctor_id"] if doctor_id else [])
+        around = queues.queue_neighbourhood(q, group).where(F.col("viewer_token") == key)
+        # a viewer who is not listed sees the head of the queue
+        head = q.where(F.col("position") <= queues.HEAD_SHOWN).select(
+            *group, key.alias("viewer_token"), F.lit(0).cast("long").alias("viewer_position"),
+            F.col("position").alias("shown_position"), F.col("token_number").alias("shown_token"), "status",
+            "checkin_status", "token_type", F.lit(False).alias("is_you"))
+        listed = summary.where("current_position > 0").select(F.lit(1).alias("_listed"))
+        head = head.withColumn("_listed", F.lit(1)).join(listed, "_listed", "left_anti").drop("_listed")
+        shown = around.unionByName(head)
     else:
-        shown = q.where(F.col("position") <= 5)
+        shown = q.where(F.col("position") <= queues.HEAD_SHOWN)
     return {"queue": q, "shown": shown, "summary": summary}
 
 
@@ -52,10 +60,10 @@ def doctor_queue_view(h, as_of, doctor_id: int = 0, department_id: int = 0,
                       include_not_arrived: bool = True) -> dict[str, DataFrame]:
     """Staff worklist (first 20) and expected arrivals (first 10)."""
     t = apply_filters(on_day(h.tokens, as_of), doctor_id=doctor_id, department_id=department_id)
-    out = {"worklist": queues.doctor_worklist(t)}
+    out = {"worklist": queues.doctor_worklist(t, queues.WORKLIST_SHOWN)}
     if include_not_arrived:
         b = apply_filters(on_day(h.prebooked_appointments, as_of, "appointment_date"), doctor_id=doctor_id)
-        out["expected"] = queues.expected_arrivals(b, on_day(h.tokens, as_of))
+        out["expected"] = queues.expected_arrivals(b, on_day(h.tokens, as_of), queues.ARRIVALS_SHOWN)
     return out
 
 

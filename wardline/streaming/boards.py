@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.operators import folds, queues
+from wardline.operators.tables import replace_days
 
 
 def touched_days(batch: DataFrame, col: str = "d") -> list:
@@ -27,7 +28,8 @@ def refresh_sink(log_path: str, out_path: str,
                  recompute: Callable[[DataFrame, list], DataFrame],
                  touched: Callable[[DataFrame], list] = touched_days) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` writer: append the batch to the log, then overwrite the
-    recomputed partitions of the days the batch can change."""
+    recomputed partitions of the days the batch can change; a day without
+    rows loses its partition."""
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
@@ -36,9 +38,7 @@ def refresh_sink(log_path: str, out_path: str,
         if not days:
             return
         log = spark.read.parquet(log_path).drop("batch_id")
-        result = recompute(log, days)
-        result.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-              .partitionBy("queue_date").parquet(out_path)
+        replace_days(recompute(log, days).persist(), out_path, "queue_date", days)
     return write
 
 
@@ -64,9 +64,9 @@ def live_board(tokens: DataFrame, bookings: DataFrame) -> Callable[[DataFrame, l
     return recompute
 
 
-def break_board(doctors: DataFrame) -> Callable[[DataFrame, list], DataFrame]:
+def break_board() -> Callable[[DataFrame, list], DataFrame]:
     """M5: doctor break rows of the touched days."""
     def recompute(log: DataFrame, days: list) -> DataFrame:
-        return folds.break_state(doctors, log.where(F.col("d").isin(days))) \
+        return folds.break_state(log.where(F.col("d").isin(days))) \
             .withColumnRenamed("break_date", "queue_date")
     return recompute
