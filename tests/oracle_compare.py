@@ -55,7 +55,7 @@ def compare(spark, con, sf_dir: str, fn, sql: str | None):
     d_cols = rel.columns
     d_types = dict(zip(d_cols, [str(t) for t in rel.types]))
     d_rows = rel.fetchall()
-    family = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    family = {"double": "DOUBLE", "bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN"}
     s_types = {f.name: family.get(f.dataType.simpleString(), f.dataType.simpleString())
                for f in sdf.schema.fields}
     res = {"rows": len(s_rows), "oracle_rows": len(d_rows),

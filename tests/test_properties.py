@@ -58,7 +58,7 @@ def test_status_fold_composes_over_split_logs(spark):
 
 def test_replay_is_deterministic(spark):
     h = _h(spark)
-    a = folds.issue_opd(h.opd_issue_log, h.departments, h.doctors, h.status_log)
-    b = folds.issue_opd(h.opd_issue_log, h.departments, h.doctors, h.status_log)
+    inputs = (h.opd_issue_log, h.lab_issue_log, h.departments, h.doctors, h.lab_tests, h.status_log, h.lab_status_log)
+    a, b = folds.issue_opd(*inputs), folds.issue_opd(*inputs)
     cols = ["req_id", "token_number", "patients_ahead"]
     assert sorted(a.select(*cols).collect()) == sorted(b.select(*cols).collect())

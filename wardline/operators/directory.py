@@ -70,7 +70,7 @@ def doctor_locations(doctors: DataFrame) -> DataFrame:
 
 def doctor_directory(doctors: DataFrame, departments: DataFrame) -> DataFrame:
     """Doctors with their department, ordered by department then doctor name."""
-    dep = F.broadcast(departments.select(F.col("id").alias("department_id"),
+    dep = (departments.select(F.col("id").alias("department_id"),
                                          F.col("name").alias("department")))
     d = doctors.join(dep, "department_id").select(
         "id", "name", "fees", "department", "department_id", "floor_block", "wing", "room_number")
@@ -81,7 +81,7 @@ def doctor_directory(doctors: DataFrame, departments: DataFrame) -> DataFrame:
 def tokens_enriched(tokens: DataFrame, doctors: DataFrame, departments: DataFrame) -> DataFrame:
     """Tokens with doctor and department names, board times and day order."""
     doc = doctors.select(F.col("id").alias("doctor_id"), F.col("name").alias("doctor_name"))
-    dep = F.broadcast(departments.select(F.col("id").alias("department_id"),
+    dep = (departments.select(F.col("id").alias("department_id"),
                                          F.col("name").alias("department_name")))
     t = tokens.join(doc, "doctor_id", "left").join(dep, "department_id", "left")
     t = t.select("id", "token_number", "patient_name", "patient_phone", "status", "type",
@@ -93,7 +93,7 @@ def tokens_enriched(tokens: DataFrame, doctors: DataFrame, departments: DataFram
 
 def pharmacy_queue(pharmacy_tokens: DataFrame, pharmacies: DataFrame) -> DataFrame:
     """Pharmacy tokens with their pharmacy, in arrival order per (day, pharmacy)."""
-    ph = F.broadcast(pharmacies.select(F.col("id").alias("pharmacy_id"),
+    ph = (pharmacies.select(F.col("id").alias("pharmacy_id"),
                                        F.col("name").alias("pharmacy_name"), "block", "floor", "wing"))
     t = pharmacy_tokens.join(ph, "pharmacy_id").select(
         "id", "token_number", "patient_name", "patient_phone", "status", "payment_method",
@@ -105,7 +105,7 @@ def pharmacy_queue(pharmacy_tokens: DataFrame, pharmacies: DataFrame) -> DataFra
 
 def view_lab_queue(lab_tokens: DataFrame, lab_tests: DataFrame) -> DataFrame:
     """The ``today_lab_queue`` view for every day (active lab tokens by queue position)."""
-    tests = F.broadcast(lab_tests.select("test_id", "test_name"))
+    tests = lab_tests.select("test_id", "test_name")
     return lab_tokens.where(F.col("token_status").isin(*LAB_ACTIVE)).join(tests, "test_id").select(
         "token_id", "token_number", "test_name", "patient_name", "patient_type", "scheduled_sod",
         "token_status", "queue_position", F.col("scheduled_date").alias("queue_date"))
@@ -113,7 +113,7 @@ def view_lab_queue(lab_tokens: DataFrame, lab_tests: DataFrame) -> DataFrame:
 
 def view_prebooked_labs(lab_bookings: DataFrame, lab_tests: DataFrame) -> DataFrame:
     """The ``today_prebooked_labs`` view for every day, ranked by time."""
-    tests = F.broadcast(lab_tests.select("test_id", "test_name", "test_code"))
+    tests = lab_tests.select("test_id", "test_name", "test_code")
     b = lab_bookings.join(tests, "test_id").select(
         "booking_id", "booking_code", "test_name", "test_code", "patient_name", "patient_phone",
         "appointment_sod", "booking_status", F.col("appointment_date").alias("queue_date"))
@@ -122,7 +122,7 @@ def view_prebooked_labs(lab_bookings: DataFrame, lab_tests: DataFrame) -> DataFr
 
 def lab_bookings_ordered(lab_bookings: DataFrame, lab_tests: DataFrame) -> DataFrame:
     """Lab bookings with test name in (test, date, time) order, ranked per test."""
-    tests = F.broadcast(lab_tests.select("test_id", "test_name"))
+    tests = lab_tests.select("test_id", "test_name")
     b = lab_bookings.join(tests, "test_id").select(
         "booking_id", "booking_code", "test_id", "test_name", "patient_name", "appointment_date",
         "appointment_sod", "booking_status")
@@ -137,14 +137,14 @@ def public_view(queue: DataFrame) -> DataFrame:
 
 def staff_roster(staff: DataFrame, departments: DataFrame) -> DataFrame:
     """Staff with their department name (left join; no credentials)."""
-    dep = F.broadcast(departments.select(F.col("id").alias("dept_id"), F.col("name").alias("department_name")))
+    dep = departments.select(F.col("id").alias("dept_id"), F.col("name").alias("department_name"))
     return staff.join(dep, "dept_id", "left").select(
         "id", "name", "email", "role", "dept_id", "doc_id", "department_name")
 
 
 def pharmacy_roster(pharmacy_staff: DataFrame, pharmacies: DataFrame) -> DataFrame:
     """Pharmacy staff with their pharmacy (inner join; no credentials)."""
-    ph = F.broadcast(pharmacies.select(F.col("id").alias("pharmacy_id"), F.col("name").alias("pharmacy_name"),
+    ph = (pharmacies.select(F.col("id").alias("pharmacy_id"), F.col("name").alias("pharmacy_name"),
                                        "block", "floor", "wing"))
     return pharmacy_staff.join(ph, "pharmacy_id").select(
         "id", "staff_id", "name", "pharmacy_id", "pharmacy_name", "block", "floor", "wing")

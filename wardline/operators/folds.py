@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from wardline.functions.columns import (LAB_ACTIVE, OPD_MINUTES_PER_PATIENT,
                                         PHARMACY_MINUTES_PER_PATIENT, hms, seq3, sod, upper_key,
                                         wrap_sod)
+from wardline.operators.admission import blocked_requests, refusals
 from wardline.operators.numbering import department_initial, depth_at_arrival
 from wardline.operators.ranking import lag_within, number_rows
 from wardline.operators.requests import ENUMS, reschedule_checks
@@ -363,28 +364,67 @@ def break_state_on(doctors: DataFrame, break_log: DataFrame, day) -> DataFrame:
 
 
 # -- T1 / T2 / T3 -------------------------------------------------------------------
-def issue_opd(log: DataFrame, departments: DataFrame, doctors: DataFrame,
-              status_log: DataFrame) -> DataFrame:
-    """Walk-in token issue over a request log.
-
-    Department by name (case-insensitive), else the doctor's; rejected when
-    neither resolves.  Number = initial of the submitted department text
-    ('T' when empty) + per (department, day) sequence; ahead = waiting tokens
-    of the department when issued (status changes from ``status_log``);
-    expected time = request time + 10 min per patient, modulo 24 h.
-    """
-    dep = F.broadcast(departments.select(F.upper(F.rtrim("name")).alias("_dn"),
-                                         F.col("id").alias("_dep_by_name")))
+def _opd_requests(log: DataFrame, departments: DataFrame, doctors: DataFrame) -> DataFrame:
+    """Walk-in requests with their department: by name (case-insensitive), else the doctor's."""
+    dep = departments.select(F.upper(F.rtrim("name")).alias("_dn"), F.col("id").alias("_dep_by_name"))
     doc = doctors.select(F.col("id").alias("doctor_id"), F.col("department_id").alias("_dep_by_doc"))
     r = log.withColumn("_dn", F.upper(F.rtrim(F.coalesce("department", F.lit("")))))
     r = r.join(dep, "_dn", "left").join(doc, "doctor_id", "left")
-    dept = F.coalesce(F.col("_dep_by_name"),
-                      F.when(F.col("doctor_id") > 0, F.col("_dep_by_doc")))
-    r = r.withColumn("department_id", dept)
-    ok = r.where(F.col("department_id").isNotNull())
-    ok = ok.withColumn("token_id", (F.col("req_id") + 1).cast("bigint"))
+    dept = F.coalesce(F.col("_dep_by_name"), F.when(F.col("doctor_id") > 0, F.col("_dep_by_doc")))
+    return r.withColumn("department_id", dept).withColumn("valid", dept.isNotNull()) \
+        .withColumn("token_id", (F.col("req_id") + 1).cast("bigint"))
+
+
+def _lab_requests(log: DataFrame, lab_tests: DataFrame) -> DataFrame:
+    """Lab requests with their test and the reason against them, if any."""
+    r = log.withColumn("_code", upper_key("test_code"))
+    missing = ((F.col("_code") == "") | (F.trim("patient_name") == "") | (F.trim("patient_phone") == "")
+               | (F.coalesce("patient_age", F.lit(0)) <= 0))
+    tests = lab_tests.select(F.col("test_code").alias("_code"), "test_id", "fee", "slot_duration")
+    r = r.join(tests, "_code", "left")
+    reason = F.when(missing, F.lit(MSG_LAB_MISSING)).when(F.col("test_id").isNull(), F.lit(MSG_LAB_TEST))
+    # a request with a reason is answered before the admission check
+    return r.withColumn("reason", reason).withColumn("valid", reason.isNull()) \
+        .withColumn("token_id", (F.col("req_id") + 1).cast("bigint"))
+
+
+def _numbered_opd(r: DataFrame, blocked: DataFrame) -> DataFrame:
+    ok = r.where("valid").join(blocked.where("kind = 'opd'").select("req_id"), "req_id", "left_anti")
     ok = number_rows(ok, ["department_id", "d"], ["ts", "req_id"], "sequence")
-    ok = ok.withColumn("token_number", seq3(department_initial(F.col("department")), "sequence"))
+    return ok.withColumn("token_number", seq3(department_initial(F.col("department")), "sequence"))
+
+
+def _numbered_lab(r: DataFrame, blocked: DataFrame) -> DataFrame:
+    ok = r.where("valid").join(blocked.where("kind = 'lab'").select("req_id"), "req_id", "left_anti")
+    ok = number_rows(ok, ["test_id", "d"], ["ts", "req_id"], "sequence")
+    return ok.withColumn("token_number", seq3(F.concat(F.col("_code"), F.lit("-")), "sequence"))
+
+
+def _admitted(opd_log, lab_log, departments, doctors, lab_tests, status_log, lab_status_log):
+    """Requests of both kinds, the blocked ones, and the numbers of the issued tokens."""
+    opd, lab = _opd_requests(opd_log, departments, doctors), _lab_requests(lab_log, lab_tests)
+    ensure_checkpoint_dir(opd.sparkSession)
+    # read by the numbering and the refusals of both kinds; the replay runs once
+    blocked = blocked_requests(opd, lab.where("valid"), status_log, lab_status_log).checkpoint(eager=True)
+    opd_ok, lab_ok = _numbered_opd(opd, blocked), _numbered_lab(lab, blocked)
+    numbers = opd_ok.select(F.lit("opd").alias("kind"), "token_id", "token_number").unionByName(
+        lab_ok.select(F.lit("lab").alias("kind"), "token_id", "token_number"))
+    return opd, lab, opd_ok, lab_ok, blocked, numbers
+
+
+def issue_opd(opd_log: DataFrame, lab_log: DataFrame, departments: DataFrame, doctors: DataFrame,
+              lab_tests: DataFrame, status_log: DataFrame, lab_status_log: DataFrame) -> DataFrame:
+    """Walk-in token issue over a request log.
+
+    A phone with an active token of the day (OPD or lab, from the logs) is
+    refused first; then a request without a department.  Number = initial of
+    the submitted department text ('T' when empty) + per (department, day)
+    sequence; ahead = waiting tokens of the department when issued (status
+    changes from ``status_log``); expected time = request time + 10 min per
+    patient, modulo 24 h.
+    """
+    r, _, ok, _, blocked, numbers = _admitted(opd_log, lab_log, departments, doctors, lab_tests, status_log,
+                                              lab_status_log)
     depth = depth_at_arrival(ok.select("token_id", "ts", "department_id", "d"), status_log,
                              ["department_id", "d"], ["waiting"])
     ok = ok.join(depth.select("token_id", "patients_ahead"), "token_id")
@@ -392,46 +432,42 @@ def issue_opd(log: DataFrame, departments: DataFrame, doctors: DataFrame,
     acc = ok.select("req_id", F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("reason"),
                     "token_id", "token_number", "department_id", F.col("d").alias("queue_date"),
                     "patients_ahead", hms(exp).alias("expected_time"))
-    rej = r.where(F.col("department_id").isNull()).select(
-        "req_id", F.lit(False).alias("accepted"), F.lit(MSG_INVALID_DEPARTMENT).alias("reason"),
+    x = r.join(refusals(blocked, numbers, "opd"), "req_id", "left")
+    rej = x.where(F.col("_refusal").isNotNull() | ~F.col("valid")).select(
+        "req_id", F.lit(False).alias("accepted"),
+        F.coalesce(F.col("_refusal"), F.lit(MSG_INVALID_DEPARTMENT)).alias("reason"),
         F.lit(None).cast("bigint").alias("token_id"), F.lit(None).cast("string").alias("token_number"),
         F.lit(None).cast("int").alias("department_id"), F.col("d").alias("queue_date"),
         F.lit(None).cast("long").alias("patients_ahead"), F.lit(None).cast("string").alias("expected_time"))
     return acc.unionByName(rej)
 
 
-def issue_lab(log: DataFrame, lab_tests: DataFrame, lab_status_log: DataFrame) -> DataFrame:
+def issue_lab(opd_log: DataFrame, lab_log: DataFrame, departments: DataFrame, doctors: DataFrame,
+              lab_tests: DataFrame, status_log: DataFrame, lab_status_log: DataFrame) -> DataFrame:
     """Lab token issue: required fields, gender normalised, active test by
-    code, number ``{code}-{nnn}`` per (test, day), queue position = active
-    tokens of the test + 1, wait = ahead x slot, fee when amount <= 0."""
-    code = upper_key("test_code")
-    r = log.withColumn("_code", code)
-    missing = ((F.col("_code") == "") | (F.trim("patient_name") == "") | (F.trim("patient_phone") == "")
-               | (F.coalesce("patient_age", F.lit(0)) <= 0))
-    tests = F.broadcast(lab_tests.select(F.col("test_code").alias("_code"), "test_id", "fee", "slot_duration"))
-    r = r.join(tests, "_code", "left")
-    reason = F.when(missing, F.lit(MSG_LAB_MISSING)).when(F.col("test_id").isNull(), F.lit(MSG_LAB_TEST))
-    r = r.withColumn("reason", reason)
-    g = F.lower(F.trim("patient_gender"))
-    ok = r.where(F.col("reason").isNull()).withColumn("token_id", (F.col("req_id") + 1).cast("bigint"))
-    ok = number_rows(ok, ["test_id", "d"], ["ts", "req_id"], "sequence")
-    ok = ok.withColumn("token_number", seq3(F.concat(F.col("_code"), F.lit("-")), "sequence"))
+    code, one active token per phone and day, number ``{code}-{nnn}`` per (test, day), queue position =
+    active tokens of the test + 1, wait = ahead x slot, fee when amount <= 0."""
+    _, r, _, ok, blocked, numbers = _admitted(opd_log, lab_log, departments, doctors, lab_tests, status_log,
+                                              lab_status_log)
     depth = depth_at_arrival(ok.select("token_id", "ts", "test_id", "d"), lab_status_log,
                              ["test_id", "d"], list(LAB_ACTIVE))
     ok = ok.join(depth.select("token_id", "patients_ahead"), "token_id")
+    g = F.lower(F.trim("patient_gender"))
     acc = ok.select(
         "req_id", F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("reason"), "token_id",
         "token_number", "test_id", F.col("d").alias("queue_date"),
         F.when(g.isin(*ENUMS["gender"]), g).otherwise(F.lit("other")).alias("patient_gender"),
         F.when(F.col("payment_amount") <= 0, F.col("fee")).otherwise(F.col("payment_amount"))
-        .cast("int").alias("payment_amount"),
+        .cast("double").alias("payment_amount"),
         (F.col("patients_ahead") + 1).alias("queue_position"),
         (F.col("patients_ahead") * F.col("slot_duration")).alias("wait_time"))
-    rej = r.where(F.col("reason").isNotNull()).select(
-        "req_id", F.lit(False).alias("accepted"), "reason", F.lit(None).cast("bigint").alias("token_id"),
+    x = r.join(refusals(blocked, numbers, "lab"), "req_id", "left")
+    rej = x.where(F.col("_refusal").isNotNull() | ~F.col("valid")).select(
+        "req_id", F.lit(False).alias("accepted"), F.coalesce("reason", "_refusal").alias("reason"),
+        F.lit(None).cast("bigint").alias("token_id"),
         F.lit(None).cast("string").alias("token_number"), F.lit(None).cast("int").alias("test_id"),
         F.col("d").alias("queue_date"), F.lit(None).cast("string").alias("patient_gender"),
-        F.lit(None).cast("int").alias("payment_amount"), F.lit(None).cast("long").alias("queue_position"),
+        F.lit(None).cast("double").alias("payment_amount"), F.lit(None).cast("long").alias("queue_position"),
         F.lit(None).cast("long").alias("wait_time"))
     return acc.unionByName(rej)
 
@@ -440,7 +476,7 @@ def issue_pharmacy(log: DataFrame, pharmacies: DataFrame, status_log: DataFrame)
     """Pharmacy token issue: valid id, name, active pharmacy; number
     ``PH{id}-{nnn}`` per (pharmacy, day); ahead = waiting tokens with a lower
     id at issue; estimated wait 3 min each."""
-    ph = F.broadcast(pharmacies.where(F.col("is_active")).select(
+    ph = (pharmacies.where(F.col("is_active")).select(
         F.col("id").alias("pharmacy_id"), F.lit(True).alias("_active")))
     r = log.join(ph, "pharmacy_id", "left")
     reason = (F.when(F.coalesce("pharmacy_id", F.lit(0)) <= 0, F.lit(MSG_PHARMACY_INVALID))

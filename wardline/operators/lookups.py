@@ -40,7 +40,7 @@ def active_tokens(tokens: DataFrame, lab_tokens: DataFrame, doctors: DataFrame,
         F.lit("opd").alias("token_type"), F.lit(0).alias("kind_rank"), "id", "token_number",
         F.col("status").alias("token_status"), "patient_id", "patient_phone", "queue_date",
         "location_name")
-    tests = F.broadcast(lab_tests.select("test_id", F.col("test_name").alias("location_name")))
+    tests = lab_tests.select("test_id", F.col("test_name").alias("location_name"))
     lab = lab_tokens.where(F.col("token_status").isin(*LAB_ACTIVE)).join(tests, "test_id", "left").select(
         F.lit("lab").alias("token_type"), F.lit(1).alias("kind_rank"), F.col("token_id").alias("id"),
         "token_number", "token_status", "patient_id", "patient_phone",
@@ -112,7 +112,7 @@ def token_status(requests: DataFrame, tokens: DataFrame, bookings: DataFrame, do
     """
     doc = doctors.select(F.col("id").alias("doctor_id"), F.col("name").alias("doctor_name"),
                          "floor_block", "wing", "room_number")
-    dep = F.broadcast(departments.select(F.col("id").alias("department_id"),
+    dep = (departments.select(F.col("id").alias("department_id"),
                                          F.col("name").alias("department_name")))
     t = tokens.select("id", "token_number", "booking_id", "status", "doctor_id", "department_id",
                       "queue_date") \
@@ -171,7 +171,7 @@ def verify_bookings(requests: DataFrame, bookings: DataFrame, doctors: DataFrame
     when booked or confirmed and not dated before the request day."""
     doc = doctors.select(F.col("id").alias("doctor_id"), F.col("name").alias("doctor_name"),
                          F.col("fees").alias("doctor_fees"), "floor_block", "wing", "room_number")
-    dep = F.broadcast(departments.select(F.col("id").alias("department_id"),
+    dep = (departments.select(F.col("id").alias("department_id"),
                                          F.col("name").alias("department_name")))
     b = bookings.where(F.col("status").isin(*OPD_VALID_BOOKING)).join(doc, "doctor_id") \
         .join(dep, "department_id").select(
@@ -238,7 +238,7 @@ def _lab_ahead(probes: DataFrame, lab_tokens: DataFrame, lab_bookings: DataFrame
 
 def lab_booking_ahead(lab_bookings: DataFrame, lab_tokens: DataFrame, lab_tests: DataFrame) -> DataFrame:
     """A9 over all days: each valid lab booking counted on its own date."""
-    tests = F.broadcast(lab_tests.select("test_id", "test_code", "duration_minutes"))
+    tests = lab_tests.select("test_id", "test_code", "duration_minutes")
     valid = lab_bookings.where(F.col("booking_status").isin(*LAB_VALID_BOOKING)).join(tests, "test_id")
     probes = valid.select(F.col("booking_id").alias("_pid"), "test_id",
                           F.col("appointment_date").alias("queue_date"),

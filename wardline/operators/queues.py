@@ -153,7 +153,7 @@ def lab_queue(lab_tokens: DataFrame, lab_bookings: DataFrame, lab_tests: DataFra
     ranked = number_rows(rows, ["queue_date", "test_id"],
                          ["_t1", "scheduled_sod", "created_at", "branch", "id"],
                          "position", count_name="total_in_queue")
-    names = F.broadcast(lab_tests.select("test_id", "test_name"))  # fixed list of tests
+    names = lab_tests.select("test_id", "test_name")
     return ranked.drop("_t1").join(names, "test_id", "left") \
         .withColumn("people_ahead", F.col("position") - 1)
 

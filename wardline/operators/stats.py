@@ -62,7 +62,7 @@ def lab_wait(lab_tokens: DataFrame, lab_tests: DataFrame) -> DataFrame:
     agg = lab_tokens.groupBy(F.col("scheduled_date").alias("queue_date"), "test_id").agg(
         F.count(F.lit(1)).alias("issued"),
         count_if(F.col("token_status").isin(*LAB_ACTIVE)).alias("active"))
-    tests = F.broadcast(lab_tests.select("test_id", "test_code", "slot_duration"))  # fixed list
+    tests = lab_tests.select("test_id", "test_code", "slot_duration")
     return agg.join(tests, "test_id").withColumn(
         "wait_minutes", F.col("active") * F.col("slot_duration")).drop("slot_duration")
 
@@ -103,7 +103,7 @@ def bookings_per_test(lab_bookings: DataFrame, lab_tests: DataFrame) -> DataFram
     """Lab bookings per test per day (with the test name)."""
     agg = lab_bookings.groupBy(F.col("appointment_date").alias("queue_date"), "test_id").agg(
         F.count(F.lit(1)).alias("total_bookings"))
-    return agg.join(F.broadcast(lab_tests.select("test_id", "test_name")), "test_id")
+    return agg.join(lab_tests.select("test_id", "test_name"), "test_id")
 
 
 def lab_capacity(lab_bookings: DataFrame, lab_tests: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def lab_capacity(lab_bookings: DataFrame, lab_tests: DataFrame) -> DataFrame:
     agg = lab_bookings.where(F.col("booking_status") != "cancelled").groupBy(
         F.col("appointment_date").alias("slot_date"), "test_id").agg(
         F.count(F.lit(1)).alias("booked_count"))
-    tests = F.broadcast(lab_tests.select("test_id", "test_code",
+    tests = (lab_tests.select("test_id", "test_code",
                                          F.col("daily_capacity").alias("total_capacity")))
     return agg.join(tests, "test_id").withColumn(
         "available_count", F.col("total_capacity") - F.col("booked_count"))

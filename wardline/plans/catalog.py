@@ -345,7 +345,7 @@ from wardline.operators import folds, labels, numbering, requests, tables  # noq
 @register("opd_token_numbers")
 def q_opd_token_numbers(spark, sf_dir):
     h = _h(spark, sf_dir)
-    dep = F.broadcast(h.departments.select(F.col("id").alias("department_id"),
+    dep = (h.departments.select(F.col("id").alias("department_id"),
                                            F.col("name").alias("_dn")))
     t = h.tokens.select("id", "department_id", "queue_date", "created_at").join(dep, "department_id")
     out = numbering.sequence_numbers(t, ["department_id", "queue_date"], ["created_at", "id"],
@@ -356,7 +356,7 @@ def q_opd_token_numbers(spark, sf_dir):
 @register("lab_token_numbers")
 def q_lab_token_numbers(spark, sf_dir):
     h = _h(spark, sf_dir)
-    lt = F.broadcast(h.lab_tests.select("test_id", "test_code"))
+    lt = h.lab_tests.select("test_id", "test_code")
     t = h.lab_tokens.select("token_id", "test_id", "scheduled_date", "created_at").join(lt, "test_id")
     out = numbering.sequence_numbers(t, ["test_id", "scheduled_date"], ["created_at", "token_id"],
                                      F.concat(F.col("test_code"), F.lit("-")))
@@ -395,7 +395,7 @@ def _depths(h):
 def q_depth_at_arrival(spark, sf_dir):
     h = _h(spark, sf_dir)
     opd, lab, ph = _depths(h)
-    slots = F.broadcast(h.lab_tests.select(F.col("test_id").alias("group_id"), "slot_duration"))
+    slots = h.lab_tests.select(F.col("test_id").alias("group_id"), "slot_duration")
     lab = lab.join(slots, "group_id").withColumn("wait_minutes", F.col("patients_ahead") * F.col("slot_duration")) \
         .drop("slot_duration")
     opd = opd.withColumn("wait_minutes", F.col("patients_ahead") * 10)
@@ -606,16 +606,18 @@ def q_break_state(spark, sf_dir):
     return portable(folds.break_state(h.break_log))
 
 
+def _issue_inputs(h):
+    return (h.opd_issue_log, h.lab_issue_log, h.departments, h.doctors, h.lab_tests, h.status_log, h.lab_status_log)
+
+
 @register("issue_opd")
 def q_issue_opd(spark, sf_dir):
-    h = _h(spark, sf_dir)
-    return portable(folds.issue_opd(h.opd_issue_log, h.departments, h.doctors, h.status_log))
+    return portable(folds.issue_opd(*_issue_inputs(_h(spark, sf_dir))))
 
 
 @register("issue_lab")
 def q_issue_lab(spark, sf_dir):
-    h = _h(spark, sf_dir)
-    return portable(folds.issue_lab(h.lab_issue_log, h.lab_tests, h.lab_status_log))
+    return portable(folds.issue_lab(*_issue_inputs(_h(spark, sf_dir))))
 
 
 @register("issue_pharmacy")

@@ -1234,46 +1234,101 @@ SELECT CAST(st.doctor_id AS BIGINT) AS doctor_id, CAST(st.break_date AS VARCHAR)
 FROM st LEFT JOIN en ON en.doctor_id = st.doctor_id AND en.break_date = st.break_date AND en.rn = 1
 """
 
-SQL["issue_opd"] = ADAPTER + """,
+# Admission: all requests and status changes of a (phone, day) one after the other.
+_ADMISSION = """,
 ra AS (SELECT l.*,
               (SELECT dp.id FROM departments dp WHERE upper(rtrim(dp.name)) = upper(rtrim(COALESCE(l.department, ''))))
                 AS dep_by_name,
               (SELECT dr.department_id FROM doctors dr WHERE dr.id = l.doctor_id) AS dep_by_doc
        FROM opd_issue_log l),
 a AS (SELECT *, COALESCE(dep_by_name, CASE WHEN doctor_id > 0 THEN dep_by_doc END) AS department_id FROM ra),
-ok AS (SELECT *, req_id + 1 AS token_id,
-              row_number() OVER (PARTITION BY department_id, d ORDER BY ts, req_id) AS seq
-       FROM a WHERE department_id IS NOT NULL)""" + _depth("ok", "status_log", "department_id, d", "'waiting'") + f"""
+j AS (SELECT l.*, upper(trim(l.test_code)) AS code, t.test_id, t.fee, t.slot_duration,
+             CASE WHEN upper(trim(l.test_code)) = '' OR trim(l.patient_name) = '' OR trim(l.patient_phone) = ''
+                       OR COALESCE(l.patient_age, 0) <= 0
+                    THEN 'Missing required fields: test_code, patient_name, patient_age, patient_phone'
+                  WHEN t.test_id IS NULL THEN 'Invalid test code or test not available' END AS reason
+      FROM lab_issue_log l LEFT JOIN lab_tests t ON t.test_code = upper(trim(l.test_code))),
+ask AS (
+  SELECT 0 AS lab, req_id, ts, d, patient_phone AS phone, department_id IS NOT NULL AS valid FROM a
+  WHERE COALESCE(patient_phone, '') <> ''
+  UNION ALL
+  SELECT 1, req_id, ts, d, patient_phone, TRUE FROM j WHERE reason IS NULL AND COALESCE(patient_phone, '') <> ''),
+evt AS (
+  SELECT phone, d, ts, 0 AS step, req_id, lab, req_id + 1 AS token, valid, 'waiting' AS status FROM ask
+  UNION ALL
+  SELECT k.phone, k.d, u.ts, 1, u.req_id, 0, u.token_id, FALSE, u.new_status
+  FROM status_log u JOIN ask k ON k.lab = 0 AND k.valid AND k.req_id + 1 = u.token_id
+  UNION ALL
+  SELECT k.phone, k.d, u.ts, 1, u.req_id, 1, u.token_id, FALSE, u.new_status
+  FROM lab_status_log u JOIN ask k ON k.lab = 1 AND k.req_id + 1 = u.token_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY phone, d ORDER BY ts, step, req_id) AS i FROM evt),
+walk AS (
+  SELECT phone, d, 0 AS i, [{'lab': 0, 'token': CAST(0 AS BIGINT), 'status': ''}] AS held,
+         CAST(NULL AS STRUCT(lab INTEGER, token BIGINT, status VARCHAR)) AS blocker,
+         CAST(NULL AS BIGINT) AS req_id, 0 AS lab, 1 AS step
+  FROM (SELECT DISTINCT phone, d FROM o)
+  UNION ALL
+  SELECT w.phone, w.d, w.i + 1,
+         CASE WHEN o.step = 1 THEN list_transform(w.held, lambda x: CASE WHEN x.lab = o.lab AND x.token = o.token
+                THEN {'lab': x.lab, 'token': x.token, 'status': o.status} ELSE x END)
+              WHEN o.valid AND len(list_filter(w.held, lambda x: x.status = 'waiting'
+                     OR x.status = CASE WHEN x.lab = 0 THEN 'consulting' ELSE 'in_progress' END)) = 0
+                THEN list_append(w.held, {'lab': o.lab, 'token': CAST(o.token AS BIGINT), 'status': o.status})
+              ELSE w.held END,
+         list_min(list_filter(w.held, lambda x: x.status = 'waiting'
+                     OR x.status = CASE WHEN x.lab = 0 THEN 'consulting' ELSE 'in_progress' END)),
+         CAST(o.req_id AS BIGINT), o.lab, o.step
+  FROM walk w JOIN o ON o.phone = w.phone AND o.d = w.d AND o.i = w.i + 1),
+blocked AS (SELECT lab, req_id, blocker FROM walk WHERE step = 0 AND blocker IS NOT NULL),
+ok_opd AS (SELECT *, req_id + 1 AS token_id, row_number() OVER (PARTITION BY department_id, d ORDER BY ts, req_id) AS seq
+       FROM a WHERE department_id IS NOT NULL AND req_id NOT IN (SELECT req_id FROM blocked WHERE lab = 0)),
+ok_lab AS (SELECT *, req_id + 1 AS token_id, row_number() OVER (PARTITION BY test_id, d ORDER BY ts, req_id) AS seq
+       FROM j WHERE reason IS NULL AND req_id NOT IN (SELECT req_id FROM blocked WHERE lab = 1)),
+numbers AS (
+  SELECT 0 AS lab, token_id, concat(@INITIAL, printf('%03d', seq)) AS number FROM ok_opd
+  UNION ALL SELECT 1, token_id, concat(code, '-', printf('%03d', seq)) FROM ok_lab),
+said AS (
+  SELECT b.lab, b.req_id,
+         CASE WHEN b.lab = 0
+              THEN concat('You already have an active ',
+                          CASE WHEN b.blocker.lab = 0 THEN 'OPD consultation' ELSE 'Lab test' END, ' token (', n.number,
+                          '). You can only have one token at a time. Please complete, cancel, or wait for it to expire.')
+              ELSE concat('You already have an active token (', n.number, ') in ',
+                          CASE WHEN b.blocker.lab = 0 THEN 'OPD' ELSE 'Lab' END, '. Status: ',
+                          upper(b.blocker.status[1]), b.blocker.status[2:],
+                          '. Please complete, cancel, or wait for it to expire.') END AS refusal
+  FROM blocked b JOIN numbers n ON n.lab = b.blocker.lab AND n.token_id = b.blocker.token)""".replace(
+    "@INITIAL", _initial("department"))
+_RECURSIVE_ADAPTER = ADAPTER.replace("WITH ", "WITH RECURSIVE ", 1)
+
+SQL["issue_opd"] = _RECURSIVE_ADAPTER + _ADMISSION + _depth("ok_opd", "status_log", "department_id, d", "'waiting'") + f"""
 SELECT CAST(ok.req_id AS BIGINT) AS req_id, TRUE AS accepted, CAST(NULL AS VARCHAR) AS reason,
        CAST(ok.token_id AS BIGINT) AS token_id, concat({_initial('ok.department')}, printf('%03d', ok.seq)) AS token_number,
        CAST(ok.department_id AS BIGINT) AS department_id, CAST(ok.d AS VARCHAR) AS queue_date,
        CAST(dp.ahead AS BIGINT) AS patients_ahead, {_hms(f"(({_sod('ok.ts')} + dp.ahead * 600) % 86400)")} AS expected_time
-FROM ok JOIN dp_ok dp ON dp.token_id = ok.token_id
+FROM ok_opd ok JOIN dp_ok_opd dp ON dp.token_id = ok.token_id
 UNION ALL
-SELECT CAST(req_id AS BIGINT), FALSE, 'Invalid department', NULL, NULL, NULL, CAST(d AS VARCHAR), NULL, NULL
-FROM a WHERE department_id IS NULL
+SELECT CAST(a.req_id AS BIGINT), FALSE, COALESCE(s.refusal, 'Invalid department'), NULL, NULL, NULL,
+       CAST(a.d AS VARCHAR), NULL, NULL
+FROM a LEFT JOIN said s ON s.lab = 0 AND s.req_id = a.req_id
+WHERE a.department_id IS NULL OR s.refusal IS NOT NULL
 """
 
-SQL["issue_lab"] = ADAPTER + """,
-j AS (SELECT l.*, upper(trim(l.test_code)) AS code, t.test_id, t.fee, t.slot_duration,
-             CASE WHEN upper(trim(l.test_code)) = '' OR trim(l.patient_name) = '' OR trim(l.patient_phone) = ''
-                       OR COALESCE(l.patient_age, 0) <= 0
-                    THEN 'Missing required fields: test_code, patient_name, patient_age, patient_phone'
-                  WHEN t.test_id IS NULL THEN 'Invalid test code or test not available' END AS reason
-      FROM lab_issue_log l LEFT JOIN lab_tests t ON t.test_code = upper(trim(l.test_code))),
-ok AS (SELECT *, req_id + 1 AS token_id, row_number() OVER (PARTITION BY test_id, d ORDER BY ts, req_id) AS seq
-       FROM j WHERE reason IS NULL)""" + _depth("ok", "lab_status_log", "test_id, d", "'waiting', 'in_progress'") + """
+SQL["issue_lab"] = _RECURSIVE_ADAPTER + _ADMISSION + _depth(
+    "ok_lab", "lab_status_log", "test_id, d", "'waiting', 'in_progress'") + """
 SELECT CAST(ok.req_id AS BIGINT) AS req_id, TRUE AS accepted, CAST(NULL AS VARCHAR) AS reason,
        CAST(ok.token_id AS BIGINT) AS token_id, concat(ok.code, '-', printf('%03d', ok.seq)) AS token_number,
        CAST(ok.test_id AS BIGINT) AS test_id, CAST(ok.d AS VARCHAR) AS queue_date,
        CASE WHEN lower(trim(ok.patient_gender)) IN ('male', 'female', 'other') THEN lower(trim(ok.patient_gender))
             ELSE 'other' END AS patient_gender,
-       CAST(CASE WHEN ok.payment_amount <= 0 THEN ok.fee ELSE ok.payment_amount END AS BIGINT) AS payment_amount,
+       CAST(CASE WHEN ok.payment_amount <= 0 THEN ok.fee ELSE ok.payment_amount END AS DOUBLE) AS payment_amount,
        CAST(dp.ahead + 1 AS BIGINT) AS queue_position, CAST(dp.ahead * ok.slot_duration AS BIGINT) AS wait_time
-FROM ok JOIN dp_ok dp ON dp.token_id = ok.token_id
+FROM ok_lab ok JOIN dp_ok_lab dp ON dp.token_id = ok.token_id
 UNION ALL
-SELECT CAST(req_id AS BIGINT), FALSE, reason, NULL, NULL, NULL, CAST(d AS VARCHAR), NULL, NULL, NULL, NULL
-FROM j WHERE reason IS NOT NULL
+SELECT CAST(j.req_id AS BIGINT), FALSE, COALESCE(j.reason, s.refusal), NULL, NULL, NULL, CAST(j.d AS VARCHAR), NULL,
+       NULL, NULL, NULL
+FROM j LEFT JOIN said s ON s.lab = 1 AND s.req_id = j.req_id
+WHERE j.reason IS NOT NULL OR s.refusal IS NOT NULL
 """
 
 SQL["issue_pharmacy"] = ADAPTER + """,

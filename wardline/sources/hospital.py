@@ -167,7 +167,7 @@ class Hospital:
         doc = self.doctors.select(F.col("id").alias("doctor_id"), "department_id")
         dep = self.departments.select(F.col("id").alias("department_id"),
                                       F.col("name").alias("_dep_name"))
-        t = t0.join(doc, "doctor_id").join(F.broadcast(dep), "department_id")
+        t = t0.join(doc, "doctor_id").join(dep, "department_id")
         t = number_rows(t, ["department_id", "queue_date"], ["created_at", "id"], "_seq")
         pb = F.col("token_type") == "prebooked"
         pb_number = seq3("PB", F.col("event_id") + 1)
@@ -205,7 +205,7 @@ class Hospital:
         """Lab tokens: ``event_id % 8 = 3``; numbers ``{code}-{nnn}`` per test and day."""
         ev = self.events.where(F.col("event_id") % 8 == 3)
         eid, m = F.col("event_id"), F.col("m")
-        lt = F.broadcast(self.lab_tests.select("test_id", "test_code"))
+        lt = self.lab_tests.select("test_id", "test_code")
         t = ev.join(lt, (m % 4 + 1) == lt.test_id).select(
             (eid + 1).cast("bigint").alias("token_id"),
             "event_id", "test_id", "test_code",
@@ -405,7 +405,7 @@ class Hospital:
         ev = self.events.where(e % 2 == 0).withColumn(
             "_doc", ((e + F.col("user_id")) % 10 + 1).cast("int"))
         doc = self.doctors.select(F.col("id").alias("_doc"), F.col("department_id").alias("_dep"))
-        dep = F.broadcast(self.departments.select(F.col("id").alias("_dep"), F.col("name").alias("_dname")))
+        dep = self.departments.select(F.col("id").alias("_dep"), F.col("name").alias("_dname"))
         j = ev.join(doc, "_doc", "left").join(dep, "_dep", "left")
         return j.select(
             F.col("event_id").alias("req_id"), "ts", "d",
@@ -418,7 +418,7 @@ class Hospital:
     @cached_property
     def lab_issue_log(self) -> DataFrame:
         e, m = F.col("event_id"), F.col("m")
-        lt = F.broadcast(self.lab_tests.select(F.col("test_id").alias("_t"), F.col("test_code").alias("_c")))
+        lt = self.lab_tests.select(F.col("test_id").alias("_t"), F.col("test_code").alias("_c"))
         ev = self._log(8, 3)
         j = ev.join(lt, (m % 4 + 1) == lt._t)
         u = F.col("user_id")
