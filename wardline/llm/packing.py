@@ -21,7 +21,10 @@ ignored; a null doc_id is kept as null.
 
 from __future__ import annotations
 
+import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,22 +38,79 @@ MAX_TOKENS = 2048
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
 GROUP_PIECES = 32_768
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 700_000
 SEQUENCES_PER_GROUP = 1 << 32
 
 _tokenizers: dict = {}
 
 
+# A word of these letters is already composed, is lower-cased letter by letter and is one unit of the tokenizer;
+# one mark after it is another unit.
+_PLAIN = re.compile("([a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)").fullmatch
+
+
+def id_bytes(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit numbers."""
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
+def byte_letters() -> dict[int, int]:
+    """The character for each byte in a byte-level vocabulary: printable ones themselves, the rest from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}
+
+
 class ChunkTokenizer:
     """Token ids of texts as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
         self.known: dict[bytes, bytes] = {}
 
+    def plain_ids(self, word: str) -> bytes:
+        """Ids of a word of plain letters, from the model alone."""
+        unit = word.lower().encode().decode("latin-1").translate(self.letters)
+        return id_bytes([t.id for t in self.model.tokenize(unit)])
+
+    def encode(self, chunks: list[str]) -> list[bytes]:
+        return [id_bytes(e.ids) for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
+
+    def learn(self, parts: list[bytes]) -> None:
+        known, hard = self.known, []
+        for part in parts:
+            if part in known:
+                continue
+            plain = _PLAIN(part.decode())
+            if plain is None:
+                hard.append(part)
+                continue
+            word, mark = plain.groups()
+            base = word.encode()
+            ids = known.get(base)
+            if ids is None:
+                ids = known[base] = self.plain_ids(word)
+            if mark:
+                known[part] = ids + self.mark(mark)
+        hard = list(set(hard))
+        for part, ids in zip(hard, self.encode([h.decode() for h in hard])):
+            known[part] = ids
+
+    def mark(self, mark: str) -> bytes:
+        key = mark.encode()
+        if key not in self.known:
+            self.known[key] = self.encode([mark])[0]
+        return self.known[key]
+
     def ids(self, text: bytes) -> bytes:
-        parts = text.split()  # bytes.split: ASCII white space only
+        # the tokenizer lower-cases everything but its special tokens, which begin like this
+        parts = (text if b"<|" in text else text.lower()).split()  # bytes.split: ASCII white space only
         known = self.known
         try:
             return b"".join([known[p] for p in parts])
@@ -58,9 +118,7 @@ class ChunkTokenizer:
             pass
         if len(known) > CACHE_CHUNKS:
             known.clear()
-        new = list({p for p in parts if p not in known})
-        for chunk, enc in zip(new, self.tokenizer.encode_batch([p.decode() for p in new], add_special_tokens=False)):
-            known[chunk] = np.array(enc.ids, dtype="<u4").tobytes()
+        self.learn(parts)
         return b"".join([known[p] for p in parts])
 
 
