@@ -36,13 +36,12 @@ from pyspark.sql import functions as F
 
 from wardline.llm.bitmaps import Bitmap
 from wardline.llm.scratch import Scratch
-from wardline.llm.text import chunks, mix64, segment_sums
+from wardline.llm.text import chunks, mix64, power_tables, segment_sums
 
 THRESHOLD = 2
 MIN_CHARS = 30
 PAGE = 2048
 BITMAP_BITS = 23
-_BASE = np.uint64(0xD1342543DE82EF95)
 _NO_ID = np.iinfo(np.int64).max
 
 
@@ -95,21 +94,6 @@ def within(a: str, b: str, limit: int) -> bool:
 
 
 # -- keys ---------------------------------------------------------------------
-_tables: dict[str, np.ndarray] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64."""
-    if len(_tables.get("up", ())) < n:
-        size = max(n, 1 << 16)
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        for name, base in (("up", _BASE), ("down", inverse)):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            _tables[name] = np.cumprod(steps, dtype=np.uint64)
-    return _tables["up"][:n], _tables["down"][:n]
-
-
 class Characters:
     """Code points of a chunk of documents, its lines, and hashes of any substrings."""
 
@@ -119,7 +103,7 @@ class Characters:
         begins = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
         doc_off = begins[off]
         self.points, n = points, len(points)
-        up, self.down = _power_tables(n + 1)
+        up, self.down = power_tables(n + 1)
         self.sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[:n], out=self.sums[1:])
         breaks = np.flatnonzero(points == 10)

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from wardline.llm.bitmaps import Bitmap
 from wardline.llm.scratch import Scratch
 from wardline.llm.suffixes import equal_windows, suffix_order
-from wardline.llm.text import chunks, mix64, powers, segment_sums
+from wardline.llm.text import chunks, mix64, power_tables, segment_sums
 
 WIDTH = 50
 ANCHOR_BYTES = 16
@@ -86,13 +86,12 @@ class Segments:
         self.lo = self.begin - off[self.doc]
 
     def digests(self) -> np.ndarray:
-        size = self.n + self.width - 1
-        total = int(size.sum())
-        rel = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
-        value = (self.data[np.repeat(self.begin, size) + rel].astype(np.uint64) + np.uint64(1)) * powers(
-            int(size.max()))[rel]
-        sums = segment_sums(value, np.concatenate([[0], np.cumsum(size)]))
-        return mix64(sums ^ mix64(size.astype(np.uint64)))
+        n, size = len(self.data), self.n + self.width - 1
+        up, down = power_tables(n + 1)
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
+        own = (sums[self.begin + size] - sums[self.begin]) * down[self.begin]
+        return mix64(own ^ mix64(size.astype(np.uint64)))
 
 
 def _int64(values: np.ndarray) -> pa.Array:

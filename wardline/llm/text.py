@@ -45,6 +45,22 @@ def powers(n: int) -> np.ndarray:
     return _powers[:n]
 
 
+_tables: dict[str, np.ndarray] = {}
+
+
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo 2^64: with prefix sums of value * power,
+    any substring's hash is (sum to its end - sum to its start) * inverse power of its start."""
+    if len(_tables.get("up", ())) < n:
+        base = np.uint64(0xD1342543DE82EF95)
+        inverse = np.uint64(pow(int(base), -1, 1 << 64))
+        for name, factor in (("up", base), ("down", inverse)):
+            steps = np.full(max(n, 1 << 16), factor, dtype=np.uint64)
+            steps[0] = 1
+            _tables[name] = np.cumprod(steps, dtype=np.uint64)
+    return _tables["up"][:n], _tables["down"][:n]
+
+
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and the offset of each row; nulls are empty."""
     if isinstance(col, pa.ChunkedArray):
