@@ -100,22 +100,26 @@ def cancel_tokens(tokens: DataFrame, bookings: DataFrame, cancel_log: DataFrame)
     """
     r = _cancel_requests(cancel_log).where(~F.col("rejected"))
     t = tokens.select("id", "token_number", "booking_id", "queue_date", "status")
-    by_id = r.where(F.col("token_id") > 0).join(t, r.token_id == t.id).select("req_id", "ts", t.id)
+    # the first request of an id, or of a text and day, decides: one row per key meets the tokens
+    def first_by(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.min(_order()).alias("first"))
+
+    by_id = first_by(r.where(F.col("token_id") > 0), "token_id").join(t, F.col("token_id") == F.col("id"))
     rn = r.where(F.col("token_id") <= 0)
-    by_num = rn.join(t, (rn.T == upper_key(t.token_number)) & (rn.d == t.queue_date)) \
-        .select("req_id", "ts", t.id)
-    by_bid = rn.join(t, (rn.B == upper_key(t.booking_id)) & (rn.d == t.queue_date)) \
-        .select("req_id", "ts", t.id)
-    hits = by_id.unionByName(by_num).unionByName(by_bid)
-    tok = hits.groupBy("id").agg(F.min(_order()).alias("first")).join(t, "id").select(
+    num, bid = first_by(rn, "T", "d"), first_by(rn, "B", "d")
+    by_num = num.join(t, (num.T == upper_key(t.token_number)) & (num.d == t.queue_date))
+    by_bid = bid.join(t, (bid.B == upper_key(t.booking_id)) & (bid.d == t.queue_date))
+    hits = by_id.select("first", "id").unionByName(by_num.select("first", "id")).unionByName(
+        by_bid.select("first", "id"))
+    tok = hits.groupBy("id").agg(F.min("first").alias("first")).join(t, "id").select(
         F.lit("token").alias("target"), F.col("id").cast("string").alias("target_key"),
         "queue_date", F.col("status").alias("old_status"), F.col("first.req_id").alias("req_id"))
     pb_keys = r.where(F.col("B").startswith("PB")).select("req_id", "ts", F.col("B").alias("_k")) \
         .unionByName(r.where((F.col("T") != F.col("B")) & F.col("T").startswith("PB"))
                      .select("req_id", "ts", F.col("T").alias("_k")))
+    pb_keys = first_by(pb_keys, "_k")
     b = bookings.select(upper_key("booking_id").alias("_k"), "booking_id", "appointment_date", "status")
-    bk = pb_keys.join(b, "_k").groupBy("booking_id", "appointment_date", "status").agg(
-        F.min(_order()).alias("first")).select(
+    bk = pb_keys.join(b, "_k").select(
         F.lit("booking").alias("target"), F.col("booking_id").alias("target_key"),
         F.col("appointment_date").alias("queue_date"), F.col("status").alias("old_status"),
         F.col("first.req_id").alias("req_id"))
@@ -291,8 +295,10 @@ def cancel_pharmacy(pharmacy_tokens: DataFrame, log: DataFrame) -> DataFrame:
     by_id = r.where(F.col("token_id") > 0).join(t, r.token_id == t.id, "left").select(
         "req_id", F.col("id").alias("target_id"))
     rn = r.where((F.col("token_id") <= 0) & (F.col("T") != ""))
-    by_num = rn.join(t, (rn.T == upper_key(t.token_number)) & (rn.d == t.queue_date), "left") \
-        .groupBy("req_id").agg(F.min("id").alias("target_id"))
+    # the lowest id of a number and day is found once, not for every request
+    lowest = t.groupBy(upper_key("token_number").alias("T"), F.col("queue_date").alias("d")).agg(
+        F.min("id").alias("target_id"))
+    by_num = rn.join(lowest, ["T", "d"], "left").select("req_id", "target_id")
     target = by_id.unionByName(by_num)
     x = r.join(target, "req_id", "left").join(t.select(F.col("id").alias("target_id"), "status"),
                                               "target_id", "left")

@@ -110,42 +110,39 @@ def token_status(requests: DataFrame, tokens: DataFrame, bookings: DataFrame, do
     step 2: the booking; step 3: today's token by booking id.  Only step 1
     carries the doctor's location.
     """
-    doc = doctors.select(F.col("id").alias("doctor_id"), F.col("name").alias("doctor_name"),
-                         "floor_block", "wing", "room_number")
-    dep = (departments.select(F.col("id").alias("department_id"),
-                                         F.col("name").alias("department_name")))
-    t = tokens.select("id", "token_number", "booking_id", "status", "doctor_id", "department_id",
-                      "queue_date") \
-        .join(doc, "doctor_id", "left").join(dep, "department_id", "left")
+    hit = F.struct("id", "status", "token_number", "booking_id", "doctor_id", "department_id")
+    t = tokens.select("id", "token_number", "booking_id", "status", "doctor_id", "department_id", "queue_date")
     r = requests.select("req_id", "d", upper_key("token").alias("T"), upper_key("booking").alias("B"))
-    payload = F.struct("id", "status", "token_number", "booking_id", "doctor_name",
-                       "department_name", "floor_block", "wing", "room_number")
-    # Step 1: J14 -- union of two equi joins on the day's tokens, deduplicated.
-    by_num = t.select(upper_key("token_number").alias("_k"), "queue_date", payload.alias("p"))
+    # Match first: the lowest id of every text and day, found once, meets the requests.
+    by_num = t.select(upper_key("token_number").alias("T"), F.col("queue_date").alias("d"), hit.alias("p"))
     by_bid = t.where(F.col("booking_id").isNotNull()).select(
-        upper_key("booking_id").alias("_k"), "queue_date", payload.alias("p"))
-    rq = r.where(F.col("T") != "").select("req_id", "d", "T")
-    m1 = rq.join(by_num, (rq.T == by_num._k) & (rq.d == by_num.queue_date)).select("req_id", "p") \
-        .unionByName(rq.join(by_bid, (rq.T == by_bid._k) & (rq.d == by_bid.queue_date))
-                     .select("req_id", "p"))
-    s1 = m1.groupBy("req_id").agg(F.min_by("p", "p.id").alias("s1"))
-    # Step 2: the booking (unique booking id, any day).
-    b = bookings.join(doc.select("doctor_id", "doctor_name"), "doctor_id", "left") \
-        .join(dep, "department_id", "left").select(
-        upper_key("booking_id").alias("_bk"),
-        F.struct("status", "booking_id", "doctor_name", "department_name").alias("s2"))
-    # Step 3: today's token by booking id.
-    s3side = t.where(F.col("booking_id").isNotNull()).groupBy(
-        upper_key("booking_id").alias("_k3"), F.col("queue_date").alias("_d3")).agg(
-        F.min_by(payload, "id").alias("s3"))
-    x = r.join(s1, "req_id", "left")
-    x = x.join(b, (x.B == b._bk) & (x.B != ""), "left")
-    x = x.join(s3side, (x.B == s3side._k3) & (x.d == s3side._d3) & (x.B != ""), "left")
+        upper_key("booking_id").alias("T"), F.col("queue_date").alias("d"), hit.alias("p"))
+    s1 = by_num.unionByName(by_bid).where(F.col("T") != "").groupBy("T", "d").agg(F.min_by("p", "p.id").alias("s1"))
+    s2 = bookings.select(upper_key("booking_id").alias("B"),
+                         F.struct("status", "booking_id", "doctor_id", "department_id").alias("s2")).where(
+        F.col("B") != "")
+    s3 = by_bid.where(F.col("T") != "").groupBy(F.col("T").alias("B"), "d").agg(F.min_by("p", "p.id").alias("s3"))
+    x = r.join(s1, ["T", "d"], "left").join(s2, "B", "left").join(s3, ["B", "d"], "left")
     status = F.coalesce("s1.status", "s2.status", "s3.status")
     step = (F.when(F.col("s1").isNotNull(), 1).when(F.col("s2").isNotNull(), 2)
             .when(F.col("s3").isNotNull(), 3))
-    loc = lambda c: F.when(step == 1, F.coalesce(F.col(f"s1.{c}"), F.lit(""))).when(
-        step.isNotNull(), F.lit(""))
+
+    def of_step(field: str) -> F.Column:
+        return (F.when(step == 1, F.col(f"s1.{field}")).when(step == 2, F.col(f"s2.{field}"))
+                .when(step == 3, F.col(f"s3.{field}")))
+
+    x = x.select("req_id", "T", "B", status.alias("_status"), step.alias("step"), "s1", "s2", "s3",
+                 of_step("doctor_id").alias("doctor_id"), of_step("department_id").alias("department_id"))
+    # Then enrich the answers.
+    doc = doctors.select(F.col("id").alias("doctor_id"), F.col("name").alias("doctor_name"),
+                         "floor_block", "wing", "room_number")
+    dep = departments.select(F.col("id").alias("department_id"), F.col("name").alias("department_name"))
+    x = x.join(doc, "doctor_id", "left").join(dep, "department_id", "left")
+    step, status = F.col("step"), F.col("_status")
+
+    def place(field: str) -> F.Column:
+        return F.when(step == 1, F.coalesce(F.col(field), F.lit(""))).when(step.isNotNull(), F.lit("")).alias(field)
+
     return x.select(
         "req_id",
         F.when((F.col("T") == "") & (F.col("B") == ""), F.lit(None).cast("string"))
@@ -156,12 +153,7 @@ def token_status(requests: DataFrame, tokens: DataFrame, bookings: DataFrame, do
         F.when(step == 1, F.coalesce(F.col("s1.booking_id"), F.col("B")))
          .when(step == 2, F.col("s2.booking_id")).when(step == 3, F.col("s3.booking_id"))
          .alias("booking_id"),
-        F.when(step == 1, F.col("s1.doctor_name")).when(step == 2, F.col("s2.doctor_name"))
-         .when(step == 3, F.col("s3.doctor_name")).alias("doctor_name"),
-        F.when(step == 1, F.col("s1.department_name")).when(step == 2, F.col("s2.department_name"))
-         .when(step == 3, F.col("s3.department_name")).alias("department_name"),
-        loc("floor_block").alias("floor_block"), loc("wing").alias("wing"),
-        loc("room_number").alias("room_number"), step.alias("step"))
+        "doctor_name", "department_name", place("floor_block"), place("wing"), place("room_number"), "step")
 
 
 # -- J3 / J7 / A8 / A9 -----------------------------------------------------------------

@@ -43,19 +43,33 @@ def depth_at_arrival(arrivals: DataFrame, updates: DataFrame, group: Sequence[st
     ``arrivals``: token_id, ts, group columns (token starts active).
     ``updates``: req_id, token_id, ts, new_status (requests for unknown
     tokens are ignored, as the reference's UPDATE matches nothing).
-    Returns token_id, group columns, ``patients_ahead``.
+    Returns token_id, ts, group columns, ``patients_ahead``.
     """
-    group = list(group)
-    a = arrivals.select("token_id", "ts", *group, F.lit(0).alias("_kind"),
-                        F.col("token_id").cast("long").alias("_seq"), F.lit(1).alias("_act"))
-    u = updates.select("req_id", "token_id", "ts", "new_status").join(
-        arrivals.select("token_id", *group), "token_id").select(
-        "token_id", "ts", *group, F.lit(1).alias("_kind"), F.col("req_id").cast("long").alias("_seq"),
-        F.col("new_status").isin(*active).cast("int").alias("_act"))
+    return _depth(arrivals, updates.withColumn("_act", F.col("new_status").isin(*active).cast("int")),
+                  list(group), ["token_id"])
+
+
+def depth_of_kinds(arrivals: DataFrame, updates: DataFrame, active: dict[str, Sequence[str]]) -> DataFrame:
+    """W10 for tokens of several kinds in one pass: ``kind`` is part of the token and of the
+    group (kind, group_id, queue_date); ``active`` holds each kind's active statuses."""
+    flag = F.lit(False)
+    for kind, statuses in active.items():
+        flag = flag | ((F.col("kind") == kind) & F.col("new_status").isin(*statuses))
+    return _depth(arrivals, updates.withColumn("_act", flag.cast("int")),
+                  ["kind", "group_id", "queue_date"], ["kind", "token_id"])
+
+
+def _depth(arrivals: DataFrame, updates: DataFrame, group: list[str], token: list[str]) -> DataFrame:
+    cols = list(dict.fromkeys([*token, "ts", *group]))
+    a = arrivals.select(*cols, F.lit(0).alias("_kind"), F.col("token_id").cast("long").alias("_seq"),
+                        F.lit(1).alias("_act"))
+    known = arrivals.select(*dict.fromkeys([*token, *group]))
+    u = updates.select(*token, "ts", F.col("req_id").cast("long").alias("_seq"), "_act").join(known, token).select(
+        *cols, F.lit(1).alias("_kind"), "_seq", "_act")
     ev = a.unionByName(u)
     # Previous flag of the same token (skew-safe lag over the token's events).
-    ev = lag_within(ev, ["token_id"], ["ts", "_kind", "_seq"], "_act", "_prev_act")
+    ev = lag_within(ev, token, ["ts", "_kind", "_seq"], "_act", "_prev_act")
     ev = ev.withColumn("_delta", F.col("_act") - F.coalesce(F.col("_prev_act"), F.lit(0)))
     summed = running_sum(ev, group, ["ts", "_kind", "_seq"], "_delta", "_running")
     return summed.where(F.col("_kind") == 0).select(
-        "token_id", *group, (F.col("_running") - F.col("_delta")).alias("patients_ahead"))
+        *cols, (F.col("_running") - F.col("_delta")).alias("patients_ahead"))

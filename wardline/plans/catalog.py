@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardline.functions.columns import hms
+from wardline.functions.columns import hms, sod
 from wardline.operators import queues
 from wardline.sources.staging import staged_hospital
 
@@ -374,43 +374,46 @@ def q_pharmacy_token_numbers(spark, sf_dir):
     return portable(out.select("id", "queue_date", "pharmacy_id", "sequence", "issued_number"))
 
 
-def _depths(h):
-    opd = numbering.depth_at_arrival(
-        h.tokens.select(F.col("id").alias("token_id"), F.col("created_at").alias("ts"),
-                        F.col("department_id").alias("group_id"), "queue_date"),
-        h.status_log, ["group_id", "queue_date"], ["waiting"]).withColumn("kind", F.lit("opd"))
-    lab = numbering.depth_at_arrival(
-        h.lab_tokens.select("token_id", F.col("created_at").alias("ts"),
-                            F.col("test_id").alias("group_id"), F.col("scheduled_date").alias("queue_date")),
-        h.lab_status_log, ["group_id", "queue_date"], ["waiting", "in_progress"]) \
-        .withColumn("kind", F.lit("lab"))
-    ph = numbering.depth_at_arrival(
-        h.pharmacy_tokens.select(F.col("id").alias("token_id"), F.col("created_at").alias("ts"),
-                                 F.col("pharmacy_id").alias("group_id"), "queue_date"),
-        h.pharmacy_status_log, ["group_id", "queue_date"], ["waiting"]).withColumn("kind", F.lit("pharmacy"))
-    return opd, lab, ph
+def _arrivals(h):
+    """Tokens of every kind and their status requests, in one shape; ``kind`` is part of the group."""
+    opd = h.tokens.select(F.lit("opd").alias("kind"), F.col("id").cast("long").alias("token_id"),
+                          F.col("created_at").alias("ts"), F.col("department_id").alias("group_id"), "queue_date")
+    lab = h.lab_tokens.select(F.lit("lab").alias("kind"), F.col("token_id").cast("long"),
+                              F.col("created_at").alias("ts"), F.col("test_id").alias("group_id"),
+                              F.col("scheduled_date").alias("queue_date"))
+    ph = h.pharmacy_tokens.select(F.lit("pharmacy").alias("kind"), F.col("id").cast("long").alias("token_id"),
+                                  F.col("created_at").alias("ts"), F.col("pharmacy_id").alias("group_id"), "queue_date")
+    logs = []
+    for kind, log in (("opd", h.status_log), ("lab", h.lab_status_log), ("pharmacy", h.pharmacy_status_log)):
+        logs.append(log.select(F.lit(kind).alias("kind"), "req_id", F.col("token_id").cast("long").alias("token_id"),
+                               "ts", "new_status"))
+    return opd.unionByName(lab).unionByName(ph), logs[0].unionByName(logs[1]).unionByName(logs[2])
 
 
 @register("depth_at_arrival")
 def q_depth_at_arrival(spark, sf_dir):
     h = _h(spark, sf_dir)
-    opd, lab, ph = _depths(h)
-    slots = h.lab_tests.select(F.col("test_id").alias("group_id"), "slot_duration")
-    lab = lab.join(slots, "group_id").withColumn("wait_minutes", F.col("patients_ahead") * F.col("slot_duration")) \
-        .drop("slot_duration")
-    opd = opd.withColumn("wait_minutes", F.col("patients_ahead") * 10)
-    ph = ph.withColumn("wait_minutes", F.col("patients_ahead") * 3)
-    return portable(opd.unionByName(lab).unionByName(ph).select(
-        "kind", "token_id", "queue_date", "group_id", "patients_ahead", "wait_minutes"))
+    arrivals, updates = _arrivals(h)
+    # a lab token in progress still waits in the lab's queue; the other queues count waiting ones
+    depth = numbering.depth_of_kinds(arrivals, updates, {"opd": ["waiting"], "lab": ["waiting", "in_progress"],
+                                                         "pharmacy": ["waiting"]})
+    slots = h.lab_tests.select(F.lit("lab").alias("kind"), F.col("test_id").alias("group_id"), "slot_duration")
+    minutes = (F.when(F.col("kind") == "opd", F.lit(10)).when(F.col("kind") == "pharmacy", F.lit(3))
+               .otherwise(F.col("slot_duration")))
+    return portable(depth.join(slots, ["kind", "group_id"], "left").select(
+        "kind", "token_id", "queue_date", "group_id", "patients_ahead",
+        (F.col("patients_ahead") * minutes).alias("wait_minutes")))
 
 
 @register("expected_times")
 def q_expected_times(spark, sf_dir):
     h = _h(spark, sf_dir)
-    opd, _, _ = _depths(h)
-    t = h.tokens.select(F.col("id").alias("token_id"), "created_sod")
-    e = opd.join(t, "token_id").withColumn(
-        "expected_sod", wrap_sod(F.col("created_sod") + F.col("patients_ahead") * 600))
+    opd = numbering.depth_at_arrival(
+        h.tokens.select(F.col("id").alias("token_id"), F.col("created_at").alias("ts"),
+                        F.col("department_id").alias("group_id"), "queue_date"),
+        h.status_log, ["group_id", "queue_date"], ["waiting"])
+    # the depth keeps the arrival's time, so nothing is joined back
+    e = opd.withColumn("expected_sod", wrap_sod(sod("ts") + F.col("patients_ahead") * 600))
     return portable(e.select("token_id", "queue_date", "patients_ahead", "expected_sod",
                              hms("expected_sod").alias("expected_time"),
                              hhmm_ampm("expected_sod").alias("expected_label")))
