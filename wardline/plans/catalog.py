@@ -661,3 +661,60 @@ def q_staff_roster(spark, sf_dir):
 def q_pharmacy_roster(spark, sf_dir):
     h = _h(spark, sf_dir)
     return portable(directory.pharmacy_roster(h.pharmacy_staff, h.pharmacies))
+
+
+# -- table maintenance and responses --------------------------------------------------
+@register("harmonize_bookings")
+def q_harmonize_bookings(spark, sf_dir):
+    """OPD and lab bookings in one layout; what a table lacks takes its default."""
+    h = _h(spark, sf_dir)
+    layout = T.StructType([
+        T.StructField("code", T.StringType()), T.StructField("patient_name", T.StringType()),
+        T.StructField("appointment_date", T.DateType()), T.StructField("appointment_sod", T.LongType()),
+        T.StructField("status", T.StringType()), T.StructField("department_id", T.LongType()),
+        T.StructField("test_id", T.LongType()), T.StructField("kind", T.StringType())])
+    opd = tables.harmonize(h.prebooked_appointments.withColumnRenamed("booking_id", "code"), layout,
+                           {"kind": "opd", "test_id": 0})
+    lab = tables.harmonize(h.prebooked_lab_appointments.withColumnRenamed("booking_code", "code")
+                           .withColumnRenamed("booking_status", "status"), layout, {"kind": "lab", "department_id": 0})
+    return portable(opd.unionByName(lab))
+
+
+@register("backfill_locations")
+def q_backfill_locations(spark, sf_dir):
+    """Doctors of a department take its name as wing; the others keep theirs."""
+    h = _h(spark, sf_dir)
+    values = h.departments.where(F.col("id") % 2 == 0).select(F.col("id").alias("department_id"),
+                                                              F.upper("name").alias("wing"))
+    base = h.doctors.select("id", "department_id", "wing")
+    return portable(tables.backfill(base, values, ["department_id"], ["wing"]))
+
+
+@register("reset_bookings")
+def q_reset_bookings(spark, sf_dir):
+    """All bookings, those of the last day back to 'booked'."""
+    h = _h(spark, sf_dir)
+    last = h.prebooked_appointments.agg(F.max("appointment_date")).first()[0]
+    return portable(tables.reset_bookings(h.prebooked_appointments, last).select(
+        "id", "booking_id", "appointment_date", "status"))
+
+
+@register("wipe_day")
+def q_wipe_day(spark, sf_dir):
+    """The day-partitioned tokens after the first day has been removed."""
+    from wardline.sources.staging import scratch_path
+    h = _h(spark, sf_dir)
+    path = scratch_path(spark, "wipe_day")
+    tables.replace_days(h.tokens.select("id", "token_number", "status", "queue_date"), path)
+    first = h.tokens.agg(F.min("queue_date")).first()[0]
+    tables.delete_days(spark, path, [first])
+    return portable(spark.read.parquet(path).select("id", "token_number", "status", "queue_date"))
+
+
+@register("public_queue")
+def q_public_queue(spark, sf_dir):
+    """F18 + S11: every live queue row as the JSON text of a board, without personal data."""
+    h = _h(spark, sf_dir)
+    q = directory.public_view(queues.live_queue(h.tokens, h.prebooked_appointments, scope="doctor"))
+    shown = portable(q.select("queue_date", "doctor_id", "position", "token_number", "status"))
+    return tables.to_response(shown)

@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import os
 import threading
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,3 +74,8 @@ def staged_hospital(spark: SparkSession, sf_dir: str) -> StagedHospital:
             root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/wardline-domain/{tag}"
             _CACHE[key] = StagedHospital(Hospital(spark, sf_dir), root)
         return _CACHE[key]
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new folder name below the shared checkpoint directory."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/wardline-scratch/{label}-{uuid.uuid4().hex}"
