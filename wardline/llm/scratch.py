@@ -8,6 +8,7 @@ soon as a later table has been derived from it.
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,10 +33,14 @@ class Scratch:
         """Let Spark delete the exchange files of steps whose results are written.
 
         Its cleaner does so once the driver has collected the garbage of their
-        plans, which on a quiet driver may otherwise take half an hour.
+        plans, which on a quiet driver may otherwise take half an hour.  What
+        the first collection sets free is referenced by what the second one
+        sets free, hence two with a pause for the cleaner.
         """
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.5)
 
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more."""
