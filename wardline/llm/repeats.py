@@ -13,15 +13,17 @@ anchor are a segment.
 1. One row (anchor, digest of the segment) for each segment is dealt by
    anchor.  Equal segments of different documents settle all their windows at
    once.  An anchor with different segments in different documents is open.
-2. The segments of open anchors are dealt by anchor into shards.  Each shard
-   sorts the suffixes of its distinct segments by external induced sorting
+2. The segments of open anchors are dealt by anchor; a task reads them as
+   shards of some megabytes that end with an anchor.  Each shard sorts the
+   suffixes of its distinct segments by external induced sorting
    (``suffixes.py``: queues on disk, recursion on named substrings); suffixes
    that share ``width`` bytes stand together, and the smallest id of such a
    group decides for all its windows.
 3. The removed windows of each document are collected and its bytes cut.
 
 Hot groups: rows of a busy anchor are read as a stream and never held; in a
-shard only distinct segments have a text.
+shard only distinct segments have a text; one anchor's distinct segments are
+sorted together, however many they are.
 
 Defined results: a null or empty text has no bytes; a null id is never
 smaller than another; rows that share an id do not remove from each other;
@@ -47,6 +49,8 @@ WIDTH = 50
 ANCHOR_BYTES = 16
 MAX_STARTS = 4096      # windows of a segment
 BITMAP_BITS = 26
+SHARD_BYTES = 2 << 20  # distinct segments that are sorted together
+CUT_ROWS = 1000
 _NO_ID = np.iinfo(np.int64).max
 _ODD = np.uint64(0x9E3779B97F4A7C55)
 
@@ -197,42 +201,73 @@ def shard_windows(texts: list[bytes], least: np.ndarray, width: int) -> tuple[np
     return first, by_group[group]
 
 
-def _sort_shard(width: int):
-    """A shard's rows, sorted by (anchor, digest, place) -> (row, lo, n) runs of removed windows."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, least, kept = [], [], []
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            anchor, digest, place, row, span = (batch.column(i).to_numpy() for i in range(5))
-            new = np.append(True, (digest[1:] != digest[:-1]) | (anchor[1:] != anchor[:-1]))
-            new[0] = last != (anchor[0], digest[0])
-            last = (anchor[-1], digest[-1])
-            index = len(texts) - 1 + np.cumsum(new)
-            at = np.flatnonzero(new)
-            texts.extend(batch.column("bytes").take(pa.array(at)).to_pylist())
-            least.append(place[at])
-            kept.append((index, place, row, span))
-        if not texts:
-            return
-        first, earliest = shard_windows(texts, np.concatenate(least), width)
-        for index, place, row, span in kept:
+class _Shard:
+    """Distinct segments of some anchors, and the rows that have them."""
+
+    def __init__(self):
+        self.texts: list[bytes] = []
+        self.least: list[np.ndarray] = []
+        self.rows: list[tuple[np.ndarray, ...]] = []
+        self.n_bytes = 0
+
+    def add(self, batch: pa.RecordBatch, new: np.ndarray) -> None:
+        place, row, span = (batch.column(i).to_numpy() for i in (2, 3, 4))
+        index = len(self.texts) - 1 + np.cumsum(new)
+        at = np.flatnonzero(new)
+        texts = batch.column("bytes").take(pa.array(at)).to_pylist()
+        self.texts.extend(texts)
+        self.n_bytes += sum(map(len, texts))
+        self.least.append(place[at])
+        self.rows.append((index, place, row, span))
+
+    def removed(self, width: int) -> Iterator[pa.RecordBatch]:
+        """(row, lo, n) runs of windows that a document of smaller place has."""
+        first, earliest = shard_windows(self.texts, np.concatenate(self.least), width)
+        for index, place, row, span in self.rows:
             lo, n = span // (2 * MAX_STARTS), span % (2 * MAX_STARTS)
             ends = np.cumsum(n)
             rel = np.arange(ends[-1]) - np.repeat(ends - n, n)
             removed = earliest[np.repeat(first[index], n) + rel] < np.repeat(place, n)
             edge = np.diff(np.concatenate([[0], removed.view(np.int8), [0]]))
             # runs end with their row
-            owner = np.repeat(np.arange(len(n)), n)
             begin = np.flatnonzero(removed & ((edge[:-1] == 1) | (rel == 0)))
             if not len(begin):
                 continue
-            last_of = np.flatnonzero(removed & ((edge[1:] == -1) | (rel == np.repeat(n, n) - 1)))
-            o = owner[begin]
+            last = np.flatnonzero(removed & ((edge[1:] == -1) | (rel == np.repeat(n, n) - 1)))
+            owner = np.repeat(np.arange(len(n)), n)[begin]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(row[o]), pa.array(lo[o] + rel[begin]), pa.array(last_of - begin + 1)],
+                [pa.array(row[owner]), pa.array(lo[owner] + rel[begin]), pa.array(last - begin + 1)],
                 names=["row", "lo", "n"])
+
+
+def _sort_shard(width: int):
+    """Rows sorted by (anchor, digest, place) -> (row, lo, n) runs of removed windows.
+
+    Equal windows have equal anchors, so a shard may end with any anchor; it
+    does once it has ``SHARD_BYTES`` of distinct segments.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, last = _Shard(), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            anchor, digest = batch.column("anchor").to_numpy(), batch.column("digest").to_numpy()
+            new_anchor = np.append(last is None or last[0] != anchor[0], anchor[1:] != anchor[:-1])
+            new = new_anchor | np.append(last is None or last[1] != digest[0], digest[1:] != digest[:-1])
+            last = (anchor[-1], digest[-1])
+            start = 0
+            cuts = np.flatnonzero(new_anchor)
+            while start < batch.num_rows:
+                if shard.n_bytes >= SHARD_BYTES and new_anchor[start]:
+                    yield from shard.removed(width)
+                    shard = _Shard()
+                # rows up to an anchor's start at least CUT_ROWS further on
+                later = cuts[cuts >= start + CUT_ROWS]
+                end = int(later[0]) if len(later) else batch.num_rows
+                shard.add(batch.slice(start, end - start), new[start:end])
+                start = end
+        if shard.texts:
+            yield from shard.removed(width)
     return run
 
 
