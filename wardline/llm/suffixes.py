@@ -23,6 +23,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from wardline.llm.text import mix64, powers
+
 SPILL_ITEMS = 1 << 22    # positions that a queue or array keeps in memory
 PIECE_ITEMS = 1 << 20    # positions that are handled at a time
 SMALL_ALPHABET = 4096    # larger alphabets of names are ranked by doubling
@@ -141,20 +143,32 @@ def in_order(falling: list[Queue], rise: list[Queue]) -> Iterator[np.ndarray]:
         yield from r.backwards()
 
 
-def rank_by_doubling(names: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Suffix order of a string of names whose suffixes are distinct before the next end."""
+def rank_by_doubling(names: np.ndarray) -> np.ndarray:
+    """Suffix order of a string of names (0, 1, ... without gaps) whose suffixes are distinct.
+
+    A suffix's rank is where its group of equal beginnings starts; only groups
+    of two or more are sorted again, by the rank of what follows.
+    """
     n, width = len(names), 1
-    rank = names.astype(np.int64)
-    while True:
-        after = np.full(n, -1, dtype=np.int64)
-        after[:n - width] = rank[width:]
-        order = np.lexsort((after, rank))
-        new = np.empty(n, dtype=np.int64)
-        new[order] = np.concatenate([[0], np.cumsum(
-            (rank[order][1:] != rank[order][:-1]) | (after[order][1:] != after[order][:-1]))])
-        if new[order[-1]] == n - 1:
-            return order
-        rank, width = new, width * 2
+    counts = np.bincount(names)
+    rank = (np.cumsum(counts) - counts)[names]
+    todo = np.flatnonzero(counts[names] > 1)
+    while len(todo):
+        after = np.where(todo + width < n, rank[np.minimum(todo + width, n - 1)] + 1, 0)
+        order = np.argsort(rank[todo] * (n + 1) + after)
+        todo, after = todo[order], after[order]
+        old = rank[todo]
+        new_group = np.append(True, old[1:] != old[:-1])
+        new_part = new_group | np.append(True, after[1:] != after[:-1])
+        at = np.arange(len(todo))
+        group_start = np.maximum.accumulate(np.where(new_group, at, 0))
+        part_start = np.maximum.accumulate(np.where(new_part, at, 0))
+        rank[todo] = old + part_start - group_start
+        alone = new_part & np.append(new_part[1:], True)
+        todo, width = todo[~alone], width * 2
+    order = np.empty(n, dtype=np.int64)
+    order[rank] = np.arange(n)
+    return order
 
 
 def suffix_order(text: np.ndarray, limit: int = SPILL_ITEMS) -> Iterator[np.ndarray]:
@@ -174,10 +188,9 @@ def suffix_order(text: np.ndarray, limit: int = SPILL_ITEMS) -> Iterator[np.ndar
     names = _names(text, leftmost, by_substring)
     if names.max() + 1 < len(names):
         if names.max() < SMALL_ALPHABET:
-            # names of substrings that end a string are larger than 0 only by the shift
             order = np.concatenate(list(_sorted_names(names, limit)))
         else:
-            order = rank_by_doubling(names, leftmost)
+            order = rank_by_doubling(names)
         seeds = leftmost[order]
     else:
         seeds = by_substring
@@ -186,8 +199,6 @@ def suffix_order(text: np.ndarray, limit: int = SPILL_ITEMS) -> Iterator[np.ndar
 
 def _names(text: np.ndarray, leftmost: np.ndarray, by_substring: np.ndarray) -> np.ndarray:
     """For each leftmost position in text order the rank of its substring; equal ones share a rank."""
-    from wardline.llm.text import mix64, powers
-
     ends = np.append(leftmost[1:], len(text) - 1)
     pw = powers(int((ends - leftmost).max()) + 2)
     # substrings that contain an end are like no other
@@ -220,7 +231,7 @@ def equal_windows(codes: np.ndarray, order: Iterator[np.ndarray], room: np.ndarr
     Comparison is eight characters at a time.
     """
     padded = np.concatenate([codes, np.zeros(width + 8, dtype=np.uint8)])
-    words = np.lib.stride_tricks.as_strided(padded, shape=(len(codes) + width, 8), strides=(1, 1))
+    eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)).view("<u8").ravel()
     steps = [*range(0, width - 7, 8)]
     if width % 8:
         steps.append(width - 8)
@@ -232,9 +243,7 @@ def equal_windows(codes: np.ndarray, order: Iterator[np.ndarray], room: np.ndarr
         before = np.append(last if last >= 0 else piece[0], piece[:-1])
         same = np.ones(len(piece), dtype=bool)
         for s in steps:
-            x = np.ascontiguousarray(words[piece + s]).view("<u8").ravel()
-            y = np.ascontiguousarray(words[before + s]).view("<u8").ravel()
-            same &= x == y
+            same &= eight[piece + s] == eight[before + s]
         if last < 0:
             same[0] = False
         last = int(piece[-1])
