@@ -1,7 +1,8 @@
 """Quality rules: base counts and divergence from language references.
 
-Counts come from one pass over the whole texts: words, their code points,
-symbols, repeated lines and words in repeated five-word windows.  The method
+One pass over the whole texts sums the histograms of each language; a second
+one counts words, their code points, symbols, repeated lines and words in
+repeated five-word windows of each document, and judges it.  The method
 compares two histograms of a document with those of all documents of its
 language: character classes, and a list of very common words of the four
 languages plus "any other word".  The distance is Jensen-Shannon's (square
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardline.llm.scratch import Scratch, clean_columns
+from wardline.llm.scratch import Scratch
 from wardline.llm.text import chunks, mix64, powers, segment_sums, shingles, sort_distinct, utf8, words
 
 MIN_BASE_WORDS = 10
@@ -71,10 +72,11 @@ _CLASS = _byte_classes()
 _IS_SYMBOL = np.isin(np.arange(256), list(SYMBOLS))
 
 FEATURES = T.StructType([
-    T.StructField("n_words", T.LongType()), T.StructField("word_chars", T.LongType()),
-    T.StructField("n_symbols", T.LongType()), T.StructField("n_dup_lines", T.LongType()),
-    T.StructField("n_repeat_words", T.LongType()),
-    T.StructField("classes", T.ArrayType(T.LongType())), T.StructField("common", T.ArrayType(T.LongType()))])
+    *[T.StructField(c, T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+    T.StructField("class_distance", T.DoubleType()), T.StructField("word_distance", T.DoubleType()),
+    T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType())])
+SUMS = "lang string, classes array<bigint>, common array<bigint>"
+HELD_LANGS = 10_000  # languages whose sums a task holds at a time
 
 
 def _common_hashes() -> tuple[np.ndarray, np.ndarray]:
@@ -85,17 +87,14 @@ def _common_hashes() -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counts(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
-    """The seven feature columns for a chunk of documents."""
+    """The five counts for a chunk of documents."""
     n_docs = len(off) - 1
-    doc_of_byte = np.repeat(np.arange(n_docs), np.diff(off))
     w = words(data, off)
     n_words = np.diff(w.first)
     begins = _CLASS[data] != 255
     points = np.concatenate([[0], np.cumsum(begins)])
     word_chars = segment_sums(points[w.end] - points[w.start], w.first)
     n_symbols = segment_sums(_IS_SYMBOL[data].astype(np.int64), off)
-    classes = np.bincount(doc_of_byte[begins] * N_CLASSES + _CLASS[data][begins],
-                          minlength=n_docs * N_CLASSES).reshape(n_docs, N_CLASSES)
 
     # lines with a word; a document of k line breaks has k + 1 lines
     breaks = np.flatnonzero(data == 10)
@@ -129,100 +128,128 @@ def _counts(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     np.add.at(cover, at + WINDOW, -1)
     n_repeat = segment_sums((np.cumsum(cover[:-1]) > 0).astype(np.int64), w.first)
 
+    return [n_words, word_chars, n_symbols, n_dup_lines, n_repeat]
+
+
+def _histograms(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of character classes and of common words for a chunk of documents."""
+    n_docs = len(off) - 1
+    begins = _CLASS[data] != 255
+    doc_of_byte = np.repeat(np.arange(n_docs), np.diff(off))
+    classes = np.bincount(doc_of_byte[begins] * N_CLASSES + _CLASS[data][begins],
+                          minlength=n_docs * N_CLASSES).reshape(n_docs, N_CLASSES)
+    w = words(data, off, lower=True)
     hashes, place = _common_hashes()
-    low = words(data, off, lower=True).hash
-    found = np.searchsorted(hashes, low).clip(0, len(hashes) - 1)
-    slot = np.where(hashes[found] == low, place[found], len(hashes))
+    found = np.searchsorted(hashes, w.hash).clip(0, len(hashes) - 1)
+    slot = np.where(hashes[found] == w.hash, place[found], len(hashes))
     width = len(hashes) + 1
-    word_doc = np.repeat(np.arange(n_docs), n_words)
+    word_doc = np.repeat(np.arange(n_docs), np.diff(w.first))
     common = np.bincount(word_doc * width + slot, minlength=n_docs * width).reshape(n_docs, width)
-    return [n_words, word_chars, n_symbols, n_dup_lines, n_repeat, classes, common]
-
+    return classes, common
 
-def _matrix(m: np.ndarray) -> pa.Array:
-    n, k = m.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * k, pa.int32()),
-                                    pa.array(m.reshape(-1).astype(np.int64)))
-
-
-def _add_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a, b, data, off in chunks(batch.column("_text")):
-            part = batch.slice(a, b - a)
-            cols = _counts(data, off)
-            arrays = [pa.array(c.astype(np.int64)) for c in cols[:5]] + [_matrix(c) for c in cols[5:]]
-            kept = [part.column(i) for i, name in enumerate(part.schema.names) if name != "_text"]
-            names = [n for n in part.schema.names if n != "_text"]
-            yield pa.RecordBatch.from_arrays(kept + arrays, names=names + [f.name for f in FEATURES])
-
-
-def features(df: DataFrame) -> DataFrame:
-    """Replace the column ``_text`` by the feature columns."""
-    schema = T.StructType([f for f in df.schema.fields if f.name != "_text"] + FEATURES.fields)
-    return df.mapInArrow(_add_features, schema)
-
-
-def references(scratch: Scratch, rows: DataFrame) -> DataFrame:
-    """(lang, ref_classes, ref_common): summed histograms of all documents of each language."""
-    def summed(column: str, width: int) -> list[Column]:
-        return [F.sum(F.element_at(column, i + 1)) for i in range(width)]
-    return scratch.write(rows.groupBy("lang").agg(
-        F.array(*summed("classes", N_CLASSES)).alias("ref_classes"),
-        F.array(*summed("common", len(COMMON_WORDS) + 1)).alias("ref_common"),
-    ).withColumnRenamed("lang", "_ref_lang"), "references")
 
+def js_distance(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distance of each pair of rows of counts; NaN if one of them is empty."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        p = counts / counts.sum(axis=1, keepdims=True)
+        q = reference / reference.sum(axis=1, keepdims=True)
+        mid = (p + q) / 2
+        total = (np.where(p > 0, p * np.log2(p / mid), 0) + np.where(q > 0, q * np.log2(q / mid), 0)).sum(axis=1) / 2
+        total[np.isnan(p[:, 0]) | np.isnan(q[:, 0])] = np.nan
+        return np.sqrt(np.maximum(total, 0))
 
-def _total(counts: Column) -> Column:
-    return F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
 
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Summed histograms of a task's documents by language."""
+    held: dict[str | None, tuple[np.ndarray, np.ndarray]] = {}
 
-def js_distance(counts: Column, reference: Column) -> Column:
-    """Jensen-Shannon distance of two count histograms; null if one is empty."""
-    n, m = _total(counts), _total(reference)
+    def rows() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(held), pa.string()), pa.array([c.tolist() for c, _ in held.values()], pa.list_(pa.int64())),
+             pa.array([w.tolist() for _, w in held.values()], pa.list_(pa.int64()))],
+            names=["lang", "classes", "common"])
 
-    def part(a: Column, b: Column) -> Column:
-        p, q = a / n, b / m
-        mid = (p + q) / 2
-        return (F.when(p > 0, p * F.log2(p / mid)).otherwise(0.0)
-                + F.when(q > 0, q * F.log2(q / mid)).otherwise(0.0)) / 2
-
-    total = F.aggregate(F.zip_with(counts, reference, part), F.lit(0.0), lambda a, x: a + x)
-    return F.when((n > 0) & (m > 0), F.sqrt(F.greatest(total, F.lit(0.0))))
+    for batch in batches:
+        for a, b, data, off in chunks(batch.column("text")):
+            classes, common = _histograms(data, off)
+            langs = batch.column("lang").slice(a, b - a).dictionary_encode(null_encoding="encode")
+            names, codes = langs.dictionary.to_pylist(), langs.indices.to_numpy()
+            for k, name in enumerate(names):
+                own = codes == k
+                old = held.get(name, (0, 0))
+                held[name] = (classes[own].sum(axis=0) + old[0], common[own].sum(axis=0) + old[1])
+            if len(held) > HELD_LANGS:
+                yield rows()
+                held.clear()
+    if held:
+        yield rows()
+
+
+def references(scratch: Scratch, docs: DataFrame) -> DataFrame:
+    """(_ref_lang, ref_classes, ref_common): histograms of all documents of each language."""
+    def summed(column: str, width: int) -> Column:
+        return F.array(*[F.sum(F.element_at(column, i + 1)) for i in range(width)])
+    parts = docs.select(docs["lang"].cast("string").alias("lang"), docs["text"]).mapInArrow(_sums, SUMS)
+    return scratch.write(parts.groupBy("lang").agg(
+        summed("classes", N_CLASSES).alias("ref_classes"), summed("common", len(COMMON_WORDS) + 1).alias("ref_common"))
+        .withColumnRenamed("lang", "_ref_lang"), "references")
+
+
+def _rows(col: pa.Array, a: int, b: int, width: int) -> np.ndarray:
+    """Rows a to b of a column of lists of ``width`` numbers (null: zeros)."""
+    part = col.slice(a, b - a)
+    out = np.zeros((b - a, width))
+    there = part.is_valid().to_numpy(zero_copy_only=False)
+    out[there] = part.flatten().to_numpy().reshape(-1, width)
+    return out
+
+
+def _judge(max_class: float, max_word: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used = ("_text", "ref_classes", "ref_common")
+        for batch in batches:
+            names = [n for n in batch.schema.names if n not in used]
+            for a, b, data, off in chunks(batch.column("_text")):
+                counts = _counts(data, off)
+                classes, common = _histograms(data, off)
+                n_words, n_repeat = counts[0], counts[4]
+                by_class = js_distance(classes, _rows(batch.column("ref_classes"), a, b, N_CLASSES))
+                by_word = js_distance(common, _rows(batch.column("ref_common"), a, b, common.shape[1]))
+                by_class[classes.sum(axis=1) < MIN_CHARS] = np.nan
+                by_word[n_words < MIN_WORDS] = np.nan
+                failed = (n_words < MIN_BASE_WORDS) | (100 * n_repeat > MAX_REPEAT_PERCENT * n_words)
+                kept = ~failed & ~(by_class > max_class) & ~(by_word > max_word)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(n).slice(a, b - a) for n in names]
+                    + [pa.array(c.astype(np.int64)) for c in counts]
+                    + [pa.array(d, mask=np.isnan(d)) for d in (by_class, by_word)]
+                    + [pa.array(failed), pa.array(kept)],
+                    names=names + [f.name for f in FEATURES])
+    return run
 
 
 def judge(rows: DataFrame, refs: DataFrame, max_class: float = MAX_CLASS_DISTANCE,
           max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
-    """Add base_failed, both distances and the verdict ``kept`` to feature rows."""
-    n_chars = _total(F.col("classes"))
-    joined = rows.join(refs, F.col("lang").eqNullSafe(F.col("_ref_lang")), "left")
-    measured = joined.select(
-        *[F.col(f"`{c}`") for c in rows.columns if c not in ("classes", "common")],
-        F.when(n_chars >= MIN_CHARS, js_distance(F.col("classes"), F.col("ref_classes"))).alias("class_distance"),
-        F.when(F.col("n_words") >= MIN_WORDS, js_distance(F.col("common"), F.col("ref_common"))).alias("word_distance"),
-        ((F.col("n_words") < MIN_BASE_WORDS)
-         | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))).alias("base_failed"))
-    off = (F.coalesce(F.col("class_distance"), F.lit(0.0)) > max_class) | (
-        F.coalesce(F.col("word_distance"), F.lit(0.0)) > max_word)
-    return measured.withColumn("kept", ~F.col("base_failed") & ~off)
+    """Replace ``_text`` and ``_lang`` by counts, both distances and the verdict ``kept``."""
+    known = rows.join(refs, F.col("_lang").eqNullSafe(F.col("_ref_lang")), "left").drop("_lang", "_ref_lang")
+    schema = T.StructType([f for f in rows.schema.fields if f.name not in ("_text", "_lang")] + FEATURES.fields)
+    return known.mapInArrow(_judge(max_class, max_word), schema)
 
 
-def _narrow(docs: DataFrame) -> DataFrame:
-    return features(clean_columns(docs, "doc_id", "lang", "text").withColumnRenamed("text", "_text"))
+def _with_language(docs: DataFrame, *columns: Column) -> DataFrame:
+    return docs.select(*columns, docs["lang"].cast("string").alias("_lang"), docs["text"].alias("_text"))
 
 
 def assess(docs: DataFrame) -> DataFrame:
     """One row of counts, distances and verdict for each document."""
-    scratch = Scratch(docs.sparkSession, "quality")
-    rows = scratch.write(_narrow(docs), "features")
-    return judge(rows, references(scratch, rows))
+    refs = references(Scratch(docs.sparkSession, "quality"), docs)
+    return judge(_with_language(docs, docs["doc_id"]), refs)
 
 
 def keep_clean(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns."""
-    scratch = Scratch(docs.sparkSession, "quality")
-    refs = references(scratch, scratch.write(_narrow(docs).select("lang", "classes", "common"), "histograms"))
-    whole = docs.select(F.struct("*").alias("_row"), docs["lang"].alias("lang"), docs["text"].alias("_text"))
-    return judge(features(whole), refs).where("kept").select("_row.*")
+    refs = references(Scratch(docs.sparkSession, "quality"), docs)
+    return judge(_with_language(docs, F.struct("*").alias("_row")), refs).where("kept").select("_row.*")
 
 
 def op5_query(documents: DataFrame) -> DataFrame:
