@@ -14,12 +14,13 @@ components of the links.  No link between different sets is lost.
    passages that many documents share seldom bring documents together.  Rows
    (element, class) are dealt by element; classes that meet form a unit, a
    unit of more than ``PAGE`` classes is cut into pages along the set size.
-3. R-trees over the count vectors of a unit: the bound drops pairs that cannot
-   reach the needed overlap.  First only a star for each leaf is verified and
-   the components of these links are formed; then pairs of different
-   components, found by joining trees (of one page, and of every two pages of a
-   unit whose sizes fit), with subtrees of one component skipped.  A group of
-   near copies thus costs about one verification for each member.
+3. Count vectors and R-trees: the bound drops pairs that cannot reach the
+   needed overlap.  Two first rounds let the classes of a unit meet in small
+   random buckets and form the components of the links found there; they only
+   save work.  Then R-trees are joined (of one page, and of every two pages of
+   a unit whose sizes fit) and give all remaining pairs of different
+   components, with subtrees of one component skipped.  A group of near copies
+   thus costs a few verifications for each member, not one for each pair.
 4. Verification compares the sets themselves, built again from the texts.
 
 Hot groups: exact copies collapse by an aggregate; the pairs of a class with
@@ -50,12 +51,14 @@ from wardline.llm.text import chunks, mix64, segment_sums, shingles, sort_distin
 
 PERCENT = 80
 WIDTH = 5
-GROUPS = 32
+GROUPS = 128
 PAGE = 4096
 BITMAP_BITS = 23
 COUNT_TOKENS = 1 << 22     # elements that a task counts at a time
 FREQUENT = 8               # documents that make an element frequent
 PAIRS_PER_SALT = 2000
+ROUNDS = 2
+BUCKET = 24               # classes that meet at random in a first round
 SALT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -77,7 +80,7 @@ def count_vectors(elements: np.ndarray, first: np.ndarray) -> np.ndarray:
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     group = (elements >> np.uint64(63 - GROUPS.bit_length() + 1)).astype(np.int64)
     counts = np.bincount(doc * GROUPS + group, minlength=(len(first) - 1) * GROUPS)
-    return np.minimum(counts, rtree.SATURATED).astype("<u2").reshape(-1, GROUPS)
+    return np.minimum(counts, rtree.SATURATED).astype(np.uint8).reshape(-1, GROUPS)
 
 
 def _fixed_binary(rows: np.ndarray) -> pa.Array:
@@ -246,7 +249,7 @@ def _vectors(col: pa.ChunkedArray) -> np.ndarray:
     if isinstance(col, pa.ChunkedArray):
         col = pa.concat_arrays(col.chunks) if col.num_chunks != 1 else col.chunk(0)
     off = np.frombuffer(col.buffers()[1], dtype=np.int32)[col.offset:col.offset + len(col) + 1]
-    return np.frombuffer(col.buffers()[2], dtype="<u2")[off[0] // 2:off[-1] // 2].reshape(len(col), GROUPS)
+    return np.frombuffer(col.buffers()[2], dtype=np.uint8)[off[0]:off[-1]].reshape(len(col), GROUPS)
 
 
 class _Pairs:
@@ -268,71 +271,45 @@ class _Pairs:
             self.__init__()
 
 
-def _star_pairs(percent: int):
-    """Rows sorted by (unit, page): pairs of each page's stars that pass the bound."""
-    def bounded(vec, n, i, j):
-        return rtree.overlap_bound(vec[i], vec[j], n[i], n[j]) >= rtree.needed(n[i], n[j], percent)
-
+def _bucket_pairs(percent: int):
+    """Rows sorted by (unit, bucket): pairs of a bucket that differ in component and pass the bound."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, known = _Pairs(), set()
-        for t in _batched_groups(batches):
-            unit, cls, n = t["key"], t["cls"], t["n"]
-            vec = t["vec"]
-            start = np.flatnonzero(np.append(True, (unit[1:] != unit[:-1]).any(axis=1)))
-            size = np.diff(np.append(start, len(unit)))
-            two = start[size == 2]
-            i, j = [two], [two + 1]
-            for s, m in zip(start[size > 2].tolist(), size[size > 2].tolist()):
-                own = np.arange(s, s + m)
-                if m <= rtree.LEAF:
-                    first = own[cls[own].argmin()]
-                    others = own[own != first]
-                    i.append(np.full(m - 1, first))
-                    j.append(others)
-                else:
-                    tree = rtree.build(vec[own], n[own])
-                    x, y = zip(*rtree.stars(tree, cls[own]))
-                    i.append(s + np.array(x))
-                    j.append(s + np.array(y))
-            i, j = np.concatenate(i), np.concatenate(j)
-            keep = bounded(vec, n, i, j)
-            a, b = np.minimum(cls[i], cls[j])[keep], np.maximum(cls[i], cls[j])[keep]
-            fresh = np.ones(len(a), dtype=bool)
-            for k, pair in enumerate(zip(a.tolist(), b.tolist())):
-                if pair in known:
-                    fresh[k] = False
-                else:
-                    known.add(pair)
-            if len(known) > 1 << 20:
-                known.clear()  # pairs that come again are dropped after the exchange
-            out.add(a[fresh], b[fresh])
+        out = _Pairs()
+        for t in _whole_buckets(batches):
+            unit, bucket, cls, comp = (t[c].to_numpy() for c in ("unit", "bucket", "cls", "comp"))
+            n, vec = t["n"].to_numpy().astype(np.int64), _vectors(t["vec"])
+            step = 1
+            while step < len(cls):
+                i = np.flatnonzero((unit[step:] == unit[:-step]) & (bucket[step:] == bucket[:-step]))
+                if not len(i):
+                    break
+                i = i[comp[i] != comp[i + step]]
+                for a in range(0, len(i), 1 << 16):
+                    x, y = i[a:a + (1 << 16)], i[a:a + (1 << 16)] + step
+                    keep = rtree.overlap_bound(vec[x], vec[y], n[x], n[y]) >= rtree.needed(n[x], n[y], percent)
+                    out.add(cls[x[keep]], cls[y[keep]])
+                step += 1
             yield from out.flush(10_000)
         yield from out.flush()
     return run
 
 
-def _batched_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Numpy columns of whole (unit, page) groups, many groups at a time."""
+def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole (unit, bucket) groups, many groups at a time."""
     rest = None
     for batch in batches:
         if not batch.num_rows:
             continue
         t = pa.Table.from_batches([batch])
         t = pa.concat_tables([rest, t]) if rest is not None else t
-        key = np.stack([t["unit"].to_numpy(), t["page"].to_numpy().astype(np.int64)], axis=1)
-        same = (key == key[-1]).all(axis=1)
-        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        unit, bucket = t["unit"].to_numpy(), t["bucket"].to_numpy()
+        other = np.flatnonzero((unit != unit[-1]) | (bucket != bucket[-1]))
+        cut = int(other[-1]) + 1 if len(other) else 0
         if cut:
-            yield _columns(t.slice(0, cut), key[:cut])
+            yield t.slice(0, cut)
         rest = t.slice(cut).combine_chunks()
     if rest is not None and rest.num_rows:
-        key = np.stack([rest["unit"].to_numpy(), rest["page"].to_numpy().astype(np.int64)], axis=1)
-        yield _columns(rest, key)
-
-
-def _columns(t: pa.Table, key: np.ndarray) -> dict:
-    return {"key": key, "cls": t["cls"].to_numpy(), "n": t["n"].to_numpy().astype(np.int64),
-            "vec": _vectors(t["vec"])}
+        yield rest
 
 
 def _tree_pairs(percent: int):
@@ -446,23 +423,29 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         texts_only.mapInArrow(_class_texts(wanted), "cls long, text string").join(met, "cls", "left_semi")
         .groupBy("cls").agg(F.first("text").alias("text")), "texts")
 
-    # first round: stars
-    members = units.join(vectors, "cls")
-    stars = (members.repartition("unit", "page").sortWithinPartitions("unit", "page", "n", "cls")
-             .select("unit", "page", "cls", "n", "vec").mapInArrow(_star_pairs(percent), "a long, b long"))
-    # the pages of a unit are tied by their first classes
-    heads = units.where("page > 0").groupBy("unit", "page").agg(F.min("cls").alias("b")).join(
-        units.where("page = 0").groupBy("unit").agg(F.min("cls").alias("a")), "unit")
-    pairs = scratch.write(stars.union(heads.where("a <> b").select(F.least("a", "b"), F.greatest("a", "b")))
-                          .distinct(), "star-pairs")
-    links = _verify(scratch, pairs, texts, percent, "star-links")
-    comps = components(scratch, links, "star")
-
-    # second round: pairs of different components
-    labelled = scratch.write(
-        members.join(comps.withColumnRenamed("node", "cls"), "cls", "left")
-        .select("unit", "page", "cls", "n", "vec", F.coalesce("root", "cls").alias("comp"))
-        .join(_mixed_units(units, comps), "unit", "left_semi"), "labelled")
+    # first rounds: each class in the largest of its units, in small random buckets
+    sizes = units.groupBy("unit").agg(F.count("*").alias("size"))
+    home = scratch.write(
+        units.join(sizes, "unit").groupBy("cls").agg(F.max(F.struct("size", "unit", "n")).alias("u"))
+        .select("cls", "u.unit", "u.size", "u.n").join(vectors, "cls"), "home")
+    scratch.release()
+    links, comps = None, None
+    for turn in range(ROUNDS):
+        rows_in = home if comps is None else home.join(_mixed_units(home, comps), "unit", "left_semi")
+        pairs = (_labelled(rows_in, comps)
+                 .withColumn("bucket", F.pmod(F.xxhash64("cls", F.lit(turn)), F.ceil(F.col("size") / BUCKET)))
+                 .select("unit", "bucket", "cls", "n", "vec", "comp")
+                 .repartition("unit", "bucket").sortWithinPartitions("unit", "bucket")
+                 .mapInArrow(_bucket_pairs(percent), "a long, b long").distinct())
+        pairs = scratch.write(pairs, f"bucket-pairs-{turn}")
+        found = _verify(scratch, pairs, texts, percent, f"bucket-links-{turn}")
+        links = found if links is None else links.union(found)
+        comps = components(scratch, links, f"bucket-{turn}")
+        scratch.release()
+
+    # then all pairs of different components in all units, by their trees
+    mixed = units.join(_mixed_units(units, comps), "unit", "left_semi")
+    labelled = scratch.write(_labelled(mixed, comps).join(vectors, "cls"), "labelled")
     pages = scratch.write(labelled.groupBy("unit", "page").agg(F.min("n").alias("low"), F.max("n").alias("high")),
                           "pages")
     x, y = pages.alias("x"), pages.where("page > 0").alias("y")
@@ -476,8 +459,7 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
              .withColumn("side", F.lit(1)).select(*cols))
     rest = (alone.union(left).union(right).repartition("unit", "page", "other")
             .sortWithinPartitions("unit", "page", "other", "side", "n", "cls")
-            .mapInArrow(_tree_pairs(percent), "a long, b long").distinct()
-            .join(pairs, ["a", "b"], "left_anti"))
+            .mapInArrow(_tree_pairs(percent), "a long, b long").distinct())
     more = _verify(scratch, scratch.write(rest, "tree-pairs"), texts, percent, "tree-links")
 
     # components of both rounds, and the smallest id of each
@@ -494,6 +476,14 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return full.union(empty)
 
 
+def _labelled(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """Rows with the component of their class (its own, if it has no link yet)."""
+    if comps is None:
+        return rows.withColumn("comp", F.col("cls"))
+    return (rows.join(comps.withColumnRenamed("node", "cls"), "cls", "left")
+            .withColumn("comp", F.coalesce("root", "cls")).drop("root"))
+
+
 def _mixed_units(units: DataFrame, comps: DataFrame) -> DataFrame:
     """Units with classes of two components or more."""
     comp = F.coalesce("root", "cls")

@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 LEAF = 16
-SATURATED = 0xFFFF  # a count stored as this may be larger
+SATURATED = 0xFF  # a count stored as this may be larger
 
 
 def needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -102,23 +102,3 @@ def join(p: Node, q: Node, points: tuple[np.ndarray, np.ndarray], sizes: tuple[n
         keep = overlap_bound(points[0][i], points[1][j], n_i, n_j) >= needed(n_i, n_j, percent)
         if keep.any():
             yield i[keep], j[keep]
-
-
-def stars(root: Node, order: np.ndarray) -> Iterator[tuple[int, int]]:
-    """A spanning set of likely pairs: in each leaf its first row (by ``order``) with the others,
-    and the first leaf's with those of the other leaves."""
-    leaves, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        if node.children:
-            stack.extend(node.children)
-        else:
-            leaves.append(node.rows)
-    firsts = []
-    for rows in leaves:
-        first = rows[order[rows].argmin()]
-        firsts.append(first)
-        yield from ((int(first), int(r)) for r in rows if r != first)
-    firsts = np.array(firsts)
-    hub = firsts[order[firsts].argmin()]
-    yield from ((int(hub), int(f)) for f in firsts if f != hub)
