@@ -399,7 +399,7 @@ def drop_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars:
     text = F.col("doc.text")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("lines", i)), "\n")
     joined = (docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"))
-              .join(removed, "row", "left")
+              .join(removed.hint("merge"), "row", "left")  # the same plan at every size
               .withColumn("cut", F.when(F.col("lines").isNull(), text).otherwise(kept)))
     left = joined.where(F.col("lines").isNull() | F.col("cut").rlike(r"[^\x20\x09-\x0D]"))
     return left.select(*[F.col("cut").alias(c) if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

@@ -15,7 +15,7 @@ components of the links.  No link between different sets is lost.
    (element, class) are dealt by element; classes that meet form a unit, a
    unit of more than ``PAGE`` classes is cut into pages along the set size.
 3. Count vectors and R-trees: the bound drops pairs that cannot reach the
-   needed overlap.  Two first rounds let the classes of a unit meet in small
+   needed overlap.  The first rounds let the classes of a unit meet in small
    random buckets and form the components of the links found there; they only
    save work.  Then R-trees are joined (of one page, and of every two pages of
    a unit whose sizes fit) and give all remaining pairs of different
@@ -51,13 +51,13 @@ from wardline.llm.text import chunks, mix64, segment_sums, shingles, sort_distin
 
 PERCENT = 80
 WIDTH = 5
-GROUPS = 128
+GROUPS = 256
 PAGE = 4096
 BITMAP_BITS = 23
 COUNT_TOKENS = 1 << 22     # elements that a task counts at a time
 FREQUENT = 8               # documents that make an element frequent
 PAIRS_PER_SALT = 2000
-ROUNDS = 2
+ROUNDS = 3
 BUCKET = 24               # classes that meet at random in a first round
 SALT = np.uint64(0x5851F42D4C957F2D)
 
@@ -387,8 +387,9 @@ def _verify(scratch: Scratch, pairs: DataFrame, texts: DataFrame, percent: int,
     """The pairs (a, b) whose sets reach the similarity."""
     hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_PER_SALT).cast("int").alias("salts"))
     salted = pairs.join(hubs, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
-    partners = salted.join(texts.withColumnRenamed("cls", "b"), "b").select("a", "salt", "b", "text")
-    heads = (hubs.join(texts.withColumnRenamed("cls", "a"), "a")
+    # texts are always dealt, never a small side broadcast to them: the same plan at every size
+    partners = salted.hint("merge").join(texts.withColumnRenamed("cls", "b"), "b").select("a", "salt", "b", "text")
+    heads = (hubs.hint("merge").join(texts.withColumnRenamed("cls", "a"), "a")
              .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
              .select("a", "salt", F.col("a").alias("b"), "text"))
     met = heads.union(partners).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("a") != F.col("b"))
@@ -506,7 +507,7 @@ def keep_one_per_group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             .select(F.col("best.row").alias("_row")))
     kept = scratch.write(best.union(groups.where("root is null").select("doc_id")), "kept")
     scratch.release()
-    return (docs.select(F.struct("*").alias("_doc"), row.alias("_row")).join(kept, "_row", "left_semi")
+    return (docs.select(F.struct("*").alias("_doc"), row.alias("_row")).join(kept.hint("merge"), "_row", "left_semi")
             .select("_doc.*"))
 
 
