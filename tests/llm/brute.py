@@ -214,7 +214,7 @@ def top_k(rows, k=5, divisor=50):
     for i, v, e in ok:
         if v is None or v % divisor:
             continue
-        scored = sorted((-sum(a * b for a, b in zip(e, f)), math.inf if w is None else w)
+        scored = sorted((-min(max(sum(a * b for a, b in zip(e, f)), -2 ** 63), 2 ** 63 - 1), math.inf if w is None else w)
                         for j, w, f in ok if j != i)
         out.extend((v, r + 1, None if w == math.inf else w, -s) for r, (s, w) in enumerate(scored[:k]))
     return out

@@ -18,7 +18,7 @@ component take no part; vectors of different lengths are compared as if the
 shorter one went on with zeros; rows with the same id are rows of their own,
 and only the query's own row is left out; a null id sorts last among ties and
 is no query; fewer candidates than k give fewer rows; a score outside the
-range of a long is set to that range's nearest end; an empty table gives an
+range of a long counts as that range's nearest end; an empty table gives an
 empty result; other columns are ignored.
 """
 
@@ -176,7 +176,8 @@ def block_top(queries: np.ndarray, cands: np.ndarray, ids: np.ndarray, own: np.n
 
 
 def _best(scores: list, ids: np.ndarray, columns: np.ndarray, own: int, k: int) -> list[tuple[int, int, int]]:
-    found = [(int(s), int(ids[c]), int(c)) for s, c in zip(scores, columns) if c != own]
+    low, high = _LONG
+    found = [(min(max(int(s), low), high), int(ids[c]), int(c)) for s, c in zip(scores, columns) if c != own]
     found.sort(key=lambda x: (-x[0], x[1]))
     return found[:k]
 
@@ -198,7 +199,7 @@ def _search(k: int):
                 q, at, s, i, b, c = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(q, pa.int64()), pa.array([r["q_block"]] * len(q), pa.int64()), pa.array(at, pa.int32()),
-                     pa.array([min(max(x, _LONG[0]), _LONG[1]) for x in s], pa.int64()),
+                     pa.array(s, pa.int64()),
                      pa.array([None if x == _NO_ID and r["ids"][y] is None else x for x, y in zip(i, c)], pa.int64()),
                      pa.array(b, pa.int64()), pa.array(c, pa.int32())],
                     names=["query_id", "q_block", "q_row", "score", "vec_id", "block", "col"])
