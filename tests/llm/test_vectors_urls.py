@@ -86,3 +86,41 @@ def test_pattern_tokens_stand_in_what_they_match(p):
     for u in samples:
         if re.search(p.regex, u):
             assert set(p.tokens) <= set(re.findall(urls.TOKEN, u)), (p.name, u)
+
+
+def glued_urls():
+    """URLs around each rule's own words: alone, joined in every way, with letters or digits glued on, with rests and ends."""
+    forms = {*[f"{a}{x}{b}" for a, b in (("sex", "cams"), ("cheap", "pills"), ("payday", "loans"), ("free", "bets"),
+                                        ("spam", "farm"), ("link", "farm")) for x in ("-", "", ".", "_")],
+             "ad", "ads", "adv", "ad-s", "casino", "casino-bonus", "casino/bonus", "casino_bonus", "secure.login/verify",
+             "secure-bankinglogin.io/verify", "secure.x/login-verify", "wp-login.php", "phpmyadmin"}
+    forms |= {t for p in urls.PATTERNS for t in p.tokens}
+    for form in sorted(forms):
+        for before in ("http://", "http://my", "http://a.", "http://a-", "http://x.io/", "http://x.io/a.", "http://x.io/7"):
+            for after in ("", "x", "es", "online", ".io/", ".example.io/banner/", "-x.io", "?a=1", "/", "9.io/verified"):
+                yield before + form + after
+                yield (before + form + after).upper()
+
+
+def test_index_finds_what_the_bare_expressions_match():
+    """Whichever literal of a rule is the rarest, a URL is blocked if any expression matches it, and by the first one."""
+    import re
+    literals = sorted({t for p in urls.PATTERNS for t in p.tokens})
+    rng = random.Random(5)
+    samples, matched = list(glued_urls()), set()
+    for _ in range(6):
+        index = urls.PatternIndex(urls.PATTERNS, {t: rng.randrange(100) for t in literals})
+        for u in samples:
+            want = next((p.name for p in urls.PATTERNS if re.search(p.regex, u.lower())), None)
+            assert index.first_match(u) == want, u
+            matched.add(want)
+    assert matched >= {p.name for p in urls.PATTERNS}
+
+
+def test_glued_words_are_blocked(spark):
+    found = ["http://ad.example.io/banner/", "http://sexcams.example.io/", "http://x.io/cheap-pillsonline",
+             "http://mypayday-loans.io/", "http://x.io/casino-bonuses", "http://secure-bankinglogin.io/verify"]
+    pages = spark.createDataFrame(list(enumerate([*found, "http://shady.io/x", None])), "page_id long, url string")
+    got = dict(urls.op8_query(pages).select("page_id", "verdict").collect())
+    assert got == {**dict.fromkeys(range(len(found)), "block"), len(found): "allow", len(found) + 1: "allow"}
+    assert urls.token_counts(pages)["ad"] == 2

@@ -1,12 +1,14 @@
-"""URL filters: host and path rules, and patterns indexed by their rarest literal token.
+"""URL filters: host and path rules, and patterns indexed by their rarest literal.
 
 A base rule names a host and a path prefix; it fits the host and all its
 subdomains and the longest fitting rule decides.  Other URLs are judged by
 pattern rules.  Each pattern lists literal tokens that every URL it matches
-must contain.  Counts of these tokens over all URLs (one aggregate, a row for
-each token) tell the rarest one, under which the rule is filed; the tokens of
-a URL then fetch the few rules that could match, and only their regular
-expressions run.  A URL is blocked if any of them matches.
+must contain, alone or glued to other characters (``cams`` in ``sexcams``).
+Counts of the URLs that contain them (one aggregate, a row for each literal)
+tell the rarest one, under which the rule is filed; the literals of a URL then
+fetch the few rules that could match, and only their regular expressions run.
+A URL is blocked if any of them matches; which literal a rule is filed under
+changes only how often its expression runs, never the verdict.
 
 Defined results: a null URL or one without ``://`` has an empty host and path
 and, like every URL that no rule fits, is allowed; repeated rows are judged
@@ -16,7 +18,7 @@ each; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,11 +32,13 @@ from wardline.llm.scratch import clean_columns
 BASE_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
 TOKEN = r"[0-9a-z]+"
+#: Characters by which literals are looked up in a URL; shorter ones by all of theirs.
+GRAM = 3
 
 
 @dataclass(frozen=True)
 class Pattern:
-    """A blocking rule: literal tokens that must all occur, and the expression that decides (on the lower-cased URL)."""
+    """A blocking rule: literals that all occur in whatever matches, and the expression that decides (on the lower-cased URL)."""
 
     name: str
     tokens: tuple[str, ...]
@@ -59,7 +63,7 @@ PATTERNS = (
     Pattern("malware-host", ("malware",), r"://([^/?#]*[.-])?malware[.-]"),
     Pattern("warez", ("warez",), r"[./-]warez[./-]"),
     Pattern("keygen", ("keygen",), r"[./_-]keygen([./_-]|$)"),
-    Pattern("ad-server", ("ads",), r"://ads?\.[^/?#]*/"),
+    Pattern("ad-server", ("ad",), r"://ads?\.[^/?#]*/"),
     Pattern("ad-tracker", ("doubleclick",), r"://([^/?#]*\.)?doubleclick\."),
     Pattern("program-file", ("exe",), r"\.exe([?#]|$)"),
     Pattern("installer-file", ("msi",), r"\.msi([?#]|$)"),
@@ -100,31 +104,57 @@ class BaseRules:
         return max(fits)[1:] if fits else None
 
 
+class Literals:
+    """Finds which literals stand anywhere in a URL, by the grams they begin with."""
+
+    def __init__(self, literals):
+        tables: dict[int, dict[str, list[str]]] = defaultdict(lambda: defaultdict(list))
+        for literal in dict.fromkeys(literals):
+            tables[min(len(literal), GRAM)][literal[:GRAM]].append(literal)
+        self.tables = [(size, frozenset(table), dict(table)) for size, table in sorted(tables.items())]
+
+    def find(self, low: str) -> list[str]:
+        found = []
+        for size, grams, table in self.tables:
+            for gram in grams & {low[i:i + size] for i in range(len(low) - size + 1)}:
+                found += [literal for literal in table[gram] if literal in low]
+        return found
+
+
 class PatternIndex:
-    """Patterns filed under their rarest token."""
+    """Patterns filed under their rarest literal."""
 
     def __init__(self, patterns, token_counts: dict[str, int]):
         self.by_token = defaultdict(list)
-        for p in patterns:
+        for i, p in enumerate(patterns):
             rarest = min(p.tokens, key=lambda t: (token_counts.get(t, 0), -len(t), t))
-            self.by_token[rarest].append((p.name, re.compile(p.regex)))
-        self.find_tokens = re.compile(TOKEN).findall
+            self.by_token[rarest].append((i, p.name, re.compile(p.regex)))
+        self.literals = Literals(self.by_token)
 
     def first_match(self, url: str) -> str | None:
+        """The first of the patterns, in their own order, that matches."""
         low = url.lower()
-        for token in dict.fromkeys(self.find_tokens(low)):
-            for name, regex in self.by_token.get(token, ()):
-                if regex.search(low):
-                    return name
+        fetched = [rule for token in self.literals.find(low) for rule in self.by_token[token]]
+        for _, name, regex in sorted(fetched, key=lambda rule: rule[0]):
+            if regex.search(low):
+                return name
         return None
 
 
 def token_counts(pages: DataFrame, patterns=PATTERNS) -> dict[str, int]:
-    """In how many places each token of the rules occurs, over all URLs (at most a row for each rule token)."""
+    """How many URLs contain each literal of the rules (at most a row for each)."""
     wanted = sorted({t for p in patterns for t in p.tokens})
-    tokens = F.explode(F.regexp_extract_all(F.lower("url"), F.lit(f"({TOKEN})"), F.lit(1)))
-    counted = pages.select(tokens.alias("token")).where(F.col("token").isin(wanted)).groupBy("token").count()
-    return {r["token"]: r["count"] for r in counted.collect()}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        literals, counts = Literals(wanted), Counter()
+        for batch in batches:
+            for url in batch.column("url").to_pylist():
+                counts.update(literals.find(url.lower()) if url else ())
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())],
+                                         names=["token", "n"])
+
+    counted = pages.select("url").mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return {r["token"]: r["n"] for r in counted.collect()}
 
 
 def judge_urls(pages: DataFrame, base_rules=BASE_RULES, patterns=PATTERNS) -> DataFrame:
