@@ -1,6 +1,7 @@
 """The parts of the operators that are plain functions."""
 
 import random
+from collections import Counter
 
 import brute
 import numpy as np
@@ -200,3 +201,30 @@ def test_lines_are_the_same_for_any_page_size(spark, tmp_path, monkeypatch, page
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
     got = {r.doc_id: r.removed_lines for r in lines.op9_query(spark.read.parquet(path)).collect()}
     assert got == {d: ",".join(map(str, x)) for (d, _), x in zip(rows, brute.removed_lines(rows))}
+
+
+@pytest.mark.parametrize("name", ["line_report", "drop_repeated_lines", "remove_repeats", "keep_one_per_group"])
+def test_rows_keep_their_number_when_files_are_cut_anew(spark, edge_table, monkeypatch, name):
+    """Each step's scans cut the input's files otherwise, as after a change of the cluster's cores."""
+    from wardline.llm import repeats
+
+    module = {"remove_repeats": repeats, "keep_one_per_group": ngram_join}.get(name, lines)
+    op, docs = getattr(module, name), edge_table.select("doc_id", "text", "lang", "source")
+    want = Counter(map(str, op(docs).collect()))
+    cuts = [1]
+
+    class Moving(module.Scratch):
+        def write(self, df, label):
+            written = super().write(df, label)
+            cuts[0] += 1
+            spark.conf.set("spark.sql.files.minPartitionNum", str(min(3 * cuts[0], 12)))
+            return written
+
+    monkeypatch.setattr(module, "Scratch", Moving)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = Counter(map(str, op(docs).collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert cuts[0] > 2 and got == want

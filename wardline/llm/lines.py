@@ -366,24 +366,22 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, threshold: int, min_chars:
     return seen.join(marked, "h").where(F.col("near") | ~same).select("row", "line", "near")
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """(row, place, text): the row's place in the table as read, and its document's place in the order.
-
-    ``docs`` must be a table as read back, so that every scan numbers its rows alike.
-    """
-    return docs.select(F.monotonically_increasing_id().alias("row"),
-                       F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID)).alias("place"), docs["text"].alias("text"))
+def _placed(rows: DataFrame) -> DataFrame:
+    """(row, place, text) of numbered rows: the row's number and its document's place in the order."""
+    return rows.select("row", F.coalesce(F.col("doc.doc_id").cast("long"), F.lit(_NO_ID)).alias("place"),
+                       F.col("doc.text").alias("text"))
 
 
 def line_report(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, n_lines, n_removed, n_near and the removed line numbers of each document."""
     scratch = Scratch(docs.sparkSession, "lines")
-    removed = repeated_lines(_numbered(docs), scratch, threshold, min_chars).groupBy("row").agg(
+    rows, text = scratch.number(docs, "doc_id", "text"), F.col("doc.text")
+    removed = repeated_lines(_placed(rows), scratch, threshold, min_chars).groupBy("row").agg(
         F.count("*").alias("n_removed"), F.count(F.when(F.col("near"), 1)).alias("n_near"),
         F.array_sort(F.collect_list("line")).alias("lines"))
-    own = docs.select(F.monotonically_increasing_id().alias("row"), docs["doc_id"],
-                      F.when(docs["text"].isNull(), 0).otherwise(
-                          F.regexp_count(docs["text"], F.lit("\n")) + 1).cast("long").alias("n_lines"))
+    own = rows.select("row", F.col("doc.doc_id").alias("doc_id"),
+                      F.when(text.isNull(), 0).otherwise(
+                          F.regexp_count(text, F.lit("\n")) + 1).cast("long").alias("n_lines"))
     return own.join(removed, "row", "left").select(
         "doc_id", "n_lines", F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
         F.coalesce("n_near", F.lit(0)).alias("n_near"),
@@ -393,13 +391,13 @@ def line_report(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
 def drop_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` without the removed lines; rows of which no text is left are dropped."""
     scratch = Scratch(docs.sparkSession, "lines")
-    removed = scratch.write(repeated_lines(_numbered(docs), scratch, threshold, min_chars).groupBy("row").agg(
+    rows = scratch.number(docs)
+    removed = scratch.write(repeated_lines(_placed(rows), scratch, threshold, min_chars).groupBy("row").agg(
         F.collect_set("line").alias("lines")), "removed")
     scratch.release()
     text = F.col("doc.text")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("lines", i)), "\n")
-    joined = (docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"))
-              .join(removed.hint("merge"), "row", "left")  # the same plan at every size
+    joined = (rows.join(removed.hint("merge"), "row", "left")  # the same plan at every size
               .withColumn("cut", F.when(F.col("lines").isNull(), text).otherwise(kept)))
     left = joined.where(F.col("lines").isNull() | F.col("cut").rlike(r"[^\x20\x09-\x0D]"))
     return left.select(*[F.col("cut").alias(c) if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

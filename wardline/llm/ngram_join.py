@@ -495,20 +495,19 @@ def _mixed_units(units: DataFrame, comps: DataFrame) -> DataFrame:
 def keep_one_per_group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, one for each component: the one with the smallest id (null last).
 
-    Rows with an empty set all stay.  ``docs`` must be a table as read back,
-    so that every scan numbers its rows alike.
+    Rows with an empty set all stay.
     """
     scratch = Scratch(docs.sparkSession, "groups")
-    row = F.monotonically_increasing_id()
-    groups = link_components(docs.select(row.alias("doc_id"), docs["text"]), percent)
-    ids = docs.select(row.alias("row"), docs["doc_id"].alias("id"))
+    rows = scratch.number(docs)
+    groups = link_components(rows.select(F.col("row").alias("doc_id"), "doc.text"), percent)
+    ids = rows.select("row", F.col("doc.doc_id").alias("id"))
     best = (groups.where("root is not null").select(F.col("doc_id").alias("row"), "root").join(ids, "row")
             .groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"))
             .select(F.col("best.row").alias("_row")))
     kept = scratch.write(best.union(groups.where("root is null").select("doc_id")), "kept")
     scratch.release()
-    return (docs.select(F.struct("*").alias("_doc"), row.alias("_row")).join(kept.hint("merge"), "_row", "left_semi")
-            .select("_doc.*"))
+    return (rows.withColumnRenamed("row", "_row").join(kept.hint("merge"), "_row", "left_semi")
+            .select("doc.*"))
 
 
 def op1_query(documents: DataFrame) -> DataFrame:

@@ -305,13 +305,10 @@ def _cut(width: int, keep_text: bool):
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes) of each row of ``docs``.
-
-    ``docs`` must be a table as read back, so that every scan numbers its rows alike.
-    """
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes) of each row of ``docs``."""
     scratch = Scratch(docs.sparkSession, "repeats")
-    rows = docs.select(docs["doc_id"], F.monotonically_increasing_id().alias("row"),
-                       F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID)).alias("place"), docs["text"].alias("text"))
+    rows = scratch.number(docs, "doc_id", "text").select("row", "doc.doc_id", "doc.text").withColumn(
+        "place", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)))
     keyed = rows.select("row", "place", "text")
     dealt = "anchor long, digest long, place long, row long, span long"
     settled = scratch.write(

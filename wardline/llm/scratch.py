@@ -12,6 +12,7 @@ import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wardline.session import ensure_checkpoint_dir
 
@@ -29,6 +30,16 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def number(self, docs: DataFrame, *columns: str) -> DataFrame:
+        """(row, doc): the rows of ``docs``, or the named columns of them, with a number of their own, written once.
+
+        The number is the row's place in the partitions of this one scan; those of another scan may differ
+        (Spark cuts files by the cores it has at that time), so every later step reads the written numbers.
+        """
+        rows = docs.select(F.monotonically_increasing_id().alias("row"),
+                           F.struct(*[docs[c] for c in columns or docs.columns]).alias("doc"))
+        return self.write(rows, "rows")
+
     def release(self) -> None:
         """Let Spark delete the exchange files of steps whose results are written.
 
