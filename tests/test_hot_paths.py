@@ -8,7 +8,7 @@ partition-boundary patches; results must still equal the SQL oracle.
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF001
+from paths import SF001
 from oracle_compare import compare, duck
 
 HOT_QUERIES = ["live_queue_day", "live_queue", "lab_queue", "tokens_enriched", "depth_at_arrival",

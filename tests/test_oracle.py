@@ -4,7 +4,7 @@ adapter tables equal their SQL twins."""
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF001
+from paths import SF001
 from wardline.plans.catalog import QUERIES
 from wardline.plans.oracle import SQL
 from oracle_compare import compare, duck, rows_of

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from paths import SF001
 from wardline.operators import folds, queues
 from wardline.sources.hospital import Hospital
 

@@ -5,7 +5,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from paths import SF001
 from wardline.sources.hospital import Hospital
 from wardline.streaming import alerts, boards, status_stream
 

@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from paths import SF001
 from wardline.operators import queues
 from wardline.plans import views
 from wardline.sources.hospital import Hospital
