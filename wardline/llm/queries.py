@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import (licenses, lines, mixing, ngram_join, packing, phrases, quality, repeats, sharding, topk,
-                          urls)
+from wardline.llm import (licenses, lines, mixing, ngram_join, packing, phrases, quality, repeats, sharding,
+                          spelling, topk, urls)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -78,11 +78,17 @@ def q_phrases(spark, sf_dir):
     return phrases.op11_query(table(spark, sf_dir, "documents"))
 
 
+@register("op12_spelling")
+def q_spelling(spark, sf_dir):
+    return spelling.op12_query(table(spark, sf_dir, "documents"))
+
+
 # The mix, the shards, the packing, the quality verdicts and the fuzzy notices depend on random digests,
 # a tokenizer or matching rules that SQL does not have; tests compare them with plain Python.
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_join": ngram_join.ORACLE_SQL,
     "op11_phrases": phrases.ORACLE_SQL,
+    "op12_spelling": spelling.ORACLE_SQL,
     "op6_suffix_dedup": repeats.ORACLE_SQL,
     "op7_top_k_search": topk.ORACLE_SQL,
     "op8_url_filters": urls.ORACLE_SQL,
