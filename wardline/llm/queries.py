@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wardline.llm import (licenses, lines, mixing, ngram_join, packing, phrases, quality, repeats, sharding,
-                          spelling, topk, urls)
+                          spelling, topk, toxicity, urls)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -83,8 +83,13 @@ def q_spelling(spark, sf_dir):
     return spelling.op12_query(table(spark, sf_dir, "documents"))
 
 
-# The mix, the shards, the packing, the quality verdicts and the fuzzy notices depend on random digests,
-# a tokenizer or matching rules that SQL does not have; tests compare them with plain Python.
+@register("op13_toxicity")
+def q_toxicity(spark, sf_dir):
+    return toxicity.op13_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+# The mix, the shards, the packing, the quality verdicts, the fuzzy notices and the toxicity scores depend on random
+# digests, a tokenizer, matching rules or a fitted model that SQL does not have; tests compare them with plain Python.
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_join": ngram_join.ORACLE_SQL,
     "op11_phrases": phrases.ORACLE_SQL,
