@@ -1,6 +1,6 @@
 """Bidirectional FM-index of a sequence of word ids, with all intervals of a level extended at once.
 
-Id 0 separates pieces; a sequence begins and ends with it.  Separators are all
+Ids are 32-bit numbers; 0 separates pieces and a sequence begins and ends with it.  Separators are all
 different and come before the words, so no suffix comparison passes one.
 Everything is numpy on arrays as long as the sequence.
 """
@@ -20,8 +20,9 @@ def suffix_order(ids: np.ndarray) -> np.ndarray:
     order = np.argsort(first, kind="stable")
     head = np.ones(n, dtype=bool)  # first row of a group of tied suffixes
     head[1:] = first[order[1:]] != first[order[:-1]]
-    rank = np.empty(n, dtype=np.int64)
-    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    rank = np.empty(n, dtype=np.int32)
+    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n, dtype=np.int32), 0))
+    del first
     known = 1
     while True:
         alone = head.copy()
@@ -31,7 +32,7 @@ def suffix_order(ids: np.ndarray) -> np.ndarray:
             return order
         # tied suffixes agree on ``known`` words, so none of them ends before place + known
         place = order[tied]
-        key = rank[place] * n + rank[place + known]
+        key = rank[place].astype(np.int64) * n + rank[place + known]
         by = np.argsort(key, kind="stable")
         place, key = place[by], key[by]
         order[tied] = place
@@ -49,8 +50,9 @@ class FMIndex:
         order = suffix_order(ids)
         self.symbols = int(ids.max(initial=0)) + 1
         self.bwt = ids[order - 1]  # the first suffix is preceded by the last id, a separator as well
-        self.lf = np.empty(len(ids), dtype=np.int64)
-        self.lf[np.argsort(self.bwt, kind="stable")] = np.arange(len(ids))
+        order = np.argsort(self.bwt, kind="stable")
+        self.lf = np.empty(len(ids), dtype=np.int32)
+        self.lf[order] = np.arange(len(ids), dtype=np.int32)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(ids, minlength=self.symbols))])
 
     def extend(self, low: np.ndarray, count: np.ndarray):
@@ -60,15 +62,17 @@ class FMIndex:
         parent, and how many rows of the parent have a smaller symbol.
         """
         before = np.cumsum(count) - count
-        parent = np.repeat(np.arange(len(low)), count)
-        row = np.arange(len(parent)) + np.repeat(low - before, count)
-        key = parent * self.symbols + self.bwt[row]
+        parent = np.repeat(np.arange(len(low), dtype=np.int64), count)
+        row = np.arange(len(parent), dtype=np.int32) + np.repeat((low - before).astype(np.int32), count)
+        parent *= self.symbols
+        parent += self.bwt[row]
+        key = parent
         by = np.argsort(key, kind="stable")
         key = key[by]
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         number = np.diff(np.append(start, len(key)))
         top = by[start]
-        symbol, parent = self.bwt[row[top]], parent[top]
+        symbol, parent = key[start] % self.symbols, key[start] // self.symbols
         word = symbol > 0
         return (parent[word], symbol[word], self.lf[row[top]][word], number[word], (start - before[parent])[word])
 

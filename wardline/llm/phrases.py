@@ -4,10 +4,10 @@ Texts are lower-cased (A-Z), split at ``. , ; : ! ?`` and line ends into pieces
 and those at spaces and tabs into words.  A shard is a few megabytes of text in
 one task: its words become ids, a bidirectional FM-index is built over them,
 and whole levels of phrases grow by interval extension, to the right and to the
-left in turn.  Counts are summed across shards.  Two passes suffice: the first
-counts words and pairs of words; the second grows longer phrases only where all
-pairs inside them are frequent, which a bit array of fixed size tells without
-false negatives (a full one costs only more shuffle, never a phrase).
+left in turn.  Counts are summed across shards.  There are three passes: words;
+pairs of frequent words; longer phrases, grown only where all pairs inside them
+are frequent.  Bit arrays of bounded size tell what is frequent, without false
+negatives (a full one costs only more shuffle, never a phrase).
 
 No shard holds more than ``SHARD_BYTES`` of text or one longer word: longer
 texts are cut at the end of a piece, or else between two words, and the words
@@ -41,15 +41,15 @@ MIN_COUNT = 30
 MAX_WORDS = 4
 KEEP_PERCENT = 80     # a phrase goes if a longer one has this share of its occurrences
 TOP = 2000
-SHARD_BYTES = 6 << 20
-BITS = (20, 26)       # least and largest size of the bit array of frequent pairs (8 MB)
+SHARD_BYTES = 4 << 20
+BITS = (20, 26)       # least and largest size of a bit array of frequent words or pairs (8 MB)
 SLICES = 256          # parts of a language that rank by themselves before the last ranking
 
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
 _GAP = _BREAK.copy()
 _GAP[list(b" \t")] = True
-COUNTS = "lang string, k int, phrase string, f long"
+ROWS = 1 << 16        # phrases that go to Spark at a time
 
 
 # -- shards -------------------------------------------------------------------
@@ -88,89 +88,102 @@ class Shard:
         self.size = 0
 
     def add(self, part: np.ndarray, lang: str) -> None:
-        self.parts.append(part)
+        self.parts += [part, _LINE_END]  # a line end behind every text ends its last piece
         self.langs.append(lang)
         self.size += len(part) + 1
 
-    def index(self) -> tuple["Words", TwoWayIndex] | None:
-        # a line end behind every text ends its last piece
-        data = np.concatenate([x for p in self.parts for x in (p, _LINE_END)]) if self.parts else _LINE_END
-        data = LOWER[data]
+    def words(self) -> "Words | None":
+        if not self.size:
+            return None
+        ends = np.cumsum([len(p) for p in self.parts])[1::2]
+        data = LOWER[np.concatenate(self.parts)]
+        self.parts = []
         gap = _GAP[data]
         start = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]]))
         if not len(start):
             return None
         end = np.flatnonzero(gap & np.concatenate([[False], ~gap[:-1]]))
-        offsets = np.concatenate([[0], np.cumsum(end - start)])
-        words = pa.LargeStringArray.from_buffers(
-            len(start), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[~gap])))
-        coded = words.dictionary_encode()
-        ends = np.cumsum([len(p) + 1 for p in self.parts])
+        offsets = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
+        coded = pa.LargeStringArray.from_buffers(
+            len(start), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[~gap]))).dictionary_encode()
         text = np.searchsorted(ends, start, side="right")
         names, lang = np.unique(np.array(self.langs, dtype=object), return_inverse=True)
         known = len(coded.dictionary)
         ids, tagged = pd.factorize(lang[text] * known + coded.indices.to_numpy())
-        piece = np.concatenate([[0], np.cumsum(_BREAK[data])])[start]
-        place = np.arange(len(start)) + piece - piece[0] + 1
-        sequence = np.zeros(int(place[-1]) + 2, dtype=np.int64)
-        sequence[place] = ids + 1
-        return Words(tagged // known, tagged % known, names.tolist(), coded.dictionary), TwoWayIndex(sequence)
+        piece = np.cumsum(_BREAK[data], dtype=np.int32)[start]
+        return Words(tagged // known, tagged % known, names.tolist(), coded.dictionary, ids.astype(np.int32), piece)
 
 
 _LINE_END = np.frombuffer(b"\n", dtype=np.uint8)
 
 
 class Words:
-    """The distinct (language, word) of a shard; ids count from 1."""
-
-    def __init__(self, lang: np.ndarray, word: np.ndarray, langs: list[str], texts: pa.Array):
-        self.lang, self.word, self.langs, self.texts = lang, word, langs, texts
+    """The words of a shard in their order, and its distinct (language, word); ids count from 0."""
+
+    def __init__(self, lang: np.ndarray, word: np.ndarray, langs: list[str], texts: pa.Array, ids: np.ndarray,
+                 piece: np.ndarray):
+        self.langs, self.ids, self.piece = langs, ids, piece
+        self.lang = lang
+        self.texts = texts.take(pa.array(word))
+        self.tagged = pc.binary_join_element_wise(
+            pa.array(langs, pa.large_string()).take(pa.array(lang)), self.texts, pa.scalar("\t", pa.large_string()))
         self._hashes: np.ndarray | None = None
 
-    def rows(self, level: Level, weight: int) -> pa.RecordBatch:
-        """The phrases of a level with their counts."""
-        lang = pa.array(self.langs, pa.string()).take(pa.array(self.lang[level.words[:, 0] - 1]))
-        parts = [self.texts.take(pa.array(self.word[w - 1])) for w in level.words.T]
-        phrase = parts[0] if len(parts) == 1 else pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()))
-        k = np.full(len(level.count), len(parts), dtype=np.int32)
-        return pa.RecordBatch.from_arrays([lang, pa.array(k), phrase.cast(pa.string()), pa.array(level.count * weight)],
-                                          names=["lang", "k", "phrase", "f"])
-
-    def totals(self, level: Level, weight: int) -> pa.RecordBatch:
-        """The number of words of each language, as rows with k = 0."""
-        n = np.bincount(self.lang, weights=level.count, minlength=len(self.langs)).astype(np.int64) * weight
-        none = [None] * len(n)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(self.langs, pa.string()), pa.array(np.zeros(len(n), np.int32)), pa.array(none, pa.string()),
-             pa.array(n)], names=["lang", "k", "phrase", "f"])
-
-    def pair_hashes(self, pairs: np.ndarray) -> np.ndarray:
+    @property
+    def hashes(self) -> np.ndarray:
         if self._hashes is None:
-            texts = self.texts.to_pylist()
-            self._hashes = np.array([word_hash(self.langs[a], texts[b]) for a, b in
-                                     zip(self.lang.tolist(), self.word.tolist())], dtype=np.uint64)
-        return pair_hash(self._hashes[pairs[:, 0] - 1], self._hashes[pairs[:, 1] - 1])
+            self._hashes = np.array([xxhash.xxh3_64_intdigest(t) for t in self.tagged.cast(pa.large_binary()).to_pylist()],
+                                    dtype=np.uint64)
+        return self._hashes
+
+    def index(self, keep: np.ndarray) -> TwoWayIndex:
+        """The index of the sequence in which words that are not kept separate like the ends of pieces; its ids are
+        those of the words plus 1."""
+        there = keep[self.ids]
+        place = np.flatnonzero(there)
+        piece = self.piece[place]
+        apart = np.ones(len(place), dtype=bool)
+        apart[1:] = (piece[1:] != piece[:-1]) | (place[1:] != place[:-1] + 1)
+        at = np.arange(len(place)) + np.cumsum(apart)
+        sequence = np.zeros((int(at[-1]) if len(at) else 0) + 2, dtype=np.int32)
+        sequence[at] = self.ids[place] + 1
+        return TwoWayIndex(sequence)
+
+    def rows(self, level: Level, weight: int) -> Iterator[pa.RecordBatch]:
+        """The phrases of a level with their counts."""
+        for at in range(0, len(level.count), ROWS):
+            words = [pa.array(w - 1) for w in level.words[at:at + ROWS].T]
+            parts = [self.tagged.take(words[0]), *[self.texts.take(w) for w in words[1:]]]
+            phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())) if len(parts) > 1 else parts[0]
+            yield _counts(phrase, level.count[at:at + ROWS] * weight)
 
+    def single_rows(self, weight: int) -> Iterator[pa.RecordBatch]:
+        """Every word with its count, and the number of all words of each language under an empty one."""
+        count = np.bincount(self.ids, minlength=len(self.lang)).astype(np.int64)
+        yield _counts(self.tagged, count * weight)
+        n = np.bincount(self.lang, weights=count, minlength=len(self.langs)).astype(np.int64)
+        yield _counts(pa.array([f"{la}\t" for la in self.langs], pa.large_string()), n * weight)
 
-def word_hash(lang: str, word: str) -> int:
-    return xxhash.xxh3_64_intdigest(f"{lang}\t{word}")
+
+def _counts(key: pa.Array, f: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([key.cast(pa.string()), pa.array(f)], names=["key", "f"])
 
 
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix64(a * np.uint64(0x9E3779B97F4A7C15) + mix64(b))
 
 
-def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Words, TwoWayIndex]]:
-    """(weight, words, index) for every few megabytes of a task's texts."""
+def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Words]]:
+    """(weight, words) for every few megabytes of a task's texts."""
     held = {1: Shard(), -1: Shard()}
 
     def full(least: int):
         for weight, shard in held.items():
             if shard.size > least:
                 held[weight] = Shard()
-                found = shard.index()
+                found = shard.words()
                 if found:
-                    yield weight, *found
+                    yield weight, found
 
     for batch in batches:
         data, off = utf8(batch.column("text"))
@@ -184,36 +197,52 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Words, TwoW
 
 
 # -- passes -------------------------------------------------------------------
-def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words and pairs, and of all words."""
-    for weight, words, index in shards(batches):
-        level = index.single()
-        yield words.totals(level, weight)
-        yield words.rows(level, weight)
-        yield words.rows(index.right(level), weight)
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of words, and of all words."""
+    for weight, words in shards(batches):
+        yield from words.single_rows(weight)
+
 
+def _pairs(common: Bitmap):
+    """Counts of pairs of words that may both be frequent."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for weight, words in shards(batches):
+            index = words.index(common.has(words.hashes))
+            yield from words.rows(index.right(index.single()), weight)
+    return run
 
-def _long(frequent: Bitmap, max_words: int):
+
+def _long(common: Bitmap, frequent: Bitmap, max_words: int):
     """Counts of phrases of three words and more of which every pair may be frequent."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for weight, words, index in shards(batches):
-            level = index.right(index.single())
-            level = level.take(frequent.has(words.pair_hashes(level.words)))
+        for weight, words in shards(batches):
+            index = words.index(common.has(words.hashes))
+
+            def known(level: Level, new: slice) -> Level:
+                pair = level.words[:, new] - 1
+                return level.take(frequent.has(pair_hash(words.hashes[pair[:, 0]], words.hashes[pair[:, 1]])))
+
+            level = known(index.right(index.single()), slice(0, 2))
             for k in range(3, max_words + 1):
                 # the new pair stands at the end that has grown
-                level, new = (index.right(level), slice(-2, None)) if k % 2 else (index.left(level), slice(0, 2))
-                level = level.take(frequent.has(words.pair_hashes(level.words[:, new])))
-                if len(level.count):
-                    yield words.rows(level, weight)
+                level = known(index.right(level), slice(-2, None)) if k % 2 else known(index.left(level), slice(0, 2))
+                yield from words.rows(level, weight)
     return run
 
 
-def _hashed_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of words, or of pairs."""
     for batch in batches:
-        pairs = [p.split(" ") for p in batch.column("phrase").to_pylist()]
-        langs = batch.column("lang").to_pylist()
-        sides = [np.array([word_hash(la, p[i]) for la, p in zip(langs, pairs)], dtype=np.uint64) for i in (0, 1)]
-        yield pa.RecordBatch.from_arrays([pa.array(pair_hash(*sides).view(np.int64))], names=["h"])
+        langs, phrases = batch.column("lang").to_pylist(), [p.split(" ") for p in batch.column("phrase").to_pylist()]
+        sides = [np.array([xxhash.xxh3_64_intdigest(f"{la}\t{p[i]}") for la, p in zip(langs, phrases)], dtype=np.uint64)
+                 for i in range(len(phrases[0]) if phrases else 1)]
+        h = pair_hash(*sides) if len(sides) == 2 else sides[0]
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+
+
+def _bits(phrases: DataFrame) -> Bitmap:
+    bits = min(BITS[1], max(BITS[0], math.ceil(math.log2(16 * phrases.count() + 1))))
+    return Bitmap.of(phrases.select("lang", "phrase").mapInArrow(_hashed, "h long"), "h", bits)
 
 
 def count_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS) -> DataFrame:
@@ -222,20 +251,26 @@ def count_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int =
     scratch = Scratch(docs.sparkSession, "phrases")
     texts = docs.select(docs["text"].cast("string").alias("text"),
                         F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang"))
-
-    def summed(parts: DataFrame) -> DataFrame:
-        return parts.groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f")).where(
-            (F.col("k") == 0) | (F.col("f") >= min_count))
-
-    short = scratch.write(summed(texts.mapInArrow(_short, COUNTS)), "short")
-    if max_words < 3:
-        return short
-    pairs = short.where("k = 2")
-    n = pairs.count()
-    bits = min(BITS[1], max(BITS[0], math.ceil(math.log2(16 * n + 1))))
-    frequent = Bitmap.of(pairs.mapInArrow(_hashed_pairs, "h long"), "h", bits)
-    long = scratch.write(summed(texts.mapInArrow(_long(frequent, max_words), COUNTS)), "long")
-    return short.unionByName(long)
+    # the key is the language, a tab and the phrase; words hold no tab
+    phrase = F.substring_index("key", "\t", -1)
+
+    def summed(count, name: str) -> DataFrame:
+        rows = texts.mapInArrow(count, "key string, f long").groupBy("key").agg(F.sum("f").alias("f"))
+        rows = rows.where((F.col("f") >= min_count) | F.endswith("key", F.lit("\t"))).withColumn("phrase", phrase)
+        return scratch.write(rows.select(
+            F.expr("substr(key, 1, length(key) - length(phrase) - 1)").alias("lang"),
+            F.when(F.col("phrase") == "", 0).otherwise(
+                F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit(""))) + 1).alias("k"),
+            "phrase", "f"), name)
+
+    counts = summed(_single, "words")
+    if max_words > 1:
+        common = _bits(counts.where("k = 1"))
+        pairs = summed(_pairs(common), "pairs")
+        counts = counts.unionByName(pairs)
+    if max_words > 2:
+        counts = counts.unionByName(summed(_long(common, _bits(pairs), max_words), "long"))
+    return counts
 
 
 # -- scores -------------------------------------------------------------------

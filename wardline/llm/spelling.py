@@ -36,7 +36,8 @@ MIN_LENGTH = 5
 MIN_COUNT = 3
 RATIO = 2        # a form has at least this many times the occurrences
 PAGE = 4096      # words of a cell that one block holds
-BLOCK = 512      # rows of one Gram matrix
+BLOCK = 128      # rows of one Gram matrix
+EXACT = 2048     # letters up to which 32-bit floats hold all products exactly
 SLIP = 97        # the query deletes a letter of every so many (document, word)
 
 RUN = "([A-Za-zÀ-ÿ]+)"
@@ -88,20 +89,20 @@ class Block:
         self.start = np.cumsum(self.length) - self.length
         width = len(_LETTERS)
         at = np.repeat(np.arange(len(words)) * width, self.length) + _COLUMN[self.letters]
-        # float64 holds squares of counts of the longest words exactly
-        self.counts = np.bincount(at, minlength=len(words) * width).reshape(-1, width).astype(np.float64)
+        exact = np.float32 if self.length.max(initial=0) <= EXACT else np.float64
+        self.counts = np.bincount(at, minlength=len(words) * width).reshape(-1, width).astype(exact)
         self.norm = (self.counts * self.counts).sum(axis=1)
 
 
-def close_pairs(x: Block, a: slice, b: slice, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def close_pairs(x: Block, used: np.ndarray, a: slice, b: slice, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows (i in a, j in b, i < j) of one cell whose squared distance is at most two in equal or adjacent lengths."""
-    gram = x.counts[a] @ x.counts[b].T
-    distance = x.norm[a][:, None] + x.norm[b][None, :] - 2 * gram
-    near = (distance <= 2) & (distance > 0)
-    near &= cell[a][:, None] == cell[b][None, :]
-    i, j = np.nonzero(near)
+    distance = used[a] @ used[b].T
+    distance *= -2
+    distance += x.norm[a][:, None]
+    distance += x.norm[b][None, :]
+    i, j = np.nonzero(distance <= 2)
     i, j = i + a.start, j + b.start
-    keep = (i < j) & (abs(x.length[i] - x.length[j]) <= 1)
+    keep = (i < j) & (cell[i] == cell[j]) & (abs(x.length[i] - x.length[j]) <= 1)
     return i[keep], j[keep]
 
 
@@ -176,20 +177,23 @@ def _meet(pairs: bool):
     def found(table: pa.Table) -> pa.RecordBatch | None:
         x = Block(table["word"].combine_chunks())
         cell, combo, side = (table[c].to_numpy() for c in ("meeting", "combo", "side"))
+        used = np.ascontiguousarray(x.counts[:, x.counts.any(axis=0)])
         left, right = [], []
         n = len(cell)
         for a in range(0, n, BLOCK):
+            last = cell[min(a + BLOCK, n) - 1]
             for b in range(a, n, BLOCK):
-                if cell[b] != cell[min(a + BLOCK, n) - 1] and b > a:
+                if b > a and cell[b] != last:
                     break  # sorted by meeting: later rows have other ones
-                i, j = close_pairs(x, slice(a, min(a + BLOCK, n)), slice(b, min(b + BLOCK, n)), cell)
+                i, j = close_pairs(x, used, slice(a, min(a + BLOCK, n)), slice(b, min(b + BLOCK, n)), cell)
+                for keep in (lambda i, j: (side[i] < 0) | (side[i] != side[j]), lambda i, j: one_edit(x, i, j),
+                             lambda i, j: first_meeting(x, i, j, combo)):
+                    if len(i):
+                        ok = keep(i, j)
+                        i, j = i[ok], j[ok]
                 left.append(i)
                 right.append(j)
         i, j = np.concatenate(left), np.concatenate(right)
-        for keep in (lambda: (side[i] < 0) | (side[i] != side[j]), lambda: first_meeting(x, i, j, combo),
-                     lambda: one_edit(x, i, j)):
-            ok = keep()
-            i, j = i[ok], j[ok]
         if not len(i):
             return None
         words, count = table["word"].combine_chunks(), table["n"].to_numpy()
