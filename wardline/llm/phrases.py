@@ -279,7 +279,7 @@ def _exact(c: str | Column) -> Column:
 
 
 def score_phrases(counts: DataFrame) -> DataFrame:
-    """(lang, phrase, k, a, l, r, n, score, left_words, left_best, right_words, right_best) for every phrase of two
+    """(lang, phrase, k, a, l, r, score, left_words, left_best, right_words, right_best) for every phrase of two
     words and more in ``counts``.
 
     l, r and score belong to the cut with the lowest score, the first of them.  left_words and right_words are the
@@ -302,21 +302,22 @@ def score_phrases(counts: DataFrame) -> DataFrame:
     grown = longer.groupBy("lang", "p.phrase").agg(
         F.count_if("p.left").alias("left_words"), F.max(F.when(F.col("p.left"), F.col("f"))).alias("left_best"),
         F.count_if(~F.col("p.left")).alias("right_words"), F.max(F.when(~F.col("p.left"), F.col("f"))).alias("right_best"))
-    totals = counts.where("k = 0").select("lang", F.col("f").alias("n"))
-    return (lowest.join(grown, ["lang", "phrase"], "left").join(totals, "lang")
-            .select("lang", "phrase", "k", "a", "c.l", "c.r", "n", "c.score",
+    return (lowest.join(grown, ["lang", "phrase"], "left")
+            .select("lang", "phrase", "k", "a", "c.l", "c.r", "c.score",
                     F.coalesce("left_words", F.lit(0)).alias("left_words"), "left_best",
                     F.coalesce("right_words", F.lit(0)).alias("right_words"), "right_best"))
 
 
 def collocations(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS,
                  keep_percent: int = KEEP_PERCENT, top: int = TOP) -> DataFrame:
-    """Each language's ``top`` phrases by score, without those that mostly stand inside a longer one.
+    """Each language's ``top`` phrases by score with their rank, without those that mostly stand inside a longer
+    one; n is the number of words of the language.
 
     A phrase inside a longer one stands inside a phrase with one word more that is at least as frequent as the
     longer one, so the counts of its own extensions decide.
     """
-    scored = score_phrases(count_phrases(docs, min_count, max_words))
+    counts = count_phrases(docs, min_count, max_words)
+    scored = score_phrases(counts)
     best = F.greatest("left_best", "right_best")
     inside = F.coalesce(_exact(best) * 100 >= _exact("a") * keep_percent, F.lit(False))
     order = (F.desc("score"), F.desc("a"), F.col("phrase"))
@@ -327,7 +328,8 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = M
                 .where(F.col("rank") <= top))
 
     dealt = scored.where(~inside).withColumn("slice", F.pmod(F.xxhash64("phrase"), F.lit(SLICES)))
-    return ranked(ranked(dealt, "lang", "slice").drop("rank", "slice"), "lang")
+    first = ranked(ranked(dealt, "lang", "slice").drop("rank", "slice"), "lang")
+    return first.join(counts.where("k = 0").select("lang", F.col("f").alias("n")), "lang")
 
 
 def op11_query(documents: DataFrame) -> DataFrame:
