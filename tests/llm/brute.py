@@ -283,3 +283,81 @@ def license_row(text):
     score = 1.0 if places else max([f[4] for f in kept], default=0.0)
     return (len(w), len(places), min(places)[0] if places else None, max(places)[0] if places else None,
             ",".join(sorted(base)), ",".join(sorted(labels)), score)
+
+
+# -- 11 -----------------------------------------------------------------------
+def phrase_counts(rows, max_words=4):
+    """Counter of (lang, phrase) and words of each language for (lang, text) rows."""
+    f, n = Counter(), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            for k in range(1, max_words + 1):
+                f.update((lang, " ".join(w[i:i + k])) for i in range(len(w) - k + 1))
+    return f, n
+
+
+def collocations(rows, min_count=30, max_words=4, top=2000):
+    f, n = phrase_counts(rows, max_words)
+    candidates = {key: a for key, a in f.items() if a >= min_count and " " in key[1]}
+    covered = Counter()
+    for (lang, phrase), a in candidates.items():
+        w = phrase.split(" ")
+        for k in range(2, len(w)):
+            for i in range(len(w) - k + 1):
+                key = lang, " ".join(w[i:i + k])
+                covered[key] = max(covered[key], a)
+    out = defaultdict(list)
+    for (lang, phrase), a in candidates.items():
+        if 100 * covered[lang, phrase] >= 80 * a:
+            continue
+        w = phrase.split(" ")
+        cuts = []
+        for k in range(1, len(w)):
+            left, right = f[lang, " ".join(w[:k])], f[lang, " ".join(w[k:])]
+            cuts.append((2_000_000 * a // (left + right), k, left, right))
+        score, _, left, right = min(cuts)
+        out[lang].append((-score, -a, phrase.encode(), phrase, a, left, right, score))
+    return [(lang, i + 1, p, a, left, right, n[lang], score) for lang, found in out.items()
+            for i, (_, _, _, p, a, left, right, score) in enumerate(sorted(found)[:top])]
+
+
+# -- 12 -----------------------------------------------------------------------
+def spelling_words(rows):
+    n = Counter()
+    for d, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = run.translate(LOWER)
+            h = zlib.crc32(f"{'null' if d is None else d}:{run}".encode())
+            n[run if h % 97 else run[:h % len(run)] + run[h % len(run) + 1:]] += 1
+    return {w: c for w, c in n.items() if len(w) >= 5 and c >= 3}
+
+
+def one_edit(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    return len(a) + 1 == len(b) and any(a == b[:i] + b[i + 1:] for i in range(len(b)))
+
+
+def variants(n, ratio=2):
+    near = defaultdict(list)
+    by_length = defaultdict(list)
+    for w in n:
+        by_length[len(w)].append(w)
+    for w in n:
+        near[w] = [x for k in (-1, 0, 1) for x in by_length[len(w) + k] if one_edit(w, x)]
+    form = {}
+    for w in n:
+        best = min(near[w], key=lambda x: (-n[x], x), default=None)
+        form[w] = best if best is not None and n[best] >= ratio * n[w] else None
+    out = []
+    for w in n:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out.append((w, form[w], root, n[w], len(near[w]), n[form[w]] if form[w] else None))
+    return out
