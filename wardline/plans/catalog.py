@@ -494,14 +494,14 @@ def q_booking_checks(spark, sf_dir):
 def _doctor_updates(h):
     s = read_supplier(h)
     k = F.col("s_suppkey")
-    upd1 = s.where(k % 7 == 0).select((k + 1).cast("int").alias("id"),
+    upd1 = s.select((k + 1).cast("int").alias("id"),
                                       F.concat(F.col("s_name"), F.lit(" (updated)")).alias("name"),
                                       F.lit(1000).alias("fees"), F.col("department_id"),
                                       F.lit(None).cast("string").alias("floor_block"), F.lit(1).alias("seq"))
-    upd2 = s.where(k % 14 == 0).select((k + 1).cast("int").alias("id"), F.col("s_name").alias("name"),
+    upd2 = s.where("s_acctbal > 5000").select((k + 1).cast("int").alias("id"), F.col("s_name").alias("name"),
                                        F.lit(1200).alias("fees"), F.col("department_id"),
                                        F.lit("Annex").alias("floor_block"), F.lit(2).alias("seq"))
-    new = s.where(k % 50 == 3).select((k + 1000001).cast("int").alias("id"),
+    new = s.select((k + 1000001).cast("int").alias("id"),
                                       F.concat(F.lit("New "), F.col("s_name")).alias("name"),
                                       F.lit(500).alias("fees"), F.col("department_id"),
                                       F.lit("Block N").alias("floor_block"), F.lit(1).alias("seq"))
@@ -510,7 +510,7 @@ def _doctor_updates(h):
 
 def read_supplier(h):
     from wardline.sources.driver import read_table
-    s = read_table(h.spark, h.sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    s = read_table(h.spark, h.sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
     n = read_table(h.spark, h.sf_dir, "nation").select("n_nationkey", "n_regionkey")
     return s.join(n, s.s_nationkey == n.n_nationkey).withColumn(
         "department_id", (F.col("n_regionkey") + 1).cast("int"))
@@ -529,9 +529,9 @@ def q_insert_absent(spark, sf_dir):
     base = h.doctors.select("id", "name", "department_id")
     s = read_supplier(h)
     k = F.col("s_suppkey")
-    cand = s.where(k % 9 == 0).select((k + 1).cast("int").alias("id"), F.lit("Dup").alias("name"),
+    cand = s.select((k + 1).cast("int").alias("id"), F.lit("Dup").alias("name"),
                                       "department_id", F.lit(1).alias("seq")) \
-        .unionByName(s.where(k % 9 == 4).select((k + 2000001).cast("int").alias("id"),
+        .unionByName(s.select((k + 2000001).cast("int").alias("id"),
                                                 F.concat(F.lit("Staff "), F.col("s_name")).alias("name"),
                                                 "department_id", F.lit(1).alias("seq")))
     return portable(tables.insert_absent(base, cand, ["id"], "seq"))

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 ADAPTER = """
 WITH ev AS (
-  SELECT event_id, ts, user_id, event_type, CAST(ts AS DATE) AS d,
+  SELECT event_id, ts, user_id, event_type, value, CAST(ts AS DATE) AS d, 4 * (event_id // 4) + 1 AS bk,
+         CASE WHEN value >= 20 THEN CAST(user_id+1 AS BIGINT) END AS account,
          CAST(hour(ts)*3600 + minute(ts)*60 + second(ts) AS INT) AS sod,
          CAST(FLOOR(event_id/8) AS BIGINT) AS m FROM events),
 departments AS (
@@ -25,7 +26,7 @@ doctors AS (
          (s_suppkey%6 <> 5) AS available
   FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 tokens0 AS (
-  SELECT CAST(event_id+1 AS BIGINT) AS id, event_id, CAST((event_id+user_id)%10+1 AS INT) AS doctor_id,
+  SELECT CAST(event_id+1 AS BIGINT) AS id, event_id, CAST((event_id+user_id)%(SELECT count(*) FROM supplier)+1 AS INT) AS doctor_id,
          CASE WHEN event_id%3=0 THEN NULL ELSE CAST(user_id+1 AS BIGINT) END AS patient_id,
          concat('Patient ', CAST(user_id+1 AS VARCHAR)) AS patient_name,
          concat('9', printf('%09d', user_id+1)) AS patient_phone,
@@ -47,7 +48,7 @@ tokens AS (
 prebooked_appointments AS (
   SELECT b.*, dr.department_id FROM (
     SELECT CAST(event_id+1 AS BIGINT) AS id, concat('PB', printf('%03d', event_id)) AS booking_id,
-           CAST((event_id-1+user_id)%10+1 AS INT) AS doctor_id,
+           CAST((event_id-1+user_id)%(SELECT count(*) FROM supplier)+1 AS INT) AS doctor_id,
            concat('Patient ', CAST(user_id+1 AS VARCHAR)) AS patient_name,
            concat('9', printf('%09d', user_id+1)) AS patient_phone,
            d AS appointment_date, CAST(sod - sod%900 AS INT) AS appointment_sod,
@@ -91,49 +92,49 @@ pharmacies AS (
          CASE WHEN n_nationkey%4=1 THEN NULL ELSE concat('Online ', CAST(n_nationkey%4 AS VARCHAR)) END AS online_counter
   FROM nation),
 pharmacy_tokens AS (
-  SELECT CAST(event_id+1 AS BIGINT) AS id, event_id, CAST(user_id%2+1 AS INT) AS pharmacy_id,
+  SELECT CAST(event_id+1 AS BIGINT) AS id, event_id, CAST(user_id%25+1 AS INT) AS pharmacy_id,
          concat('Patient ', CAST(user_id+1 AS VARCHAR)) AS patient_name,
          concat('9', printf('%09d', user_id+1)) AS patient_phone,
          ts AS created_at, d AS queue_date, sod AS created_sod,
          CASE WHEN event_id%2=0 THEN 'cash' ELSE 'online' END AS payment_method,
          CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'cancelled'
                          WHEN 'signup' THEN 'processing' ELSE 'waiting' END AS status,
-         concat('PH', CAST(user_id%2+1 AS VARCHAR), '-', printf('%03d', row_number() OVER (
-                PARTITION BY user_id%2, d ORDER BY ts, event_id))) AS token_number
+         concat('PH', CAST(user_id%25+1 AS VARCHAR), '-', printf('%03d', row_number() OVER (
+                PARTITION BY user_id%25, d ORDER BY ts, event_id))) AS token_number
   FROM ev WHERE event_id%3 = 0),
 status_log AS (
-  SELECT event_id AS req_id, ts, d, CAST(event_id - 2*(m%5) AS BIGINT) AS token_id,
+  SELECT event_id AS req_id, ts, d, CAST(2 * (event_id // 2) + 1 - 2*(m%5) AS BIGINT) AS token_id,
          CASE event_type WHEN 'view' THEN 'waiting' WHEN 'purchase' THEN 'completed'
                          WHEN 'error' THEN 'cancelled' ELSE 'consulting' END AS new_status
-  FROM ev WHERE event_id%2 = 1 AND event_id - 2*(m%5) >= 1),
+  FROM ev WHERE 2 * (event_id // 2) + 1 - 2*(m%5) >= 1),
 break_log AS (
-  SELECT event_id AS req_id, ts, d, CAST(user_id%10+1 AS INT) AS doctor_id,
+  SELECT event_id AS req_id, ts, d, CAST(user_id%(SELECT count(*) FROM supplier)+1 AS INT) AS doctor_id,
          CASE event_type WHEN 'signup' THEN 'start_break' ELSE 'end_break' END AS action
-  FROM ev WHERE event_type IN ('signup','purchase') AND event_id%5 = 0),
+  FROM ev WHERE event_type IN ('signup','purchase')),
 lookup_log AS (
   SELECT event_id AS req_id, ts, d,
          CASE WHEN event_id%3=0 THEN CAST(user_id+1 AS BIGINT) ELSE NULL END AS patient_id,
          concat('9', printf('%09d', user_id+1)) AS patient_phone,
-         concat(CASE WHEN m%4=0 THEN 'pb' ELSE 'PB' END, printf('%03d', event_id - 6 - 4*(m%3))) AS booking_id,
+         concat(CASE WHEN m%4=0 THEN 'pb' ELSE 'PB' END, printf('%03d', bk - 4*(m%3))) AS booking_id,
          concat(CASE WHEN m%5=0 THEN ' lb' ELSE 'LB' END, printf('%03d', 8*m + 7)) AS lab_code,
-         CASE m%3 WHEN 0 THEN concat('PB', printf('%03d', event_id - 6))
+         CASE m%3 WHEN 0 THEN concat('PB', printf('%03d', bk))
                   WHEN 1 THEN concat('a', printf('%03d', m%30 + 1)) ELSE '' END AS token
-  FROM ev WHERE event_id%10 = 7),
+  FROM ev),
 cancel_log AS (
   SELECT event_id AS req_id, ts, d,
-         CASE WHEN m%3=0 THEN CAST(event_id - 4 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS token_id,
-         CASE m%3 WHEN 0 THEN '' WHEN 1 THEN concat(' pb', printf('%03d', event_id - 4))
+         CASE WHEN m%3=0 THEN CAST(2 * (event_id // 2) - 3 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS token_id,
+         CASE m%3 WHEN 0 THEN '' WHEN 1 THEN concat(' pb', printf('%03d', bk - 4))
                   ELSE concat('A', printf('%03d', m%40 + 1)) END AS token,
-         CASE WHEN m%4=2 THEN concat('PB', printf('%03d', event_id - 8)) ELSE NULL END AS booking_id,
+         CASE WHEN m%4=2 THEN concat('PB', printf('%03d', bk - 8)) ELSE NULL END AS booking_id,
          CASE WHEN event_type='error' THEN 'at patient request' ELSE NULL END AS reason,
          (event_type <> 'view') AS notify
-  FROM ev WHERE event_id%6 = 5),
+  FROM ev),
 booking_cancel_log AS (
   SELECT event_id AS req_id, ts, d,
-         concat(CASE WHEN m%3=0 THEN 'pb' ELSE 'PB' END, printf('%03d', event_id - 8)) AS booking_id
-  FROM ev WHERE event_id%12 = 9),
+         concat(CASE WHEN m%3=0 THEN 'pb' ELSE 'PB' END, printf('%03d', bk - 8)) AS booking_id
+  FROM ev),
 reschedule_log AS (
-  SELECT event_id AS req_id, ts, d, concat('PB', printf('%03d', event_id - 2)) AS booking_id,
+  SELECT event_id AS req_id, ts, d, concat('PB', printf('%03d', bk)) AS booking_id,
          CASE event_type WHEN 'error' THEN replace(CAST(d AS VARCHAR), '-', '/')
                          WHEN 'click' THEN CAST(d - 1 AS VARCHAR)
                          WHEN 'signup' THEN ''
@@ -142,42 +143,45 @@ reschedule_log AS (
          CASE m%3 WHEN 0 THEN ''
                   WHEN 1 THEN printf('%02d:%02d:00', (sod // 3600 + 1) % 24, (sod // 60) % 60 - (sod // 60) % 15)
                   ELSE '9:30' END AS new_time
-  FROM ev WHERE event_id%20 = 3),
+  FROM ev),
 lab_cancel_log AS (
   SELECT event_id AS req_id, ts, d,
          concat(CASE WHEN m%2=0 THEN 'lb' ELSE 'LB' END, printf('%03d', 8*m - 1)) AS booking_code
-  FROM ev WHERE event_id%16 = 13),
+  FROM ev),
 pharmacy_cancel_log AS (
   SELECT event_id AS req_id, ts, d,
-         CASE WHEN m%4=3 THEN CAST(0 AS BIGINT) ELSE CAST(event_id - 3 - 3*(m%3) AS BIGINT) END AS token_id,
-         CASE WHEN m%4=3 THEN concat('PH', CAST(user_id%2+1 AS VARCHAR), '-', printf('%03d', m%50 + 1))
+         CASE WHEN m%4=3 THEN CAST(0 AS BIGINT) ELSE CAST(3 * (event_id // 3) + 1 - 3*(m%3) AS BIGINT) END AS token_id,
+         CASE WHEN m%4=3 THEN concat('PH', CAST(user_id%25+1 AS VARCHAR), '-', printf('%03d', m%50 + 1))
               ELSE '' END AS token_number,
          CASE WHEN event_type <> 'error' THEN 'Patient left' ELSE NULL END AS reason
-  FROM ev WHERE event_id%9 = 4),
+  FROM ev),
 pharmacy_status_log AS (
-  SELECT event_id AS req_id, ts, d, CAST(event_id - 1 - 3*(m%4) AS BIGINT) AS token_id,
+  SELECT event_id AS req_id, ts, d, CAST(3 * (event_id // 3) + 1 - 3*(m%4) AS BIGINT) AS token_id,
          CASE event_type WHEN 'view' THEN 'processing' WHEN 'purchase' THEN 'completed'
                          WHEN 'error' THEN 'cancelled' WHEN 'click' THEN 'waiting' ELSE 'ready' END AS new_status
-  FROM ev WHERE event_id%3 = 2),
+  FROM ev),
 lab_status_log AS (
-  SELECT event_id AS req_id, ts, d, CAST(event_id - 1 - 8*(m%3) AS BIGINT) AS token_id,
+  SELECT event_id AS req_id, ts, d, CAST(8*m + 4 - 8*(m%3) AS BIGINT) AS token_id,
          CASE event_type WHEN 'view' THEN 'in_progress' WHEN 'purchase' THEN 'completed'
                          WHEN 'error' THEN 'cancelled' WHEN 'click' THEN 'waiting' ELSE 'no_show' END AS new_status
-  FROM ev WHERE event_id%8 = 5),
+  FROM ev),
 checkin_log AS (
-  SELECT event_id AS req_id, ts, d,
-         concat(CASE WHEN m%5=1 THEN 'pb' ELSE 'PB' END, printf('%03d', event_id - 1 - 4*(m%2))) AS booking_id
-  FROM ev WHERE event_id%8 = 6),
+  SELECT event_id AS req_id, ts, d, account AS patient_id,
+         concat(CASE WHEN m%5=1 THEN 'pb' ELSE 'PB' END, printf('%03d', bk - 4*(m%2))) AS booking_id
+  FROM ev WHERE event_type = 'error'),
 opd_issue_log AS (
   SELECT e.event_id AS req_id, e.ts, e.d,
-         CAST(CASE WHEN e.event_id%11=5 THEN 0 ELSE (e.event_id+e.user_id)%10+1 END AS INT) AS doctor_id,
+         CAST(CASE WHEN e.event_id%11=5 THEN 0 ELSE (e.event_id+e.user_id)%(SELECT count(*) FROM supplier)+1 END AS INT) AS doctor_id,
          CASE e.event_id%7 WHEN 0 THEN '' WHEN 1 THEN lower(dp.name) WHEN 2 THEN 'Cardiology' ELSE dp.name END
            AS department,
          concat('Patient ', CAST(e.user_id+1 AS VARCHAR)) AS patient_name,
-         concat('9', printf('%09d', e.user_id+1)) AS patient_phone
-  FROM ev e LEFT JOIN doctors dr ON dr.id = CAST((e.event_id+e.user_id)%10+1 AS INT)
+         e.account AS patient_id,
+         CASE WHEN e.event_id%31=0 THEN '' WHEN e.event_type='click'
+              THEN concat('9', printf('%09d', e.user_id - e.user_id%2 + 1)) ELSE concat('9', printf('%09d', e.user_id+1))
+              END AS patient_phone
+  FROM ev e LEFT JOIN doctors dr ON dr.id = CAST((e.event_id+e.user_id)%(SELECT count(*) FROM supplier)+1 AS INT)
             LEFT JOIN departments dp ON dp.id = dr.department_id
-  WHERE e.event_id%2 = 0),
+  WHERE e.event_type IN ('click', 'view')),
 lab_issue_log AS (
   SELECT event_id AS req_id, ts, d,
          CASE m%7 WHEN 0 THEN 'ecg' WHEN 1 THEN lower(l.test_code) WHEN 2 THEN concat(' ', l.test_code, ' ')
@@ -185,27 +189,34 @@ lab_issue_log AS (
          CASE WHEN event_id%13=0 THEN '' ELSE concat('Patient ', CAST(user_id+1 AS VARCHAR)) END AS patient_name,
          CAST(CASE WHEN event_id%17=0 THEN 0 ELSE 18 + user_id%60 END AS INT) AS patient_age,
          CASE user_id%4 WHEN 0 THEN 'Male' WHEN 1 THEN 'female' WHEN 2 THEN 'x' ELSE '' END AS patient_gender,
-         concat('9', printf('%09d', user_id+1)) AS patient_phone,
+         account AS patient_id, concat('9', printf('%09d', user_id+1)) AS patient_phone,
          CAST(CASE WHEN m%2=0 THEN 0 ELSE 100*(m%7) END AS INT) AS payment_amount
-  FROM ev JOIN lab_tests l ON l.test_id = m%4+1 WHERE event_id%8 = 3),
+  FROM ev JOIN lab_tests l ON l.test_id = m%4+1 WHERE event_type IN ('purchase', 'signup')),
+issued_log AS (
+  SELECT event_id AS req_id, ts, d, 1000000000000 + event_id - 1 - m%6 AS token_id,
+         CASE event_type WHEN 'view' THEN 'waiting' WHEN 'signup' THEN 'consulting' WHEN 'error' THEN 'cancelled'
+                         ELSE 'completed' END AS new_status,
+         CASE event_type WHEN 'view' THEN 'waiting' WHEN 'signup' THEN 'in_progress' WHEN 'error' THEN 'cancelled'
+                         ELSE 'completed' END AS lab_status
+  FROM ev),
 pharmacy_issue_log AS (
   SELECT event_id AS req_id, ts, d,
-         CAST(CASE WHEN event_id%19=0 THEN 6 WHEN event_id%23=0 THEN 0 ELSE user_id%2+1 END AS INT) AS pharmacy_id,
+         CAST(CASE WHEN event_id%19=0 THEN 6 WHEN event_id%23=0 THEN 0 ELSE user_id%25+1 END AS INT) AS pharmacy_id,
          CASE WHEN event_id%29=0 THEN '' ELSE concat('Patient ', CAST(user_id+1 AS VARCHAR)) END AS patient_name,
          concat('9', printf('%09d', user_id+1)) AS patient_phone,
          CASE WHEN event_id%2=0 THEN 'cash' ELSE 'online' END AS payment_method
-  FROM ev WHERE event_id%3 = 0),
+  FROM ev),
 staff AS (
   SELECT CAST(c_custkey+1 AS INT) AS id, c_name AS name,
          concat(lower(replace(c_name, '#', '.')), '@clinic.test') AS email,
          CASE c_custkey%3 WHEN 0 THEN 'doctor' WHEN 1 THEN 'nurse' ELSE 'reception' END AS role,
          CAST(CASE WHEN c_custkey%7=0 THEN NULL ELSE c_nationkey%6 + 1 END AS INT) AS dept_id,
          CAST(CASE WHEN c_custkey%3=0 THEN c_custkey%100 + 1 END AS INT) AS doc_id
-  FROM customer WHERE c_custkey%50 = 7),
+  FROM customer WHERE c_acctbal >= 2500 OR c_acctbal IS NULL),
 pharmacy_staff AS (
   SELECT CAST(c_custkey+1 AS INT) AS id, concat('PHS', printf('%04d', c_custkey)) AS staff_id, c_name AS name,
          CAST(c_nationkey%27 + 1 AS INT) AS pharmacy_id
-  FROM customer WHERE c_custkey%50 = 13)
+  FROM customer WHERE c_acctbal < 2500)
 """
 
 # Live-queue branches (three-way UNION ALL) shared by several oracles.
@@ -1005,18 +1016,18 @@ SELECT CAST(req_id AS BIGINT) AS req_id, booking_id, new_date, new_time, reason,
 """
 
 _SUPP = """,
-s AS (SELECT s_suppkey, s_name, CAST(n_regionkey+1 AS INT) AS department_id
+s AS (SELECT s_suppkey, s_name, s_acctbal, CAST(n_regionkey+1 AS INT) AS department_id
       FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
 
 SQL["upsert_doctors"] = ADAPTER + _SUPP + """,
 upd AS (
   SELECT CAST(s_suppkey+1 AS INT) AS id, concat(s_name, ' (updated)') AS name, 1000 AS fees, department_id,
-         CAST(NULL AS VARCHAR) AS floor_block, 1 AS seq FROM s WHERE s_suppkey % 7 = 0
+         CAST(NULL AS VARCHAR) AS floor_block, 1 AS seq FROM s
   UNION ALL
-  SELECT CAST(s_suppkey+1 AS INT), s_name, 1200, department_id, 'Annex', 2 FROM s WHERE s_suppkey % 14 = 0
+  SELECT CAST(s_suppkey+1 AS INT), s_name, 1200, department_id, 'Annex', 2 FROM s WHERE s_acctbal > 5000
   UNION ALL
   SELECT CAST(s_suppkey+1000001 AS INT), concat('New ', s_name), 500, department_id, 'Block N', 1
-  FROM s WHERE s_suppkey % 50 = 3),
+  FROM s),
 lst AS (SELECT id, name, fees FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS rn FROM upd)
         WHERE rn = 1),
 fst AS (SELECT id, department_id, floor_block FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS rn
@@ -1030,9 +1041,9 @@ FROM doctors b FULL JOIN lst l ON l.id = b.id LEFT JOIN fst f ON f.id = COALESCE
 """
 
 SQL["insert_absent"] = ADAPTER + _SUPP + """,
-cand AS (SELECT CAST(s_suppkey+1 AS INT) AS id, 'Dup' AS name, department_id FROM s WHERE s_suppkey % 9 = 0
+cand AS (SELECT CAST(s_suppkey+1 AS INT) AS id, 'Dup' AS name, department_id FROM s
          UNION ALL
-         SELECT CAST(s_suppkey+2000001 AS INT), concat('Staff ', s_name), department_id FROM s WHERE s_suppkey % 9 = 4)
+         SELECT CAST(s_suppkey+2000001 AS INT), concat('Staff ', s_name), department_id FROM s)
 SELECT CAST(id AS BIGINT) AS id, name, CAST(department_id AS BIGINT) AS department_id, 'base' AS source FROM doctors
 UNION ALL
 SELECT CAST(c.id AS BIGINT), c.name, CAST(c.department_id AS BIGINT), 'inserted'

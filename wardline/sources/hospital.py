@@ -6,9 +6,9 @@ so every domain table is a deterministic projection of them:
 
 * dimensions come from ``region`` / ``supplier`` / ``nation`` / ``customer``
   and one fixed lookup list (the four lab tests of the application seed);
-* facts (tokens, bookings, lab and pharmacy tokens, request logs) are slices
-  of ``events`` chosen by ``event_id`` residues, so they grow linearly with
-  the input.
+* stored facts (tokens, bookings, lab and pharmacy tokens) share out
+  ``events`` by ``event_id``; the request logs hold every event, as the
+  request kind or kinds that its type stands for.  All grow with the input.
 
 Everything is lazy; nothing is collected.  Token numbers are per-group row
 numbers over (department, day) / (test, day) / (pharmacy, day), computed by
@@ -49,6 +49,12 @@ _LAB_TEST_SCHEMA = T.StructType([
 ])
 
 
+N_PHARMACIES = 25  # rows of ``nation``
+
+# Tokens that a replayed log issues have ids of their own, beyond those of the stored tokens.
+ISSUED_ID_BASE = 1_000_000_000_000
+
+
 def _status(mapping: dict[str, str], default: str) -> F.Column:
     """``CASE event_type WHEN k THEN v ... ELSE default END``."""
     expr = None
@@ -78,9 +84,9 @@ class Hospital:
     def events(self) -> DataFrame:
         """``events`` with business day, seconds of day and an 8-event block id."""
         e = read_table(self.spark, self.sf_dir, "events").select(
-            "event_id", "ts", "user_id", "event_type")
+            "event_id", "ts", "user_id", "event_type", "value")
         return e.select(
-            "event_id", "ts", "user_id", "event_type",
+            "event_id", "ts", "user_id", "event_type", "value",
             F.to_date("ts").alias("d"),
             sod("ts").alias("sod"),
             F.floor(F.col("event_id") / 8).cast("bigint").alias("m"),
@@ -139,6 +145,11 @@ class Hospital:
              .otherwise(F.concat(F.lit("Online "), (k % 4).cast("string"))).alias("online_counter"),
         )
 
+    @cached_property
+    def n_doctors(self) -> int:
+        """How many doctors share the patients (one number, from the table's footers)."""
+        return max(1, read_table(self.spark, self.sf_dir, "supplier").count())
+
     # -- facts --------------------------------------------------------------
     @cached_property
     def tokens(self) -> DataFrame:
@@ -148,7 +159,7 @@ class Hospital:
         t0 = ev.select(
             (eid + 1).cast("bigint").alias("id"),
             "event_id",
-            ((eid + F.col("user_id")) % 10 + 1).cast("int").alias("doctor_id"),
+            ((eid + F.col("user_id")) % self.n_doctors + 1).cast("int").alias("doctor_id"),
             F.when(eid % 3 == 0, F.lit(None).cast("bigint"))
              .otherwise((F.col("user_id") + 1).cast("bigint")).alias("patient_id"),
             _patient_name().alias("patient_name"),
@@ -188,7 +199,7 @@ class Hospital:
         b = ev.select(
             (eid + 1).cast("bigint").alias("id"),
             seq3("PB", eid).alias("booking_id"),
-            ((eid - 1 + F.col("user_id")) % 10 + 1).cast("int").alias("doctor_id"),
+            ((eid - 1 + F.col("user_id")) % self.n_doctors + 1).cast("int").alias("doctor_id"),
             _patient_name().alias("patient_name"),
             _phone().alias("patient_phone"),
             F.col("d").alias("appointment_date"),
@@ -250,7 +261,7 @@ class Hospital:
         t = ev.select(
             (eid + 1).cast("bigint").alias("id"),
             "event_id",
-            (F.col("user_id") % 2 + 1).cast("int").alias("pharmacy_id"),
+            (F.col("user_id") % N_PHARMACIES + 1).cast("int").alias("pharmacy_id"),
             _patient_name().alias("patient_name"),
             _phone().alias("patient_phone"),
             F.col("ts").alias("created_at"),
@@ -269,10 +280,9 @@ class Hospital:
     # -- request logs (inputs of the replay folds) -------------------------
     @cached_property
     def status_log(self) -> DataFrame:
-        """OPD status-change requests against earlier tokens (odd events)."""
-        ev = self.events.where(F.col("event_id") % 2 == 1)
-        target = F.col("event_id") - 2 * (F.col("m") % 5)
-        return ev.where(target >= 1).select(
+        """OPD status-change requests against earlier tokens."""
+        target = F.floor(F.col("event_id") / 2).cast("bigint") * 2 + 1 - 2 * (F.col("m") % 5)
+        return self.events.where(target >= 1).select(
             F.col("event_id").alias("req_id"), "ts", "d",
             target.cast("bigint").alias("token_id"),
             _status({"view": "waiting", "purchase": "completed", "error": "cancelled"},
@@ -282,63 +292,65 @@ class Hospital:
     @cached_property
     def break_log(self) -> DataFrame:
         """Doctor break requests: start on signup, end on purchase."""
-        ev = self.events.where(F.col("event_type").isin("signup", "purchase")
-                               & (F.col("event_id") % 5 == 0))
+        ev = self.events.where(F.col("event_type").isin("signup", "purchase"))
         return ev.select(
             F.col("event_id").alias("req_id"), "ts", "d",
-            (F.col("user_id") % 10 + 1).cast("int").alias("doctor_id"),
+            (F.col("user_id") % self.n_doctors + 1).cast("int").alias("doctor_id"),
             F.when(F.col("event_type") == "signup", "start_break").otherwise("end_break").alias("action"),
         )
 
     # -- more request logs (one per write endpoint) -------------------------
-    def _log(self, residue_mod: int, residue: int) -> DataFrame:
-        return self.events.where(F.col("event_id") % residue_mod == residue)
+    # Every event is a lookup, a cancel, a reschedule and so on: each log has a row for each event.  Ids point at
+    # rows near the event: ``_booking`` at an OPD booking, 8 m + 7 at a lab booking.
+    @property
+    def _booking(self) -> F.Column:
+        return F.floor(F.col("event_id") / 4).cast("bigint") * 4 + 1
 
     @cached_property
     def lookup_log(self) -> DataFrame:
         """Read-side lookups: active-token checks, booking verification, status polls."""
-        e, m = F.col("event_id"), F.col("m")
-        return self._log(10, 7).select(
+        e, m, booking = F.col("event_id"), F.col("m"), self._booking
+        return self.events.select(
             F.col("event_id").alias("req_id"), "ts", "d",
             F.when(e % 3 == 0, (F.col("user_id") + 1).cast("bigint")).alias("patient_id"),
             _phone().alias("patient_phone"),
             F.concat(F.when(m % 4 == 0, "pb").otherwise("PB"),
-                     F.format_string("%03d", e - 6 - 4 * (m % 3))).alias("booking_id"),
+                     F.format_string("%03d", booking - 4 * (m % 3))).alias("booking_id"),
             F.concat(F.when(m % 5 == 0, " lb").otherwise("LB"),
                      F.format_string("%03d", 8 * m + 7)).alias("lab_code"),
-            F.when(m % 3 == 0, seq3("PB", e - 6))
+            F.when(m % 3 == 0, seq3("PB", booking))
              .when(m % 3 == 1, seq3("a", m % 30 + 1)).otherwise(F.lit("")).alias("token"),
         )
 
     @cached_property
     def cancel_log(self) -> DataFrame:
         """OPD cancel requests: by token id, by token/booking number, or by walk-in number."""
-        e, m = F.col("event_id"), F.col("m")
-        return self._log(6, 5).select(
+        m, booking = F.col("m"), self._booking
+        token = F.floor(F.col("event_id") / 2).cast("bigint") * 2 - 3
+        return self.events.select(
             F.col("event_id").alias("req_id"), "ts", "d",
-            F.when(m % 3 == 0, (e - 4).cast("bigint")).otherwise(F.lit(0).cast("bigint")).alias("token_id"),
-            F.when(m % 3 == 0, F.lit("")).when(m % 3 == 1, seq3(" pb", e - 4))
+            F.when(m % 3 == 0, token).otherwise(F.lit(0).cast("bigint")).alias("token_id"),
+            F.when(m % 3 == 0, F.lit("")).when(m % 3 == 1, seq3(" pb", booking - 4))
              .otherwise(seq3("A", m % 40 + 1)).alias("token"),
-            F.when(m % 4 == 2, seq3("PB", e - 8)).alias("booking_id"),
+            F.when(m % 4 == 2, seq3("PB", booking - 8)).alias("booking_id"),
             F.when(F.col("event_type") == "error", F.lit("at patient request")).alias("reason"),
             (F.col("event_type") != "view").alias("notify"),
         )
 
     @cached_property
     def booking_cancel_log(self) -> DataFrame:
-        e, m = F.col("event_id"), F.col("m")
-        return self._log(12, 9).select(
+        return self.events.select(
             F.col("event_id").alias("req_id"), "ts", "d",
-            seq3(F.when(m % 3 == 0, F.lit("pb")).otherwise(F.lit("PB")), e - 8).alias("booking_id"))
+            seq3(F.when(F.col("m") % 3 == 0, F.lit("pb")).otherwise(F.lit("PB")), self._booking - 8).alias("booking_id"))
 
     @cached_property
     def reschedule_log(self) -> DataFrame:
-        e, m, s = F.col("event_id"), F.col("m"), F.col("sod")
+        m, s = F.col("m"), F.col("sod")
         et = F.col("event_type")
         minute = (s / 60).cast("int") % 60
-        return self._log(20, 3).select(
+        return self.events.select(
             F.col("event_id").alias("req_id"), "ts", "d",
-            seq3("PB", e - 2).alias("booking_id"),
+            seq3("PB", self._booking).alias("booking_id"),
             F.when(et == "error", F.regexp_replace(F.col("d").cast("string"), "-", "/"))
              .when(et == "click", F.date_sub("d", 1).cast("string"))
              .when(et == "signup", F.lit(""))
@@ -353,74 +365,86 @@ class Hospital:
     @cached_property
     def lab_cancel_log(self) -> DataFrame:
         m = F.col("m")
-        return self._log(16, 13).select(
+        return self.events.select(
             F.col("event_id").alias("req_id"), "ts", "d",
             seq3(F.when(m % 2 == 0, F.lit("lb")).otherwise(F.lit("LB")), 8 * m - 1).alias("booking_code"))
 
     @cached_property
     def pharmacy_cancel_log(self) -> DataFrame:
-        e, m = F.col("event_id"), F.col("m")
+        m = F.col("m")
         by_number = m % 4 == 3
-        return self._log(9, 4).select(
+        token = F.floor(F.col("event_id") / 3).cast("bigint") * 3 + 1
+        return self.events.select(
             F.col("event_id").alias("req_id"), "ts", "d",
-            F.when(by_number, F.lit(0).cast("bigint"))
-             .otherwise((e - 3 - 3 * (m % 3)).cast("bigint")).alias("token_id"),
-            F.when(by_number, seq3(F.concat(F.lit("PH"), (F.col("user_id") % 2 + 1).cast("string"),
+            F.when(by_number, F.lit(0).cast("bigint")).otherwise(token - 3 * (m % 3)).alias("token_id"),
+            F.when(by_number, seq3(F.concat(F.lit("PH"), (F.col("user_id") % N_PHARMACIES + 1).cast("string"),
                                             F.lit("-")), m % 50 + 1)).otherwise(F.lit("")).alias("token_number"),
             F.when(F.col("event_type") != "error", F.lit("Patient left")).alias("reason"),
         )
 
     @cached_property
     def pharmacy_status_log(self) -> DataFrame:
-        e, m = F.col("event_id"), F.col("m")
-        return self._log(3, 2).select(
+        m, token = F.col("m"), F.floor(F.col("event_id") / 3).cast("bigint") * 3 + 1
+        return self.events.select(
             F.col("event_id").alias("req_id"), "ts", "d",
-            (e - 1 - 3 * (m % 4)).cast("bigint").alias("token_id"),
+            (token - 3 * (m % 4)).alias("token_id"),
             _status({"view": "processing", "purchase": "completed", "error": "cancelled",
                      "click": "waiting"}, "ready").alias("new_status"),
         )
 
     @cached_property
     def lab_status_log(self) -> DataFrame:
-        e, m = F.col("event_id"), F.col("m")
-        return self._log(8, 5).select(
+        m = F.col("m")
+        return self.events.select(
             F.col("event_id").alias("req_id"), "ts", "d",
-            (e - 1 - 8 * (m % 3)).cast("bigint").alias("token_id"),
+            (8 * m + 4 - 8 * (m % 3)).alias("token_id"),
             _status({"view": "in_progress", "purchase": "completed", "error": "cancelled",
                      "click": "waiting"}, "no_show").alias("new_status"),
         )
 
+    # Every event asks for one token: clicks and views for a walk-in visit, signups and purchases for a lab test,
+    # errors for the check-in of a booking.  Large values come from patients who are logged in; a click is made on
+    # the phone that a patient shares with another one.
+    @property
+    def _account(self) -> F.Column:
+        return F.when(F.col("value") >= 20, (F.col("user_id") + 1).cast("bigint"))
+
+    def _asks(self, *types: str) -> DataFrame:
+        return self.events.where(F.col("event_type").isin(*types))
+
     @cached_property
     def checkin_log(self) -> DataFrame:
-        e, m = F.col("event_id"), F.col("m")
-        return self._log(8, 6).select(
-            F.col("event_id").alias("req_id"), "ts", "d",
-            seq3(F.when(m % 5 == 1, F.lit("pb")).otherwise(F.lit("PB")), e - 1 - 4 * (m % 2))
+        m = F.col("m")
+        return self._asks("error").select(
+            F.col("event_id").alias("req_id"), "ts", "d", self._account.alias("patient_id"),
+            seq3(F.when(m % 5 == 1, F.lit("pb")).otherwise(F.lit("PB")), self._booking - 4 * (m % 2))
             .alias("booking_id"))
 
     @cached_property
     def opd_issue_log(self) -> DataFrame:
         """Walk-in issue requests (department text and/or doctor)."""
         e = F.col("event_id")
-        ev = self.events.where(e % 2 == 0).withColumn(
-            "_doc", ((e + F.col("user_id")) % 10 + 1).cast("int"))
+        ev = self._asks("click", "view").withColumn(
+            "_doc", ((e + F.col("user_id")) % self.n_doctors + 1).cast("int"))
         doc = self.doctors.select(F.col("id").alias("_doc"), F.col("department_id").alias("_dep"))
         dep = self.departments.select(F.col("id").alias("_dep"), F.col("name").alias("_dname"))
         j = ev.join(doc, "_doc", "left").join(dep, "_dep", "left")
+        shared = F.concat(F.lit("9"), F.format_string("%09d", F.col("user_id") - F.col("user_id") % 2 + 1))
         return j.select(
             F.col("event_id").alias("req_id"), "ts", "d",
             F.when(e % 11 == 5, F.lit(0)).otherwise(F.col("_doc")).cast("int").alias("doctor_id"),
             F.when(e % 7 == 0, F.lit("")).when(e % 7 == 1, F.lower("_dname"))
              .when(e % 7 == 2, F.lit("Cardiology")).otherwise(F.col("_dname")).alias("department"),
-            _patient_name().alias("patient_name"), _phone().alias("patient_phone"),
+            _patient_name().alias("patient_name"), self._account.alias("patient_id"),
+            F.when(e % 31 == 0, F.lit("")).when(F.col("event_type") == "click", shared).otherwise(_phone())
+            .alias("patient_phone"),
         )
 
     @cached_property
     def lab_issue_log(self) -> DataFrame:
         e, m = F.col("event_id"), F.col("m")
         lt = self.lab_tests.select(F.col("test_id").alias("_t"), F.col("test_code").alias("_c"))
-        ev = self._log(8, 3)
-        j = ev.join(lt, (m % 4 + 1) == lt._t)
+        j = self._asks("purchase", "signup").join(lt, (m % 4 + 1) == lt._t)
         u = F.col("user_id")
         return j.select(
             F.col("event_id").alias("req_id"), "ts", "d",
@@ -431,17 +455,26 @@ class Hospital:
             F.when(e % 17 == 0, F.lit(0)).otherwise(18 + u % 60).cast("int").alias("patient_age"),
             F.when(u % 4 == 0, "Male").when(u % 4 == 1, "female").when(u % 4 == 2, "x")
              .otherwise("").alias("patient_gender"),
-            _phone().alias("patient_phone"),
+            self._account.alias("patient_id"), _phone().alias("patient_phone"),
             F.when(m % 2 == 0, F.lit(0)).otherwise(100 * (m % 7)).cast("int").alias("payment_amount"),
         )
 
+    @cached_property
+    def issued_log(self) -> DataFrame:
+        """Status changes of tokens that the logs above issue; ``lab_status`` is the word of the lab for it."""
+        return self.events.select(
+            F.col("event_id").alias("req_id"), "ts", "d",
+            (F.lit(ISSUED_ID_BASE) + F.col("event_id") - 1 - F.col("m") % 6).alias("token_id"),
+            _status({"view": "waiting", "signup": "consulting", "error": "cancelled"}, "completed").alias("new_status"),
+            _status({"view": "waiting", "signup": "in_progress", "error": "cancelled"}, "completed").alias("lab_status"))
+
     @cached_property
     def pharmacy_issue_log(self) -> DataFrame:
         e = F.col("event_id")
-        return self._log(3, 0).select(
+        return self.events.select(
             F.col("event_id").alias("req_id"), "ts", "d",
             F.when(e % 19 == 0, F.lit(6)).when(e % 23 == 0, F.lit(0))
-             .otherwise(F.col("user_id") % 2 + 1).cast("int").alias("pharmacy_id"),
+             .otherwise(F.col("user_id") % N_PHARMACIES + 1).cast("int").alias("pharmacy_id"),
             F.when(e % 29 == 0, F.lit("")).otherwise(_patient_name()).alias("patient_name"),
             _phone().alias("patient_phone"),
             F.when(e % 2 == 0, "cash").otherwise("online").alias("payment_method"),
@@ -450,11 +483,11 @@ class Hospital:
     # -- staff rosters (credentials are never loaded) --------------------------
     @cached_property
     def staff(self) -> DataFrame:
-        """OPD staff: customers with ``c_custkey % 50 = 7``."""
-        c = read_table(self.spark, self.sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+        """OPD staff: customers with a balance of 2,500 and more, or without one."""
+        c = read_table(self.spark, self.sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
         k = F.col("c_custkey")
         role = F.when(k % 3 == 0, "doctor").when(k % 3 == 1, "nurse").otherwise("reception")
-        return c.where(k % 50 == 7).select(
+        return c.where(F.coalesce(F.col("c_acctbal") >= 2500, F.lit(True))).select(
             (k + 1).cast("int").alias("id"), F.col("c_name").alias("name"),
             F.concat(F.lower(F.regexp_replace("c_name", "#", ".")), F.lit("@clinic.test")).alias("email"),
             role.alias("role"),
@@ -464,9 +497,9 @@ class Hospital:
 
     @cached_property
     def pharmacy_staff(self) -> DataFrame:
-        """Pharmacy staff: customers with ``c_custkey % 50 = 13``."""
-        c = read_table(self.spark, self.sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+        """Pharmacy staff: all other customers."""
+        c = read_table(self.spark, self.sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
         k = F.col("c_custkey")
-        return c.where(k % 50 == 13).select(
+        return c.where(F.col("c_acctbal") < 2500).select(
             (k + 1).cast("int").alias("id"), F.concat(F.lit("PHS"), F.format_string("%04d", k)).alias("staff_id"),
             F.col("c_name").alias("name"), (F.col("c_nationkey") % 27 + 1).cast("int").alias("pharmacy_id"))

@@ -26,7 +26,7 @@ DOMAIN_TABLES = ("departments", "doctors", "tokens", "prebooked_appointments", "
                  "prebooked_lab_appointments", "pharmacy_tokens", "status_log", "break_log",
                  "lookup_log", "cancel_log", "booking_cancel_log", "reschedule_log",
                  "lab_cancel_log", "pharmacy_cancel_log", "pharmacy_status_log", "lab_status_log",
-                 "checkin_log", "opd_issue_log", "lab_issue_log", "pharmacy_issue_log", "staff",
+                 "checkin_log", "opd_issue_log", "lab_issue_log", "pharmacy_issue_log", "issued_log", "staff",
                  "pharmacy_staff")
 
 _LOCK = threading.Lock()
