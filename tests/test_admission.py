@@ -1,58 +1,114 @@
-"""The admission replay against a loop over one small, random log."""
+"""The admission replay against a loop over small random logs."""
 
 import datetime as dt
 import random
 
-from pyspark.sql import functions as F
+import pytest
 
-from wardline.operators.admission import blocked_requests
+from wardline.operators.admission import admit
+from wardline.sources.staging import written_tables
 
-ACTIVE = {"opd": {"waiting", "consulting"}, "lab": {"waiting", "in_progress"}}
+ACTIVE = {False: {"waiting", "consulting"}, True: {"waiting", "in_progress"}}
 START = dt.datetime(2024, 1, 15, 8)
+BASE = 1000
 
 
-def replay(events):
-    held, out = {}, {}
-    for e in sorted(events, key=lambda e: (e["ts"], e["step"], e["req_id"])):
-        if e["step"]:
-            key = (e["kind"] != "opd", e["token_id"])
-            if key in held:
-                held[key] = (held[key][0], e["status"])
+def replay(asks, stored, changes):
+    """The endpoints' rules, one event after the other."""
+    held = {(t["lab"], t["token_id"]): dict(t) for t in stored}
+    done, out = set(), {}
+    events = [(a["ts"], 0, a["uid"], a) for a in asks] + [(c["ts"], 1, c["id"], c) for c in changes]
+    for _, step, _, e in sorted(events, key=lambda x: x[:3]):
+        if step:
+            if (e["lab"], e["token_id"]) in held:
+                held[e["lab"], e["token_id"]]["status"] = e["status"]
             continue
-        if not e["phone"]:
+        if e["booking"] in done and e["booking"] is not None:
+            out[e["uid"]] = ("taken", None)
             continue
-        open_ones = [k for k, (phone, s) in held.items()
-                     if phone == (e["phone"], e["d"]) and s in ACTIVE["lab" if k[0] else "opd"]]
+        if e["patient_id"] is not None:
+            mine = [t for t in held.values() if t["patient_id"] == e["patient_id"]]
+        else:
+            mine = [t for t in held.values() if e["phone"] and t["phone"] == e["phone"]]
+        open_ones = sorted((t["lab"], t["token_id"], t["status"]) for t in mine
+                           if t["d"] == e["d"] and t["status"] in ACTIVE[t["lab"]])
         if open_ones:
-            first = min(open_ones)
-            out[(e["kind"], e["req_id"])] = ("lab" if first[0] else "opd", first[1], held[first][1])
+            out[e["uid"]] = ("refused", open_ones[0])
         elif e["valid"]:
-            held[(e["kind"] != "opd", e["token_id"])] = ((e["phone"], e["d"]), "waiting")
+            out[e["uid"]] = ("admitted", None)
+            key = (e["kind"] == "lab", BASE + e["uid"])
+            held[key] = dict(lab=key[0], token_id=key[1], d=e["d"], patient_id=e["patient_id"], phone=e["phone"],
+                             status="waiting")
+            if e["booking"]:
+                done.add(e["booking"])
+        else:
+            out[e["uid"]] = ("invalid", None)
     return out
 
 
-def test_blocked_requests_follow_the_log(spark):
-    rng = random.Random(5)
-    asks, changes = [], []
-    for req in range(1, 401):
-        kind = rng.choice(["opd", "lab"])
-        ts = START + dt.timedelta(minutes=rng.randrange(2000))
-        asks.append(dict(kind=kind, req_id=req, ts=ts, d=ts.date(), token_id=req + 1, step=0,
-                         phone=rng.choice(["", "91", "92", "93", "94"]), valid=rng.random() < 0.8))
-    for i in range(600):
+def random_log(seed, n, people):
+    rng = random.Random(seed)
+    asks, changes, stored = [], [], []
+    for uid in range(1, n + 1):
+        ts = START + dt.timedelta(minutes=rng.randrange(2 * n))
+        kind = rng.choice(["opd", "lab", "checkin"])
+        asks.append(dict(uid=uid, kind=kind, ts=ts, d=ts.date(), patient_id=rng.choice([None, None, *range(people)]),
+                         phone=rng.choice(["", *map(str, range(90, 90 + people))]),
+                         valid=rng.random() < 0.85 or kind == "checkin",
+                         booking=f"PB{rng.randrange(n // 8)}" if kind == "checkin" else None))
+    for i in range(people * 2):
+        stored.append(dict(lab=rng.random() < 0.4, token_id=i + 1, d=(START + dt.timedelta(days=rng.randrange(2))).date(),
+                           patient_id=rng.choice([None, *range(people)]), phone=str(90 + rng.randrange(people)),
+                           status=rng.choice(["waiting", "completed", "consulting", "in_progress"])))
+    for i in range(2 * n):
+        old = rng.random() < 0.1
         ask = rng.choice(asks)
-        status = rng.choice(["waiting", "consulting", "in_progress", "completed", "cancelled"])
-        changes.append(dict(kind=ask["kind"], req_id=1000 + i, token_id=ask["token_id"], step=1, status=status,
-                            ts=START + dt.timedelta(minutes=rng.randrange(2200))))
-    frames = {}
-    for kind in ("opd", "lab"):
-        frames[kind] = spark.createDataFrame(
-            [(a["req_id"], a["ts"], a["d"], a["phone"], a["token_id"], a["valid"]) for a in asks if a["kind"] == kind],
-            "req_id long, ts timestamp_ntz, d date, patient_phone string, token_id long, valid boolean")
-        frames[kind + "_log"] = spark.createDataFrame(
-            [(c["req_id"], c["ts"], c["token_id"], c["status"]) for c in changes if c["kind"] == kind],
-            "req_id long, ts timestamp_ntz, token_id long, new_status string")
-    got = blocked_requests(frames["opd"], frames["lab"], frames["opd_log"], frames["lab_log"])
-    out = {(r.kind, r.req_id): (r.blocker_kind, r.blocker_token_id, r.blocker_status) for r in got.collect()}
-    assert out == replay(asks + changes) and len(out) > 50
-    assert got.where(F.col("blocker_kind") == "lab").count() > 0
+        lab = rng.random() < 0.5 if old else ask["kind"] == "lab"
+        changes.append(dict(lab=lab, token_id=rng.randrange(1, people * 2 + 1) if old else BASE + ask["uid"],
+                            ts=START + dt.timedelta(minutes=rng.randrange(-30, 2 * n)), id=10_000 + i,
+                            status=rng.choice(["waiting", "consulting", "in_progress", "completed", "cancelled"])))
+    return asks, stored, changes
+
+
+def frames(spark, asks, stored, changes):
+    def frame(rows, schema):
+        names = [f.split()[0] for f in schema.split(", ")]
+        return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], schema)
+    return (frame(asks, "uid long, kind string, ts timestamp_ntz, d date, patient_id long, phone string, "
+                        "valid boolean, booking string"),
+            frame(stored, "lab boolean, token_id long, d date, patient_id long, phone string, status string"),
+            frame(changes, "lab boolean, token_id long, ts timestamp_ntz, id long, status string"))
+
+
+def outcome(r):
+    if r.taken:
+        return "taken", None
+    if r.admitted:
+        return "admitted", None
+    if r.blocker_kind:
+        return "refused", (r.blocker_kind == "lab", r.blocker_token_id, r.blocker_status)
+    return "invalid", None
+
+
+@pytest.mark.parametrize("seed, n, people", [(1, 300, 4), (2, 400, 12), (3, 250, 1)])
+def test_admission_follows_the_log(spark, seed, n, people):
+    log = random_log(seed, n, people)
+    got = {r.uid: outcome(r) for r in admit(*frames(spark, *log), BASE, written_tables(spark, "admit")).collect()}
+    want = replay(*log)
+    assert got == want
+    assert {"admitted", "refused"} <= {o for o, _ in want.values()}
+
+
+def test_a_long_chain_of_one_patient(spark):
+    """Each token ends before the next request: all are admitted, in a few doublings."""
+    n = 200
+    asks = [dict(uid=i, kind="opd", ts=START + dt.timedelta(seconds=2 * i), d=START.date(), patient_id=None, phone="9",
+                 valid=True, booking=None) for i in range(n)]
+    changes = [dict(lab=False, token_id=BASE + i, ts=START + dt.timedelta(seconds=2 * i + (1 if i % 3 else 3)), id=i,
+                    status="completed") for i in range(n)]
+    got = admit(*frames(spark, asks, [], changes), BASE, written_tables(spark, "admit")).collect()
+    assert {r.uid: outcome(r) for r in got} == replay(asks, [], changes)
+
+
+def test_no_requests(spark):
+    assert admit(*frames(spark, [], [], []), BASE, written_tables(spark, "admit")).count() == 0

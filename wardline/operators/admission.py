@@ -1,86 +1,237 @@
-"""One active token per patient: the admission check of the issue endpoints, replayed.
-
-A request is refused while a token that an earlier request of the same phone
-got on the same day is active.  Whether that earlier request got one depends
-in turn on the requests before it, so the rule is followed in order: all
-requests of a (phone, day), and the status changes of the tokens they would
-get, are sorted in one partition and read as a stream.  A task holds one
-(phone, day)'s issued tokens at a time, never its events, so a phone with any
-number of requests needs no more memory than it has tokens.
+"""One active token per patient: the admission check of the issue endpoints, replayed over whole logs.
+
+A request is refused while the patient has an active token of the day.  A
+patient who is logged in is known by the account, others by phone; a token
+carries both, so one that an account opened is also found by its phone.  Tokens
+stored before the log count from the start of their day, and a booking can be
+checked in once.  Which requests open tokens depends on the requests before
+them.
+
+All requests of a key (account or phone) and day have places 0, 1, 2, ...  A
+token covers stretches of these places: from behind its own request to the
+change that ends it, and again if a later change revives it.  Given what else
+covers the day, a key's accepted requests form a chain: the first free request,
+then the first free one behind the end of the token that it opens, and so on.
+"The next one" is a pointer from place to place, and doubling the pointers
+finds every request on the chain in a logarithmic number of joins, so a busy
+patient is spread over tasks like anybody else.
+
+What else covers the day -- stored tokens, tokens that accounts opened,
+revived tokens, bookings that are taken -- is known from the accepted requests
+of the round before.  Rounds repeat until nothing changes.  Effects only go
+forward in time, so each round settles at least the next request in which
+something was still open, and the result is that of the replay in order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.columns import LAB_ACTIVE, OPD_ACTIVE
+from wardline.operators.ranking import lag_within, number_rows, running_sum
 
 # Fixed texts of the application.
-OPD_REFUSAL = ("You already have an active {kind} token ({token}). You can only have one token at a time. "
-               "Please complete, cancel, or wait for it to expire.")
-LAB_REFUSAL = ("You already have an active token ({token}) in {place}. Status: {status}. "
-               "Please complete, cancel, or wait for it to expire.")
+_ACCOUNT = "{kind} token ({token}) from your account. Only one token per account is allowed. "
+_PHONE = "{kind} token ({token}). You can only have one token at a time. "
+_END = "Please complete, cancel, or wait for it to expire"
+REFUSALS = {
+    ("opd", True): "You already have an active " + _ACCOUNT + _END + ".",
+    ("opd", False): "You already have an active " + _PHONE + _END + ".",
+    ("checkin", True): "You already have an active " + _ACCOUNT + _END + " before checking in.",
+    ("checkin", False): "You already have an active " + _PHONE + _END + " before checking in.",
+    ("lab", True): "You already have an active token ({token}) from your account in {place}. "
+                   "Only one token per account is allowed. " + _END + ".",
+    ("lab", False): "You already have an active token ({token}) in {place}. Status: {status}. " + _END + ".",
+}
 KIND_LABEL = {"opd": "OPD consultation", "lab": "Lab test"}
 PLACE_LABEL = {"opd": "OPD", "lab": "Lab"}
 FIRST_STATUS = "waiting"
 
-_BLOCKED = ("kind string, req_id long, blocker_kind string, blocker_token_id long, blocker_status string")
-
-
-def _events(requests: DataFrame, changes: DataFrame, kind: str) -> DataFrame:
-    own = requests.where(F.coalesce("patient_phone", F.lit("")) != "").select(
-        F.col("patient_phone").alias("phone"), "d", "ts", F.lit(0).alias("step"), F.col("req_id").cast("long"),
-        F.lit(kind).alias("kind"), F.col("token_id").cast("long"), F.col("valid"),
-        F.lit(FIRST_STATUS).alias("status"))
-    tokens = own.where("valid").select("phone", "d", "token_id")
-    later = changes.select("ts", F.col("req_id").cast("long").alias("req_id"),
-                           F.col("token_id").cast("long").alias("token_id"), F.col("new_status").alias("status"))
-    return own.unionByName(later.join(tokens, "token_id").select(
-        "phone", "d", "ts", F.lit(1).alias("step"), "req_id", F.lit(kind).alias("kind"), "token_id",
-        F.lit(False).alias("valid"), "status"))
-
-
-def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    active = {"opd": set(OPD_ACTIVE), "lab": set(LAB_ACTIVE)}
-    group, issued = None, {}
-    for pdf in batches:
-        out = []
-        for e in pdf.itertuples(index=False):
-            if (e.phone, e.d) != group:
-                group, issued = (e.phone, e.d), {}
-            key = (e.kind != "opd", e.token_id)  # OPD tokens are found first, then the lowest id
-            if e.step:
-                if key in issued:
-                    issued[key] = e.status
-                continue
-            open_ones = [k for k, s in issued.items() if s in active["lab" if k[0] else "opd"]]
-            if open_ones:
-                first = min(open_ones)
-                out.append((e.kind, e.req_id, "lab" if first[0] else "opd", first[1], issued[first]))
-            elif e.valid:
-                issued[key] = e.status
-        yield pd.DataFrame(out, columns=["kind", "req_id", "blocker_kind", "blocker_token_id", "blocker_status"])
-
-
-def blocked_requests(opd: DataFrame, lab: DataFrame, status_log: DataFrame, lab_status_log: DataFrame) -> DataFrame:
-    """Refused requests with the token that blocks them.
-
-    ``opd`` / ``lab``: req_id, ts, d, patient_phone, token_id, and whether a
-    token would be issued (``valid``).  Requests without a phone are never
-    blocked.  The status is the one last requested for the token.
-    """
-    events = _events(opd, status_log, "opd").unionByName(_events(lab, lab_status_log, "lab"))
-    return (events.repartition("phone", "d").sortWithinPartitions("phone", "d", "ts", "step", "req_id")
-            .mapInPandas(_replay, _BLOCKED))
+_NEVER = 1 << 60                 # a place behind all requests
+_START = "1900-01-01 00:00:00"   # stored tokens are there before any request
+_GROUP = ["key", "d"]
+
+
+def account_key(patient_id: Column) -> Column:
+    return F.concat(F.lit("a:"), patient_id.cast("string"))
+
+
+def phone_key(phone: Column) -> Column:
+    return F.when(F.coalesce(F.trim(phone), F.lit("")) != "", F.concat(F.lit("p:"), phone))
 
 
-def refusals(blocked: DataFrame, numbers: DataFrame, kind: str) -> DataFrame:
-    """req_id and the endpoint's own text for the blocked requests of one kind."""
-    def fill(template: str, **parts) -> F.Column:
+def _is_active(lab: Column, status: Column) -> Column:
+    return F.when(lab, status.isin(*LAB_ACTIVE)).otherwise(status.isin(*OPD_ACTIVE))
+
+
+def _spans(requests: DataFrame, asks: DataFrame, stored: DataFrame, changes: DataFrame, issued_base: int,
+           keep) -> DataFrame:
+    """(key, d, lab, token_id, uid, home, first, status, low, high, off): the stretches of places that each token
+    covers in the keys that find it, with one row of the first active stretch at least.
+
+    uid is the request that would open the token (null: stored); home tells its own key; off is the place at which
+    its first active time ends.
+    """
+    start = F.to_timestamp_ntz(F.lit(_START))
+    keys = F.array_compact(F.array(account_key(F.col("patient_id")), phone_key(F.col("phone"))))
+    old = stored.select("lab", "token_id", "d", "status", F.lit(None).cast("long").alias("uid"),
+                        F.lit(None).cast("string").alias("own"), start.alias("ts"), F.lit(-1).alias("step"),
+                        F.lit(0).cast("long").alias("id"), F.explode(keys).alias("key"))
+    new = asks.where("valid").select(
+        (F.col("kind") == "lab").alias("lab"), (F.lit(issued_base) + F.col("uid")).alias("token_id"), "d",
+        F.lit(FIRST_STATUS).alias("status"), "uid", F.col("key").alias("own"), "ts", F.lit(0).alias("step"),
+        F.col("uid").alias("id"), F.explode(keys).alias("key"))
+    seen = requests.select(*_GROUP).distinct()
+    opened = keep(old.unionByName(new).join(seen, _GROUP, "left_semi"), "opened")
+    about = opened.select(*_GROUP, "lab", "token_id", "uid", "own", F.col("ts").alias("since"))
+    later = about.join(changes, ["lab", "token_id"]).where(F.col("ts") >= F.col("since")).select(
+        *_GROUP, "lab", "token_id", "uid", "own", "status", "ts", F.lit(1).alias("step"), "id")
+    events = opened.unionByName(later.select(*opened.columns))
+    # requests in front of each event
+    marks = requests.select(*_GROUP, F.lit(None).cast("boolean").alias("lab"), F.lit(None).cast("long").alias("token_id"),
+                            F.lit(None).cast("long").alias("uid"), F.lit(None).cast("string").alias("own"),
+                            F.lit(None).cast("string").alias("status"), "ts", F.lit(0).alias("step"),
+                            F.col("uid").alias("id"), F.lit(1).alias("ask"))
+    line = marks.unionByName(events.withColumn("ask", F.lit(0)))
+    line = running_sum(line, _GROUP, ["ts", "step", "id", F.desc("ask"), "lab", "token_id"], "ask", "place")
+    events = line.where("ask = 0").drop("ask").withColumn("active", _is_active(F.col("lab"), F.col("status")))
+    token = [*_GROUP, "lab", "token_id"]
+    events = lag_within(events, token, [F.desc("ts"), F.desc("step"), F.desc("id")], "place", "high")
+    order = F.struct("ts", "step", "id", "place")
+    off = events.where("not active").groupBy(*token).agg(F.min(order).alias("off"))
+    events = events.join(off, token, "left")
+    return events.where("active").select(
+        *token, "uid", (F.col("own") == F.col("key")).alias("home"),
+        (F.col("off").isNull() | (order < F.col("off"))).alias("first"), "status", F.col("place").alias("low"),
+        F.coalesce("high", F.lit(_NEVER)).alias("high"), F.coalesce("off.place", F.lit(_NEVER)).alias("off"))
+
+
+def _free(requests: DataFrame, busy: DataFrame) -> DataFrame:
+    """Requests at places that no busy stretch covers."""
+    edge = busy.where("low < high")
+    steps = edge.select(*_GROUP, F.col("low").alias("place"), F.lit(1).alias("v")).unionByName(
+        edge.where(F.col("high") < _NEVER).select(*_GROUP, F.col("high").alias("place"), F.lit(-1).alias("v")))
+    line = steps.groupBy(*_GROUP, "place").agg(F.sum("v").alias("v")).select(
+        *_GROUP, "place", "v", F.lit(None).cast("long").alias("uid"), F.lit(None).cast("long").alias("end"))
+    line = line.unionByName(requests.select(*_GROUP, "place", F.lit(0).cast("long").alias("v"), "uid", "end"))
+    line = running_sum(line, _GROUP, ["place", F.col("uid").asc_nulls_first()], "v", "over")
+    return line.where("uid is not null and over = 0").select(*_GROUP, "place", "uid", "end")
+
+
+def _chain(free: DataFrame, keep) -> DataFrame:
+    """(uid): the first free request of each key and day, and from each one the first behind its token's end."""
+    own = free.select(*_GROUP, "place", F.lit(1).alias("ask"), "uid")
+    ends = free.where(F.col("end") < _NEVER).select(*_GROUP, F.col("end").alias("place"), F.lit(0).alias("ask"), "uid")
+    # free requests in front: a request's own number, and that of the first one at or behind an end
+    line = running_sum(own.unionByName(ends), _GROUP, ["place", "ask", "uid"], "ask", "n")
+    line = keep(line, "line")
+    nodes = line.where("ask = 1").select(*_GROUP, (F.col("n") - 1).alias("q"), "uid")
+    to = line.where("ask = 0").select("uid", F.col("n").alias("next"))
+    jump = nodes.join(to, "uid").select(*_GROUP, "q", "next")
+    reached = keep(nodes.where("q = 0").select(*_GROUP, "q"), "reached")
+    step = 0
+    while True:
+        jump = keep(jump, f"jump-{step}")
+        more = keep(reached.join(jump, [*_GROUP, "q"]).select(*_GROUP, F.col("next").alias("q"))
+                    .join(nodes.select(*_GROUP, "q"), [*_GROUP, "q"], "left_semi"), f"more-{step}")
+        if more.isEmpty():
+            break
+        reached = reached.unionByName(more)
+        ahead = jump.select(*_GROUP, F.col("q").alias("next"), F.col("next").alias("far"))
+        jump = jump.join(ahead, [*_GROUP, "next"]).select(*_GROUP, "q", F.col("far").alias("next"))
+        step += 1
+    return nodes.join(reached, [*_GROUP, "q"], "left_semi").select("uid")
+
+
+def _taken(accepted: DataFrame, asks: DataFrame) -> DataFrame:
+    """(uid): check-ins of a booking behind the one that checked it in."""
+    order = F.struct("ts", "uid")
+    visits = asks.where("booking is not null").select("uid", "ts", "booking")
+    first = visits.join(accepted, "uid").groupBy("booking").agg(F.min(order).alias("first"))
+    return visits.join(first, "booking").where(order > F.col("first")).select("uid")
+
+
+def _blockers(requests: DataFrame, spans: DataFrame, largest: int) -> DataFrame:
+    """(uid, blocker): for each covered request the first covering token, OPD before lab, then by id.
+
+    A stretch is cut into blocks of 2^k places, at most two of each size; a place looks up the one block of each
+    size that holds it.  So requests and tokens of a busy key meet in equi joins without all pairs.
+    """
+    sizes = max(1, int(largest).bit_length())
+    k = F.explode(F.sequence(F.lit(0), F.lit(sizes))).alias("k")
+    cut = spans.select(*_GROUP, "lab", "token_id", "status", "low", F.least("high", F.lit(1 << sizes)).alias("high"), k)
+    cut = cut.withColumn("l", F.expr("shiftright(low + shiftleft(1L, k) - 1, k)")).withColumn(
+        "r", F.expr("shiftright(high, k)")).where("l < r")
+    at = F.array_compact(F.array(F.when(F.col("l") % 2 == 1, F.col("l")), F.when(F.col("r") % 2 == 1, F.col("r") - 1)))
+    blocks = cut.select(*_GROUP, "k", F.explode(at).alias("block"), F.struct("lab", "token_id", "status").alias("b"))
+    blocks = blocks.groupBy(*_GROUP, "k", "block").agg(F.min("b").alias("b"))
+    asked = requests.select("uid", *_GROUP, "place", k).withColumn("block", F.expr("shiftright(place, k)"))
+    return asked.join(blocks, [*_GROUP, "k", "block"]).groupBy("uid").agg(F.min("b").alias("blocker"))
+
+
+def admit(asks: DataFrame, stored: DataFrame, changes: DataFrame, issued_base: int, keep) -> DataFrame:
+    """(uid, admitted, taken, by_account, blocker_kind, blocker_token_id, blocker_status), one row for each ask.
+
+    ``asks``: uid (unique), kind (opd, lab, checkin), ts, d, patient_id, phone, valid (opens a token if admitted),
+    booking (of a check-in).  ``stored``: lab, token_id, d, patient_id, phone, status.  ``changes``: lab, token_id,
+    ts, id, status, for tokens of both sorts; the token of an ask has the id ``issued_base`` + uid.  A request comes
+    before a change of the same time.  ``keep(df, name)`` writes a table and returns its scan.
+
+    Asks without account and phone are not checked.  ``taken``: the booking was checked in before.
+    """
+    account = F.col("patient_id").isNotNull()
+    asks = keep(asks.withColumn("key", F.when(account, account_key(F.col("patient_id"))).otherwise(
+        phone_key(F.col("phone")))), "asks")
+    requests = number_rows(asks.where("key is not null"), _GROUP, ["ts", "uid"], "place")
+    requests = keep(requests.withColumn("place", F.col("place") - 1).select(*_GROUP, "place", "uid", "ts", "valid"),
+                    "requests")
+    spans = keep(_spans(requests, asks, stored, changes, issued_base, keep), "spans")
+    ends = spans.where("home and first").groupBy("uid").agg(F.min("off").alias("end"))
+    openers = keep(requests.where("valid").join(ends, "uid").select(*_GROUP, "place", "uid", "end"), "openers")
+    unchecked = asks.where("key is null and valid").select("uid")
+    accepted = taken = openers.select("uid").limit(0)
+    turn = 0
+    while True:
+        others = spans.where("uid is not null and not (home and first)").join(accepted, "uid", "left_semi")
+        busy = spans.where("uid is null").unionByName(others.select(*spans.columns))
+        able = openers.join(taken, "uid", "left_anti")
+
+        def here(df: DataFrame, name: str, turn=turn) -> DataFrame:
+            return keep(df, f"{turn}-{name}")
+
+        now = here(_chain(here(_free(able, busy), "free"), here).unionByName(
+            unchecked.join(taken, "uid", "left_anti")), "accepted")
+        changed = now.join(accepted, "uid", "left_anti").limit(1).unionByName(
+            accepted.join(now, "uid", "left_anti").limit(1))
+        if changed.isEmpty():
+            break
+        accepted, turn = now, turn + 1
+        taken = here(_taken(accepted, asks), "taken")
+    covering = spans.where("uid is null").unionByName(
+        spans.where("uid is not null").join(accepted, "uid", "left_semi").select(*spans.columns))
+    largest = requests.agg(F.max("place")).first()[0] or 0
+    refused = requests.join(accepted, "uid", "left_anti").join(taken, "uid", "left_anti")
+    blocked = _blockers(refused, covering, largest)
+    out = asks.select("uid", "kind", account.alias("by_account")).join(
+        accepted.withColumn("admitted", F.lit(True)), "uid", "left").join(
+        taken.withColumn("taken", F.lit(True)), "uid", "left").join(blocked, "uid", "left")
+    no = F.lit(False)
+    return out.select("uid", "kind", F.coalesce("admitted", no).alias("admitted"), F.coalesce("taken", no).alias("taken"),
+                      "by_account", F.when(F.col("blocker").isNotNull(), F.when(F.col("blocker.lab"), "lab").otherwise("opd"))
+                      .alias("blocker_kind"), F.col("blocker.token_id").alias("blocker_token_id"),
+                      F.col("blocker.status").alias("blocker_status"))
+
+
+def refusal_text(kind: str, by_account: Column, blocker_kind: Column, number: Column, status: Column) -> Column:
+    """The endpoint's own words for a refused request (null without a blocker)."""
+    def label(names: dict) -> Column:
+        return F.when(blocker_kind == "opd", F.lit(names["opd"])).otherwise(F.lit(names["lab"]))
+
+    parts = {"kind": label(KIND_LABEL), "place": label(PLACE_LABEL), "token": number,
+             "status": F.concat(F.upper(F.substring(status, 1, 1)), status.substr(F.lit(2), F.length(status)))}
+
+    def fill(template: str) -> Column:
         pieces, rest = [], template
         while "{" in rest:
             head, rest = rest.split("{", 1)
@@ -88,15 +239,5 @@ def refusals(blocked: DataFrame, numbers: DataFrame, kind: str) -> DataFrame:
             pieces += [F.lit(head), parts[name]]
         return F.concat(*pieces, F.lit(rest))
 
-    def label(names: dict) -> F.Column:
-        return F.when(F.col("blocker_kind") == "opd", F.lit(names["opd"])).otherwise(F.lit(names["lab"]))
-
-    named = numbers.select(F.col("kind").alias("blocker_kind"), F.col("token_id").alias("blocker_token_id"),
-                           F.col("token_number").alias("_number"))
-    x = blocked.where(F.col("kind") == kind).join(named, ["blocker_kind", "blocker_token_id"])
-    if kind == "opd":
-        text = fill(OPD_REFUSAL, kind=label(KIND_LABEL), token=F.col("_number"))
-    else:
-        status = F.concat(F.upper(F.substring("blocker_status", 1, 1)), F.expr("substring(blocker_status, 2)"))
-        text = fill(LAB_REFUSAL, token=F.col("_number"), place=label(PLACE_LABEL), status=status)
-    return x.select("req_id", text.alias("_refusal"))
+    return F.when(blocker_kind.isNotNull(), F.when(by_account, fill(REFUSALS[kind, True])).otherwise(
+        fill(REFUSALS[kind, False])))

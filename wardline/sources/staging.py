@@ -79,3 +79,13 @@ def staged_hospital(spark: SparkSession, sf_dir: str) -> StagedHospital:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder name below the shared checkpoint directory."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/wardline-scratch/{label}-{uuid.uuid4().hex}"
+
+
+def written_tables(spark: SparkSession, label: str):
+    """``keep(df, name)``: write a table into a new folder below the shared checkpoint directory and scan it."""
+    root = scratch_path(spark, label)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{root}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+    return keep
