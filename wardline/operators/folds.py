@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from wardline.functions.columns import (LAB_ACTIVE, OPD_MINUTES_PER_PATIENT,
                                         PHARMACY_MINUTES_PER_PATIENT, hms, seq3, sod, upper_key,
                                         wrap_sod)
-from wardline.operators.admission import blocked_requests, refusals
+from wardline.operators.admission import refusal_text
 from wardline.operators.numbering import department_initial, depth_at_arrival
 from wardline.operators.ranking import lag_within, number_rows
 from wardline.operators.requests import ENUMS, reschedule_checks
@@ -377,8 +377,7 @@ def _opd_requests(log: DataFrame, departments: DataFrame, doctors: DataFrame) ->
     r = log.withColumn("_dn", F.upper(F.rtrim(F.coalesce("department", F.lit("")))))
     r = r.join(dep, "_dn", "left").join(doc, "doctor_id", "left")
     dept = F.coalesce(F.col("_dep_by_name"), F.when(F.col("doctor_id") > 0, F.col("_dep_by_doc")))
-    return r.withColumn("department_id", dept).withColumn("valid", dept.isNotNull()) \
-        .withColumn("token_id", (F.col("req_id") + 1).cast("bigint"))
+    return r.withColumn("department_id", dept).withColumn("valid", dept.isNotNull())
 
 
 def _lab_requests(log: DataFrame, lab_tests: DataFrame) -> DataFrame:
@@ -390,56 +389,110 @@ def _lab_requests(log: DataFrame, lab_tests: DataFrame) -> DataFrame:
     r = r.join(tests, "_code", "left")
     reason = F.when(missing, F.lit(MSG_LAB_MISSING)).when(F.col("test_id").isNull(), F.lit(MSG_LAB_TEST))
     # a request with a reason is answered before the admission check
-    return r.withColumn("reason", reason).withColumn("valid", reason.isNull()) \
-        .withColumn("token_id", (F.col("req_id") + 1).cast("bigint"))
+    return r.withColumn("reason", reason).withColumn("valid", reason.isNull())
 
 
-def _numbered_opd(r: DataFrame, blocked: DataFrame) -> DataFrame:
-    ok = r.where("valid").join(blocked.where("kind = 'opd'").select("req_id"), "req_id", "left_anti")
-    ok = number_rows(ok, ["department_id", "d"], ["ts", "req_id"], "sequence")
-    return ok.withColumn("token_number", seq3(department_initial(F.col("department")), "sequence"))
+def admission_asks(opd_log: DataFrame, lab_log: DataFrame, checkin_log: DataFrame, departments: DataFrame,
+                   doctors: DataFrame, lab_tests: DataFrame, bookings: DataFrame) -> DataFrame:
+    """All requests for a token, as ``admission.admit`` takes them.
 
-
-def _numbered_lab(r: DataFrame, blocked: DataFrame) -> DataFrame:
-    ok = r.where("valid").join(blocked.where("kind = 'lab'").select("req_id"), "req_id", "left_anti")
-    ok = number_rows(ok, ["test_id", "d"], ["ts", "req_id"], "sequence")
-    return ok.withColumn("token_number", seq3(F.concat(F.col("_code"), F.lit("-")), "sequence"))
-
-
-def _admitted(opd_log, lab_log, departments, doctors, lab_tests, status_log, lab_status_log):
-    """Requests of both kinds, the blocked ones, and the numbers of the issued tokens."""
-    opd, lab = _opd_requests(opd_log, departments, doctors), _lab_requests(lab_log, lab_tests)
-    ensure_checkpoint_dir(opd.sparkSession)
-    # read by the numbering and the refusals of both kinds; the replay runs once
-    blocked = blocked_requests(opd, lab.where("valid"), status_log, lab_status_log).checkpoint(eager=True)
-    opd_ok, lab_ok = _numbered_opd(opd, blocked), _numbered_lab(lab, blocked)
-    numbers = opd_ok.select(F.lit("opd").alias("kind"), "token_id", "token_number").unionByName(
-        lab_ok.select(F.lit("lab").alias("kind"), "token_id", "token_number"))
-    return opd, lab, opd_ok, lab_ok, blocked, numbers
-
-
-def issue_opd(opd_log: DataFrame, lab_log: DataFrame, departments: DataFrame, doctors: DataFrame,
-              lab_tests: DataFrame, status_log: DataFrame, lab_status_log: DataFrame) -> DataFrame:
+    Lab requests with a reason against them and check-ins without a valid
+    booking are answered before the admission check and are left out.
+    """
+    same = ["ts", "d", "patient_id"]
+    opd = _opd_requests(opd_log, departments, doctors).select(
+        F.col("req_id").alias("uid"), F.lit("opd").alias("kind"), *same, F.col("patient_phone").alias("phone"), "valid",
+        F.lit(None).cast("string").alias("booking"))
+    lab = _lab_requests(lab_log, lab_tests).where("valid").select(
+        F.col("req_id").alias("uid"), F.lit("lab").alias("kind"), *same, F.col("patient_phone").alias("phone"), "valid",
+        F.lit(None).cast("string").alias("booking"))
+    visits = _checkin_requests(checkin_log, bookings, doctors).select(
+        F.col("req_id").alias("uid"), F.lit("checkin").alias("kind"), *same, F.col("patient_phone").alias("phone"),
+        F.lit(True).alias("valid"), F.col("B").alias("booking"))
+    return opd.unionByName(lab).unionByName(visits)
+
+
+def stored_tokens(tokens: DataFrame, lab_tokens: DataFrame) -> DataFrame:
+    """OPD and lab tokens that are there before the log."""
+    opd = tokens.select(F.lit(False).alias("lab"), F.col("id").cast("long").alias("token_id"),
+                        F.col("queue_date").alias("d"), "patient_id", F.col("patient_phone").alias("phone"), "status")
+    lab = lab_tokens.select(F.lit(True).alias("lab"), F.col("token_id").cast("long").alias("token_id"),
+                            F.col("scheduled_date").alias("d"), "patient_id", F.col("patient_phone").alias("phone"),
+                            F.col("token_status").alias("status"))
+    return opd.unionByName(lab)
+
+
+def token_changes(status_log: DataFrame, lab_status_log: DataFrame, issued_log: DataFrame) -> DataFrame:
+    """Status changes of stored and issued tokens of both sorts."""
+    def part(log: DataFrame, lab: bool, status: str) -> DataFrame:
+        return log.select(F.lit(lab).alias("lab"), F.col("token_id").cast("long").alias("token_id"), "ts",
+                          F.col("req_id").alias("id"), F.col(status).alias("status"))
+    return (part(status_log, False, "new_status").unionByName(part(lab_status_log, True, "new_status"))
+            .unionByName(part(issued_log, False, "new_status")).unionByName(part(issued_log, True, "lab_status")))
+
+
+def issued_tokens(admissions: DataFrame, opd_log: DataFrame, lab_log: DataFrame, checkin_log: DataFrame,
+                  departments: DataFrame, doctors: DataFrame, lab_tests: DataFrame, bookings: DataFrame,
+                  tokens: DataFrame, lab_tokens: DataFrame, issued_base: int) -> DataFrame:
+    """Every token that the logs issue, numbered behind the tokens stored for its day: kind, req_id, ts, d, token_id,
+    group_id (department or test), token_number."""
+    ok = admissions.where("admitted").select(F.col("uid").alias("req_id"), "kind")
+    walkin = _opd_requests(opd_log, departments, doctors).where("valid").select(
+        F.lit("opd").alias("kind"), "req_id", "ts", "d", F.col("department_id").alias("group_id"),
+        department_initial(F.col("department")).alias("prefix"), F.lit(None).cast("string").alias("own"))
+    visit = _checkin_requests(checkin_log, bookings, doctors).select(
+        F.lit("checkin").alias("kind"), "req_id", "ts", "d", F.col("department_id").alias("group_id"),
+        F.lit("").alias("prefix"), F.col("booking_id").alias("own"))
+    lab = _lab_requests(lab_log, lab_tests).where("valid").select(
+        F.lit("lab").alias("kind"), "req_id", "ts", "d", F.col("test_id").alias("group_id"),
+        F.concat(F.col("_code"), F.lit("-")).alias("prefix"), F.lit(None).cast("string").alias("own"))
+    new = walkin.unionByName(visit).unionByName(lab).join(ok, ["req_id", "kind"]).withColumn("_lab", F.col("kind") == "lab")
+    day = tokens.select(F.lit(False).alias("_lab"), F.col("department_id").alias("group_id"), F.col("queue_date").alias("d"))
+    day = day.unionByName(lab_tokens.select(F.lit(True).alias("_lab"), F.col("test_id").alias("group_id"),
+                                            F.col("scheduled_date").alias("d")))
+    before = day.groupBy("_lab", "group_id", "d").agg(F.count(F.lit(1)).alias("_before"))
+    new = number_rows(new, ["_lab", "group_id", "d"], ["ts", "req_id"], "_n").join(before, ["_lab", "group_id", "d"], "left")
+    number = F.col("_n") + F.coalesce("_before", F.lit(0))
+    return new.select("kind", "req_id", "ts", "d", (F.lit(issued_base) + F.col("req_id")).alias("token_id"), "group_id",
+                      F.coalesce("own", seq3(F.col("prefix"), number)).alias("token_number"))
+
+
+def _answered(admissions: DataFrame, kind: str, issued: DataFrame, tokens: DataFrame, lab_tokens: DataFrame) -> DataFrame:
+    """req_id, admitted, taken and the refusal's text for the requests of one kind."""
+    numbers = issued.select((F.col("kind") == "lab").alias("_lab"), "token_id", "token_number").unionByName(
+        tokens.select(F.lit(False).alias("_lab"), F.col("id").cast("long").alias("token_id"), "token_number")).unionByName(
+        lab_tokens.select(F.lit(True).alias("_lab"), F.col("token_id").cast("long").alias("token_id"), "token_number"))
+    numbers = numbers.select(F.when(F.col("_lab"), "lab").otherwise("opd").alias("blocker_kind"),
+                             F.col("token_id").alias("blocker_token_id"), F.col("token_number").alias("_number"))
+    x = admissions.where(F.col("kind") == kind).join(numbers, ["blocker_kind", "blocker_token_id"], "left")
+    text = refusal_text(kind, F.col("by_account"), F.col("blocker_kind"), F.col("_number"), F.col("blocker_status"))
+    return x.select(F.col("uid").alias("req_id"), "admitted", "taken", text.alias("_refusal"))
+
+
+def issue_opd(opd_log: DataFrame, departments: DataFrame, doctors: DataFrame, admissions: DataFrame,
+              issued: DataFrame, tokens: DataFrame, lab_tokens: DataFrame, status_log: DataFrame,
+              issued_log: DataFrame) -> DataFrame:
     """Walk-in token issue over a request log.
 
-    A phone with an active token of the day (OPD or lab, from the logs) is
-    refused first; then a request without a department.  Number = initial of
-    the submitted department text ('T' when empty) + per (department, day)
-    sequence; ahead = waiting tokens of the department when issued (status
-    changes from ``status_log``); expected time = request time + 10 min per
-    patient, modulo 24 h.
+    A patient with an active token of the day is refused first; then a request
+    without a department.  Number = initial of the submitted department text
+    ('T' when empty) + sequence of the (department, day), behind its stored
+    tokens; ahead = waiting tokens of the department when issued, stored ones
+    included; expected time = request time + 10 min per patient, modulo 24 h.
     """
-    r, _, ok, _, blocked, numbers = _admitted(opd_log, lab_log, departments, doctors, lab_tests, status_log,
-                                              lab_status_log)
-    depth = depth_at_arrival(ok.select("token_id", "ts", "department_id", "d"), status_log,
-                             ["department_id", "d"], ["waiting"])
-    ok = ok.join(depth.select("token_id", "patients_ahead"), "token_id")
+    arrivals = issued.where("kind <> 'lab'").select("token_id", "ts", F.col("group_id").alias("department_id"), "d", "kind",
+                                                    "req_id", "token_number")
+    stored = tokens.select(F.col("id").cast("long").alias("token_id"), "department_id", F.col("queue_date").alias("d"), "status")
+    updates = status_log.select("token_id", "ts", "req_id", "new_status").unionByName(
+        issued_log.select("token_id", "ts", "req_id", "new_status"))
+    ok = depth_at_arrival(arrivals, updates, ["department_id", "d"], ["waiting"], stored).where("kind = 'opd'")
     exp = wrap_sod(sod("ts") + F.col("patients_ahead") * (OPD_MINUTES_PER_PATIENT * 60))
     acc = ok.select("req_id", F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("reason"),
                     "token_id", "token_number", "department_id", F.col("d").alias("queue_date"),
                     "patients_ahead", hms(exp).alias("expected_time"))
-    x = r.join(refusals(blocked, numbers, "opd"), "req_id", "left")
-    rej = x.where(F.col("_refusal").isNotNull() | ~F.col("valid")).select(
+    r = _opd_requests(opd_log, departments, doctors)
+    x = r.join(_answered(admissions, "opd", issued, tokens, lab_tokens), "req_id").where("not admitted")
+    rej = x.select(
         "req_id", F.lit(False).alias("accepted"),
         F.coalesce(F.col("_refusal"), F.lit(MSG_INVALID_DEPARTMENT)).alias("reason"),
         F.lit(None).cast("bigint").alias("token_id"), F.lit(None).cast("string").alias("token_number"),
@@ -448,16 +501,20 @@ def issue_opd(opd_log: DataFrame, lab_log: DataFrame, departments: DataFrame, do
     return acc.unionByName(rej)
 
 
-def issue_lab(opd_log: DataFrame, lab_log: DataFrame, departments: DataFrame, doctors: DataFrame,
-              lab_tests: DataFrame, status_log: DataFrame, lab_status_log: DataFrame) -> DataFrame:
+def issue_lab(lab_log: DataFrame, lab_tests: DataFrame, admissions: DataFrame, issued: DataFrame, tokens: DataFrame,
+              lab_tokens: DataFrame, lab_status_log: DataFrame, issued_log: DataFrame) -> DataFrame:
     """Lab token issue: required fields, gender normalised, active test by
-    code, one active token per phone and day, number ``{code}-{nnn}`` per (test, day), queue position =
-    active tokens of the test + 1, wait = ahead x slot, fee when amount <= 0."""
-    _, r, _, ok, blocked, numbers = _admitted(opd_log, lab_log, departments, doctors, lab_tests, status_log,
-                                              lab_status_log)
-    depth = depth_at_arrival(ok.select("token_id", "ts", "test_id", "d"), lab_status_log,
-                             ["test_id", "d"], list(LAB_ACTIVE))
-    ok = ok.join(depth.select("token_id", "patients_ahead"), "token_id")
+    code, one active token per patient and day, number ``{code}-{nnn}`` per (test, day) behind its stored
+    tokens, queue position = active tokens of the test + 1, wait = ahead x slot, fee when amount <= 0."""
+    r = _lab_requests(lab_log, lab_tests)
+    arrivals = issued.where("kind = 'lab'").select("token_id", "ts", F.col("group_id").alias("test_id"), "d", "req_id",
+                                                   "token_number")
+    arrivals = arrivals.join(r.select("req_id", "patient_gender", "payment_amount", "fee", "slot_duration"), "req_id")
+    stored = lab_tokens.select(F.col("token_id").cast("long").alias("token_id"), "test_id",
+                               F.col("scheduled_date").alias("d"), F.col("token_status").alias("status"))
+    updates = lab_status_log.select("token_id", "ts", "req_id", "new_status").unionByName(
+        issued_log.select("token_id", "ts", "req_id", F.col("lab_status").alias("new_status")))
+    ok = depth_at_arrival(arrivals, updates, ["test_id", "d"], list(LAB_ACTIVE), stored)
     g = F.lower(F.trim("patient_gender"))
     acc = ok.select(
         "req_id", F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("reason"), "token_id",
@@ -467,8 +524,8 @@ def issue_lab(opd_log: DataFrame, lab_log: DataFrame, departments: DataFrame, do
         .cast("double").alias("payment_amount"),
         (F.col("patients_ahead") + 1).alias("queue_position"),
         (F.col("patients_ahead") * F.col("slot_duration")).alias("wait_time"))
-    x = r.join(refusals(blocked, numbers, "lab"), "req_id", "left")
-    rej = x.where(F.col("_refusal").isNotNull() | ~F.col("valid")).select(
+    x = r.join(_answered(admissions, "lab", issued, tokens, lab_tokens), "req_id", "left")
+    rej = x.where(~F.coalesce("admitted", F.lit(False))).select(
         "req_id", F.lit(False).alias("accepted"), F.coalesce("reason", "_refusal").alias("reason"),
         F.lit(None).cast("bigint").alias("token_id"),
         F.lit(None).cast("string").alias("token_number"), F.lit(None).cast("int").alias("test_id"),
@@ -546,13 +603,24 @@ def dominance_count(df: DataFrame, keys: list[str], order: list[str], value: str
         "req_id", F.coalesce(F.col(out), F.lit(0)).cast("long").alias(out))
 
 
-def checkin_bookings(bookings: DataFrame, tokens: DataFrame, doctors: DataFrame,
-                     log: DataFrame) -> DataFrame:
+def _checkin_requests(log: DataFrame, bookings: DataFrame, doctors: DataFrame) -> DataFrame:
+    """Check-in requests with their valid booking: booked or confirmed, and not dated before the request day."""
+    r = log.select("req_id", "ts", "d", "patient_id", upper_key("booking_id").alias("B"))
+    doc = doctors.select(F.col("id").alias("doctor_id"))
+    b = bookings.where(F.col("status").isin("booked", "confirmed")).join(doc, "doctor_id").select(
+        upper_key("booking_id").alias("B"), "booking_id", "doctor_id", "department_id", "patient_phone",
+        "appointment_date", "appointment_sod", F.col("status").alias("snap_status"))
+    return r.join(b, "B").where(F.col("appointment_date") >= F.col("d"))
+
+
+def checkin_bookings(bookings: DataFrame, tokens: DataFrame, doctors: DataFrame, log: DataFrame,
+                     admissions: DataFrame, issued: DataFrame, lab_tokens: DataFrame) -> DataFrame:
     """T4: check-in of pre-booked appointments over a request log.
 
     A request succeeds for a booking that is booked or confirmed and not
-    dated before the request day; the first such request per booking wins
-    (it turns the booking ``checked_in``).  The new token takes the booking
+    dated before the request day, if the patient (account, else the booking's
+    phone) has no active token of the day; the first such request per booking
+    turns it ``checked_in`` and later ones find it invalid.  The new token takes the booking
     id as number and the appointment time as expected time.  Patients ahead
     = the snapshot count (active pre-booked tokens of the doctor that day
     with an earlier time + booked bookings that day with an earlier slot)
@@ -561,22 +629,16 @@ def checkin_bookings(bookings: DataFrame, tokens: DataFrame, doctors: DataFrame,
     count.  That last term is a 2-D dominance count per (doctor, day),
     computed by ``dominance_count`` over the accepted check-ins only.
     """
-    r = log.select("req_id", "ts", "d", upper_key("booking_id").alias("B"))
-    doc = doctors.select(F.col("id").alias("doctor_id"))
-    b = bookings.where(F.col("status").isin("booked", "confirmed")).join(doc, "doctor_id").select(
-        upper_key("booking_id").alias("B"), "booking_id", "doctor_id", "department_id",
-        "appointment_date", "appointment_sod", F.col("status").alias("snap_status"))
-    v = r.join(b, "B").where(F.col("appointment_date") >= F.col("d"))
-    first = v.groupBy("B").agg(F.min(_order()).alias("_first"))
-    acc = v.join(first, "B").where(_order() == F.col("_first")).drop("_first")
+    from wardline.operators.lookups import count_before
+    from wardline.functions.columns import OPD_ACTIVE, starts_pb
+    answered = _answered(admissions, "checkin", issued, tokens, lab_tokens)
     # The accepted check-ins (one row per booking, small) feed four branches
     # below; a reliable checkpoint stops each branch from re-joining the log
     # with the booking table.
-    ensure_checkpoint_dir(acc.sparkSession)
-    acc = acc.checkpoint(eager=True)
+    ensure_checkpoint_dir(log.sparkSession)
+    acc = _checkin_requests(log, bookings, doctors).join(
+        answered.where("admitted").select("req_id"), "req_id", "left_semi").checkpoint(eager=True)
     # Snapshot count (A8 rule on the request day).
-    from wardline.operators.lookups import count_before
-    from wardline.functions.columns import OPD_ACTIVE, starts_pb
     probes = acc.select(F.col("req_id").alias("_pid"), "doctor_id", F.col("d").alias("queue_date"),
                         F.col("appointment_sod").alias("_t"))
     tok = tokens.where(F.col("status").isin(*OPD_ACTIVE)
@@ -595,8 +657,10 @@ def checkin_bookings(bookings: DataFrame, tokens: DataFrame, doctors: DataFrame,
                   F.col("booking_id").alias("token_number"), "doctor_id", "department_id",
                   F.col("d").alias("queue_date"), hms("appointment_sod").alias("expected_time"),
                   ahead.alias("patients_ahead"), (ahead * OPD_MINUTES_PER_PATIENT).alias("wait_time"))
-    rej = r.join(acc.select("req_id"), "req_id", "left_anti").select(
-        "req_id", "B", F.lit(False).alias("accepted"), F.lit(MSG_INVALID_BOOKING).alias("reason"),
+    r = log.select("req_id", "d", upper_key("booking_id").alias("B")).join(answered, "req_id", "left")
+    rej = r.where(~F.coalesce("admitted", F.lit(False))).select(
+        "req_id", "B", F.lit(False).alias("accepted"),
+        F.coalesce(F.when(~F.col("taken"), F.col("_refusal")), F.lit(MSG_INVALID_BOOKING)).alias("reason"),
         F.lit(None).cast("string").alias("token_number"), F.lit(None).cast("int").alias("doctor_id"),
         F.lit(None).cast("int").alias("department_id"), F.col("d").alias("queue_date"),
         F.lit(None).cast("string").alias("expected_time"), F.lit(None).cast("long").alias("patients_ahead"),

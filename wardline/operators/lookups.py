@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions.columns import (LAB_ACTIVE, OPD_ACTIVE, OPD_MINUTES_PER_PATIENT, hms,
                                         starts_pb, upper_key, wrap_sod)
+from wardline.operators.admission import refusal_text
 from wardline.operators.ranking import running_sum
 
 # Fixed texts of the application (admission refusals, status reason).
@@ -247,25 +248,34 @@ def lab_booking_ahead(lab_bookings: DataFrame, lab_tokens: DataFrame, lab_tests:
 
 
 def verify_lab_bookings(requests: DataFrame, lab_bookings: DataFrame, lab_tokens: DataFrame,
-                        lab_tests: DataFrame) -> DataFrame:
-    """J7 + A9: lab booking by code for each request, found or refused; ahead counted on the
-    request day (the reference counts today's queue even for later dates)."""
+                        lab_tests: DataFrame, active: DataFrame) -> DataFrame:
+    """J7 + A9: lab booking by code for each request: found, or the message against it.
+
+    A patient (account, else the booking's phone) with an active token of the request day is refused, as at
+    check-in.  Ahead is counted on the request day (the reference counts today's queue even for later dates).
+    """
     tests = lab_tests.select("test_id", "test_code", "test_name", "duration_minutes")
     b = lab_bookings.where(F.col("booking_status").isin(*LAB_VALID_BOOKING)).join(tests, "test_id")
-    r = requests.select("req_id", "d", upper_key("lab_code").alias("_code"))
+    r = requests.select("req_id", "d", "patient_id", upper_key("lab_code").alias("_code"))
     x = r.join(b, (r._code == b.booking_code) & (b.appointment_date >= r.d))
-    probes = x.select(F.col("req_id").alias("_pid"), "test_id", F.col("d").alias("queue_date"),
-                      F.col("appointment_sod").alias("_t"))
+    found = active_token_lookup(x.select("req_id", "d", "patient_id", "patient_phone"), active).where("found")
+    kind = F.when(F.col("token_type") == "opd", F.lit("opd")).otherwise(F.lit("lab"))
+    refused = found.select("req_id", refusal_text("checkin", F.col("key_kind") == "patient_id", kind,
+                                                  F.col("token_number"), F.col("token_status")).alias("_refusal"))
+    x = x.join(refused, "req_id", "left")
+    probes = x.where("_refusal is null").select(
+        F.col("req_id").alias("_pid"), "test_id", F.col("d").alias("queue_date"), F.col("appointment_sod").alias("_t"))
     ahead = _lab_ahead(probes, lab_tokens, lab_bookings)
-    v = x.join(ahead, x.req_id == ahead._pid)
+    v = x.join(ahead, x.req_id == ahead._pid, "left")
     wait = F.col("people_ahead") * F.col("duration_minutes")
-    found = v.select("req_id", F.col("booking_code").alias("booking_id"), "test_id", "test_code",
-                     "test_name", "patient_name", "patient_phone", "appointment_date",
-                     hms("appointment_sod").alias("scheduled_time"),
-                     hms(wrap_sod(F.col("appointment_sod") + wait * 60)).alias("expected_time"),
-                     "booking_status", "people_ahead", wait.alias("wait_time"),
-                     (F.col("people_ahead") + 1).alias("position"))
-    is_found = F.col("booking_id").isNotNull()
-    return requests.select("req_id").join(found, "req_id", "left") \
-        .withColumn("found", is_found) \
-        .withColumn("message", F.when(~is_found, F.lit(LAB_BOOKING_NOT_FOUND)))
+    shown = [F.col("booking_code").alias("booking_id"), F.col("test_id"), F.col("test_code"), F.col("test_name"),
+             F.col("patient_name"), F.col("patient_phone"), F.col("appointment_date"),
+             hms("appointment_sod").alias("scheduled_time"),
+             hms(wrap_sod(F.col("appointment_sod") + wait * 60)).alias("expected_time"), F.col("booking_status"),
+             F.col("people_ahead"), wait.alias("wait_time"), (F.col("people_ahead") + 1).alias("position")]
+    answer = F.when(F.col("_refusal").isNull(), F.struct(*shown))
+    v = v.select("req_id", "_refusal", answer.alias("_a"))
+    out = requests.select("req_id").join(v, "req_id", "left")
+    is_found = F.col("_a").isNotNull()
+    return out.select("req_id", "_a.*", is_found.alias("found"), F.when(
+        ~is_found, F.coalesce("_refusal", F.lit(LAB_BOOKING_NOT_FOUND))).alias("message"))

@@ -37,16 +37,20 @@ def department_initial(name: F.Column) -> F.Column:
 
 
 def depth_at_arrival(arrivals: DataFrame, updates: DataFrame, group: Sequence[str],
-                     active: Sequence[str]) -> DataFrame:
+                     active: Sequence[str], stored: DataFrame | None = None) -> DataFrame:
     """Active tokens of the same group present when each token arrived.
 
-    ``arrivals``: token_id, ts, group columns (token starts active).
-    ``updates``: req_id, token_id, ts, new_status (requests for unknown
-    tokens are ignored, as the reference's UPDATE matches nothing).
-    Returns token_id, ts, group columns, ``patients_ahead``.
+    ``arrivals``: token_id, ts, group columns (token starts active); further
+    columns are passed through.  ``updates``: req_id, token_id, ts, new_status
+    (requests for unknown tokens are ignored, as the reference's UPDATE
+    matches nothing).  ``stored``: token_id, group columns and status of
+    tokens that are there before any arrival.  Returns the columns of
+    ``arrivals`` and ``patients_ahead``.
     """
+    before = None if stored is None else stored.select(
+        "token_id", *group, F.col("status").isin(*active).cast("int").alias("_act"))
     return _depth(arrivals, updates.withColumn("_act", F.col("new_status").isin(*active).cast("int")),
-                  list(group), ["token_id"])
+                  list(group), ["token_id"], before)
 
 
 def depth_of_kinds(arrivals: DataFrame, updates: DataFrame, active: dict[str, Sequence[str]]) -> DataFrame:
@@ -59,17 +63,25 @@ def depth_of_kinds(arrivals: DataFrame, updates: DataFrame, active: dict[str, Se
                   ["kind", "group_id", "queue_date"], ["kind", "token_id"])
 
 
-def _depth(arrivals: DataFrame, updates: DataFrame, group: list[str], token: list[str]) -> DataFrame:
+def _depth(arrivals: DataFrame, updates: DataFrame, group: list[str], token: list[str],
+           stored: DataFrame | None = None) -> DataFrame:
     cols = list(dict.fromkeys([*token, "ts", *group]))
+    carried = [c for c in arrivals.columns if c not in cols]
     a = arrivals.select(*cols, F.lit(0).alias("_kind"), F.col("token_id").cast("long").alias("_seq"),
-                        F.lit(1).alias("_act"))
+                        F.lit(1).alias("_act"), F.struct(F.lit(0), *carried).alias("_carried"))
+    blank = F.lit(None).cast(a.schema["_carried"].dataType).alias("_carried")
     known = arrivals.select(*dict.fromkeys([*token, *group]))
+    if stored is not None:
+        first = F.to_timestamp_ntz(F.lit("1900-01-01 00:00:00")).alias("ts")
+        old = stored.select(*token, first, *group, F.lit(-1).alias("_kind"), F.col("token_id").cast("long").alias("_seq"),
+                            "_act", blank).select(*a.columns)
+        known, a = known.unionByName(stored.select(*known.columns)), a.unionByName(old)
     u = updates.select(*token, "ts", F.col("req_id").cast("long").alias("_seq"), "_act").join(known, token).select(
-        *cols, F.lit(1).alias("_kind"), "_seq", "_act")
+        *cols, F.lit(1).alias("_kind"), "_seq", "_act", blank)
     ev = a.unionByName(u)
     # Previous flag of the same token (skew-safe lag over the token's events).
     ev = lag_within(ev, token, ["ts", "_kind", "_seq"], "_act", "_prev_act")
     ev = ev.withColumn("_delta", F.col("_act") - F.coalesce(F.col("_prev_act"), F.lit(0)))
     summed = running_sum(ev, group, ["ts", "_kind", "_seq"], "_delta", "_running")
     return summed.where(F.col("_kind") == 0).select(
-        *cols, (F.col("_running") - F.col("_delta")).alias("patients_ahead"))
+        *cols, *[F.col(f"_carried.{c}") for c in carried], (F.col("_running") - F.col("_delta")).alias("patients_ahead"))

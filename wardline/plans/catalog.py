@@ -321,7 +321,7 @@ def q_verify_bookings(spark, sf_dir):
 def q_verify_lab_bookings(spark, sf_dir):
     h = _h(spark, sf_dir)
     return portable(lookups.verify_lab_bookings(h.lookup_log, h.prebooked_lab_appointments,
-                                                h.lab_tokens, h.lab_tests))
+                                                h.lab_tokens, h.lab_tests, _active(h)))
 
 
 @register("booking_ahead")
@@ -609,18 +609,18 @@ def q_break_state(spark, sf_dir):
     return portable(folds.break_state(h.break_log))
 
 
-def _issue_inputs(h):
-    return (h.opd_issue_log, h.lab_issue_log, h.departments, h.doctors, h.lab_tests, h.status_log, h.lab_status_log)
-
-
 @register("issue_opd")
 def q_issue_opd(spark, sf_dir):
-    return portable(folds.issue_opd(*_issue_inputs(_h(spark, sf_dir))))
+    h = _h(spark, sf_dir)
+    return portable(folds.issue_opd(h.opd_issue_log, h.departments, h.doctors, h.admissions, h.issued, h.tokens,
+                                    h.lab_tokens, h.status_log, h.issued_log))
 
 
 @register("issue_lab")
 def q_issue_lab(spark, sf_dir):
-    return portable(folds.issue_lab(*_issue_inputs(_h(spark, sf_dir))))
+    h = _h(spark, sf_dir)
+    return portable(folds.issue_lab(h.lab_issue_log, h.lab_tests, h.admissions, h.issued, h.tokens, h.lab_tokens,
+                                    h.lab_status_log, h.issued_log))
 
 
 @register("issue_pharmacy")
@@ -632,7 +632,8 @@ def q_issue_pharmacy(spark, sf_dir):
 @register("checkin_bookings")
 def q_checkin_bookings(spark, sf_dir):
     h = _h(spark, sf_dir)
-    return portable(folds.checkin_bookings(h.prebooked_appointments, h.tokens, h.doctors, h.checkin_log))
+    return portable(folds.checkin_bookings(h.prebooked_appointments, h.tokens, h.doctors, h.checkin_log,
+                                           h.admissions, h.issued, h.lab_tokens))
 
 
 # -- streaming operators (batch twins) --------------------------------------------------

@@ -776,21 +776,36 @@ FROM a
 
 SQL["verify_lab_bookings"] = ADAPTER + f""",
 x AS (
-  SELECT r.req_id, r.d, p.*, t.test_code, t.test_name, t.duration_minutes
+  SELECT r.req_id, r.d, r.patient_id AS who, p.*, t.test_code, t.test_name, t.duration_minutes
   FROM lookup_log r JOIN prebooked_lab_appointments p
     ON p.booking_code = upper(trim(r.lab_code)) AND p.appointment_date >= r.d
    AND p.booking_status IN ('booked', 'checked_in', 'in_progress')
   JOIN lab_tests t ON p.test_id = t.test_id),
-a AS (SELECT x.*, {_LAB_AHEAD.format(v='x', day='x.d')} AS ahead FROM x)
+now_active AS (
+  SELECT 'OPD consultation' AS name, 0 AS lab, id, token_number, patient_id, patient_phone, queue_date
+  FROM tokens WHERE status IN ('waiting', 'consulting')
+  UNION ALL SELECT 'Lab test', 1, token_id, token_number, patient_id, patient_phone, scheduled_date
+  FROM lab_tokens WHERE token_status IN ('waiting', 'in_progress')),
+hit AS (
+  SELECT x.req_id, x.who, n.name, n.token_number,
+         row_number() OVER (PARTITION BY x.req_id ORDER BY n.lab, n.id) AS k
+  FROM x JOIN now_active n ON n.queue_date = x.d
+   AND CASE WHEN x.who IS NOT NULL THEN n.patient_id = x.who ELSE n.patient_phone = x.patient_phone END),
+a AS (SELECT x.*, {_LAB_AHEAD.format(v='x', day='x.d')} AS ahead FROM x
+      WHERE x.req_id NOT IN (SELECT req_id FROM hit))
 SELECT CAST(q.req_id AS BIGINT) AS req_id, booking_code AS booking_id, CAST(test_id AS BIGINT) AS test_id, test_code,
        test_name, a.patient_name, a.patient_phone, CAST(appointment_date AS VARCHAR) AS appointment_date,
        {_hms('appointment_sod')} AS scheduled_time,
        {_hms('((appointment_sod + ahead * duration_minutes * 60) % 86400)')} AS expected_time,
        booking_status, CAST(ahead AS BIGINT) AS people_ahead, CAST(ahead * duration_minutes AS BIGINT) AS wait_time,
        CAST(ahead + 1 AS BIGINT) AS position, a.req_id IS NOT NULL AS found,
-       CASE WHEN a.req_id IS NULL
+       CASE WHEN h.req_id IS NOT NULL THEN concat('You already have an active ', h.name, ' token (', h.token_number,
+              CASE WHEN h.who IS NOT NULL THEN ') from your account. Only one token per account is allowed. '
+                   ELSE '). You can only have one token at a time. ' END,
+              'Please complete, cancel, or wait for it to expire before checking in.')
+            WHEN a.req_id IS NULL
             THEN 'Booking not found or already completed. Please check your Lab Booking ID.' END AS message
-FROM lookup_log q LEFT JOIN a ON a.req_id = q.req_id
+FROM lookup_log q LEFT JOIN a ON a.req_id = q.req_id LEFT JOIN hit h ON h.req_id = q.req_id AND h.k = 1
 """
 
 
@@ -1246,6 +1261,7 @@ FROM st LEFT JOIN en ON en.doctor_id = st.doctor_id AND en.break_date = st.break
 """
 
 # Admission: all requests and status changes of a (phone, day) one after the other.
+# All events of a day in order, one step each: the tokens held so far (stored ones first) decide the next request.
 _ADMISSION = """,
 ra AS (SELECT l.*,
               (SELECT dp.id FROM departments dp WHERE upper(rtrim(dp.name)) = upper(rtrim(COALESCE(l.department, ''))))
@@ -1259,87 +1275,153 @@ j AS (SELECT l.*, upper(trim(l.test_code)) AS code, t.test_id, t.fee, t.slot_dur
                     THEN 'Missing required fields: test_code, patient_name, patient_age, patient_phone'
                   WHEN t.test_id IS NULL THEN 'Invalid test code or test not available' END AS reason
       FROM lab_issue_log l LEFT JOIN lab_tests t ON t.test_code = upper(trim(l.test_code))),
+v AS (SELECT r.req_id, r.ts, r.d, r.patient_id, upper(trim(r.booking_id)) AS B, p.booking_id, p.doctor_id,
+             p.department_id, p.patient_phone, p.appointment_date, p.appointment_sod, p.status AS snap_status
+      FROM checkin_log r JOIN prebooked_appointments p ON upper(trim(p.booking_id)) = upper(trim(r.booking_id))
+       AND p.status IN ('booked', 'confirmed') AND p.appointment_date >= r.d
+      JOIN doctors dr ON dr.id = p.doctor_id),
 ask AS (
-  SELECT 0 AS lab, req_id, ts, d, patient_phone AS phone, department_id IS NOT NULL AS valid FROM a
-  WHERE COALESCE(patient_phone, '') <> ''
+  SELECT 'opd' AS kind, req_id, ts, d, patient_id, patient_phone AS phone, department_id IS NOT NULL AS valid, '' AS B FROM a
+  UNION ALL SELECT 'lab', req_id, ts, d, patient_id, patient_phone, TRUE, '' FROM j WHERE reason IS NULL
+  UNION ALL SELECT 'checkin', req_id, ts, d, patient_id, patient_phone, TRUE, B FROM v),
+kept AS (
+  SELECT queue_date AS d, list({'lab': 0, 'token': id, 'who': COALESCE(patient_id, -1), 'phone': patient_phone,
+                                'status': status} ORDER BY id) AS held FROM tokens GROUP BY queue_date),
+kept_lab AS (
+  SELECT scheduled_date AS d, list({'lab': 1, 'token': token_id, 'who': COALESCE(patient_id, -1),
+                                    'phone': patient_phone, 'status': token_status} ORDER BY token_id) AS held
+  FROM lab_tokens GROUP BY scheduled_date),
+moves AS (
+  SELECT u.ts, u.req_id, 0 AS lab, u.token_id, u.new_status AS status, t.queue_date AS d
+  FROM status_log u JOIN tokens t ON t.id = u.token_id
   UNION ALL
-  SELECT 1, req_id, ts, d, patient_phone, TRUE FROM j WHERE reason IS NULL AND COALESCE(patient_phone, '') <> ''),
-evt AS (
-  SELECT phone, d, ts, 0 AS step, req_id, lab, req_id + 1 AS token, valid, 'waiting' AS status FROM ask
+  SELECT u.ts, u.req_id, 1, u.token_id, u.new_status, t.scheduled_date
+  FROM lab_status_log u JOIN lab_tokens t ON t.token_id = u.token_id
   UNION ALL
-  SELECT k.phone, k.d, u.ts, 1, u.req_id, 0, u.token_id, FALSE, u.new_status
-  FROM status_log u JOIN ask k ON k.lab = 0 AND k.valid AND k.req_id + 1 = u.token_id
+  SELECT u.ts, u.req_id, CASE WHEN k.kind = 'lab' THEN 1 ELSE 0 END, u.token_id,
+         CASE WHEN k.kind = 'lab' THEN u.lab_status ELSE u.new_status END, k.d
+  FROM issued_log u JOIN ask k ON 1000000000000 + k.req_id = u.token_id),
+evt AS (
+  SELECT d, ts, 0 AS step, req_id, kind, CASE WHEN kind = 'lab' THEN 1 ELSE 0 END AS lab,
+         1000000000000 + req_id AS token, COALESCE(patient_id, -1) AS who, COALESCE(phone, '') AS phone, valid,
+         'waiting' AS status, B FROM ask
   UNION ALL
-  SELECT k.phone, k.d, u.ts, 1, u.req_id, 1, u.token_id, FALSE, u.new_status
-  FROM lab_status_log u JOIN ask k ON k.lab = 1 AND k.req_id + 1 = u.token_id),
-o AS (SELECT *, row_number() OVER (PARTITION BY phone, d ORDER BY ts, step, req_id) AS i FROM evt),
+  SELECT d, ts, 1, req_id, '', lab, token_id, -1, '', FALSE, status, '' FROM moves),
+o AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY ts, step, req_id) AS i FROM evt),
 walk AS (
-  SELECT phone, d, 0 AS i, [{'lab': 0, 'token': CAST(0 AS BIGINT), 'status': ''}] AS held,
-         CAST(NULL AS STRUCT(lab INTEGER, token BIGINT, status VARCHAR)) AS blocker,
-         CAST(NULL AS BIGINT) AS req_id, 0 AS lab, 1 AS step
-  FROM (SELECT DISTINCT phone, d FROM o)
+  SELECT q.d, 0 AS i, list_concat(COALESCE(k.held, []), COALESCE(l.held, [])) AS held, [''] AS done,
+         CAST(NULL AS STRUCT(lab INTEGER, token BIGINT, who BIGINT, phone VARCHAR, status VARCHAR)) AS blocker,
+         '' AS answer, '' AS kind, CAST(NULL AS BIGINT) AS req_id
+  FROM (SELECT DISTINCT d FROM o) q LEFT JOIN kept k ON k.d = q.d LEFT JOIN kept_lab l ON l.d = q.d
   UNION ALL
-  SELECT w.phone, w.d, w.i + 1,
-         CASE WHEN o.step = 1 THEN list_transform(w.held, lambda x: CASE WHEN x.lab = o.lab AND x.token = o.token
-                THEN {'lab': x.lab, 'token': x.token, 'status': o.status} ELSE x END)
-              WHEN o.valid AND len(list_filter(w.held, lambda x: x.status = 'waiting'
-                     OR x.status = CASE WHEN x.lab = 0 THEN 'consulting' ELSE 'in_progress' END)) = 0
-                THEN list_append(w.held, {'lab': o.lab, 'token': CAST(o.token AS BIGINT), 'status': o.status})
-              ELSE w.held END,
-         list_min(list_filter(w.held, lambda x: x.status = 'waiting'
-                     OR x.status = CASE WHEN x.lab = 0 THEN 'consulting' ELSE 'in_progress' END)),
-         CAST(o.req_id AS BIGINT), o.lab, o.step
-  FROM walk w JOIN o ON o.phone = w.phone AND o.d = w.d AND o.i = w.i + 1),
-blocked AS (SELECT lab, req_id, blocker FROM walk WHERE step = 0 AND blocker IS NOT NULL),
-ok_opd AS (SELECT *, req_id + 1 AS token_id, row_number() OVER (PARTITION BY department_id, d ORDER BY ts, req_id) AS seq
-       FROM a WHERE department_id IS NOT NULL AND req_id NOT IN (SELECT req_id FROM blocked WHERE lab = 0)),
-ok_lab AS (SELECT *, req_id + 1 AS token_id, row_number() OVER (PARTITION BY test_id, d ORDER BY ts, req_id) AS seq
-       FROM j WHERE reason IS NULL AND req_id NOT IN (SELECT req_id FROM blocked WHERE lab = 1)),
+  SELECT d, i,
+         CASE WHEN step = 1 THEN list_transform(held, lambda x: CASE WHEN x.lab = e_lab AND x.token = e_token
+                THEN {'lab': x.lab, 'token': x.token, 'who': x.who, 'phone': x.phone, 'status': e_status} ELSE x END)
+              WHEN answer = 'admitted' THEN list_append(held, {'lab': e_lab, 'token': e_token, 'who': e_who,
+                'phone': e_phone, 'status': e_status})
+              ELSE held END,
+         CASE WHEN answer = 'admitted' AND e_b <> '' THEN list_append(done, e_b) ELSE done END,
+         blocker, answer, kind, req_id
+  FROM (SELECT *, CASE WHEN step = 1 THEN '' WHEN e_b <> '' AND list_contains(done, e_b) THEN 'taken'
+                       WHEN blocker IS NOT NULL THEN 'refused' WHEN valid THEN 'admitted' ELSE 'invalid' END AS answer
+        FROM (SELECT w.d, w.i + 1 AS i, w.held, w.done, o.step, o.kind, CAST(o.req_id AS BIGINT) AS req_id, o.valid,
+                     CAST(o.lab AS INTEGER) AS e_lab, CAST(o.token AS BIGINT) AS e_token, CAST(o.who AS BIGINT) AS e_who,
+                     o.phone AS e_phone, o.status AS e_status, o.B AS e_b,
+                     CASE WHEN o.step = 0 THEN list_min(list_filter(w.held, lambda x:
+                       (x.status = 'waiting' OR x.status = CASE WHEN x.lab = 0 THEN 'consulting' ELSE 'in_progress' END)
+                       AND CASE WHEN o.who >= 0 THEN x.who = o.who ELSE o.phone <> '' AND x.phone = o.phone END)) END
+                       AS blocker
+              FROM walk w JOIN o ON o.d = w.d AND o.i = w.i + 1))),
+answers AS MATERIALIZED (SELECT kind, req_id, answer, blocker FROM walk WHERE kind <> ''),
+issued AS (
+  SELECT *, row_number() OVER (PARTITION BY lab, grp, d ORDER BY ts, req_id)
+            + CASE WHEN lab = 0 THEN (SELECT count(*) FROM tokens t WHERE t.department_id = grp AND t.queue_date = d)
+                   ELSE (SELECT count(*) FROM lab_tokens t WHERE t.test_id = grp AND t.scheduled_date = d) END AS seq
+  FROM (
+    SELECT 0 AS lab, 'opd' AS kind, a.req_id, a.ts, a.d, a.department_id AS grp, @INITIAL AS prefix, '' AS own
+    FROM a JOIN answers s ON s.kind = 'opd' AND s.req_id = a.req_id AND s.answer = 'admitted'
+    UNION ALL
+    SELECT 0, 'checkin', v.req_id, v.ts, v.d, v.department_id, '', v.booking_id
+    FROM v JOIN answers s ON s.kind = 'checkin' AND s.req_id = v.req_id AND s.answer = 'admitted'
+    UNION ALL
+    SELECT 1, 'lab', j.req_id, j.ts, j.d, j.test_id, concat(j.code, '-'), ''
+    FROM j JOIN answers s ON s.kind = 'lab' AND s.req_id = j.req_id AND s.answer = 'admitted')),
+named AS (
+  SELECT *, 1000000000000 + req_id AS token_id,
+         CASE WHEN own <> '' THEN own ELSE concat(prefix, printf('%03d', seq)) END AS token_number FROM issued),
 numbers AS (
-  SELECT 0 AS lab, token_id, concat(@INITIAL, printf('%03d', seq)) AS number FROM ok_opd
-  UNION ALL SELECT 1, token_id, concat(code, '-', printf('%03d', seq)) FROM ok_lab),
+  SELECT lab, token_id, token_number FROM named UNION ALL SELECT 0, id, token_number FROM tokens
+  UNION ALL SELECT 1, token_id, token_number FROM lab_tokens),
 said AS (
-  SELECT b.lab, b.req_id,
-         CASE WHEN b.lab = 0
-              THEN concat('You already have an active ',
-                          CASE WHEN b.blocker.lab = 0 THEN 'OPD consultation' ELSE 'Lab test' END, ' token (', n.number,
-                          '). You can only have one token at a time. Please complete, cancel, or wait for it to expire.')
-              ELSE concat('You already have an active token (', n.number, ') in ',
-                          CASE WHEN b.blocker.lab = 0 THEN 'OPD' ELSE 'Lab' END, '. Status: ',
-                          upper(b.blocker.status[1]), b.blocker.status[2:],
-                          '. Please complete, cancel, or wait for it to expire.') END AS refusal
-  FROM blocked b JOIN numbers n ON n.lab = b.blocker.lab AND n.token_id = b.blocker.token)""".replace(
-    "@INITIAL", _initial("department"))
+  SELECT s.kind, s.req_id, s.answer,
+         concat('You already have an active ',
+           CASE WHEN s.kind = 'lab' THEN concat('token (', n.token_number, ')',
+                  CASE WHEN k.patient_id IS NOT NULL THEN ' from your account' ELSE '' END, ' in ',
+                  CASE WHEN n.lab = 0 THEN 'OPD' ELSE 'Lab' END, '. ',
+                  CASE WHEN k.patient_id IS NOT NULL THEN 'Only one token per account is allowed. '
+                       ELSE concat('Status: ', upper(s.blocker.status[1]), s.blocker.status[2:], '. ') END)
+                ELSE concat(CASE WHEN n.lab = 0 THEN 'OPD consultation' ELSE 'Lab test' END, ' token (', n.token_number,
+                  CASE WHEN k.patient_id IS NOT NULL THEN ') from your account. Only one token per account is allowed. '
+                       ELSE '). You can only have one token at a time. ' END) END,
+           'Please complete, cancel, or wait for it to expire',
+           CASE WHEN s.kind = 'checkin' THEN ' before checking in.' ELSE '.' END) AS refusal
+  FROM answers s JOIN ask k ON k.kind = s.kind AND k.req_id = s.req_id
+  JOIN numbers n ON n.lab = s.blocker.lab AND n.token_id = s.blocker.token
+  WHERE s.answer = 'refused')""".replace("@INITIAL", _initial("a.department"))
+
+
+def _depth_with_stored(lab: int, stored: str, updates: str, active: str) -> str:
+    """CTE ``ahead``: active tokens of the group when each issued token arrives; stored ones are there from the start."""
+    return f""",
+line AS (
+  SELECT token_id, grp, d, ts, 0 AS k, token_id AS s, 1 AS act FROM named WHERE lab = {lab}
+  UNION ALL SELECT token_id, grp, d, TIMESTAMP '1900-01-01', -1, token_id, CASE WHEN status IN ({active}) THEN 1 ELSE 0 END
+  FROM ({stored})
+  UNION ALL SELECT u.token_id, t.grp, t.d, u.ts, 1, u.req_id, CASE WHEN u.status IN ({active}) THEN 1 ELSE 0 END
+  FROM ({updates}) u JOIN (SELECT token_id, grp, d FROM named WHERE lab = {lab} UNION ALL SELECT token_id, grp, d
+                           FROM ({stored})) t ON t.token_id = u.token_id),
+steps AS (SELECT *, act - COALESCE(lag(act) OVER (PARTITION BY token_id ORDER BY ts, k, s), 0) AS delta FROM line),
+ahead AS (
+  SELECT token_id, COALESCE(sum(delta) OVER (PARTITION BY grp, d ORDER BY ts, k, s
+                                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+  FROM steps WHERE TRUE QUALIFY k = 0)"""
+
+
 _RECURSIVE_ADAPTER = ADAPTER.replace("WITH ", "WITH RECURSIVE ", 1)
 
-SQL["issue_opd"] = _RECURSIVE_ADAPTER + _ADMISSION + _depth("ok_opd", "status_log", "department_id, d", "'waiting'") + f"""
-SELECT CAST(ok.req_id AS BIGINT) AS req_id, TRUE AS accepted, CAST(NULL AS VARCHAR) AS reason,
-       CAST(ok.token_id AS BIGINT) AS token_id, concat({_initial('ok.department')}, printf('%03d', ok.seq)) AS token_number,
-       CAST(ok.department_id AS BIGINT) AS department_id, CAST(ok.d AS VARCHAR) AS queue_date,
-       CAST(dp.ahead AS BIGINT) AS patients_ahead, {_hms(f"(({_sod('ok.ts')} + dp.ahead * 600) % 86400)")} AS expected_time
-FROM ok_opd ok JOIN dp_ok_opd dp ON dp.token_id = ok.token_id
+SQL["issue_opd"] = _RECURSIVE_ADAPTER + _ADMISSION + _depth_with_stored(
+    0, "SELECT id AS token_id, department_id AS grp, queue_date AS d, status FROM tokens",
+    "SELECT token_id, ts, req_id, new_status AS status FROM status_log "
+    "UNION ALL SELECT token_id, ts, req_id, new_status FROM issued_log", "'waiting'") + f"""
+SELECT CAST(n.req_id AS BIGINT) AS req_id, TRUE AS accepted, CAST(NULL AS VARCHAR) AS reason,
+       CAST(n.token_id AS BIGINT) AS token_id, n.token_number,
+       CAST(n.grp AS BIGINT) AS department_id, CAST(n.d AS VARCHAR) AS queue_date,
+       CAST(h.ahead AS BIGINT) AS patients_ahead, {_hms(f"(({_sod('n.ts')} + h.ahead * 600) % 86400)")} AS expected_time
+FROM named n JOIN ahead h ON h.token_id = n.token_id WHERE n.kind = 'opd'
 UNION ALL
 SELECT CAST(a.req_id AS BIGINT), FALSE, COALESCE(s.refusal, 'Invalid department'), NULL, NULL, NULL,
        CAST(a.d AS VARCHAR), NULL, NULL
-FROM a LEFT JOIN said s ON s.lab = 0 AND s.req_id = a.req_id
-WHERE a.department_id IS NULL OR s.refusal IS NOT NULL
-"""
-
-SQL["issue_lab"] = _RECURSIVE_ADAPTER + _ADMISSION + _depth(
-    "ok_lab", "lab_status_log", "test_id, d", "'waiting', 'in_progress'") + """
-SELECT CAST(ok.req_id AS BIGINT) AS req_id, TRUE AS accepted, CAST(NULL AS VARCHAR) AS reason,
-       CAST(ok.token_id AS BIGINT) AS token_id, concat(ok.code, '-', printf('%03d', ok.seq)) AS token_number,
-       CAST(ok.test_id AS BIGINT) AS test_id, CAST(ok.d AS VARCHAR) AS queue_date,
-       CASE WHEN lower(trim(ok.patient_gender)) IN ('male', 'female', 'other') THEN lower(trim(ok.patient_gender))
+FROM a LEFT JOIN said s ON s.kind = 'opd' AND s.req_id = a.req_id
+WHERE a.req_id NOT IN (SELECT req_id FROM named WHERE kind = 'opd')
+"""
+
+SQL["issue_lab"] = _RECURSIVE_ADAPTER + _ADMISSION + _depth_with_stored(
+    1, "SELECT token_id, test_id AS grp, scheduled_date AS d, token_status AS status FROM lab_tokens",
+    "SELECT token_id, ts, req_id, new_status AS status FROM lab_status_log "
+    "UNION ALL SELECT token_id, ts, req_id, lab_status FROM issued_log", "'waiting', 'in_progress'") + """
+SELECT CAST(n.req_id AS BIGINT) AS req_id, TRUE AS accepted, CAST(NULL AS VARCHAR) AS reason,
+       CAST(n.token_id AS BIGINT) AS token_id, n.token_number,
+       CAST(n.grp AS BIGINT) AS test_id, CAST(n.d AS VARCHAR) AS queue_date,
+       CASE WHEN lower(trim(j.patient_gender)) IN ('male', 'female', 'other') THEN lower(trim(j.patient_gender))
             ELSE 'other' END AS patient_gender,
-       CAST(CASE WHEN ok.payment_amount <= 0 THEN ok.fee ELSE ok.payment_amount END AS DOUBLE) AS payment_amount,
-       CAST(dp.ahead + 1 AS BIGINT) AS queue_position, CAST(dp.ahead * ok.slot_duration AS BIGINT) AS wait_time
-FROM ok_lab ok JOIN dp_ok_lab dp ON dp.token_id = ok.token_id
+       CAST(CASE WHEN j.payment_amount <= 0 THEN j.fee ELSE j.payment_amount END AS DOUBLE) AS payment_amount,
+       CAST(h.ahead + 1 AS BIGINT) AS queue_position, CAST(h.ahead * j.slot_duration AS BIGINT) AS wait_time
+FROM named n JOIN ahead h ON h.token_id = n.token_id JOIN j ON j.req_id = n.req_id WHERE n.kind = 'lab'
 UNION ALL
 SELECT CAST(j.req_id AS BIGINT), FALSE, COALESCE(j.reason, s.refusal), NULL, NULL, NULL, CAST(j.d AS VARCHAR), NULL,
        NULL, NULL, NULL
-FROM j LEFT JOIN said s ON s.lab = 1 AND s.req_id = j.req_id
-WHERE j.reason IS NOT NULL OR s.refusal IS NOT NULL
+FROM j LEFT JOIN said s ON s.kind = 'lab' AND s.req_id = j.req_id
+WHERE j.req_id NOT IN (SELECT req_id FROM named WHERE kind = 'lab')
 """
 
 SQL["issue_pharmacy"] = ADAPTER + """,
@@ -1360,15 +1442,9 @@ SELECT CAST(req_id AS BIGINT), FALSE, reason, NULL, NULL, CAST(pharmacy_id AS BI
 FROM j WHERE reason IS NOT NULL
 """
 
-SQL["checkin_bookings"] = ADAPTER + f""",
-r AS (SELECT req_id, ts, d, upper(trim(booking_id)) AS B FROM checkin_log),
-v AS (SELECT r.*, p.booking_id, p.doctor_id, p.department_id, p.appointment_date, p.appointment_sod,
-             p.status AS snap_status
-      FROM r JOIN prebooked_appointments p ON upper(trim(p.booking_id)) = r.B
-       AND p.status IN ('booked', 'confirmed') AND p.appointment_date >= r.d
-      JOIN doctors dr ON dr.id = p.doctor_id),
-acc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY B ORDER BY ts, req_id) AS rn FROM v) WHERE rn = 1),
-a AS (SELECT acc.*,
+SQL["checkin_bookings"] = _RECURSIVE_ADAPTER + _ADMISSION + f""",
+acc AS (SELECT v.* FROM v JOIN answers s ON s.kind = 'checkin' AND s.req_id = v.req_id AND s.answer = 'admitted'),
+counted AS (SELECT acc.*,
         (SELECT count(*) FROM tokens t
           WHERE t.doctor_id = acc.doctor_id AND t.queue_date = acc.d AND t.status IN ('waiting', 'consulting')
             AND (t.token_type = 'prebooked' OR upper(t.token_number) LIKE 'PB%')
@@ -1387,11 +1463,12 @@ SELECT CAST(req_id AS BIGINT) AS req_id, B AS booking_id, TRUE AS accepted, CAST
        CAST(department_id AS BIGINT) AS department_id, CAST(d AS VARCHAR) AS queue_date,
        {_hms('appointment_sod')} AS expected_time, CAST(ahead AS BIGINT) AS patients_ahead,
        CAST(ahead * 10 AS BIGINT) AS wait_time
-FROM a
+FROM counted
 UNION ALL
-SELECT CAST(req_id AS BIGINT), B, FALSE, 'Invalid or expired booking', NULL, NULL, NULL, CAST(d AS VARCHAR),
-       NULL, NULL, NULL
-FROM r WHERE req_id NOT IN (SELECT req_id FROM acc)
+SELECT CAST(r.req_id AS BIGINT), upper(trim(r.booking_id)), FALSE, COALESCE(s.refusal, 'Invalid or expired booking'),
+       NULL, NULL, NULL, CAST(r.d AS VARCHAR), NULL, NULL, NULL
+FROM checkin_log r LEFT JOIN said s ON s.kind = 'checkin' AND s.req_id = r.req_id
+WHERE r.req_id NOT IN (SELECT req_id FROM acc)
 """
 
 SQL["status_alerts"] = ADAPTER + """,

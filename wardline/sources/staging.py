@@ -20,7 +20,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from wardline.session import ensure_checkpoint_dir
-from wardline.sources.hospital import Hospital
+from wardline.sources.hospital import ISSUED_ID_BASE, Hospital
 
 DOMAIN_TABLES = ("departments", "doctors", "tokens", "prebooked_appointments", "lab_tokens",
                  "prebooked_lab_appointments", "pharmacy_tokens", "status_log", "break_log",
@@ -29,6 +29,9 @@ DOMAIN_TABLES = ("departments", "doctors", "tokens", "prebooked_appointments", "
                  "checkin_log", "opd_issue_log", "lab_issue_log", "pharmacy_issue_log", "issued_log", "staff",
                  "pharmacy_staff")
 
+# derived from domain tables by operators, staged like them
+DERIVED_TABLES = ("admissions", "issued")
+
 _LOCK = threading.Lock()
 _CACHE: dict[tuple[str, str], "StagedHospital"] = {}
 
@@ -42,16 +45,28 @@ class StagedHospital:
         self.spark = base.spark
         self.sf_dir = base.sf_dir
         self._tables: dict[str, DataFrame] = {}
-        self._locks = {n: threading.Lock() for n in DOMAIN_TABLES}
+        self._locks = {n: threading.Lock() for n in (*DOMAIN_TABLES, *DERIVED_TABLES)}
 
     def _stage(self, name: str) -> DataFrame:
         with self._locks[name]:
             if name not in self._tables:
                 path = f"{self.root}/{name}"
-                getattr(self.base, name).write.mode("overwrite").parquet(path)
+                table = self._derive(name) if name in DERIVED_TABLES else getattr(self.base, name)
+                table.write.mode("overwrite").parquet(path)
                 self._tables[name] = self.spark.read.parquet(path)
             return self._tables[name]
 
+    def _derive(self, name: str) -> DataFrame:
+        from wardline.operators import admission, folds
+        logs = (self.opd_issue_log, self.lab_issue_log, self.checkin_log)
+        dims = (self.departments, self.doctors, self.lab_tests, self.prebooked_appointments)
+        if name == "admissions":
+            return admission.admit(
+                folds.admission_asks(*logs, *dims), folds.stored_tokens(self.tokens, self.lab_tokens),
+                folds.token_changes(self.status_log, self.lab_status_log, self.issued_log), ISSUED_ID_BASE,
+                written_tables(self.spark, "admissions"))
+        return folds.issued_tokens(self.admissions, *logs, *dims, self.tokens, self.lab_tokens, ISSUED_ID_BASE)
+
     def stage_all(self, names=DOMAIN_TABLES, threads: int = 4) -> None:
         """Stage several tables at once: independent Spark jobs submitted from
         a few driver threads share the cluster instead of running one by one."""
@@ -60,7 +75,7 @@ class StagedHospital:
             list(pool.map(self._stage, names))
 
     def __getattr__(self, name: str):
-        if name in DOMAIN_TABLES:
+        if name in DOMAIN_TABLES or name in DERIVED_TABLES:
             return self._stage(name)
         return getattr(self.base, name)
 
