@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.columns import LAB_ACTIVE, OPD_ACTIVE
-from wardline.operators.ranking import lag_within, number_rows, running_sum
+from wardline.operators.ranking import hot_group_rows, lag_within, number_rows, running_sum
 
 # Fixed texts of the application.
 _ACCOUNT = "{kind} token ({token}) from your account. Only one token per account is allowed. "
@@ -107,7 +107,13 @@ def _spans(requests: DataFrame, asks: DataFrame, stored: DataFrame, changes: Dat
         F.coalesce("high", F.lit(_NEVER)).alias("high"), F.coalesce("off.place", F.lit(_NEVER)).alias("off"))
 
 
-def _free(requests: DataFrame, busy: DataFrame) -> DataFrame:
+def _strategy(requests: DataFrame, spans: DataFrame) -> str:
+    """How the rounds rank: with windows, unless a key and day could exceed the limit of a hot group."""
+    rows = requests.select(*_GROUP).unionByName(spans.select(*_GROUP)).groupBy(*_GROUP).count()
+    return "window" if rows.where(F.col("count") * 2 > hot_group_rows(requests.sparkSession)).isEmpty() else "auto"
+
+
+def _free(requests: DataFrame, busy: DataFrame, strategy: str) -> DataFrame:
     """Requests at places that no busy stretch covers."""
     edge = busy.where("low < high")
     steps = edge.select(*_GROUP, F.col("low").alias("place"), F.lit(1).alias("v")).unionByName(
@@ -115,21 +121,22 @@ def _free(requests: DataFrame, busy: DataFrame) -> DataFrame:
     line = steps.groupBy(*_GROUP, "place").agg(F.sum("v").alias("v")).select(
         *_GROUP, "place", "v", F.lit(None).cast("long").alias("uid"), F.lit(None).cast("long").alias("end"))
     line = line.unionByName(requests.select(*_GROUP, "place", F.lit(0).cast("long").alias("v"), "uid", "end"))
-    line = running_sum(line, _GROUP, ["place", F.col("uid").asc_nulls_first()], "v", "over")
+    line = running_sum(line, _GROUP, ["place", F.col("uid").asc_nulls_first()], "v", "over", strategy=strategy)
     return line.where("uid is not null and over = 0").select(*_GROUP, "place", "uid", "end")
 
 
-def _chain(free: DataFrame, keep) -> DataFrame:
+def _chain(free: DataFrame, keep, strategy: str) -> DataFrame:
     """(uid): the first free request of each key and day, and from each one the first behind its token's end."""
-    own = free.select(*_GROUP, "place", F.lit(1).alias("ask"), "uid")
-    ends = free.where(F.col("end") < _NEVER).select(*_GROUP, F.col("end").alias("place"), F.lit(0).alias("ask"), "uid")
+    marks = F.array(F.struct("place", F.lit(1).alias("ask")), F.struct(F.col("end").alias("place"), F.lit(0).alias("ask")))
+    marks = free.select(*_GROUP, "uid", F.explode(marks).alias("m")).select(*_GROUP, "uid", "m.place", "m.ask")
     # free requests in front: a request's own number, and that of the first one at or behind an end
-    line = running_sum(own.unionByName(ends), _GROUP, ["place", "ask", "uid"], "ask", "n")
+    line = running_sum(marks.where(F.col("place") < _NEVER), _GROUP, ["place", "ask", "uid"], "ask", "n",
+                       strategy=strategy)
     line = keep(line, "line")
     nodes = line.where("ask = 1").select(*_GROUP, (F.col("n") - 1).alias("q"), "uid")
     to = line.where("ask = 0").select("uid", F.col("n").alias("next"))
     jump = nodes.join(to, "uid").select(*_GROUP, "q", "next")
-    reached = keep(nodes.where("q = 0").select(*_GROUP, "q"), "reached")
+    reached = nodes.where("q = 0").select(*_GROUP, "q")
     step = 0
     while True:
         jump = keep(jump, f"jump-{step}")
@@ -191,7 +198,7 @@ def admit(asks: DataFrame, stored: DataFrame, changes: DataFrame, issued_base: i
     openers = keep(requests.where("valid").join(ends, "uid").select(*_GROUP, "place", "uid", "end"), "openers")
     unchecked = asks.where("key is null and valid").select("uid")
     accepted = taken = openers.select("uid").limit(0)
-    turn = 0
+    strategy, turn = _strategy(requests, spans), 0
     while True:
         others = spans.where("uid is not null and not (home and first)").join(accepted, "uid", "left_semi")
         busy = spans.where("uid is null").unionByName(others.select(*spans.columns))
@@ -200,7 +207,7 @@ def admit(asks: DataFrame, stored: DataFrame, changes: DataFrame, issued_base: i
         def here(df: DataFrame, name: str, turn=turn) -> DataFrame:
             return keep(df, f"{turn}-{name}")
 
-        now = here(_chain(here(_free(able, busy), "free"), here).unionByName(
+        now = here(_chain(_free(able, busy, strategy), here, strategy).unionByName(
             unchecked.join(taken, "uid", "left_anti")), "accepted")
         changed = now.join(accepted, "uid", "left_anti").limit(1).unionByName(
             accepted.join(now, "uid", "left_anti").limit(1))
