@@ -24,6 +24,9 @@ BASE_CONF = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     # Spark broadcasts a side only below this measured size.
     "spark.sql.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
+    # keyed streams (transformWithState) need it
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
