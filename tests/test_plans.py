@@ -42,3 +42,38 @@ def test_scans_prune_columns(spark):
     assert schemas, "no parquet scans found"
     for rs in schemas:
         assert "patient_phone" not in rs and "patient_id" not in rs, rs
+
+
+def test_views_prune_day_folders(spark):
+    """Every fact scan of a one-day view reads only the folder of its day."""
+    import datetime as dt
+    import re
+    from wardline.plans import views
+    from wardline.sources.staging import staged_hospital
+    h, day = staged_hospital(spark, SF001), dt.date(2024, 1, 10)
+    live, doctor = views.live_queue_view(h, day, 3), views.doctor_queue_view(h, day, doctor_id=2)
+    frames = [live["queue"], live["summary"], views.lab_queue_view(h, day, "mri"), doctor["worklist"],
+              views.day_tokens_view(h, day, doctor_id=2), views.opd_queue_view(h, day)["stats"],
+              views.pharmacy_queue_view(h, day, pharmacy_id=1)["queue"]]  # a status poll finds bookings of any day
+    for df in frames:
+        scans = re.findall(r"FileScan parquet \[[^\n]*", _plan(df))
+        facts = [x for x in scans if re.match(r"FileScan parquet \[[^\]]*(queue_date|_date|day)#", x)]
+        assert facts
+        for x in facts:
+            assert re.search(r"PartitionFilters: \[[^\]]*(queue_date|appointment_date|scheduled_date|day)", x), x
+
+
+def test_logs_come_from_one_scan_of_events(spark):
+    from wardline.sources.hospital import Hospital
+    plan = _plan(Hospital(spark, SF001).routed_rows())
+    assert plan.count("FileScan parquet") == 1
+
+
+def test_routed_tables_equal_the_derived_ones(spark):
+    from wardline.sources.hospital import ROUTED, Hospital
+    from wardline.sources.staging import staged_hospital
+    h, staged = Hospital(spark, SF001), staged_hospital(spark, SF001)
+    for name in ROUTED:
+        a, b = getattr(h, name), getattr(staged, name)
+        assert a.columns == b.columns
+        assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect())), name

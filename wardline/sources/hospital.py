@@ -55,6 +55,13 @@ N_PHARMACIES = 25  # rows of ``nation``
 ISSUED_ID_BASE = 1_000_000_000_000
 
 
+# Tables whose rows are one event each, with their day column.
+ROUTED = {"status_log": "d", "break_log": "d", "lookup_log": "d", "cancel_log": "d", "booking_cancel_log": "d",
+          "reschedule_log": "d", "lab_cancel_log": "d", "pharmacy_cancel_log": "d", "pharmacy_status_log": "d",
+          "lab_status_log": "d", "checkin_log": "d", "issued_log": "d", "pharmacy_issue_log": "d",
+          "prebooked_lab_appointments": "appointment_date"}
+
+
 def _status(mapping: dict[str, str], default: str) -> F.Column:
     """``CASE event_type WHEN k THEN v ... ELSE default END``."""
     expr = None
@@ -92,6 +99,34 @@ class Hospital:
             F.floor(F.col("event_id") / 8).cast("bigint").alias("m"),
         )
 
+    def _route(self, taken: F.Column | None, *columns) -> DataFrame:
+        """A table whose rows are one event each: those that are ``taken`` (None: all), as ``columns``."""
+        rows = self.events if taken is None else self.events.where(taken)
+        return rows.select(*columns)
+
+    def routed_types(self) -> dict[str, T.DataType]:
+        """Columns of the routed rows; text where tables differ in a column's type."""
+        types: dict[str, T.DataType] = {}
+        for name, day in ROUTED.items():
+            for f in getattr(self, name).schema.fields:
+                if f.name != day:
+                    types[f.name] = f.dataType if types.get(f.name, f.dataType) == f.dataType else T.StringType()
+        return types
+
+    def routed_rows(self) -> DataFrame:
+        """(log, day, and the columns of all of ``ROUTED``): the rows of every table in ``ROUTED`` from one scan of
+        the events.  A column that a table lacks is null; its day column is left to ``day``."""
+        rules, types, rows = _Rules(self.spark, self.sf_dir), self.routed_types(), []
+        for name, day in ROUTED.items():
+            taken, columns = getattr(rules, name)
+            own = dict(zip(getattr(self, name).columns, columns))
+            fields = [(F.col(own[c]) if isinstance(own[c], str) else own[c]) if c in own and c != day else F.lit(None)
+                      for c in types]
+            row = F.struct(F.lit(name).alias("log"), *[c.cast(t).alias(n) for c, (n, t) in zip(fields, types.items())])
+            rows.append(row if taken is None else F.when(taken, row))
+        return self.events.select(F.col("d").alias("day"), F.explode(F.array_compact(F.array(*rows))).alias("r")).select(
+            "r.log", "day", *[f"r.{c}" for c in types])
+
     # -- dimensions (bounded) -------------------------------------------
     @cached_property
     def departments(self) -> DataFrame:
@@ -238,9 +273,9 @@ class Hospital:
     @cached_property
     def prebooked_lab_appointments(self) -> DataFrame:
         """Lab bookings: ``event_id % 8 = 7``."""
-        ev = self.events.where(F.col("event_id") % 8 == 7)
         eid = F.col("event_id")
-        return ev.select(
+        return self._route(
+            eid % 8 == 7, 
             (eid + 1).cast("bigint").alias("booking_id"),
             seq3("LB", eid).alias("booking_code"),
             (F.col("m") % 4 + 1).cast("int").alias("test_id"),
@@ -282,7 +317,7 @@ class Hospital:
     def status_log(self) -> DataFrame:
         """OPD status-change requests against earlier tokens."""
         target = F.floor(F.col("event_id") / 2).cast("bigint") * 2 + 1 - 2 * (F.col("m") % 5)
-        return self.events.where(target >= 1).select(
+        return self._route(target >= 1, 
             F.col("event_id").alias("req_id"), "ts", "d",
             target.cast("bigint").alias("token_id"),
             _status({"view": "waiting", "purchase": "completed", "error": "cancelled"},
@@ -292,8 +327,8 @@ class Hospital:
     @cached_property
     def break_log(self) -> DataFrame:
         """Doctor break requests: start on signup, end on purchase."""
-        ev = self.events.where(F.col("event_type").isin("signup", "purchase"))
-        return ev.select(
+        return self._route(
+            F.col("event_type").isin("signup", "purchase"), 
             F.col("event_id").alias("req_id"), "ts", "d",
             (F.col("user_id") % self.n_doctors + 1).cast("int").alias("doctor_id"),
             F.when(F.col("event_type") == "signup", "start_break").otherwise("end_break").alias("action"),
@@ -310,7 +345,7 @@ class Hospital:
     def lookup_log(self) -> DataFrame:
         """Read-side lookups: active-token checks, booking verification, status polls."""
         e, m, booking = F.col("event_id"), F.col("m"), self._booking
-        return self.events.select(
+        return self._route(None, 
             F.col("event_id").alias("req_id"), "ts", "d",
             F.when(e % 3 == 0, (F.col("user_id") + 1).cast("bigint")).alias("patient_id"),
             _phone().alias("patient_phone"),
@@ -327,7 +362,7 @@ class Hospital:
         """OPD cancel requests: by token id, by token/booking number, or by walk-in number."""
         m, booking = F.col("m"), self._booking
         token = F.floor(F.col("event_id") / 2).cast("bigint") * 2 - 3
-        return self.events.select(
+        return self._route(None, 
             F.col("event_id").alias("req_id"), "ts", "d",
             F.when(m % 3 == 0, token).otherwise(F.lit(0).cast("bigint")).alias("token_id"),
             F.when(m % 3 == 0, F.lit("")).when(m % 3 == 1, seq3(" pb", booking - 4))
@@ -339,7 +374,7 @@ class Hospital:
 
     @cached_property
     def booking_cancel_log(self) -> DataFrame:
-        return self.events.select(
+        return self._route(None, 
             F.col("event_id").alias("req_id"), "ts", "d",
             seq3(F.when(F.col("m") % 3 == 0, F.lit("pb")).otherwise(F.lit("PB")), self._booking - 8).alias("booking_id"))
 
@@ -348,7 +383,7 @@ class Hospital:
         m, s = F.col("m"), F.col("sod")
         et = F.col("event_type")
         minute = (s / 60).cast("int") % 60
-        return self.events.select(
+        return self._route(None, 
             F.col("event_id").alias("req_id"), "ts", "d",
             seq3("PB", self._booking).alias("booking_id"),
             F.when(et == "error", F.regexp_replace(F.col("d").cast("string"), "-", "/"))
@@ -365,7 +400,7 @@ class Hospital:
     @cached_property
     def lab_cancel_log(self) -> DataFrame:
         m = F.col("m")
-        return self.events.select(
+        return self._route(None, 
             F.col("event_id").alias("req_id"), "ts", "d",
             seq3(F.when(m % 2 == 0, F.lit("lb")).otherwise(F.lit("LB")), 8 * m - 1).alias("booking_code"))
 
@@ -374,7 +409,7 @@ class Hospital:
         m = F.col("m")
         by_number = m % 4 == 3
         token = F.floor(F.col("event_id") / 3).cast("bigint") * 3 + 1
-        return self.events.select(
+        return self._route(None, 
             F.col("event_id").alias("req_id"), "ts", "d",
             F.when(by_number, F.lit(0).cast("bigint")).otherwise(token - 3 * (m % 3)).alias("token_id"),
             F.when(by_number, seq3(F.concat(F.lit("PH"), (F.col("user_id") % N_PHARMACIES + 1).cast("string"),
@@ -385,7 +420,7 @@ class Hospital:
     @cached_property
     def pharmacy_status_log(self) -> DataFrame:
         m, token = F.col("m"), F.floor(F.col("event_id") / 3).cast("bigint") * 3 + 1
-        return self.events.select(
+        return self._route(None, 
             F.col("event_id").alias("req_id"), "ts", "d",
             (token - 3 * (m % 4)).alias("token_id"),
             _status({"view": "processing", "purchase": "completed", "error": "cancelled",
@@ -395,7 +430,7 @@ class Hospital:
     @cached_property
     def lab_status_log(self) -> DataFrame:
         m = F.col("m")
-        return self.events.select(
+        return self._route(None, 
             F.col("event_id").alias("req_id"), "ts", "d",
             (8 * m + 4 - 8 * (m % 3)).alias("token_id"),
             _status({"view": "in_progress", "purchase": "completed", "error": "cancelled",
@@ -415,7 +450,7 @@ class Hospital:
     @cached_property
     def checkin_log(self) -> DataFrame:
         m = F.col("m")
-        return self._asks("error").select(
+        return self._route(F.col("event_type") == "error", 
             F.col("event_id").alias("req_id"), "ts", "d", self._account.alias("patient_id"),
             seq3(F.when(m % 5 == 1, F.lit("pb")).otherwise(F.lit("PB")), self._booking - 4 * (m % 2))
             .alias("booking_id"))
@@ -462,7 +497,7 @@ class Hospital:
     @cached_property
     def issued_log(self) -> DataFrame:
         """Status changes of tokens that the logs above issue; ``lab_status`` is the word of the lab for it."""
-        return self.events.select(
+        return self._route(None, 
             F.col("event_id").alias("req_id"), "ts", "d",
             (F.lit(ISSUED_ID_BASE) + F.col("event_id") - 1 - F.col("m") % 6).alias("token_id"),
             _status({"view": "waiting", "signup": "consulting", "error": "cancelled"}, "completed").alias("new_status"),
@@ -471,7 +506,7 @@ class Hospital:
     @cached_property
     def pharmacy_issue_log(self) -> DataFrame:
         e = F.col("event_id")
-        return self.events.select(
+        return self._route(None, 
             F.col("event_id").alias("req_id"), "ts", "d",
             F.when(e % 19 == 0, F.lit(6)).when(e % 23 == 0, F.lit(0))
              .otherwise(F.col("user_id") % N_PHARMACIES + 1).cast("int").alias("pharmacy_id"),
@@ -503,3 +538,10 @@ class Hospital:
         return c.where(F.col("c_acctbal") < 2500).select(
             (k + 1).cast("int").alias("id"), F.concat(F.lit("PHS"), F.format_string("%04d", k)).alias("staff_id"),
             F.col("c_name").alias("name"), (F.col("c_nationkey") % 27 + 1).cast("int").alias("pharmacy_id"))
+
+
+class _Rules(Hospital):
+    """The rules of the routed tables instead of the tables."""
+
+    def _route(self, taken, *columns):
+        return taken, columns

@@ -18,9 +18,10 @@ import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from wardline.session import ensure_checkpoint_dir
-from wardline.sources.hospital import ISSUED_ID_BASE, Hospital
+from wardline.sources.hospital import ISSUED_ID_BASE, ROUTED, Hospital
 
 DOMAIN_TABLES = ("departments", "doctors", "tokens", "prebooked_appointments", "lab_tokens",
                  "prebooked_lab_appointments", "pharmacy_tokens", "status_log", "break_log",
@@ -36,8 +37,17 @@ _LOCK = threading.Lock()
 _CACHE: dict[tuple[str, str], "StagedHospital"] = {}
 
 
+# day columns of the tables that are not routed
+DAY_COLUMNS = {"tokens": "queue_date", "prebooked_appointments": "appointment_date", "lab_tokens": "scheduled_date",
+               "pharmacy_tokens": "queue_date", "opd_issue_log": "d", "lab_issue_log": "d", "issued": "d"}
+
+
 class StagedHospital:
-    """``Hospital`` whose domain tables are read from staged Parquet."""
+    """``Hospital`` whose domain tables are read from staged Parquet, facts and logs in a folder for each day.
+
+    The logs come from one pass over ``events`` that writes each row into the
+    folder of its (log, day).  A filter on the day column prunes folders.
+    """
 
     def __init__(self, base: Hospital, root: str):
         self.base = base
@@ -45,15 +55,46 @@ class StagedHospital:
         self.spark = base.spark
         self.sf_dir = base.sf_dir
         self._tables: dict[str, DataFrame] = {}
-        self._locks = {n: threading.Lock() for n in (*DOMAIN_TABLES, *DERIVED_TABLES)}
+        self._locks = {n: threading.Lock() for n in (*DOMAIN_TABLES, *DERIVED_TABLES, "routed")}
+        self._routed = False
+
+    def _route(self) -> None:
+        """Write all routed tables, once."""
+        with self._locks["routed"]:
+            if not self._routed:
+                rows = self.base.routed_rows()
+                rows.hint("rebalance", "log", "day").write.mode("overwrite").partitionBy("log", "day").parquet(
+                    f"{self.root}/routed")
+                self._routed = True
+
+    def _read_routed(self, name: str) -> DataFrame:
+        self._route()
+        wanted = getattr(self.base, name).schema
+        day = ROUTED[name]
+        types = self.base.routed_types()
+        fields = [T.StructField(f.name, types[f.name]) for f in wanted.fields if f.name != day]
+        fields.append(T.StructField("day", T.DateType()))
+        path = f"{self.root}/routed/log={name}"
+        rows = (self.spark.read.schema(T.StructType(fields)).parquet(path) if _exists(self.spark, path)
+                else self.spark.createDataFrame([], T.StructType(fields)))
+        rows = rows.withColumnRenamed("day", day)
+        return rows.select(*[rows[f.name].cast(f.dataType).alias(f.name) if rows.schema[f.name].dataType != f.dataType
+                             else f.name for f in wanted.fields])
 
     def _stage(self, name: str) -> DataFrame:
         with self._locks[name]:
             if name not in self._tables:
+                if name in ROUTED:
+                    self._tables[name] = self._read_routed(name)
+                    return self._tables[name]
                 path = f"{self.root}/{name}"
                 table = self._derive(name) if name in DERIVED_TABLES else getattr(self.base, name)
-                table.write.mode("overwrite").parquet(path)
-                self._tables[name] = self.spark.read.parquet(path)
+                day = DAY_COLUMNS.get(name)
+                if day:
+                    table.hint("rebalance", day).write.mode("overwrite").partitionBy(day).parquet(path)
+                else:
+                    table.write.mode("overwrite").parquet(path)
+                self._tables[name] = self.spark.read.schema(table.schema).parquet(path).select(*table.columns)
             return self._tables[name]
 
     def _derive(self, name: str) -> DataFrame:
@@ -91,6 +132,11 @@ def staged_hospital(spark: SparkSession, sf_dir: str) -> StagedHospital:
         return _CACHE[key]
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder name below the shared checkpoint directory."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/wardline-scratch/{label}-{uuid.uuid4().hex}"
