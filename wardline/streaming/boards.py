@@ -38,7 +38,11 @@ def refresh_sink(log_path: str, out_path: str,
         if not days:
             return
         log = spark.read.parquet(log_path).drop("batch_id")
-        replace_days(recompute(log, days).persist(), out_path, "queue_date", days)
+        rows = recompute(log, days).persist()
+        try:
+            replace_days(rows, out_path, "queue_date", days)
+        finally:
+            rows.unpersist()
     return write
 
 
