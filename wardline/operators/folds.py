@@ -126,6 +126,41 @@ def cancel_tokens(tokens: DataFrame, bookings: DataFrame, cancel_log: DataFrame)
     return tok.unionByName(bk).withColumn("new_status", F.lit("cancelled"))
 
 
+MSG_CANCEL_REQUIRED = "Token number or ID is required"
+MSG_CANCELLED = "Token cancelled successfully"
+
+
+def cancel_answers(tokens: DataFrame, bookings: DataFrame, cancel_log: DataFrame) -> DataFrame:
+    """The answer to every OPD cancel request, with how many tokens and bookings it names.
+
+    The endpoint reports success also when nothing matched; only a request without number and id is refused.
+    A request by id names at most one token, one by text those of its day whose number or booking id it is.
+    Tokens are counted per text and day before they meet the requests.
+    """
+    r = _cancel_requests(cancel_log)
+    t = tokens.select(F.col("id").cast("long").alias("id"), upper_key("token_number").alias("N"),
+                      upper_key("booking_id").alias("K"), F.col("queue_date").alias("d"))
+    by_num = t.groupBy(F.col("N").alias("T"), "d").agg(F.count(F.lit(1)).alias("_num"))
+    by_bid = t.where(F.col("K").isNotNull()).groupBy(F.col("K").alias("B"), "d").agg(F.count(F.lit(1)).alias("_bid"))
+    both = t.where(F.col("K").isNotNull()).groupBy(F.col("N").alias("T"), F.col("K").alias("B"), "d").agg(
+        F.count(F.lit(1)).alias("_both"))
+    r = r.join(t.select(F.col("id").alias("token_id"), F.lit(1).alias("_id")), "token_id", "left")
+    r = r.join(by_num, ["T", "d"], "left").join(by_bid, ["B", "d"], "left").join(both, ["T", "B", "d"], "left")
+    b = bookings.groupBy(upper_key("booking_id").alias("B")).agg(F.count(F.lit(1)).alias("_n"))
+    r = r.join(b.withColumnRenamed("_n", "_booked"), "B", "left").join(
+        b.select(F.col("B").alias("T"), F.col("_n").alias("_other")), "T", "left")
+    zero = F.lit(0).cast("long")
+    named = F.when(F.col("token_id") > 0, F.coalesce(F.col("_id").cast("long"), zero)).otherwise(
+        F.coalesce("_num", zero) + F.coalesce("_bid", zero) - F.coalesce("_both", zero))
+    booked = F.when(F.col("B").startswith("PB"), F.coalesce("_booked", zero)).otherwise(zero) + F.when(
+        (F.col("T") != F.col("B")) & F.col("T").startswith("PB"), F.coalesce("_other", zero)).otherwise(zero)
+    ok = ~F.col("rejected")
+    return r.select("req_id", ok.alias("success"),
+                    F.when(ok, F.lit(MSG_CANCELLED)).otherwise(F.lit(MSG_CANCEL_REQUIRED)).alias("message"),
+                    F.when(ok, F.col("notify")).alias("notified"), F.when(ok, F.col("reason")).alias("reason"),
+                    F.when(ok, named).alias("tokens_named"), F.when(ok, booked).alias("bookings_named"))
+
+
 def cancel_notifications(cancel_log: DataFrame) -> DataFrame:
     """One pending notification row per accepted cancel request with notify on."""
     r = _cancel_requests(cancel_log).where(~F.col("rejected") & F.col("notify"))

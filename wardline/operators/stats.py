@@ -8,11 +8,12 @@ and task, so a hot doctor or test costs nothing extra.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions.columns import (LAB_ACTIVE, OPD_MINUTES_PER_PATIENT,
-                                        PHARMACY_MINUTES_PER_PATIENT)
+                                        PHARMACY_MINUTES_PER_PATIENT, hms)
+from wardline.operators.ranking import lag_within
 
 
 def count_if(cond) -> F.Column:
@@ -75,19 +76,55 @@ def pharmacy_wait(pharmacy_tokens: DataFrame) -> DataFrame:
     ).withColumn("wait_minutes", F.col("waiting") * PHARMACY_MINUTES_PER_PATIENT)
 
 
-def current_tokens(tokens: DataFrame, pharmacy_tokens: DataFrame) -> DataFrame:
+def doctor_idle(doctors: DataFrame, tokens: DataFrame, first, last) -> DataFrame:
+    """A3 / J12, the zeros: for every doctor the stretches of days, between ``first`` and ``last``, on which nobody
+    waits for them (wait 0), as (from, to, days).
+
+    Gaps between the days with waiting patients: each such day looks back at the one before it (one row per doctor
+    and day, a day outside at both ends), so there is no doctor x day grid.  ``idle_on`` gives any one day of it.
+    """
+    day = F.col("queue_date")
+    busy = tokens.where(F.col("status") == "waiting").where(day.between(F.lit(first), F.lit(last))).select(
+        F.col("doctor_id"), day).distinct()
+    docs = doctors.select(F.col("id").alias("doctor_id"), F.col("name").alias("doctor_name"), "department_id")
+    ends = F.explode(F.array(F.date_sub(F.lit(first).cast("date"), 1), F.date_add(F.lit(last).cast("date"), 1)))
+    marks = docs.select("doctor_id", ends.alias("queue_date")).unionByName(
+        busy.join(docs.select("doctor_id"), "doctor_id", "left_semi"))
+    gaps = lag_within(marks, ["doctor_id"], ["queue_date"], "queue_date", "_before").where(
+        F.datediff("queue_date", "_before") > 1)
+    return gaps.join(docs, "doctor_id").select(
+        "doctor_id", "doctor_name", "department_id", F.date_add("_before", 1).alias("idle_from"),
+        F.date_sub("queue_date", 1).alias("idle_to"), (F.datediff("queue_date", "_before") - 1).alias("idle_days"),
+        F.lit(0).alias("wait_time"))
+
+
+def idle_on(idle: DataFrame, day) -> DataFrame:
+    """Doctors without waiting patients on one day, shaped like ``doctor_wait``."""
+    at = F.lit(day).cast("date")
+    return idle.where(at.between(F.col("idle_from"), F.col("idle_to"))).select(
+        "doctor_id", "doctor_name", "department_id", at.alias("queue_date"), F.lit(0).cast("long").alias("patients_waiting"),
+        "wait_time")
+
+
+def current_tokens(tokens: DataFrame, pharmacy_tokens: DataFrame, doctors: DataFrame,
+                   departments: DataFrame) -> DataFrame:
     """A10: the token being served, at three scopes.
 
     ``day``: lowest-id consulting OPD token of the day (the reference's
     unordered LIMIT 1, fixed to lowest id); ``department``: the same per
     department, 'None' when the department has tokens but none consulting;
-    ``pharmacy``: the oldest processing pharmacy token.
+    ``pharmacy``: the oldest processing pharmacy token.  The day's token comes
+    with the names of its doctor and department.
     """
     consulting = F.when(F.col("status") == "consulting", F.struct("id", "token_number"))
     day = tokens.where(F.col("status") == "consulting").groupBy("queue_date").agg(
-        F.min_by("token_number", "id").alias("current_token")) \
-        .select(F.lit("day").alias("scope"), "queue_date", F.lit(None).cast("int").alias("scope_id"),
-                "current_token")
+        F.min_by(F.struct("token_number", "doctor_id", "department_id"), "id").alias("_c"))
+    doc = doctors.select(F.col("id").alias("_doc"), F.col("name").alias("doctor_name"))
+    dep = departments.select(F.col("id").alias("_dep"), F.col("name").alias("department_name"))
+    day = day.join(doc, F.col("_c.doctor_id") == F.col("_doc"), "left").join(
+        dep, F.col("_c.department_id") == F.col("_dep"), "left").select(
+        F.lit("day").alias("scope"), "queue_date", F.lit(None).cast("int").alias("scope_id"),
+        F.col("_c.token_number").alias("current_token"), "doctor_name", "department_name")
     dept = tokens.groupBy("queue_date", "department_id").agg(
         F.min(consulting).alias("_c")).select(
         F.lit("department").alias("scope"), "queue_date", F.col("department_id").alias("scope_id"),
@@ -96,7 +133,7 @@ def current_tokens(tokens: DataFrame, pharmacy_tokens: DataFrame) -> DataFrame:
         F.min_by("token_number", F.struct("created_at", "id")).alias("current_token")).select(
         F.lit("pharmacy").alias("scope"), "queue_date", F.col("pharmacy_id").alias("scope_id"),
         "current_token")
-    return day.unionByName(dept).unionByName(ph)
+    return day.unionByName(dept.unionByName(ph), allowMissingColumns=True)
 
 
 def bookings_per_test(lab_bookings: DataFrame, lab_tests: DataFrame) -> DataFrame:
@@ -106,6 +143,36 @@ def bookings_per_test(lab_bookings: DataFrame, lab_tests: DataFrame) -> DataFram
     return agg.join(lab_tests.select("test_id", "test_name"), "test_id")
 
 
+def slot_availability(lab_bookings: DataFrame, lab_tests: DataFrame) -> DataFrame:
+    """A12 by slot: capacity, live bookings and what is left of every slot of every test and day with bookings.
+
+    A test's day is cut into slots of its slot duration; a booking belongs to the slot that its time falls into and
+    slots without bookings are filled in.  The day's capacity is shared out equally, and the seats that are left by
+    whole shares (largest remainder, where all remainders are equal) go to the slots with most bookings, then the
+    earlier ones.  So the rows of a day add up to ``lab_capacity``.
+    """
+    tests = lab_tests.select("test_id", "test_code", "daily_capacity",
+                             (F.col("slot_duration") * 60).alias("_seconds"),
+                             F.expr("cast(floor(86400 / (slot_duration * 60)) as int)").alias("_slots"))
+    live = lab_bookings.where(F.col("booking_status") != "cancelled").join(tests, "test_id")
+    # what is left of a day behind its last whole slot belongs to that slot
+    slot = F.least(F.floor(F.col("appointment_sod") / F.col("_seconds")), F.col("_slots") - 1).cast("int")
+    booked = live.groupBy("test_id", F.col("appointment_date").alias("slot_date"), slot.alias("_slot")).agg(
+        F.count(F.lit(1)).alias("booked_count"))
+    days = booked.select("test_id", "slot_date").distinct().join(tests, "test_id")
+    calendar = days.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.col("_slots") - 1)))
+    rows = calendar.join(booked, ["test_id", "slot_date", "_slot"], "left").withColumn(
+        "booked_count", F.coalesce("booked_count", F.lit(0)))
+    # at most a day's slots in a group
+    nth = F.row_number().over(Window.partitionBy("test_id", "slot_date").orderBy(F.desc("booked_count"), "_slot"))
+    share = F.floor(F.col("daily_capacity") / F.col("_slots"))
+    total = (share + F.when(nth <= F.col("daily_capacity") - share * F.col("_slots"), 1).otherwise(0)).cast("long")
+    rows = rows.withColumn("total_capacity", total).withColumn("slot_sod", F.col("_slot") * F.col("_seconds"))
+    return rows.select("test_id", "test_code", "slot_date", hms("slot_sod").alias("slot_time"), "slot_sod",
+                       "total_capacity", "booked_count",
+                       (F.col("total_capacity") - F.col("booked_count")).alias("available_count"))
+
+
 def lab_capacity(lab_bookings: DataFrame, lab_tests: DataFrame) -> DataFrame:
     """Day-level availability = daily_capacity - live bookings (not cancelled)."""
     agg = lab_bookings.where(F.col("booking_status") != "cancelled").groupBy(

@@ -17,7 +17,9 @@ from pyspark.sql import types as T
 
 from wardline.functions.columns import hms, sod
 from wardline.operators import queues
-from wardline.sources.staging import staged_hospital
+from wardline.sources.merge import MergeTable
+from wardline.sources.snapshots import DaySnapshots
+from wardline.sources.staging import scratch_path, staged_hospital
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -197,6 +199,13 @@ def q_doctor_wait(spark, sf_dir):
     return portable(stats.doctor_wait(h.doctors, h.tokens))
 
 
+@register("doctor_idle")
+def q_doctor_idle(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    first, last = h.tokens.agg(F.min("queue_date"), F.max("queue_date")).first()
+    return portable(stats.doctor_idle(h.doctors, h.tokens, first, last))
+
+
 @register("opd_stats")
 def q_opd_stats(spark, sf_dir):
     h = _h(spark, sf_dir)
@@ -239,7 +248,7 @@ def q_pharmacy_wait(spark, sf_dir):
 @register("current_tokens")
 def q_current_tokens(spark, sf_dir):
     h = _h(spark, sf_dir)
-    return portable(stats.current_tokens(h.tokens, h.pharmacy_tokens))
+    return portable(stats.current_tokens(h.tokens, h.pharmacy_tokens, h.doctors, h.departments))
 
 
 @register("bookings_per_test")
@@ -254,6 +263,12 @@ def q_lab_capacity(spark, sf_dir):
     return portable(stats.lab_capacity(h.prebooked_lab_appointments, h.lab_tests))
 
 
+@register("slot_availability")
+def q_slot_availability(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(stats.slot_availability(h.prebooked_lab_appointments, h.lab_tests))
+
+
 @register("queue_totals")
 def q_queue_totals(spark, sf_dir):
     h = _h(spark, sf_dir)
@@ -520,7 +535,10 @@ def read_supplier(h):
 def q_upsert_doctors(spark, sf_dir):
     h = _h(spark, sf_dir)
     base = h.doctors.select("id", "name", "fees", "department_id", "floor_block")
-    return portable(tables.upsert(base, _doctor_updates(h), ["id"], ["name", "fees"], "seq"))
+    table = MergeTable(spark, scratch_path(spark, "upsert_doctors"), base.schema)
+    table.create(base)
+    table.upsert(_doctor_updates(h), ["id"], ["name", "fees"], "seq")
+    return portable(table.read())
 
 
 @register("insert_absent")
@@ -550,6 +568,12 @@ def q_cancel_tokens(spark, sf_dir):
     return portable(folds.cancel_tokens(h.tokens, h.prebooked_appointments, h.cancel_log))
 
 
+@register("cancel_answers")
+def q_cancel_answers(spark, sf_dir):
+    h = _h(spark, sf_dir)
+    return portable(folds.cancel_answers(h.tokens, h.prebooked_appointments, h.cancel_log))
+
+
 @register("cancel_notifications")
 def q_cancel_notifications(spark, sf_dir):
     return portable(folds.cancel_notifications(_h(spark, sf_dir).cancel_log))
@@ -688,7 +712,10 @@ def q_backfill_locations(spark, sf_dir):
     values = h.departments.where(F.col("id") % 2 == 0).select(F.col("id").alias("department_id"),
                                                               F.upper("name").alias("wing"))
     base = h.doctors.select("id", "department_id", "wing")
-    return portable(tables.backfill(base, values, ["department_id"], ["wing"]))
+    table = MergeTable(spark, scratch_path(spark, "backfill_locations"), base.schema)
+    table.create(base)
+    table.backfill(values, ["department_id"], ["wing"])
+    return portable(table.read())
 
 
 @register("reset_bookings")
@@ -703,13 +730,13 @@ def q_reset_bookings(spark, sf_dir):
 @register("wipe_day")
 def q_wipe_day(spark, sf_dir):
     """The day-partitioned tokens after the first day has been removed."""
-    from wardline.sources.staging import scratch_path
     h = _h(spark, sf_dir)
-    path = scratch_path(spark, "wipe_day")
-    tables.replace_days(h.tokens.select("id", "token_number", "status", "queue_date"), path)
-    first = h.tokens.agg(F.min("queue_date")).first()[0]
-    tables.delete_days(spark, path, [first])
-    return portable(spark.read.parquet(path).select("id", "token_number", "status", "queue_date"))
+    rows = h.tokens.select("id", "token_number", "status", "queue_date")
+    store = DaySnapshots(spark, scratch_path(spark, "wipe_day"), rows.schema)
+    days = [r[0] for r in rows.select("queue_date").distinct().collect()]  # a row for each day
+    store.commit(rows, days)
+    store.wipe([min(days)] if days else [])
+    return portable(store.read())
 
 
 @register("public_queue")

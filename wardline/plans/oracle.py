@@ -492,6 +492,21 @@ FROM (SELECT doctor_id, queue_date, count(*) FILTER (WHERE status = 'waiting') A
 JOIN doctors d ON d.id = c.doctor_id
 """
 
+SQL["doctor_idle"] = ADAPTER + """,
+span AS (SELECT min(queue_date) AS first, max(queue_date) AS last FROM tokens),
+grid AS (
+  SELECT d.id, d.name, d.department_id, CAST(g.day AS DATE) AS day,
+         NOT EXISTS (SELECT 1 FROM tokens t WHERE t.doctor_id = d.id AND t.queue_date = CAST(g.day AS DATE)
+                     AND t.status = 'waiting') AS idle
+  FROM doctors d, (SELECT unnest(generate_series(first, last, INTERVAL 1 DAY)) AS day FROM span) g),
+runs AS (
+  SELECT *, day - CAST(row_number() OVER (PARTITION BY id ORDER BY day) AS INTEGER) AS island FROM grid WHERE idle)
+SELECT CAST(id AS BIGINT) AS doctor_id, any_value(name) AS doctor_name, CAST(any_value(department_id) AS BIGINT) AS department_id,
+       CAST(min(day) AS VARCHAR) AS idle_from, CAST(max(day) AS VARCHAR) AS idle_to, CAST(count(*) AS BIGINT) AS idle_days,
+       CAST(0 AS BIGINT) AS wait_time
+FROM runs GROUP BY id, island
+"""
+
 SQL["opd_stats"] = ADAPTER + """
 SELECT CAST(queue_date AS VARCHAR) AS queue_date, CAST(doctor_id AS BIGINT) AS doctor_id,
        CAST(count(*) AS BIGINT) AS total,
@@ -544,16 +559,17 @@ FROM pharmacy_tokens GROUP BY queue_date, pharmacy_id
 """
 
 SQL["current_tokens"] = ADAPTER + """
-SELECT 'day' AS scope, CAST(queue_date AS VARCHAR) AS queue_date, CAST(NULL AS BIGINT) AS scope_id,
-       arg_min(token_number, id) AS current_token
-FROM tokens WHERE status = 'consulting' GROUP BY queue_date
+SELECT 'day' AS scope, CAST(t.queue_date AS VARCHAR) AS queue_date, CAST(NULL AS BIGINT) AS scope_id,
+       t.token_number AS current_token, d.name AS doctor_name, p.name AS department_name
+FROM tokens t LEFT JOIN doctors d ON d.id = t.doctor_id LEFT JOIN departments p ON p.id = t.department_id
+WHERE t.id IN (SELECT min(id) FROM tokens WHERE status = 'consulting' GROUP BY queue_date)
 UNION ALL
 SELECT 'department', CAST(queue_date AS VARCHAR), CAST(department_id AS BIGINT),
-       COALESCE(arg_min(token_number, id) FILTER (WHERE status = 'consulting'), 'None')
+       COALESCE(arg_min(token_number, id) FILTER (WHERE status = 'consulting'), 'None'), NULL, NULL
 FROM tokens GROUP BY queue_date, department_id
 UNION ALL
 SELECT 'pharmacy', CAST(queue_date AS VARCHAR), CAST(pharmacy_id AS BIGINT),
-       arg_min(token_number, (created_at, id))
+       arg_min(token_number, (created_at, id)), NULL, NULL
 FROM pharmacy_tokens WHERE status = 'processing' GROUP BY queue_date, pharmacy_id
 """
 
@@ -573,6 +589,27 @@ WHERE p.booking_status <> 'cancelled'
 GROUP BY p.test_id, p.appointment_date, t.test_code, t.daily_capacity
 """
 
+SQL["slot_availability"] = ADAPTER + """,
+live AS (
+  SELECT p.test_id, p.appointment_date AS day, p.appointment_sod // (60 * t.slot_duration) AS slot
+  FROM prebooked_lab_appointments p JOIN lab_tests t ON t.test_id = p.test_id WHERE p.booking_status <> 'cancelled'),
+calendar AS (
+  SELECT t.test_id, t.test_code, x.day, t.daily_capacity AS c, 1440 // t.slot_duration AS n, t.slot_duration AS w,
+         unnest(range(0, 1440 // t.slot_duration)) AS slot
+  FROM lab_tests t JOIN (SELECT DISTINCT test_id, day FROM live) x ON x.test_id = t.test_id),
+filled AS (
+  SELECT k.*, (SELECT count(*) FROM live l WHERE l.test_id = k.test_id AND l.day = k.day AND l.slot = k.slot) AS booked
+  FROM calendar k),
+shared AS (
+  SELECT *, c // n + CASE WHEN row_number() OVER (PARTITION BY test_id, day ORDER BY booked DESC, slot) <= c % n
+                          THEN 1 ELSE 0 END AS total FROM filled)
+SELECT CAST(test_id AS BIGINT) AS test_id, test_code, CAST(day AS VARCHAR) AS slot_date,
+       printf('%02d:%02d:00', slot * w // 60, slot * w % 60) AS slot_time, CAST(slot * w * 60 AS BIGINT) AS slot_sod,
+       CAST(total AS BIGINT) AS total_capacity, CAST(booked AS BIGINT) AS booked_count,
+       CAST(total - booked AS BIGINT) AS available_count
+FROM shared
+"""
+
 SQL["queue_totals"] = ADAPTER + _LIVE_ROWS + """,
 lq AS (SELECT queue_date, doctor_id, count(*) AS n FROM lq_rows GROUP BY ALL),
 wl AS (SELECT queue_date, doctor_id, count(*) AS n FROM tokens
@@ -1112,6 +1149,29 @@ UNION ALL
 SELECT 'booking', booking_id, CAST(appointment_date AS VARCHAR), status, CAST(req_id AS BIGINT), 'cancelled' FROM bkf
 """
 
+SQL["cancel_answers"] = ADAPTER + """,
+q AS (SELECT req_id, d, COALESCE(token_id, 0) AS token_id, upper(trim(token)) AS T,
+             COALESCE(upper(trim(booking_id)), upper(trim(token))) AS B,
+             COALESCE(trim(reason), 'due to being late') AS reason, COALESCE(notify, TRUE) AS notify,
+             NOT (upper(trim(token)) = '' AND COALESCE(token_id, 0) = 0) AS ok FROM cancel_log),
+named AS (
+  SELECT q.req_id, count(*) AS n FROM q JOIN tokens t ON t.id = q.token_id WHERE q.token_id > 0 GROUP BY q.req_id
+  UNION ALL
+  SELECT q.req_id, count(*) FROM q JOIN tokens t ON t.queue_date = q.d
+    AND (upper(trim(t.token_number)) = q.T OR COALESCE(upper(trim(t.booking_id)) = q.B, FALSE))
+  WHERE q.token_id <= 0 GROUP BY q.req_id),
+keys AS (SELECT req_id, B AS k FROM q WHERE starts_with(B, 'PB')
+         UNION ALL SELECT req_id, T FROM q WHERE T <> B AND starts_with(T, 'PB')),
+booked AS (SELECT k.req_id, count(*) AS n FROM keys k JOIN prebooked_appointments p ON upper(trim(p.booking_id)) = k.k
+           GROUP BY k.req_id)
+SELECT CAST(q.req_id AS BIGINT) AS req_id, ok AS success,
+       CASE WHEN ok THEN 'Token cancelled successfully' ELSE 'Token number or ID is required' END AS message,
+       CASE WHEN ok THEN notify END AS notified, CASE WHEN ok THEN reason END AS reason,
+       CASE WHEN ok THEN CAST(COALESCE(n.n, 0) AS BIGINT) END AS tokens_named,
+       CASE WHEN ok THEN CAST(COALESCE(b.n, 0) AS BIGINT) END AS bookings_named
+FROM q LEFT JOIN named n ON n.req_id = q.req_id LEFT JOIN booked b ON b.req_id = q.req_id
+"""
+
 SQL["cancel_notifications"] = ADAPTER + _CANCEL_REQ + """
 SELECT CAST(req_id AS BIGINT) AS req_id, T AS token_number, B AS booking_id, 'cancelled' AS notification_type,
        'Your token has been cancelled ' || reason || '. Please contact reception.' AS message,
