@@ -354,7 +354,7 @@ def q_lab_booking_ahead(spark, sf_dir):
 
 # -- numbering, labels, requests, tables -------------------------------------------------
 from wardline.functions.columns import hour_label, seq3, starts_pb, ucfirst, wrap_sod  # noqa: E402
-from wardline.operators import folds, labels, numbering, requests, tables  # noqa: E402
+from wardline.operators import bodies, folds, labels, numbering, requests, tables  # noqa: E402
 
 
 @register("opd_token_numbers")
@@ -489,6 +489,18 @@ def q_parse_props(spark, sf_dir):
     return portable(p.select("event_id", "queue_date", "k_raw", "k_present", "k", (F.col("k") > 0).alias("k_valid")))
 
 
+@register("request_bodies")
+def q_request_bodies(spark, sf_dir):
+    """Every JSON body with its typed fields or the reason against it."""
+    parsed = bodies.parse_bodies(_h(spark, sf_dir).body_log)
+    return portable(parsed.select("req_id", "kind", "problem", "complaint", *bodies.FIELDS))
+
+
+@register("body_rejects")
+def q_body_rejects(spark, sf_dir):
+    return portable(bodies.rejects(bodies.parse_bodies(_h(spark, sf_dir).body_log)))
+
+
 @register("request_rejects")
 def q_request_rejects(spark, sf_dir):
     h = _h(spark, sf_dir)

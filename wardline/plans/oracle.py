@@ -1031,6 +1031,100 @@ SELECT p.event_id, CAST(ev.d AS VARCHAR) AS queue_date, p.k_raw, p.k_raw IS NOT
 FROM p JOIN ev ON ev.event_id = p.event_id
 """
 
+_BODIES = """,
+src AS (
+  SELECT event_id AS req_id, d, props, COALESCE(value < 10, FALSE) AS small, event_type,
+         COALESCE(TRY_CAST(json_extract_string(props, '$.k') AS INT), 0) AS k FROM (
+    SELECT e.event_id, CAST(e.ts AS DATE) AS d, e.props, e.value, e.event_type FROM events e)),
+kinds AS (
+  SELECT *, CASE event_type
+    WHEN 'view' THEN CASE WHEN k >= 50 THEN 'lab_verify' WHEN small THEN 'verify' ELSE 'checkin' END
+    WHEN 'click' THEN CASE WHEN small THEN 'reschedule' ELSE 'break' END
+    WHEN 'error' THEN CASE WHEN small THEN 'lab_cancel' ELSE 'pharmacy_cancel' END
+    WHEN 'purchase' THEN CASE WHEN small THEN 'pharmacy_status' ELSE 'opd_status' END
+    ELSE 'booking_cancel' END AS kind,
+    CASE k % 6 WHEN 0 THEN concat('"booking_id": " pb', k, '"') WHEN 1 THEN concat('"booking_id": ', k)
+               WHEN 2 THEN concat('"booking_id": {"id": ', k, '}') ELSE concat('"booking_id": "PB', k, '"') END AS booking,
+    CASE k % 6 WHEN 1 THEN concat('"token_id": "', k, 'abc"') WHEN 2 THEN '"token_id": [1, 2]'
+               ELSE concat('"token_id": ', k) END AS token
+  FROM src),
+inside AS (
+  SELECT *, CASE
+    WHEN kind = 'reschedule' THEN concat(booking, ', ',
+      CASE k % 5 WHEN 0 THEN concat('"new_date": "', CAST(d AS VARCHAR), '"') WHEN 1 THEN '"new_date": "2024/02/01"'
+                 WHEN 2 THEN '"new_date": 20240201' WHEN 3 THEN '"new_date": "2020-02-01"'
+                 ELSE '"new_date": "2024-03-01 "' END,
+      CASE k % 3 WHEN 0 THEN ', "new_time": "10:30:00"' WHEN 1 THEN ', "new_time": "9:30"' ELSE '' END)
+    WHEN kind = 'break' THEN concat(replace(token, 'token_id', 'doctor_id'), ', "action": "',
+      CASE k % 3 WHEN 0 THEN 'start_break' WHEN 1 THEN 'end_break' ELSE 'lunch' END, '"')
+    WHEN kind = 'pharmacy_cancel' THEN concat(token, ', ',
+      CASE WHEN k % 2 = 0 THEN concat('"token_number": "ph1-0', k, '"') ELSE '"reason": true' END)
+    WHEN kind IN ('pharmacy_status', 'opd_status') THEN concat(token, ', ',
+      CASE k % 4 WHEN 0 THEN '"status": "waiting"' WHEN 1 THEN '"status": "ready"' WHEN 2 THEN '"status": "completed"'
+                 ELSE '"status": null' END)
+    ELSE booking END AS inner_part FROM kinds),
+sent AS (SELECT req_id, d, kind, CASE WHEN k % 6 = 3 THEN concat('{', inner_part) WHEN k % 10 = 4 THEN props
+                                      ELSE concat('{', inner_part, '}') END AS body FROM inside),
+read_as AS (SELECT *, CASE WHEN json_valid(body) THEN body ELSE '[]' END AS j FROM sent),
+wrong AS (
+  SELECT *, CASE WHEN json_type(j) <> 'OBJECT' THEN 'body is not a JSON object' ELSE (
+    SELECT min_by(concat(f, ' must be a text or a number'), n) FROM (VALUES
+      (1, 'booking_id', ['booking_cancel', 'lab_cancel', 'checkin', 'verify', 'lab_verify', 'reschedule']),
+      (2, 'new_date', ['reschedule']), (3, 'new_time', ['reschedule']), (4, 'token_number', ['pharmacy_cancel']),
+      (5, 'token_id', ['pharmacy_cancel', 'pharmacy_status', 'opd_status']), (6, 'reason', ['pharmacy_cancel']),
+      (7, 'status', ['pharmacy_status', 'opd_status']), (8, 'doctor_id', ['break']), (9, 'action', ['break'])) t(n, f, ks)
+    WHERE list_contains(ks, kind) AND json_type(j, concat('$.', f)) IN ('OBJECT', 'ARRAY', 'BOOLEAN')) END AS problem
+  FROM read_as),
+texts AS (
+  SELECT *, json_extract_string(j, '$.booking_id') AS b, json_extract_string(j, '$.new_date') AS nd,
+         json_extract_string(j, '$.new_time') AS nt, json_extract_string(j, '$.token_number') AS tn,
+         json_extract_string(j, '$.token_id') AS ti, json_extract_string(j, '$.reason') AS rs,
+         json_extract_string(j, '$.status') AS st, json_extract_string(j, '$.doctor_id') AS di,
+         json_extract_string(j, '$.action') AS ac FROM wrong),
+typed AS (
+  SELECT req_id, d, kind, body, problem,
+    CASE WHEN problem IS NULL AND kind IN ('booking_cancel', 'lab_cancel', 'checkin', 'verify', 'lab_verify', 'reschedule')
+         THEN COALESCE(upper(trim(b)), '') END AS booking_id,
+    CASE WHEN problem IS NULL AND kind = 'reschedule' THEN COALESCE(trim(nd), '') END AS new_date,
+    CASE WHEN problem IS NULL AND kind = 'reschedule' THEN COALESCE(trim(nt), '') END AS new_time,
+    CASE WHEN problem IS NULL AND kind = 'pharmacy_cancel' THEN COALESCE(upper(trim(tn)), '') END AS token_number,
+    CASE WHEN problem IS NULL AND kind IN ('pharmacy_cancel', 'pharmacy_status', 'opd_status')
+         THEN @INT_TI END AS token_id,
+    CASE WHEN problem IS NULL AND kind = 'pharmacy_cancel' THEN COALESCE(trim(rs), 'Cancelled by patient') END AS reason,
+    CASE WHEN problem IS NULL AND kind IN ('pharmacy_status', 'opd_status') THEN COALESCE(trim(st), '') END AS status,
+    CASE WHEN problem IS NULL AND kind = 'break' THEN @INT_DI END AS doctor_id,
+    CASE WHEN problem IS NULL AND kind = 'break' THEN COALESCE(ac, '') END AS action
+  FROM texts)
+""".replace("@INT_TI", _intval("ti")).replace("@INT_DI", _intval("di"))
+
+SQL["request_bodies"] = ADAPTER + _BODIES + """
+SELECT CAST(req_id AS BIGINT) AS req_id, kind, problem, booking_id, new_date, new_time, token_number, token_id, reason, status,
+       doctor_id, action,
+       CASE WHEN problem IS NOT NULL THEN NULL
+            WHEN booking_id IN ('', '0') THEN CASE WHEN kind = 'lab_verify' THEN 'Lab Booking ID is required'
+                                                   ELSE 'Booking ID is required' END
+            WHEN new_date IN ('', '0') THEN 'New appointment date is required'
+            WHEN kind = 'reschedule' AND NOT regexp_full_match(new_date, '[0-9]{4}-[0-9]{2}-[0-9]{2}')
+              THEN 'Invalid date format. Use YYYY-MM-DD'
+            WHEN kind = 'reschedule' AND new_date < CAST(d AS VARCHAR) THEN 'Cannot reschedule to a past date'
+            WHEN kind = 'reschedule' AND new_time NOT IN ('', '0') AND NOT regexp_full_match(new_time, '[0-9]{2}:[0-9]{2}:[0-9]{2}')
+              THEN 'Invalid time format. Use HH:MM:SS'
+            WHEN kind = 'pharmacy_cancel' AND token_number IN ('', '0') AND token_id = 0 THEN 'Token number or ID is required'
+            WHEN kind = 'pharmacy_status' AND token_id <= 0 THEN 'Invalid token ID'
+            WHEN kind = 'pharmacy_status' AND status NOT IN ('waiting', 'processing', 'completed', 'cancelled')
+              THEN 'Invalid status. Must be: waiting, processing, completed, cancelled'
+            WHEN kind = 'opd_status' AND (token_id = 0 OR status IN ('', '0')) THEN 'Token ID and status are required'
+            WHEN kind = 'opd_status' AND status NOT IN ('waiting', 'consulting', 'completed', 'cancelled') THEN 'Invalid status'
+            WHEN kind = 'break' AND doctor_id = 0 THEN 'Doctor ID is required'
+            WHEN kind = 'break' AND action NOT IN ('start_break', 'end_break')
+              THEN 'Invalid action. Use start_break or end_break' END AS complaint
+FROM typed
+"""
+
+SQL["body_rejects"] = ADAPTER + _BODIES + """
+SELECT CAST(req_id AS BIGINT) AS req_id, kind, body, problem FROM typed WHERE problem IS NOT NULL
+"""
+
 SQL["request_rejects"] = ADAPTER + """
 SELECT 'opd_status' AS source, CAST(req_id AS BIGINT) AS req_id, new_status AS value,
        'Invalid value for new_status. Must be: waiting, consulting, completed, cancelled' AS reason

@@ -515,6 +515,50 @@ class Hospital:
             F.when(e % 2 == 0, "cash").otherwise("online").alias("payment_method"),
         )
 
+    @cached_property
+    def body_log(self) -> DataFrame:
+        """JSON bodies as clients send them: the number k of every event's ``props`` put into a request of the kind
+        that type and value stand for; some are cut off, some have wrong types, some are the props themselves."""
+        e = read_table(self.spark, self.sf_dir, "events").select(
+            "event_id", "ts", F.to_date("ts").alias("d"), "event_type", "props",
+            F.coalesce(F.col("value") < 10, F.lit(False)).alias("small"),
+            F.coalesce(F.get_json_object("props", "$.k").try_cast("int"), F.lit(0)).alias("k"))
+        k = F.col("k").cast("string")
+
+        def pick(yes: str, no: str) -> F.Column:
+            return F.when(F.col("small"), yes).otherwise(no)
+
+        kind = (F.when(F.col("event_type") == "view", F.when(F.col("k") < 50, pick("verify", "checkin")).otherwise("lab_verify"))
+                .when(F.col("event_type") == "click", pick("reschedule", "break"))
+                .when(F.col("event_type") == "error", pick("lab_cancel", "pharmacy_cancel"))
+                .when(F.col("event_type") == "purchase", pick("pharmacy_status", "opd_status")).otherwise("booking_cancel"))
+        form = F.col("k") % 6
+        booking = (F.when(form == 0, F.concat(F.lit('"booking_id": " pb'), k, F.lit('"')))
+                   .when(form == 1, F.concat(F.lit('"booking_id": '), k))
+                   .when(form == 2, F.concat(F.lit('"booking_id": {"id": '), k, F.lit("}")))
+                   .otherwise(F.concat(F.lit('"booking_id": "PB'), k, F.lit('"'))))
+        token = (F.when(form == 1, F.concat(F.lit('"token_id": "'), k, F.lit('abc"')))
+                 .when(form == 2, F.lit('"token_id": [1, 2]')).otherwise(F.concat(F.lit('"token_id": '), k)))
+        status = (F.when(F.col("k") % 4 == 0, F.lit('"status": "waiting"')).when(F.col("k") % 4 == 1, F.lit('"status": "ready"'))
+                  .when(F.col("k") % 4 == 2, F.lit('"status": "completed"')).otherwise(F.lit('"status": null')))
+        day = F.date_format("d", "yyyy-MM-dd")
+        moved = (F.when(F.col("k") % 5 == 0, F.concat(F.lit('"new_date": "'), day, F.lit('"')))
+                 .when(F.col("k") % 5 == 1, F.lit('"new_date": "2024/02/01"')).when(F.col("k") % 5 == 2, F.lit('"new_date": 20240201'))
+                 .when(F.col("k") % 5 == 3, F.lit('"new_date": "2020-02-01"')).otherwise(F.lit('"new_date": "2024-03-01 "')))
+        time = F.when(F.col("k") % 3 == 0, F.lit(', "new_time": "10:30:00"')).when(
+            F.col("k") % 3 == 1, F.lit(', "new_time": "9:30"')).otherwise(F.lit(""))
+        action = F.when(F.col("k") % 3 == 0, F.lit('"action": "start_break"')).when(
+            F.col("k") % 3 == 1, F.lit('"action": "end_break"')).otherwise(F.lit('"action": "lunch"'))
+        number = F.when(F.col("k") % 2 == 0, F.concat(F.lit('"token_number": "ph1-0'), k, F.lit('"'))).otherwise(
+            F.lit('"reason": true'))
+        inner = (F.when(kind == "reschedule", F.concat(booking, F.lit(", "), moved, time))
+                 .when(kind == "break", F.concat(F.regexp_replace(token, "token_id", "doctor_id"), F.lit(", "), action))
+                 .when(kind == "pharmacy_cancel", F.concat(token, F.lit(", "), number))
+                 .when(kind.isin("pharmacy_status", "opd_status"), F.concat(token, F.lit(", "), status)).otherwise(booking))
+        body = (F.when(form == 3, F.concat(F.lit("{"), inner)).when(F.col("k") % 10 == 4, F.col("props"))
+                .otherwise(F.concat(F.lit("{"), inner, F.lit("}"))))
+        return e.select(F.col("event_id").alias("req_id"), "ts", "d", kind.alias("kind"), body.alias("body"))
+
     # -- staff rosters (credentials are never loaded) --------------------------
     @cached_property
     def staff(self) -> DataFrame:

@@ -27,7 +27,7 @@ DOMAIN_TABLES = ("departments", "doctors", "tokens", "prebooked_appointments", "
                  "prebooked_lab_appointments", "pharmacy_tokens", "status_log", "break_log",
                  "lookup_log", "cancel_log", "booking_cancel_log", "reschedule_log",
                  "lab_cancel_log", "pharmacy_cancel_log", "pharmacy_status_log", "lab_status_log",
-                 "checkin_log", "opd_issue_log", "lab_issue_log", "pharmacy_issue_log", "issued_log", "staff",
+                 "checkin_log", "opd_issue_log", "lab_issue_log", "pharmacy_issue_log", "issued_log", "body_log", "staff",
                  "pharmacy_staff")
 
 # derived from domain tables by operators, staged like them
@@ -39,7 +39,8 @@ _CACHE: dict[tuple[str, str], "StagedHospital"] = {}
 
 # day columns of the tables that are not routed
 DAY_COLUMNS = {"tokens": "queue_date", "prebooked_appointments": "appointment_date", "lab_tokens": "scheduled_date",
-               "pharmacy_tokens": "queue_date", "opd_issue_log": "d", "lab_issue_log": "d", "issued": "d"}
+               "pharmacy_tokens": "queue_date", "opd_issue_log": "d", "lab_issue_log": "d", "issued": "d",
+               "body_log": "d"}
 
 
 class StagedHospital:
