@@ -219,31 +219,40 @@ pharmacy_staff AS (
   FROM customer WHERE c_acctbal < 2500)
 """
 
-# Live-queue branches (three-way UNION ALL) shared by several oracles.
-_LIVE_ROWS = """,
+# One scan of the open tokens says what each is; bookings without a token are a set difference of (day, key).
+_OPEN = """,
+open_tokens AS (
+  SELECT *, starts_with(upper(token_number), 'PB') AS numbered_pb,
+         list_filter([token_type, type, 'walkin'], lambda x: x IS NOT NULL)[1] AS kind,
+         CAST(status = 'waiting' AS INT) AS behind
+  FROM tokens WHERE list_contains(['waiting', 'consulting'], status)),
+held_keys AS (SELECT queue_date AS day, unnest([token_number, booking_id]) AS k, unnest(['number', 'booking']) AS of
+              FROM tokens WHERE status <> 'cancelled'),
+absent AS (
+  SELECT appointment_date AS day, upper(trim(booking_id)) AS k FROM prebooked_appointments WHERE status = 'booked'
+  EXCEPT SELECT day, upper(trim(k)) FROM held_keys WHERE of = 'number'),
+missing AS (SELECT pb.*, a.day FROM absent a JOIN prebooked_appointments pb
+            ON pb.appointment_date = a.day AND upper(trim(pb.booking_id)) = a.k AND pb.status = 'booked')
+"""
+
+# A token stands in the queue once for each thing that it is: pre-booked (branch 1), walk-in (branch 2).
+_LIVE_ROWS = _OPEN + """,
+placed AS (
+  SELECT *, unnest(list_filter([
+    {'branch': CASE WHEN numbered_pb OR list_contains([token_type, type], 'prebooked') THEN 1 END,
+     'at': ifnull(expected_sod, created_sod)},
+    {'branch': CASE WHEN NOT numbered_pb AND kind <> 'prebooked' THEN 2 END, 'at': created_sod}],
+    lambda x: x.branch IS NOT NULL)) AS place FROM open_tokens),
 lq_rows AS (
-  SELECT id, token_number, patient_name, COALESCE(token_type, type, 'walkin') AS token_type, status,
-         doctor_id, queue_date, COALESCE(expected_sod, created_sod) AS appointment_sod, created_at,
-         'checked_in' AS checkin_status, 1 AS branch
-  FROM tokens WHERE status IN ('waiting', 'consulting')
-    AND (token_type = 'prebooked' OR type = 'prebooked' OR upper(token_number) LIKE 'PB%')
-  UNION ALL
-  SELECT id, token_number, patient_name, COALESCE(token_type, type, 'walkin'), status, doctor_id,
-         queue_date, created_sod, created_at, 'checked_in', 2
-  FROM tokens WHERE status IN ('waiting', 'consulting')
-    AND COALESCE(token_type, type, 'walkin') <> 'prebooked' AND upper(token_number) NOT LIKE 'PB%'
+  SELECT id, token_number, patient_name, kind AS token_type, status, doctor_id, queue_date, place.at AS appointment_sod,
+         created_at, 'checked_in' AS checkin_status, place.branch AS branch, behind,
+         CAST(NOT numbered_pb AND kind <> 'prebooked' AS INT) AS walk FROM placed
   UNION ALL
-  SELECT pb.id, pb.booking_id, pb.patient_name, 'prebooked', 'waiting', pb.doctor_id,
-         pb.appointment_date, pb.appointment_sod, NULL, 'not_checked_in', 3
-  FROM prebooked_appointments pb
-  WHERE pb.status = 'booked' AND NOT EXISTS (
-    SELECT 1 FROM tokens t WHERE upper(trim(t.token_number)) = upper(trim(pb.booking_id))
-      AND t.queue_date = pb.appointment_date AND t.status <> 'cancelled'))
+  SELECT id, booking_id, patient_name, 'prebooked', 'waiting', doctor_id, day, appointment_sod, NULL, 'not_checked_in',
+         3, 1, 0 FROM missing)
 """
 
-_LIVE_ORDER = """ORDER BY CASE WHEN status = 'consulting' THEN 0 ELSE 1 END,
-         CASE WHEN token_type = 'prebooked' OR upper(token_number) LIKE 'PB%' THEN 0 ELSE 1 END,
-         appointment_sod NULLS FIRST, created_at NULLS FIRST, branch, id"""
+_LIVE_ORDER = "ORDER BY behind, walk, appointment_sod NULLS FIRST, created_at NULLS FIRST, branch, id"
 
 
 def _live(partition: str) -> str:
@@ -268,32 +277,23 @@ SQL: dict[str, str] = {}
 SQL["live_queue"] = _live("queue_date, doctor_id")
 SQL["live_queue_day"] = _live("queue_date")
 
-SQL["combined_queue_script"] = ADAPTER + f""",
-rows AS (
-  SELECT id, token_number, patient_name, 'prebooked' AS token_type, status,
-         COALESCE(expected_sod, created_sod) AS appointment_sod, 'checked_in' AS checkin_status,
-         queue_date, 1 AS branch
-  FROM tokens WHERE status IN ('waiting', 'consulting')
-    AND (token_type = 'prebooked' OR upper(token_number) LIKE 'PB%')
-  UNION ALL
-  SELECT id, token_number, patient_name, COALESCE(token_type, 'walkin'), status, created_sod,
-         'checked_in', queue_date, 2
-  FROM tokens WHERE status IN ('waiting', 'consulting') AND upper(token_number) NOT LIKE 'PB%'
+SQL["combined_queue_script"] = ADAPTER + _OPEN + f""",
+shown AS (
+  SELECT *, unnest(list_filter([
+    {{'branch': CASE WHEN numbered_pb OR token_type = 'prebooked' THEN 1 END, 'kind': 'prebooked',
+      'at': ifnull(expected_sod, created_sod)}},
+    {{'branch': CASE WHEN NOT numbered_pb THEN 2 END, 'kind': ifnull(token_type, 'walkin'), 'at': created_sod}}],
+    lambda x: x.branch IS NOT NULL)) AS s FROM open_tokens),
+line AS (
+  SELECT queue_date, id, token_number, patient_name, s.kind AS token_type, status, s.at AS minute, 'checked_in' AS checkin_status,
+         s.branch AS branch, behind, CAST(NOT numbered_pb AND s.kind <> 'prebooked' AS INT) AS walk FROM shown
   UNION ALL
-  SELECT pb.id, pb.booking_id, pb.patient_name, 'prebooked', 'waiting', pb.appointment_sod,
-         'not_checked_in', pb.appointment_date, 3
-  FROM prebooked_appointments pb
-  WHERE pb.status = 'booked' AND NOT EXISTS (
-    SELECT 1 FROM tokens t WHERE upper(trim(t.token_number)) = upper(trim(pb.booking_id))
-      AND t.queue_date = pb.appointment_date AND t.status <> 'cancelled'))
+  SELECT day, id, booking_id, patient_name, 'prebooked', 'waiting', appointment_sod, 'not_checked_in', 3, 1, 0 FROM missing)
 SELECT CAST(queue_date AS VARCHAR) AS queue_date,
-       CAST(row_number() OVER (PARTITION BY queue_date ORDER BY
-            CASE WHEN status = 'consulting' THEN 0 ELSE 1 END,
-            CASE WHEN token_type = 'prebooked' OR upper(token_number) LIKE 'PB%' THEN 0 ELSE 1 END,
-            appointment_sod NULLS FIRST, branch, id) AS BIGINT) AS position,
-       token_number, patient_name, token_type, status, {_hms('appointment_sod')} AS appointment_time,
-       checkin_status
-FROM rows
+       CAST(row_number() OVER (PARTITION BY queue_date ORDER BY behind, walk, minute NULLS FIRST, branch, id) AS BIGINT)
+         AS position,
+       token_number, patient_name, token_type, status, {_hms('minute')} AS appointment_time, checkin_status
+FROM line
 """
 
 SQL["simple_queue"] = ADAPTER + f"""
@@ -326,63 +326,53 @@ FROM st JOIN q ON q.queue_date = st.queue_date AND q.position > st.start AND q.p
 """
 
 SQL["lab_queue"] = ADAPTER + """,
-rows AS (
-  SELECT token_id AS id, token_number, patient_name, patient_type, token_status AS status, test_id,
-         scheduled_date AS queue_date, scheduled_sod, created_at, 'checked_in' AS checkin_status, 1 AS branch
-  FROM lab_tokens WHERE token_status IN ('waiting', 'in_progress')
+no_token AS (
+  SELECT booking_id, appointment_date AS day FROM prebooked_lab_appointments WHERE booking_status = 'booked'
+  EXCEPT SELECT booking_id, scheduled_date FROM lab_tokens WHERE token_status <> 'cancelled'),
+line AS (
+  SELECT token_id AS id, token_number, patient_name, patient_type, token_status AS status, test_id, scheduled_date AS day,
+         scheduled_sod AS due, created_at, ['checked_in', 'not_checked_in'][1] AS checkin_status
+  FROM lab_tokens WHERE list_contains(['waiting', 'in_progress'], token_status)
   UNION ALL
-  SELECT pla.booking_id, pla.booking_code, pla.patient_name, 'prebooked', pla.booking_status, pla.test_id,
-         pla.appointment_date, pla.appointment_sod, pla.created_at, 'not_checked_in', 2
-  FROM prebooked_lab_appointments pla
-  WHERE pla.booking_status = 'booked' AND NOT EXISTS (
-    SELECT 1 FROM lab_tokens lt WHERE lt.booking_id = pla.booking_id
-      AND lt.scheduled_date = pla.appointment_date AND lt.token_status <> 'cancelled'))
-SELECT CAST(r.queue_date AS VARCHAR) AS queue_date, CAST(r.test_id AS BIGINT) AS test_id, lt.test_name,
-       CAST(row_number() OVER w AS BIGINT) AS position, CAST(r.id AS BIGINT) AS id, r.token_number,
-       r.patient_name, r.patient_type, r.status, r.checkin_status,
-       CAST(row_number() OVER w - 1 AS BIGINT) AS people_ahead,
-       CAST(count(*) OVER (PARTITION BY r.queue_date, r.test_id) AS BIGINT) AS total_in_queue
-FROM rows r LEFT JOIN lab_tests lt ON lt.test_id = r.test_id
-WINDOW w AS (PARTITION BY r.queue_date, r.test_id ORDER BY
-             CASE WHEN r.status = 'in_progress' THEN 0 ELSE 1 END, r.scheduled_sod NULLS FIRST,
-             r.created_at NULLS FIRST, r.branch, r.id)
-"""
-
-SQL["doctor_worklist"] = ADAPTER + """,
-w AS (
-  SELECT *, CASE WHEN status = 'consulting' THEN 0
-                 WHEN COALESCE(token_type, type) = 'prebooked' OR upper(token_number) LIKE 'PB%' THEN 1
-                 WHEN COALESCE(token_type, type) = 'review' THEN 2 ELSE 3 END AS priority_order
-  FROM tokens WHERE status IN ('waiting', 'consulting')),
-r AS (
-  SELECT *, row_number() OVER (PARTITION BY queue_date, doctor_id ORDER BY
-            CASE WHEN status = 'consulting' THEN 0 ELSE 1 END, priority_order,
-            expected_sod NULLS FIRST, id) AS position
-  FROM w)
-SELECT CAST(queue_date AS VARCHAR) AS queue_date, CAST(doctor_id AS BIGINT) AS doctor_id,
-       CAST(position AS BIGINT) AS position, CAST(id AS BIGINT) AS id, token_number, patient_name,
-       COALESCE(token_type, type, 'walkin') AS type, status, CAST(expected_sod AS BIGINT) AS expected_sod,
-       CAST(department_id AS BIGINT) AS department_id, CAST(priority_order AS BIGINT) AS priority_order,
-       'checked_in' AS checkin_status
-FROM r WHERE position <= 20
-"""
-
-SQL["expected_arrivals"] = ADAPTER + """,
-pending AS (
-  SELECT pb.* FROM prebooked_appointments pb
-  WHERE pb.status IN ('booked', 'confirmed') AND NOT EXISTS (
-    SELECT 1 FROM tokens t
-    WHERE (upper(trim(t.token_number)) = upper(trim(pb.booking_id))
-           OR upper(trim(t.booking_id)) = upper(trim(pb.booking_id)))
-      AND t.queue_date = pb.appointment_date AND t.status <> 'cancelled')),
-r AS (
-  SELECT *, row_number() OVER (PARTITION BY appointment_date, doctor_id
-                               ORDER BY appointment_sod, id) AS position FROM pending)
-SELECT CAST(appointment_date AS VARCHAR) AS queue_date, CAST(doctor_id AS BIGINT) AS doctor_id,
-       CAST(position AS BIGINT) AS position, CAST(id AS BIGINT) AS prebook_id, booking_id AS token_number,
-       patient_name, 'prebooked' AS type, 'not_arrived' AS status,
-       CAST(appointment_sod AS BIGINT) AS expected_sod, 'not_checked_in' AS checkin_status
-FROM r WHERE position <= 10
+  SELECT b.booking_id, b.booking_code, b.patient_name, 'prebooked', b.booking_status, b.test_id, n.day, b.appointment_sod,
+         b.created_at, 'not_checked_in'
+  FROM no_token n JOIN prebooked_lab_appointments b ON b.booking_id = n.booking_id AND b.appointment_date = n.day),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY day, test_id ORDER BY CAST(status <> 'in_progress' AS INT), due NULLS FIRST,
+                               created_at NULLS FIRST, checkin_status, id) AS n,
+         count(*) OVER (PARTITION BY day, test_id) AS total FROM line)
+SELECT CAST(day AS VARCHAR) AS queue_date, CAST(r.test_id AS BIGINT) AS test_id, t.test_name, CAST(n AS BIGINT) AS position,
+       CAST(id AS BIGINT) AS id, token_number, patient_name, patient_type, r.status, checkin_status,
+       CAST(n - 1 AS BIGINT) AS people_ahead, CAST(total AS BIGINT) AS total_in_queue
+FROM ranked r LEFT JOIN lab_tests t ON t.test_id = r.test_id
+"""
+
+SQL["doctor_worklist"] = ADAPTER + _OPEN + """,
+tiers AS (
+  SELECT *, list_position([status = 'consulting', kind = 'prebooked' OR numbered_pb, kind = 'review', TRUE], TRUE) - 1 AS tier
+  FROM open_tokens),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY queue_date, doctor_id ORDER BY tier, expected_sod NULLS FIRST, id) AS n
+           FROM tiers)
+SELECT CAST(queue_date AS VARCHAR) AS queue_date, CAST(doctor_id AS BIGINT) AS doctor_id, CAST(n AS BIGINT) AS position,
+       CAST(id AS BIGINT) AS id, token_number, patient_name, kind AS type, status,
+       CAST(expected_sod AS BIGINT) AS expected_sod, CAST(department_id AS BIGINT) AS department_id,
+       CAST(tier AS BIGINT) AS priority_order, 'checked_in' AS checkin_status
+FROM ranked WHERE n <= 20
+"""
+
+SQL["expected_arrivals"] = ADAPTER + _OPEN + """,
+due AS (
+  SELECT appointment_date AS day, upper(trim(booking_id)) AS k FROM prebooked_appointments
+  WHERE list_contains(['booked', 'confirmed'], status)
+  EXCEPT SELECT day, upper(trim(k)) FROM held_keys),
+ranked AS (
+  SELECT p.*, row_number() OVER (PARTITION BY d.day, doctor_id ORDER BY appointment_sod, id) AS n
+  FROM due d JOIN prebooked_appointments p ON p.appointment_date = d.day AND upper(trim(p.booking_id)) = d.k
+  WHERE list_contains(['booked', 'confirmed'], p.status))
+SELECT CAST(appointment_date AS VARCHAR) AS queue_date, CAST(doctor_id AS BIGINT) AS doctor_id, CAST(n AS BIGINT) AS position,
+       CAST(id AS BIGINT) AS prebook_id, booking_id AS token_number, patient_name, 'prebooked' AS type,
+       'not_arrived' AS status, CAST(appointment_sod AS BIGINT) AS expected_sod, 'not_checked_in' AS checkin_status
+FROM ranked WHERE n <= 10
 """
 
 SQL["all_tokens"] = ADAPTER + f"""
