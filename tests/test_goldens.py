@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from replays import checkin
 from fixtures import DAY, booking, frames, hms, seed_bookings, token
 from wardline.operators import folds, numbering, queues, stats
 
@@ -54,7 +55,7 @@ def test_checkin_creates_token_with_slot_time(spark):
         [(1, dt.datetime(2024, 1, 15, 9, 0), DAY, "pb003"), (2, dt.datetime(2024, 1, 15, 9, 5), DAY, "PB003"),
          (3, dt.datetime(2024, 1, 15, 9, 10), DAY, "PB004")],
         "req_id long, ts timestamp_ntz, d date, booking_id string")
-    out = {r.req_id: r for r in folds.checkin_bookings(b, t, docs, log).collect()}
+    out = {r.req_id: r for r in checkin(spark, b, t, docs, log).collect()}
     assert out[1].accepted and out[1].token_number == "PB003" and out[1].expected_time == "11:00:00"
     assert out[1].patients_ahead == 2          # PB001, PB002 still booked earlier
     assert not out[2].accepted                 # already checked in by request 1

@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from replays import checkin
 from fixtures import DAY, booking, frames, hms, token
 from wardline.operators import folds, labels, lookups
 
@@ -154,6 +155,26 @@ def test_checkin_counts_earlier_confirmed_checkins(spark):
     docs = spark.createDataFrame([(1, "Dr One", 1)], "id int, name string, department_id int")
     log = spark.createDataFrame([(1, TS(9), DAY, "PB003"), (2, TS(9, 5), DAY, "PB004")],
                                 "req_id long, ts timestamp_ntz, d date, booking_id string")
-    out = {r.req_id: r.patients_ahead for r in folds.checkin_bookings(b, t, docs, log).collect()}
+    out = {r.req_id: r.patients_ahead for r in checkin(spark, b, t, docs, log).collect()}
     # PB003 was confirmed (not counted as booked); once checked in it is a token ahead of PB004
     assert out == {1: 2, 2: 3}
+
+
+def test_checkin_refuses_a_patient_with_an_active_token(spark):
+    bks = [booking(1, "PB001", 1, (10, 0)), booking(2, "PB002", 1, (10, 30)), booking(3, "PB003", 1, (11, 0))]
+    phone = {r[1]: r[3] for r in bks}
+    held = [token(7, "A007", phone=phone["PB001"]), token(8, "A008", status="completed", phone=phone["PB002"]),
+            token(9, "A009", status="consulting", patient_id=5)]
+    t, b = frames(spark, held, bks)
+    docs = spark.createDataFrame([(1, "Dr One", 1)], "id int, name string, department_id int")
+    log = spark.createDataFrame(
+        [(1, TS(9), DAY, "PB001", None), (2, TS(9, 1), DAY, "PB002", None), (3, TS(9, 2), DAY, "PB003", 5),
+         (4, TS(9, 3), DAY, "PB001", 6), (5, TS(9, 4), DAY, "PB001", 7)],
+        "req_id long, ts timestamp_ntz, d date, booking_id string, patient_id long")
+    out = {r.req_id: (r.accepted, r.reason) for r in checkin(spark, b, t, docs, log).collect()}
+    assert out[1] == (False, "You already have an active OPD consultation token (A007). You can only have one token at a "
+                             "time. Please complete, cancel, or wait for it to expire before checking in.")
+    assert out[2][0] and out[4][0]      # an ended token does not block; another account may use the phone's booking
+    assert out[3] == (False, "You already have an active OPD consultation token (A009) from your account. Only one token "
+                             "per account is allowed. Please complete, cancel, or wait for it to expire before checking in.")
+    assert out[5] == (False, "Invalid or expired booking")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from paths import SF001
+from replays import admissions_of
 from wardline.operators import folds, queues
 from wardline.sources.hospital import Hospital
 
@@ -58,7 +59,11 @@ def test_status_fold_composes_over_split_logs(spark):
 
 def test_replay_is_deterministic(spark):
     h = _h(spark)
-    inputs = (h.opd_issue_log, h.lab_issue_log, h.departments, h.doctors, h.lab_tests, h.status_log, h.lab_status_log)
-    a, b = folds.issue_opd(*inputs), folds.issue_opd(*inputs)
+    def issue():
+        admissions, issued = admissions_of(h, h.opd_issue_log, h.lab_issue_log, h.checkin_log, h.doctors,
+                                           h.prebooked_appointments, h.tokens, h.lab_tokens, h.status_log)
+        return folds.issue_opd(h.opd_issue_log, h.departments, h.doctors, admissions, issued, h.tokens, h.lab_tokens,
+                               h.status_log, h.issued_log)
+    a, b = issue(), issue()
     cols = ["req_id", "token_number", "patients_ahead"]
     assert sorted(a.select(*cols).collect()) == sorted(b.select(*cols).collect())

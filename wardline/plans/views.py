@@ -79,7 +79,8 @@ def opd_queue_view(h, as_of, department_id: int = 0, doctor_id: int = 0,
                       status=status)
     return {"queue": directory.tokens_enriched(t, h.doctors, h.departments),
             "stats": stats.status_counts(t, ["queue_date"], ["waiting", "consulting", "completed"]),
-            "current": stats.current_tokens(on_day(h.tokens, as_of), on_day(h.pharmacy_tokens, as_of))
+            "current": stats.current_tokens(on_day(h.tokens, as_of), on_day(h.pharmacy_tokens, as_of), h.doctors,
+                                             h.departments)
             .where(F.col("scope") == "day")}
 
 
