@@ -267,8 +267,26 @@ def removed_lines(rows, threshold=lines.THRESHOLD, min_chars=lines.MIN_CHARS):
 
 
 # -- 10 -----------------------------------------------------------------------
+def closest(notice, text, lo, hi, errors):
+    """(distance, start, end) of the stretch between word ends that is fewest edits away, the first of them."""
+    best = None
+    for start in range(lo, hi):
+        if start and text[start - 1] != " " or text[start] == " ":
+            continue
+        row = list(range(len(notice) + 1))
+        for end in range(start + 1, min(hi, start + len(notice) + errors) + 1):
+            new = [end - start]
+            for k, c in enumerate(notice, 1):
+                new.append(min(row[k] + 1, new[k - 1] + 1, row[k - 1] + (c != text[end - 1])))
+            row = new
+            if min(row) > errors:
+                break
+            if (end == len(text) or text[end] == " ") and row[-1] <= errors and (best is None or row[-1] < best[0]):
+                best = row[-1], start, end
+    return best
+
+
 def license_row(text):
-    import regex
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
     places = [(i, label) for phrase, label in licenses.BASE_PHRASES for i in range(len(w))
               if w[i:i + len(phrase.split())] == phrase.split()]
@@ -276,8 +294,14 @@ def license_row(text):
     joined, found = " ".join(w), []
     for notice, label in licenses.NOTICES:
         errors = len(notice) // licenses.LETTERS_PER_ERROR
-        for m in regex.finditer(f"(?b)(?<![0-9a-z])(?:{regex.escape(notice)}){{e<={errors}}}(?![0-9a-z])", joined):
-            found.append((sum(m.fuzzy_counts), m.start(), m.end(), label, 1 - sum(m.fuzzy_counts) / len(notice)))
+        pieces = [notice[len(notice) * i // (errors + 1):len(notice) * (i + 1) // (errors + 1)] for i in range(errors + 1)]
+        left = [(0, len(joined))] if any(p in joined for p in pieces) else []  # a match keeps one of these
+        while left:
+            lo, hi = left.pop()
+            hit = closest(notice, joined, lo, hi, errors)
+            if hit:
+                found.append((*hit, label, 1 - hit[0] / len(notice)))
+                left += [(lo, hit[1]), (hit[2], hi)]
     kept = [f for f in found if not any(g[0] < f[0] and f[1] < g[2] and g[1] < f[2] for g in found)]
     labels = base | {f[3] for f in kept}
     score = 1.0 if places else max([f[4] for f in kept], default=0.0)

@@ -213,3 +213,17 @@ def test_fit_reaches_the_least_loss():
     pull = 3.0 * toxicity.SWAP_PENALTY * (w[0] - w[1])
     grad = dense.T @ (p - y) + toxicity.RIDGE * w + np.array([pull, -pull, 0, 0, 0, 0])
     assert abs(grad).max() < 1e-2 and abs((p - y).sum()) < 1e-2
+
+
+# -- licences -----------------------------------------------------------------
+def test_weaker_notices_beside_the_best_one_are_found():
+    from wardline.llm import licenses
+    weak = "licensed undr the gnu generl public license version 3"
+    best = "licensed under the gnu general public license version 2"
+    scanner = licenses.Scanner()
+    for text in (f"{weak} {best}", f"{best} {weak}", f"{weak} and also {best} or {weak}"):
+        assert {m.label for m in scanner.search(text)} == {"gpl-2", "gpl-3"}, text
+        assert brute.license_row(text)[5] == "gpl-2,gpl-3"
+    twice = "released undr the mit license and then released under the mit license"
+    spans = [(m.start, m.end) for m in scanner.search(twice) if m.label == "mit"]
+    assert [s for s, _ in spans] == sorted(s for s, _ in spans) and len(spans) == 2 and spans[0][0] < 10

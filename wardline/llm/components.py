@@ -29,10 +29,13 @@ def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
         moves = to.withColumnRenamed("to", "root") if moves is None else scratch.write(
             moves.join(to.withColumnRenamed("node", "root"), "root", "left")
             .select("node", F.coalesce("to", "root").alias("root")), f"{name}-roots-{step}")
+        if step:  # the tables of the step before are consumed
+            scratch.drop(f"{name}-edges-{step - 1}", f"{name}-moves-{step - 1}", f"{name}-roots-{step - 1}")
         edges = (both.join(to.select(F.col("node").alias("a"), F.col("to").alias("x")), "a")
                  .join(to.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
                  .where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
         step += 1
+    scratch.drop(f"{name}-edges-{step}", f"{name}-edges-{step - 1}")
     if moves is None:
         return links.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
     return moves

@@ -118,15 +118,16 @@ class Scanner:
         found = []
         for n, ranges in self.windows(text).items():
             notice, label, errors, pattern = self.notices[n]
-            for lo, hi in ranges:
-                at = lo
-                while True:
-                    m = pattern.search(text, at, hi)
-                    if m is None:
-                        break
-                    edits = sum(m.fuzzy_counts)
-                    found.append(Match(label, m.start(), m.end(), edits, 1 - edits / len(notice)))
-                    at = max(m.end(), at + 1)
+            # the best match of a range, then those in front of it and behind it
+            left = list(ranges)
+            while left:
+                lo, hi = left.pop()
+                m = pattern.search(text, lo, hi) if hi > lo else None
+                if m is None:
+                    continue
+                edits = sum(m.fuzzy_counts)
+                found.append(Match(label, m.start(), m.end(), edits, 1 - edits / len(notice)))
+                left += [(lo, m.start()), (max(m.end(), lo + 1), hi)]
         return best_of_overlaps(found)
 
 

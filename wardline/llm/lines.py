@@ -394,6 +394,7 @@ def drop_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars:
     rows = scratch.number(docs)
     removed = scratch.write(repeated_lines(_placed(rows), scratch, threshold, min_chars).groupBy("row").agg(
         F.collect_set("line").alias("lines")), "removed")
+    scratch.keep_only("rows", "removed")
     scratch.release()
     text = F.col("doc.text")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("lines", i)), "\n")

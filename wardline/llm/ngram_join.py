@@ -397,10 +397,12 @@ def _verify(scratch: Scratch, pairs: DataFrame, texts: DataFrame, percent: int,
 
 
 # -- the join -----------------------------------------------------------------
-def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links_seen for each row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "ngram")
+def link_components(docs: DataFrame, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id and root (one number for each component) for each row of ``docs`` (doc_id, text).
+
+    The result reads the tables ``profile`` and ``named`` of ``scratch``; all others are dropped as they are consumed.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "ngram")
     docs = docs.select(docs["doc_id"], docs["text"])
     id_type = docs.schema["doc_id"].dataType.simpleString()
     profile = scratch.write(docs.mapInArrow(
@@ -440,6 +442,7 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                  .mapInArrow(_bucket_pairs(percent), "a long, b long").distinct())
         pairs = scratch.write(pairs, f"bucket-pairs-{turn}")
         found = _verify(scratch, pairs, texts, percent, f"bucket-links-{turn}")
+        scratch.drop(f"bucket-pairs-{turn}")
         links = found if links is None else links.union(found)
         comps = components(scratch, links, f"bucket-{turn}")
         scratch.release()
@@ -447,6 +450,7 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # then all pairs of different components in all units, by their trees
     mixed = units.join(_mixed_units(units, comps), "unit", "left_semi")
     labelled = scratch.write(_labelled(mixed, comps).join(vectors, "cls"), "labelled")
+    scratch.drop("home", "vectors")
     pages = scratch.write(labelled.groupBy("unit", "page").agg(F.min("n").alias("low"), F.max("n").alias("high")),
                           "pages")
     x, y = pages.alias("x"), pages.where("page > 0").alias("y")
@@ -461,7 +465,11 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rest = (alone.union(left).union(right).repartition("unit", "page", "other")
             .sortWithinPartitions("unit", "page", "other", "side", "n", "cls")
             .mapInArrow(_tree_pairs(percent), "a long, b long").distinct())
-    more = _verify(scratch, scratch.write(rest, "tree-pairs"), texts, percent, "tree-links")
+    tree_pairs = scratch.write(rest, "tree-pairs")
+    scratch.drop("labelled", "pages", "units")
+    scratch.release()
+    more = _verify(scratch, tree_pairs, texts, percent, "tree-links")
+    scratch.drop("tree-pairs", "texts")
 
     # components of both rounds, and the smallest id of each
     roots = components(scratch, links.union(more), "all")
@@ -470,6 +478,7 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                           .select("cls", "least", F.coalesce("root", "cls").alias("root")), "classes")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_class = scratch.write(named.join(ids, "root").select("cls", "component_id", "root"), "named")
+    scratch.keep_only("profile", "named", "rows")
     full = rows.where("n > 0").select("doc_id", "n", "cls").join(by_class, "cls").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "root")
     empty = rows.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"),
@@ -499,12 +508,13 @@ def keep_one_per_group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "groups")
     rows = scratch.number(docs)
-    groups = link_components(rows.select(F.col("row").alias("doc_id"), "doc.text"), percent)
+    groups = link_components(rows.select(F.col("row").alias("doc_id"), "doc.text"), percent, scratch)
     ids = rows.select("row", F.col("doc.doc_id").alias("id"))
     best = (groups.where("root is not null").select(F.col("doc_id").alias("row"), "root").join(ids, "row")
             .groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"))
             .select(F.col("best.row").alias("_row")))
     kept = scratch.write(best.union(groups.where("root is null").select("doc_id")), "kept")
+    scratch.keep_only("rows", "kept")
     scratch.release()
     return (rows.withColumnRenamed("row", "_row").join(kept.hint("merge"), "_row", "left_semi")
             .select("doc.*"))

@@ -60,6 +60,13 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def keep_only(self, *names: str) -> None:
+        """Delete all tables but the named ones, once what was derived from them is written."""
+        jvm = self.spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        self.drop(*[n for n in (f.getPath().getName() for f in fs.listStatus(root)) if n not in names])
+
 
 def clean_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that other columns cannot clash with an operator's own."""
