@@ -1,20 +1,34 @@
 """Quality rules: base counts and divergence from language references.
 
-One pass over the whole texts sums the histograms of each language; a second
-one counts words, their code points, symbols, repeated lines and words in
-repeated five-word windows of each document, and judges it.  The method
-compares two histograms of a document with those of all documents of its
-language: character classes, and a list of very common words of the four
-languages plus "any other word".  The distance is Jensen-Shannon's (square
-root of the divergence in bits, 0 to 1).  A distance is only judged where the
-document is long enough for it (``MIN_CHARS`` characters, ``MIN_WORDS``
-words), because a short text is far from any reference by chance.
-
-Defined results: a null text has no words (it fails the base rule); a null
-language is a language of its own; documents of a language whose documents
-have no text are judged by the base rule alone; repeated rows are judged
-each; an empty table gives an empty result; other columns pass through
-``keep_clean`` untouched and are ignored otherwise.
+One pass over the whole texts takes two histograms of each document:
+character classes, and a list of very common words of the four languages plus
+"any other word".  A second one counts words, their code points, symbols,
+repeated lines and words in repeated five-word windows, and judges each
+document by the distance of its histograms from its language's reference.  The
+distance is Jensen-Shannon's (square root of the divergence in bits, 0 to 1).
+It is only judged where the document is long enough for it (``MIN_CHARS``
+characters, ``MIN_WORDS`` words), because a short text is far from any
+reference by chance.  What chance adds to the squared distance of words falls
+with their number, so the limit is that of a very long text plus
+``WORD_NOISE`` over the number of words.
+
+Junk must not define what is normal.  So a reference is a trimmed mean: each
+document that is long enough has one vote, its shares (documents with equal
+shares vote once, so copies add nothing).  It starts as the mean of all votes
+of the language; then, ``ROUNDS`` times, it becomes the mean of the half of
+them nearest to it.  Junk that is a minority of a language drops out.
+
+A language with fewer than ``MIN_VOTERS`` votes, or none given (null), has no
+reference of its own, so a wrong label can't make one for a few documents:
+these are judged by the nearest of the ``DEFAULT_LANGS`` references with most
+votes.
+
+Defined results: a null text has no words (it fails the base rule); without
+any reference documents are judged by the base rule alone; repeated rows are
+judged each; an empty table gives an empty result; other columns pass through
+``keep_clean`` untouched and are ignored otherwise.  Not told apart: junk that
+is most of a language, or that fills a language of its own with
+``MIN_VOTERS`` different documents.
 """
 
 from __future__ import annotations
@@ -23,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,7 +50,13 @@ WINDOW = 5
 MIN_CHARS = 200
 MIN_WORDS = 60
 MAX_CLASS_DISTANCE = 0.33
-MAX_WORD_DISTANCE = 0.50
+MAX_WORD_DISTANCE = 0.20
+WORD_NOISE = 8.0
+VOTE = 1 << 20      # shares of a document are whole parts of this, so that sums don't depend on their order
+MIN_VOTERS = 20
+ROUNDS = 4
+BINS = 128          # steps in which the sum of both distances (0 to 2) is ordered
+DEFAULT_LANGS = 16
 
 # Very common words of English, German, French and Spanish.
 COMMON_WORDS = (
@@ -75,8 +95,7 @@ FEATURES = T.StructType([
     *[T.StructField(c, T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
     T.StructField("class_distance", T.DoubleType()), T.StructField("word_distance", T.DoubleType()),
     T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType())])
-SUMS = "lang string, classes array<bigint>, common array<bigint>"
-HELD_LANGS = 10_000  # languages whose sums a task holds at a time
+VOTES = "lang string, classes array<int>, common array<int>"
 
 
 def _common_hashes() -> tuple[np.ndarray, np.ndarray]:
@@ -159,40 +178,65 @@ def js_distance(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(total, 0))
 
 
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Summed histograms of a task's documents by language."""
-    held: dict[str | None, tuple[np.ndarray, np.ndarray]] = {}
+def _lists(m: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32()),
+                                    pa.array(m.ravel(), pa.int32()))
 
-    def rows() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(held), pa.string()), pa.array([c.tolist() for c, _ in held.values()], pa.list_(pa.int64())),
-             pa.array([w.tolist() for _, w in held.values()], pa.list_(pa.int64()))],
-            names=["lang", "classes", "common"])
 
+def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shares of classes and common words of each document that is long enough to be judged."""
     for batch in batches:
-        for a, b, data, off in chunks(batch.column("text")):
+        for a, _, data, off in chunks(batch.column("text")):
             classes, common = _histograms(data, off)
-            langs = batch.column("lang").slice(a, b - a).dictionary_encode(null_encoding="encode")
-            names, codes = langs.dictionary.to_pylist(), langs.indices.to_numpy()
-            for k, name in enumerate(names):
-                own = codes == k
-                old = held.get(name, (0, 0))
-                held[name] = (classes[own].sum(axis=0) + old[0], common[own].sum(axis=0) + old[1])
-            if len(held) > HELD_LANGS:
-                yield rows()
-                held.clear()
-    if held:
-        yield rows()
+            n_chars, n_words = classes.sum(axis=1), common.sum(axis=1)
+            at = np.flatnonzero((n_chars >= MIN_CHARS) & (n_words >= MIN_WORDS))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("lang").take(pa.array(a + at)), _lists(classes[at] * VOTE // n_chars[at, None]),
+                 _lists(common[at] * VOTE // n_words[at, None])], names=["lang", "classes", "common"])
+
+
+def _bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Votes with their distance from the reference in the same row, in steps."""
+    for batch in batches:
+        n = batch.num_rows
+        by_class = js_distance(_rows(batch.column("classes"), 0, n, N_CLASSES),
+                               _rows(batch.column("ref_classes"), 0, n, N_CLASSES))
+        width = len(COMMON_WORDS) + 1
+        by_word = js_distance(_rows(batch.column("common"), 0, n, width), _rows(batch.column("ref_common"), 0, n, width))
+        step = ((by_class + by_word) * BINS / 2).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("lang"), batch.column("classes"), batch.column("common"), pa.array(step)],
+            names=["lang", "classes", "common", "step"])
+
+
+def _summed(votes: DataFrame, *by: str) -> DataFrame:
+    def sums(column: str, width: int) -> Column:
+        return F.array(*[F.sum(F.element_at(column, i + 1)) for i in range(width)]).alias(column)
+    return votes.groupBy(*by).agg(sums("classes", N_CLASSES), sums("common", len(COMMON_WORDS) + 1),
+                                  F.sum("n").alias("n"))
 
 
 def references(scratch: Scratch, docs: DataFrame) -> DataFrame:
-    """(_ref_lang, ref_classes, ref_common): histograms of all documents of each language."""
-    def summed(column: str, width: int) -> Column:
-        return F.array(*[F.sum(F.element_at(column, i + 1)) for i in range(width)])
-    parts = docs.select(docs["lang"].cast("string").alias("lang"), docs["text"]).mapInArrow(_sums, SUMS)
-    return scratch.write(parts.groupBy("lang").agg(
-        summed("classes", N_CLASSES).alias("ref_classes"), summed("common", len(COMMON_WORDS) + 1).alias("ref_common"))
-        .withColumnRenamed("lang", "_ref_lang"), "references")
+    """(_ref_lang, ref_classes, ref_common, voters): trimmed means of the votes of each language."""
+    votes = scratch.write(docs.select(docs["lang"].cast("string").alias("lang"), docs["text"]).where("lang is not null")
+                          .mapInArrow(_votes, VOTES).distinct(), "votes")
+
+    def written(sums: DataFrame, name: str) -> DataFrame:
+        return scratch.write(sums.select(F.col("lang").alias("_ref_lang"), F.col("classes").alias("ref_classes"),
+                                         F.col("common").alias("ref_common"), "voters"), name)
+
+    refs = written(_summed(votes.withColumn("n", F.lit(1)), "lang").withColumn("voters", F.col("n"))
+                   .where(F.col("voters") >= MIN_VOTERS), "references0")
+    whole = Window.partitionBy("lang")  # at most BINS + 1 rows for each language
+    upto = whole.orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for k in range(ROUNDS):
+        steps = _summed(votes.join(refs, F.col("lang") == F.col("_ref_lang"))
+                        .select("lang", "classes", "common", "ref_classes", "ref_common")
+                        .mapInArrow(_bins, VOTES + ", step int").withColumn("n", F.lit(1)), "lang", "step")
+        near = (steps.withColumn("voters", F.sum("n").over(whole)).withColumn("before", F.sum("n").over(upto) - F.col("n"))
+                .where(2 * F.col("before") < F.col("voters")))
+        refs = written(_summed(near, "lang", "voters"), f"references{k + 1}")
+    return refs
 
 
 def _rows(col: pa.Array, a: int, b: int, width: int) -> np.ndarray:
@@ -204,7 +248,15 @@ def _rows(col: pa.Array, a: int, b: int, width: int) -> np.ndarray:
     return out
 
 
-def _judge(max_class: float, max_word: float):
+def _nearest(classes: np.ndarray, common: np.ndarray, defaults: list) -> tuple[np.ndarray, np.ndarray]:
+    """Both distances of each document from the reference that is nearest to it."""
+    pairs = np.array([[js_distance(classes, np.array([r["ref_classes"]], dtype=float)),
+                       js_distance(common, np.array([r["ref_common"]], dtype=float))] for r in defaults])
+    best = np.nan_to_num(pairs).sum(axis=1).argmin(axis=0)
+    return tuple(pairs[best, :, np.arange(len(classes))].T)
+
+
+def _judge(max_class: float, max_word: float, defaults: list):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         used = ("_text", "ref_classes", "ref_common")
         for batch in batches:
@@ -215,10 +267,15 @@ def _judge(max_class: float, max_word: float):
                 n_words, n_repeat = counts[0], counts[4]
                 by_class = js_distance(classes, _rows(batch.column("ref_classes"), a, b, N_CLASSES))
                 by_word = js_distance(common, _rows(batch.column("ref_common"), a, b, common.shape[1]))
+                unknown = np.flatnonzero(batch.column("ref_classes").slice(a, b - a).is_null()
+                                         .to_numpy(zero_copy_only=False))
+                if len(unknown) and defaults:
+                    by_class[unknown], by_word[unknown] = _nearest(classes[unknown], common[unknown], defaults)
                 by_class[classes.sum(axis=1) < MIN_CHARS] = np.nan
                 by_word[n_words < MIN_WORDS] = np.nan
                 failed = (n_words < MIN_BASE_WORDS) | (100 * n_repeat > MAX_REPEAT_PERCENT * n_words)
-                kept = ~failed & ~(by_class > max_class) & ~(by_word > max_word)
+                limit = np.sqrt(max_word ** 2 + WORD_NOISE / np.maximum(n_words, 1))
+                kept = ~failed & ~(by_class > max_class) & ~(by_word > limit)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(n).slice(a, b - a) for n in names]
                     + [pa.array(c.astype(np.int64)) for c in counts]
@@ -231,9 +288,11 @@ def _judge(max_class: float, max_word: float):
 def judge(rows: DataFrame, refs: DataFrame, max_class: float = MAX_CLASS_DISTANCE,
           max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
     """Replace ``_text`` and ``_lang`` by counts, both distances and the verdict ``kept``."""
-    known = rows.join(refs, F.col("_lang").eqNullSafe(F.col("_ref_lang")), "left").drop("_lang", "_ref_lang")
+    most = refs.orderBy(F.desc("voters"), "_ref_lang").limit(DEFAULT_LANGS).collect()
+    defaults = [{c: r[c] for c in ("ref_classes", "ref_common")} for r in most]
+    known = rows.join(refs, F.col("_lang") == F.col("_ref_lang"), "left").drop("_lang", "_ref_lang", "voters")
     schema = T.StructType([f for f in rows.schema.fields if f.name not in ("_text", "_lang")] + FEATURES.fields)
-    return known.mapInArrow(_judge(max_class, max_word), schema)
+    return known.mapInArrow(_judge(max_class, max_word, defaults), schema)
 
 
 def _with_language(docs: DataFrame, *columns: Column) -> DataFrame:
