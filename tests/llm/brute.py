@@ -165,20 +165,38 @@ def js(a, b):
     return math.sqrt(max(total, 0.0))
 
 
+def quality_references(rows):
+    """{lang: (classes, common)} of (lang, classes, common) rows: the half of the votes nearest to it, again and again."""
+    votes = defaultdict(set)
+    for lang, classes, common in rows:
+        if lang is not None and sum(classes) >= quality.MIN_CHARS and sum(common) >= quality.MIN_WORDS:
+            votes[lang].add(tuple(tuple(c * quality.VOTE // sum(h) for c in h) for h in (classes, common)))
+    refs = {}
+    for lang, own in votes.items():
+        if len(own) < quality.MIN_VOTERS:
+            continue
+        near = own
+        for _ in range(quality.ROUNDS + 1):
+            ref = [[sum(x) for x in zip(*h)] for h in zip(*near)]
+            bins = [(int(sum(js(a, b) for a, b in zip(v, ref)) * quality.BINS / 2), v) for v in own]
+            near = [v for b, v in bins if 2 * sum(c < b for c, _ in bins) < len(own)]
+        refs[lang] = ref
+    return refs
+
+
 def quality_verdicts(rows):
     """(counts, base_failed, kept) for (doc_id, lang, text) rows."""
     own = [histograms(t) for _, _, t in rows]
-    refs = defaultdict(lambda: ([0] * quality.N_CLASSES, [0] * (len(quality.COMMON_WORDS) + 1)))
-    for (_, lang, _), (classes, common) in zip(rows, own):
-        for ref, counts in zip(refs[lang], (classes, common)):
-            for i, c in enumerate(counts):
-                ref[i] += c
+    refs = quality_references([(lang, *h) for (_, lang, _), h in zip(rows, own)])
     out = []
     for (_, lang, text), (classes, common) in zip(rows, own):
         counts = base_counts(text)
         failed = counts[0] < 10 or 100 * counts[4] > 20 * counts[0]
-        off = (sum(classes) >= quality.MIN_CHARS and js(classes, refs[lang][0]) > quality.MAX_CLASS_DISTANCE) or (
-            counts[0] >= quality.MIN_WORDS and js(common, refs[lang][1]) > quality.MAX_WORD_DISTANCE)
+        pairs = [(js(classes, a), js(common, b)) for a, b in ([refs[lang]] if lang in refs else refs.values())]
+        by_class, by_word = min(pairs, key=sum, default=(0, 0))
+        off = (sum(classes) >= quality.MIN_CHARS and by_class > quality.MAX_CLASS_DISTANCE) or (
+            counts[0] >= quality.MIN_WORDS
+            and by_word ** 2 > quality.MAX_WORD_DISTANCE ** 2 + quality.WORD_NOISE / counts[0])
         out.append((counts, failed, not failed and not off))
     return out
 
@@ -255,12 +273,13 @@ def removed_lines(rows, threshold=lines.THRESHOLD, min_chars=lines.MIN_CHARS):
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i))
     for place, i in enumerate(order):
         for n, line in enumerate((rows[i][1] or "").split("\n")):
-            if len(line) >= min_chars:
+            if words(line):
                 first.setdefault(line, (place, n, i))
     by_length = defaultdict(list)
     for line in first:
-        by_length[len(line)].append(line)
-    near = {y for y in first for m in range(len(y) - threshold, len(y) + threshold + 1) for x in by_length[m]
+        if len(line) >= min_chars:
+            by_length[len(line)].append(line)
+    near = {y for y in first if len(y) >= min_chars for m in range(len(y) - threshold, len(y) + threshold + 1) for x in by_length[m]
             if first[x] < first[y] and x != y and edit_distance(x, y) <= threshold}
     return [[n for n, line in enumerate((t or "").split("\n"))
              if line in first and (line in near or first[line][1:] != (n, i))] for i, (_, t) in enumerate(rows)]

@@ -1,5 +1,6 @@
 """Every operator on documents against its plain Python version, over edge cases, a sample and no rows."""
 
+import random
 from collections import Counter, defaultdict
 
 import brute
@@ -70,6 +71,31 @@ def test_op5_quality(documents):
     same(got, [(d, *v) for (d, _, _), v in zip(rows, brute.quality_verdicts(rows))])
 
 
+@pytest.mark.parametrize("copies", [False, True])
+def test_op5_junk_does_not_set_the_reference(spark, sample_table, tmp_path, copies):
+    """A third of a language's documents, and a label of its own or none, change no verdict on clean documents."""
+    clean = rows_of(sample_table, "doc_id", "lang", "text")
+    rng = random.Random(5)
+    stock = ["".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(7)) for _ in range(900)]
+    n = sum(la == "en" for _, la, _ in clean) // 2
+    lists = [" ".join(rng.choice(stock) for _ in range(400 if copies else rng.randint(250, 600))) for _ in range(n)]
+    junk = [(10_000 + i, "en" if i >= 12 else ("zz" if i % 2 else None), lists[0] if copies else t)
+            for i, t in enumerate(lists)]
+    path = str(tmp_path / "documents")
+    spark.createDataFrame(clean + junk, "doc_id long, lang string, text string").write.parquet(path)
+    kept = {r.doc_id: r.kept for r in quality.op5_query(spark.read.parquet(path)).collect()}
+    alone = {r.doc_id: r.kept for r in quality.op5_query(sample_table).collect()}
+    assert not any(kept[d] for d, _, _ in junk)
+    assert sum(kept[d] != alone[d] for d in alone) <= len(alone) // 50 and all(kept[d] for d in alone if alone[d])
+
+
+def test_op9_short_lines(spark):
+    docs = spark.createDataFrame([(1, "ab\n \nMenu\nab"), (2, " \nMenu\nMenus\n\n"), (3, None)],
+                                 "doc_id long, text string")
+    got = {r.doc_id: (r.n_lines, r.removed_lines) for r in lines.op9_query(docs).collect()}
+    assert got == {1: (4, "3"), 2: (5, "1"), 3: (0, "")}
+
+
 def test_op6_repeats(documents):
     same([tuple(r) for r in repeats.op6_query(documents).collect()],
          brute.repeats(rows_of(documents, "doc_id", "text")))

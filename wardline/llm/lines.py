@@ -4,8 +4,10 @@ Lines are what ``\\n`` separates.  An occurrence of a line is removed if the
 same line occurs earlier in the corpus, or if another line within ``threshold``
 edits of it (insert, delete or replace a character) does.  Earlier means: in a
 document of smaller id, or before it in the same document.  Lines are judged
-on the input, not on what is left.  Lines shorter than ``min_chars`` are left
-alone: they repeat by chance and have too little text for segments.
+on the input, not on what is left.  Equal lines are found at every length;
+blank lines (nothing but white space) are layout and stay.  Only the edit join
+has a least length, ``min_chars``: in a shorter line the threshold is a large
+part of the text, and two edits make another line of it.
 
 A line is split into threshold + 1 even segments.  Of two lines within the
 threshold, one segment of the shorter stands unchanged in the longer, near its
@@ -117,6 +119,8 @@ class Characters:
         self.end = ends[np.lexsort((ends, np.concatenate([np.arange(n_docs), doc_of_break])))]
         first = np.searchsorted(self.doc, np.arange(n_docs))
         self.number = np.arange(len(self.doc)) - first[self.doc]
+        written = np.concatenate([[0], np.cumsum((points != 0x20) & ((points < 0x09) | (points > 0x0D)))])
+        self.blank = written[self.end] == written[self.start]
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         h = (self.sums[end] - self.sums[start]) * self.down[start]
@@ -159,19 +163,17 @@ def _int64(values: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(values).view(np.int64))
 
 
-def _occurrences(min_chars: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, order = batch.column("row"), batch.column("place")
-            null = batch.column("text").is_null().to_numpy(zero_copy_only=False)
-            for a, b, data, off in chunks(batch.column("text")):
-                ch = Characters(data, off)
-                keep = (ch.end - ch.start >= min_chars) & ~null[a:b][ch.doc]
-                at = pa.array(a + ch.doc[keep])
-                yield pa.RecordBatch.from_arrays(
-                    [row.take(at), order.take(at), pa.array(ch.number[keep].astype(np.int32)),
-                     _int64(ch.hash(ch.start[keep], ch.end[keep]))], names=["row", "place", "line", "h"])
-    return run
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every line with something in it (a null text has none)."""
+    for batch in batches:
+        row, order = batch.column("row"), batch.column("place")
+        for a, _, data, off in chunks(batch.column("text")):
+            ch = Characters(data, off)
+            keep = ~ch.blank
+            at = pa.array(a + ch.doc[keep])
+            yield pa.RecordBatch.from_arrays(
+                [row.take(at), order.take(at), pa.array(ch.number[keep].astype(np.int32)),
+                 _int64(ch.hash(ch.start[keep], ch.end[keep]))], names=["row", "place", "line", "h"])
 
 
 class _Fresh:
@@ -197,7 +199,7 @@ def _line_keys(min_chars: int, threshold: int):
         for batch in batches:
             for _, _, data, off in chunks(batch.column("text")):
                 ch = Characters(data, off)
-                lines = np.flatnonzero(ch.end - ch.start >= min_chars)
+                lines = np.flatnonzero((ch.end - ch.start >= min_chars) & ~ch.blank)
                 h = ch.hash(ch.start, ch.end)
                 lines = lines[fresh(h[lines])]
                 for own, keys, filed in keys_of(ch, lines, threshold):
@@ -213,7 +215,7 @@ def _texts(min_chars: int, wanted: Bitmap):
         for batch in batches:
             for _, _, data, off in chunks(batch.column("text")):
                 ch = Characters(data, off)
-                lines = np.flatnonzero(ch.end - ch.start >= min_chars)
+                lines = np.flatnonzero((ch.end - ch.start >= min_chars) & ~ch.blank)
                 h = ch.hash(ch.start, ch.end)
                 lines = lines[wanted.has(h[lines])]
                 lines = lines[fresh(h[lines])]
@@ -331,7 +333,7 @@ def _near(threshold: int):
 # -- the operator -------------------------------------------------------------
 def repeated_lines(docs: DataFrame, scratch: Scratch, threshold: int, min_chars: int) -> DataFrame:
     """(row, line, near) of every occurrence to remove, for (row, place, text) rows."""
-    seen = scratch.write(docs.mapInArrow(_occurrences(min_chars), "row long, place long, line int, h long"), "seen")
+    seen = scratch.write(docs.mapInArrow(_occurrences, "row long, place long, line int, h long"), "seen")
     first = scratch.write(seen.groupBy("h").agg(F.min(F.struct("place", "row", "line")).alias("first"),
                                                 F.count("*").alias("n")), "first")
     texts_only = docs.select("text")
@@ -408,16 +410,18 @@ def op9_query(documents: DataFrame) -> DataFrame:
     return line_report(documents)
 
 
-ORACLE_SQL = f"""
+ORACLE_SQL = rf"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
          unnest(range(len(string_split(text, chr(10))))) AS i
   FROM documents WHERE text IS NOT NULL),
 first AS (
-  SELECT line, length(line) AS n, min((doc_id, i)) AS at FROM l WHERE length(line) >= {MIN_CHARS} GROUP BY line),
+  SELECT line, length(line) AS n, min((doc_id, i)) AS at FROM l
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line),
 near AS (
   SELECT DISTINCT y.line FROM first x JOIN first y
-    ON x.n BETWEEN y.n - {THRESHOLD} AND y.n + {THRESHOLD} AND x.at < y.at
+    ON x.n >= {MIN_CHARS} AND y.n >= {MIN_CHARS}
+   AND x.n BETWEEN y.n - {THRESHOLD} AND y.n + {THRESHOLD} AND x.at < y.at
    AND levenshtein(x.line, y.line) <= {THRESHOLD}),
 removed AS (
   SELECT l.doc_id, l.i, near.line IS NOT NULL AS near
