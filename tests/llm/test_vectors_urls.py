@@ -51,6 +51,23 @@ def test_bounds_keep_the_best(spark):
         assert [(-s, v) for s, v, _ in best[i]] == want
 
 
+def test_candidates_are_dropped(spark):
+    """On the test embeddings most pairs are dropped before the last dimensions, and none of the best."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()
+    m = np.array([topk.quantised(list(r.embedding), 256) for r in rows], dtype=float).T
+    ids = np.array([r.vec_id for r in rows])
+    at = np.flatnonzero(ids % 50 == 0)
+    first = [f[-1][0] for f in topk.block_top(m[:, at], m[:, :1000], ids[:1000], np.where(at < 1000, at, -1), 5)]
+    trace = []
+    best = topk.block_top(m[:, at], m, ids, at, 5, first, trace=trace)
+    full = (m[:, at].T @ m).astype(int)
+    for i, q in enumerate(at):
+        want = sorted((-full[i, c], ids[c]) for c in range(len(ids)) if c != q)[:5]
+        assert [(-s, v) for s, v, _ in best[i]] == want
+    pairs = len(at) * len(ids)
+    assert all(b <= a for a, b in zip(trace, trace[1:])) and trace[-1] < pairs / 10, [round(t / pairs, 3) for t in trace]
+
+
 URLS = [
     None, "", "no scheme", "://", "http://", "http://net", "http://net/", "http://a.NET/x?y#z", "http://anet/x",
     "https://example.net/en/1", "https://m.example.net/en/", "https://example.net/EN/1", "https://example.net/en",

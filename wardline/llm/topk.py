@@ -2,13 +2,16 @@
 
 Vectors become integers (``floor(scale * x)``) and are packed into blocks in a
 vertical layout, one run of values for each dimension.  Query vectors are the
-stated rows; blocks of queries meet blocks of candidates.  For such a pair the
-scores are accumulated dimension block by dimension block.  What the open
+stated rows, gathered into full blocks.  Every query block first meets one
+block of candidates; the k-th best score a query finds there is a score that
+its answers must reach, and goes with it.  Then blocks of queries meet all
+blocks of candidates.  For such a pair the scores are accumulated dimension
+block by dimension block, dimensions of largest mass first.  What the open
 dimensions can still add is at most the product of the two remaining norms
 (Cauchy-Schwarz), so a candidate whose partial score plus this bound stays
-below the k-th best score of every query of the block is dropped and the
-surviving columns are compacted.  Each pair of blocks gives k rows for each
-query and these are ranked.
+below what a query needs is dropped for that query.  Columns that no query
+needs are compacted away; once few pairs are left, only these go on.  Each
+pair of blocks gives at most k rows for each query and these are ranked.
 
 Scores are exact: sums of products below 2^53 run in float64 matrix products,
 larger components in Python integers.
@@ -36,7 +39,8 @@ from wardline.llm.scratch import Scratch, clean_columns
 SCALE = 256
 BLOCK_ROWS = 4096
 QUERY_ROWS = 256
-DIM_BLOCK = 16
+DIM_BLOCK = 8
+FEW_PAIRS = 0.25    # share of open pairs below which they go on one by one
 _LONG = (-(1 << 63), (1 << 63) - 1)
 _NO_ID = np.iinfo(np.int64).max
 
@@ -130,10 +134,12 @@ def _pad(m: np.ndarray, dims: int) -> np.ndarray:
 
 
 def block_top(queries: np.ndarray, cands: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int,
-              dim_block: int = DIM_BLOCK) -> list[list[tuple[int, int, int]]]:
-    """For each query column the k best (score, id, column) of the candidate columns.
+              least: list | None = None, dim_block: int = DIM_BLOCK,
+              trace: list | None = None) -> list[list[tuple[int, int, int]]]:
+    """For each query column the best (score, id, column) of the candidate columns, at most k.
 
-    ``own`` holds the query's own column or -1.  Ties go to the smaller id.
+    ``own`` holds the query's own column or -1; candidates below a query's ``least`` may be left out.  Ties
+    go to the smaller id.  ``trace`` receives the number of open pairs after each block of dimensions.
     """
     dims = max(queries.shape[0], cands.shape[0])
     queries, cands = _pad(queries, dims), _pad(cands, dims)
@@ -145,33 +151,52 @@ def block_top(queries: np.ndarray, cands: np.ndarray, ids: np.ndarray, own: np.n
         scores = q.T.dot(c) if dims else np.zeros((n_q, n_c), dtype=object)
         return [_best(list(scores[i]), ids, np.arange(n_c), own[i], k) for i in range(n_q)]
 
-    alive = np.arange(n_c)
-    scores = np.zeros((n_q, n_c))
-    # remaining squared norms after each block of dimensions
-    q_rest = np.cumsum((queries ** 2)[::-1], axis=0)[::-1] if dims else np.zeros((0, n_q))
-    c_rest = np.cumsum((cands ** 2)[::-1], axis=0)[::-1] if dims else np.zeros((0, n_c))
-    live = cands
+    order = np.argsort(-((queries ** 2).sum(axis=1) * (cands ** 2).sum(axis=1)), kind="stable")
+    queries, live = queries[order], cands[order]
+    # what the dimensions behind each one can add, as norms
+    q_rest = np.sqrt(np.cumsum((queries ** 2)[::-1], axis=0)[::-1])
+    c_rest = np.sqrt(np.cumsum((live ** 2)[::-1], axis=0)[::-1])
+    need = np.array([-np.inf if x is None else x for x in (least or [None] * n_q)], dtype=float)
+    alive, scores, pairs = np.arange(n_c), np.zeros((n_q, n_c)), None
+    not_own = np.ones((n_q, n_c), dtype=bool)
+    not_own[np.flatnonzero(own >= 0), own[own >= 0]] = False
     for d in range(0, dims, dim_block):
-        scores += queries[d:d + dim_block].T @ live[d:d + dim_block]
-        nxt = d + dim_block
-        if nxt >= dims or len(alive) <= 4 * k:
-            continue
-        bound = np.sqrt(q_rest[nxt])[:, None] * np.sqrt(c_rest[nxt][alive])[None, :]
-        # one more than k, because a query's own row is among the candidates
-        at = len(alive) - min(k + 1, len(alive))
-        kth = np.partition(scores - bound, at, axis=1)[:, at]
-        keep = ((scores + bound) * (1 + 1e-12) + 1 >= kth[:, None]).any(axis=0)
-        if keep.sum() < 0.8 * len(alive):
-            alive, scores, live = alive[keep], scores[:, keep], live[:, keep]
+        nxt = min(d + dim_block, dims)
+        if pairs is None:
+            scores += queries[d:nxt].T @ live[d:nxt]
+        else:
+            scores += (queries[d:nxt, pairs[0]] * live[d:nxt, pairs[1]]).sum(axis=0)
+        if nxt < dims and pairs is None:
+            # rounding of the bound is within its own 1e-12th part and 2
+            bound = q_rest[nxt][:, None] * c_rest[nxt][alive][None, :] * (1 + 1e-12) + 2
+            if len(alive) > k:
+                sure = np.where(not_own, scores - bound, -np.inf)
+                need = np.maximum(need, np.partition(sure, len(alive) - k, axis=1)[:, len(alive) - k])
+            keep = not_own & (scores + bound >= need[:, None])
+            if keep.mean() < FEW_PAIRS:
+                pairs = np.nonzero(keep)
+                scores = scores[pairs]
+            else:
+                columns = keep.any(axis=0)
+                if columns.sum() < 0.8 * len(alive):
+                    alive, scores, live, not_own = alive[columns], scores[:, columns], live[:, columns], not_own[:, columns]
+        elif nxt < dims:
+            bound = q_rest[nxt][pairs[0]] * c_rest[nxt][alive[pairs[1]]] * (1 + 1e-12) + 2
+            keep = scores + bound >= need[pairs[0]]
+            pairs, scores = (pairs[0][keep], pairs[1][keep]), scores[keep]
+        if trace is not None:
+            trace.append(len(scores) if pairs else int(keep.sum()) if nxt < dims else scores.size)
+    if pairs is None:
+        pairs = np.nonzero(not_own & (scores >= need[:, None]))
+        scores = scores[pairs]
+    cut = np.searchsorted(pairs[0], np.arange(n_q + 1))
     out = []
     for i in range(n_q):
-        row = scores[i]
-        if len(row) > k + 1:
-            kth = np.partition(row, len(row) - (k + 1))[len(row) - (k + 1)]
-            near = np.flatnonzero(row >= kth)
-        else:
-            near = np.arange(len(row))
-        out.append(_best([int(x) for x in row[near]], ids, alive[near], own[i], k))
+        row, columns = scores[cut[i]:cut[i + 1]], alive[pairs[1][cut[i]:cut[i + 1]]]
+        if len(row) > k:
+            near = row >= np.partition(row, len(row) - k)[len(row) - k]
+            row, columns = row[near], columns[near]
+        out.append(_best([int(x) for x in row], ids, columns, own[i], k))
     return out
 
 
@@ -182,23 +207,43 @@ def _best(scores: list, ids: np.ndarray, columns: np.ndarray, own: int, k: int)
     return found[:k]
 
 
+QUERIES = ("q_set long, q_blocks array<bigint>, q_rows array<int>, q_ids array<bigint>, q_dims int, q_kind int, "
+           "q_packed binary")
+
+
+def _met(r: dict, k: int) -> list[list[tuple[int, int, int]]]:
+    """Best candidates of a row that holds a block of queries and one of candidates."""
+    ids = np.array([_NO_ID if x is None else x for x in r["ids"]], dtype=np.int64)
+    cands = _unpack(len(r["ids"]), r["dims"], r["kind"], r["packed"])
+    queries = _unpack(len(r["q_ids"]), r["q_dims"], r["q_kind"], r["q_packed"])
+    own = np.array([row if block == r["block"] else -1 for block, row in zip(r["q_blocks"], r["q_rows"])], dtype=np.int64)
+    return block_top(queries, cands, ids, own, k, r.get("least"))
+
+
+def _first_scores(k: int):
+    """The k-th best score of each query of a block (null: fewer candidates)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                least = [found[k - 1][0] if len(found) == k else None for found in _met(r, k)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r["q_set"]], pa.int64()), pa.array([least], pa.list_(pa.int64()))],
+                    names=["q_set", "least"])
+    return run
+
+
 def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                ids = np.array([_NO_ID if x is None else x for x in r["ids"]], dtype=np.int64)
-                cands = _unpack(len(r["ids"]), r["dims"], r["kind"], r["packed"])
-                queries = _unpack(len(r["q_ids"]), r["q_dims"], r["q_kind"], r["q_packed"])
-                same = r["block"] == r["q_block"]
-                own = np.array(r["q_rows"] if same else [-1] * len(r["q_ids"]), dtype=np.int64)
-                best = block_top(queries, cands, ids, own, k)
-                rows = [(q, at, s, i, r["block"], c) for q, at, found in zip(r["q_ids"], r["q_rows"], best)
+                rows = [(q, block, at, s, i, r["block"], c)
+                        for q, block, at, found in zip(r["q_ids"], r["q_blocks"], r["q_rows"], _met(r, k))
                         for s, i, c in found]
                 if not rows:
                     continue
-                q, at, s, i, b, c = zip(*rows)
+                q, block, at, s, i, b, c = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(q, pa.int64()), pa.array([r["q_block"]] * len(q), pa.int64()), pa.array(at, pa.int32()),
+                    [pa.array(q, pa.int64()), pa.array(block, pa.int64()), pa.array(at, pa.int32()),
                      pa.array(s, pa.int64()),
                      pa.array([None if x == _NO_ID and r["ids"][y] is None else x for x, y in zip(i, c)], pa.int64()),
                      pa.array(b, pa.int64()), pa.array(c, pa.int32())],
@@ -206,22 +251,37 @@ def _search(k: int):
     return run
 
 
-def _take_queries(divisor: int, query_rows: int):
-    """Blocks of the query rows of each candidate block."""
+def _take_queries(divisor: int):
+    """The query rows of each candidate block, one by one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 rows = [j for j, x in enumerate(r["ids"]) if x is not None and x % divisor == 0]
                 values = _unpack(len(r["ids"]), r["dims"], r["kind"], r["packed"])
-                for a in range(0, len(rows), query_rows):
-                    part = rows[a:a + query_rows]
-                    kind, packed = _encode(values[:, part])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([r["block"]], pa.int64()), pa.array([part], pa.list_(pa.int32())),
-                         pa.array([[r["ids"][j] for j in part]], pa.list_(pa.int64())),
-                         pa.array([r["dims"]], pa.int32()), pa.array([kind], pa.int32()),
-                         pa.array([packed], pa.binary())],
-                        names=["q_block", "q_rows", "q_ids", "q_dims", "q_kind", "q_packed"])
+                packed = [_encode(values[:, [j]]) for j in rows]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r["block"]] * len(rows), pa.int64()), pa.array(rows, pa.int32()),
+                     pa.array([r["ids"][j] for j in rows], pa.int64()), pa.array([r["dims"]] * len(rows), pa.int32()),
+                     pa.array([p[0] for p in packed], pa.int32()), pa.array([p[1] for p in packed], pa.binary())],
+                    names=["q_block", "q_row", "q_id", "dims", "kind", "packed"])
+    return run
+
+
+def _gather(query_rows: int):
+    """Blocks of at most ``query_rows`` single queries."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, query_rows):
+                rows = batch.slice(a, query_rows).to_pylist()
+                dims = max(r["dims"] for r in rows)
+                values = np.concatenate([_pad(_unpack(1, r["dims"], r["kind"], r["packed"]), dims) for r in rows], axis=1)
+                kind, packed = _encode(values)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([[r["q_block"] for r in rows]], pa.list_(pa.int64())),
+                     pa.array([[r["q_row"] for r in rows]], pa.list_(pa.int32())),
+                     pa.array([[r["q_id"] for r in rows]], pa.list_(pa.int64())), pa.array([dims], pa.int32()),
+                     pa.array([kind], pa.int32()), pa.array([packed], pa.binary())],
+                    names=["q_blocks", "q_rows", "q_ids", "q_dims", "q_kind", "q_packed"])
     return run
 
 
@@ -233,20 +293,30 @@ def top_k(vectors: DataFrame, k: int = 5, *, query_divisor: int = 50, scale: int
     vectors = clean_columns(vectors, "vec_id", "embedding").withColumn("vec_id", F.col("vec_id").cast("long"))
     blocks = scratch.write(vectors.mapInArrow(_pack(scale, block_rows), BLOCK)
                            .withColumn("block", F.monotonically_increasing_id()), "blocks")
-    queries = scratch.write(blocks.mapInArrow(
-        _take_queries(query_divisor, query_rows),
-        "q_block long, q_rows array<int>, q_ids array<bigint>, q_dims int, q_kind int, q_packed binary"), "queries")
+    single = scratch.write(blocks.mapInArrow(
+        _take_queries(query_divisor), "q_block long, q_row int, q_id long, dims int, kind int, packed binary"), "single")
+    # a part holds a few blocks of queries, so that most blocks are full
+    n_parts = 1 + single.count() // (4 * query_rows)
+    queries = scratch.write(single.repartition(n_parts, "q_block", "q_row")
+                            .mapInArrow(_gather(query_rows), QUERIES.removeprefix("q_set long, "))
+                            .withColumn("q_set", F.monotonically_increasing_id())
+                            .withColumn("first", F.lit(0)), "queries")
+    # one block of candidates, at most block_rows vectors, shows every query a score it must reach
+    sample = scratch.write(blocks.orderBy(F.xxhash64("block"), "block").limit(1).withColumn("first", F.lit(0)), "sample")
+    reached = scratch.write(queries.join(sample, "first").mapInArrow(_first_scores(k), "q_set long, least array<bigint>"),
+                            "reached")
     # every query block meets every candidate block: that is the stated search.  The queries are the
     # smaller side, so each of their blocks is sent to each cell of a grid that holds the candidates.
     n_cells = max(1, blocks.count())
     cell = F.pmod(F.xxhash64("block"), F.lit(n_cells)).cast("int")
-    met = (queries.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(n_cells - 1))))
+    met = (queries.drop("first").join(reached, "q_set")
+           .withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(n_cells - 1))))
            .join(blocks.withColumn("cell", cell), "cell"))
     local = met.mapInArrow(_search(k),
                            "query_id long, q_block long, q_row int, score long, vec_id long, block long, col int")
     best_first = F.struct((-F.col("score")).alias("a"), F.coalesce("vec_id", F.lit(_NO_ID)).alias("b"), "vec_id",
                           "score", "block", "col")
-    # k rows for each query and candidate block
+    # at most k rows for each query and candidate block
     order = Window.partitionBy("q_block", "q_row").orderBy(F.col("o.a"), F.col("o.b"), F.col("o.block"), F.col("o.col"))
     return (local.withColumn("o", best_first).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
