@@ -79,6 +79,15 @@ def _patient_name() -> F.Column:
     return F.concat(F.lit("Patient "), (F.col("user_id") + 1).cast("string"))
 
 
+def with_day(events: DataFrame) -> DataFrame:
+    """Events with their day ``d``, with seconds of day and an 8-event block id."""
+    return events.select(
+        "event_id", "ts", "user_id", "event_type", "value", "d",
+        sod("ts").alias("sod"),
+        F.floor(F.col("event_id") / 8).cast("bigint").alias("m"),
+    )
+
+
 class Hospital:
     """Lazy domain tables over one input directory."""
 
@@ -92,12 +101,7 @@ class Hospital:
         """``events`` with business day, seconds of day and an 8-event block id."""
         e = read_table(self.spark, self.sf_dir, "events").select(
             "event_id", "ts", "user_id", "event_type", "value")
-        return e.select(
-            "event_id", "ts", "user_id", "event_type", "value",
-            F.to_date("ts").alias("d"),
-            sod("ts").alias("sod"),
-            F.floor(F.col("event_id") / 8).cast("bigint").alias("m"),
-        )
+        return with_day(e.withColumn("d", F.to_date("ts")))
 
     def _route(self, taken: F.Column | None, *columns) -> DataFrame:
         """A table whose rows are one event each: those that are ``taken`` (None: all), as ``columns``."""

@@ -18,10 +18,10 @@ import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
+from pyspark.sql import functions as F
 
 from wardline.session import ensure_checkpoint_dir
-from wardline.sources.hospital import ISSUED_ID_BASE, ROUTED, Hospital
+from wardline.sources.hospital import ISSUED_ID_BASE, ROUTED, Hospital, with_day
 
 DOMAIN_TABLES = ("departments", "doctors", "tokens", "prebooked_appointments", "lab_tokens",
                  "prebooked_lab_appointments", "pharmacy_tokens", "status_log", "break_log",
@@ -30,6 +30,9 @@ DOMAIN_TABLES = ("departments", "doctors", "tokens", "prebooked_appointments", "
                  "checkin_log", "opd_issue_log", "lab_issue_log", "pharmacy_issue_log", "issued_log", "body_log", "staff",
                  "pharmacy_staff")
 
+# what the derived tables read of an event
+STAGED_EVENT_COLUMNS = ("event_id", "ts", "user_id", "event_type", "value")
+
 # derived from domain tables by operators, staged like them
 DERIVED_TABLES = ("admissions", "issued")
 
@@ -44,10 +47,13 @@ DAY_COLUMNS = {"tokens": "queue_date", "prebooked_appointments": "appointment_da
 
 
 class StagedHospital:
-    """``Hospital`` whose domain tables are read from staged Parquet, facts and logs in a folder for each day.
+    """``Hospital`` whose domain tables are read from staged Parquet, facts in a folder for each day.
 
-    The logs come from one pass over ``events`` that writes each row into the
-    folder of its (log, day).  A filter on the day column prunes folders.
+    The logs are not stored again: each is a projection of ``events``, staged
+    once in a folder for each day.  A query computes only the logs it reads,
+    and a filter on the day column prunes folders.  Staging also deals the
+    events over the tasks, so that the derivations do not depend on how the
+    input file is cut.
     """
 
     def __init__(self, base: Hospital, root: str):
@@ -56,37 +62,25 @@ class StagedHospital:
         self.spark = base.spark
         self.sf_dir = base.sf_dir
         self._tables: dict[str, DataFrame] = {}
-        self._locks = {n: threading.Lock() for n in (*DOMAIN_TABLES, *DERIVED_TABLES, "routed")}
-        self._routed = False
-
-    def _route(self) -> None:
-        """Write all routed tables, once."""
-        with self._locks["routed"]:
-            if not self._routed:
-                rows = self.base.routed_rows()
-                rows.hint("rebalance", "log", "day").write.mode("overwrite").partitionBy("log", "day").parquet(
-                    f"{self.root}/routed")
-                self._routed = True
-
-    def _read_routed(self, name: str) -> DataFrame:
-        self._route()
-        wanted = getattr(self.base, name).schema
-        day = ROUTED[name]
-        types = self.base.routed_types()
-        fields = [T.StructField(f.name, types[f.name]) for f in wanted.fields if f.name != day]
-        fields.append(T.StructField("day", T.DateType()))
-        path = f"{self.root}/routed/log={name}"
-        rows = (self.spark.read.schema(T.StructType(fields)).parquet(path) if _exists(self.spark, path)
-                else self.spark.createDataFrame([], T.StructType(fields)))
-        rows = rows.withColumnRenamed("day", day)
-        return rows.select(*[rows[f.name].cast(f.dataType).alias(f.name) if rows.schema[f.name].dataType != f.dataType
-                             else f.name for f in wanted.fields])
+        self._locks = {n: threading.Lock() for n in (*DOMAIN_TABLES, *DERIVED_TABLES, "events")}
+
+    def _stage_events(self) -> None:
+        """Write the event columns that tables are derived from, once; the tables' plans start from there."""
+        with self._locks["events"]:
+            if "events" not in self._tables:
+                path = f"{self.root}/events"
+                rows = self.base.events.select(*STAGED_EVENT_COLUMNS, F.col("d").alias("day"))
+                rows.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(path)
+                self._tables["events"] = self.base.events = with_day(
+                    self.spark.read.schema(rows.schema).parquet(path).withColumnRenamed("day", "d"))
 
     def _stage(self, name: str) -> DataFrame:
         with self._locks[name]:
             if name not in self._tables:
+                if name in ROUTED or name in DAY_COLUMNS:
+                    self._stage_events()
                 if name in ROUTED:
-                    self._tables[name] = self._read_routed(name)
+                    self._tables[name] = getattr(self.base, name)
                     return self._tables[name]
                 path = f"{self.root}/{name}"
                 table = self._derive(name) if name in DERIVED_TABLES else getattr(self.base, name)
@@ -133,11 +127,6 @@ def staged_hospital(spark: SparkSession, sf_dir: str) -> StagedHospital:
         return _CACHE[key]
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-
-
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder name below the shared checkpoint directory."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/wardline-scratch/{label}-{uuid.uuid4().hex}"
