@@ -112,3 +112,25 @@ def test_a_long_chain_of_one_patient(spark):
 
 def test_no_requests(spark):
     assert admit(*frames(spark, [], [], []), BASE, written_tables(spark, "admit")).count() == 0
+
+
+def test_a_round_replays_only_the_keys_that_something_else_covers_anew(spark):
+    day = dt.date(2024, 1, 10)
+    rows = [(1, "opd", dt.datetime(2024, 1, 10, 9), day, 1, "111", True, None),     # account 1 opens a token
+            (2, "opd", dt.datetime(2024, 1, 10, 10), day, None, "111", True, None),  # found by its phone: refused
+            (3, "opd", dt.datetime(2024, 1, 10, 11), day, 2, "222", True, None)]    # nobody asks on this phone
+    asks = spark.createDataFrame(rows, "uid long, kind string, ts timestamp_ntz, d date, patient_id long, phone string, "
+                                       "valid boolean, booking string")
+    stored = spark.createDataFrame([], "lab boolean, token_id long, d date, patient_id long, phone string, status string")
+    changes = spark.createDataFrame([], "lab boolean, token_id long, ts timestamp_ntz, id long, status string")
+    write, kept = written_tables(spark, "rounds"), {}
+
+    def keep(df, name):
+        kept[name] = write(df, name)
+        return kept[name]
+
+    out = admit(asks, stored, changes, 100, keep)
+    assert {r.uid: (r.admitted, r.blocker_token_id) for r in out.collect()} == {
+        1: (True, None), 2: (False, 101), 3: (True, None)}
+    assert {r.key for r in kept["0-line"].collect()} == {"a:1", "p:111", "a:2"}
+    assert {r.key for r in kept["1-line"].collect()} | {r.key for r in kept["1-touched"].collect()} <= {"p:111"}

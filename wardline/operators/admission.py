@@ -20,7 +20,8 @@ What else covers the day -- stored tokens, tokens that accounts opened,
 revived tokens, bookings that are taken -- is known from the accepted requests
 of the round before.  Rounds repeat until nothing changes.  Effects only go
 forward in time, so each round settles at least the next request in which
-something was still open, and the result is that of the replay in order.
+something was still open, and the result is that of the replay in order.  A
+round replays only the keys and days for which something else has changed.
 """
 
 from __future__ import annotations
@@ -93,9 +94,11 @@ def _spans(requests: DataFrame, asks: DataFrame, stored: DataFrame, changes: Dat
                             F.lit(None).cast("long").alias("uid"), F.lit(None).cast("string").alias("own"),
                             F.lit(None).cast("string").alias("status"), "ts", F.lit(0).alias("step"),
                             F.col("uid").alias("id"), F.lit(1).alias("ask"))
-    line = marks.unionByName(events.withColumn("ask", F.lit(0)))
+    # written before each scan: the hot group checks and the joins behind read the rows again
+    line = keep(marks.unionByName(events.withColumn("ask", F.lit(0))), "line")
     line = running_sum(line, _GROUP, ["ts", "step", "id", F.desc("ask"), "lab", "token_id"], "ask", "place")
-    events = line.where("ask = 0").drop("ask").withColumn("active", _is_active(F.col("lab"), F.col("status")))
+    events = keep(line.where("ask = 0").drop("ask").withColumn("active", _is_active(F.col("lab"), F.col("status"))),
+                  "placed")
     token = [*_GROUP, "lab", "token_id"]
     events = lag_within(events, token, [F.desc("ts"), F.desc("step"), F.desc("id")], "place", "high")
     order = F.struct("ts", "step", "id", "place")
@@ -126,7 +129,7 @@ def _free(requests: DataFrame, busy: DataFrame, strategy: str) -> DataFrame:
 
 
 def _chain(free: DataFrame, keep, strategy: str) -> DataFrame:
-    """(uid): the first free request of each key and day, and from each one the first behind its token's end."""
+    """(uid, key, d): the first free request of each key and day, and from each one the first behind its token's end."""
     marks = F.array(F.struct("place", F.lit(1).alias("ask")), F.struct(F.col("end").alias("place"), F.lit(0).alias("ask")))
     marks = free.select(*_GROUP, "uid", F.explode(marks).alias("m")).select(*_GROUP, "uid", "m.place", "m.ask")
     # free requests in front: a request's own number, and that of the first one at or behind an end
@@ -148,7 +151,13 @@ def _chain(free: DataFrame, keep, strategy: str) -> DataFrame:
         ahead = jump.select(*_GROUP, F.col("q").alias("next"), F.col("next").alias("far"))
         jump = jump.join(ahead, [*_GROUP, "next"]).select(*_GROUP, "q", F.col("far").alias("next"))
         step += 1
-    return nodes.join(reached, [*_GROUP, "q"], "left_semi").select("uid")
+    return nodes.join(reached, [*_GROUP, "q"], "left_semi").select("uid", *_GROUP)
+
+
+def _flips(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(uid): those in only one of two sets."""
+    return before.join(after, "uid", "left_anti").select("uid").unionByName(
+        after.join(before, "uid", "left_anti").select("uid"))
 
 
 def _taken(accepted: DataFrame, asks: DataFrame) -> DataFrame:
@@ -196,32 +205,39 @@ def admit(asks: DataFrame, stored: DataFrame, changes: DataFrame, issued_base: i
     spans = keep(_spans(requests, asks, stored, changes, issued_base, keep), "spans")
     ends = spans.where("home and first").groupBy("uid").agg(F.min("off").alias("end"))
     openers = keep(requests.where("valid").join(ends, "uid").select(*_GROUP, "place", "uid", "end"), "openers")
-    unchecked = asks.where("key is null and valid").select("uid")
-    accepted = taken = openers.select("uid").limit(0)
+    unchecked = asks.where("key is null and valid").select("uid", *_GROUP)
+    foreign = keep(spans.where("uid is not null and not (home and first)"), "foreign")
+    stored_spans = spans.where("uid is null")
+    accepted, taken, touched = openers.select("uid", *_GROUP).limit(0), openers.select("uid").limit(0), None
     strategy, turn = _strategy(requests, spans), 0
     while True:
-        others = spans.where("uid is not null and not (home and first)").join(accepted, "uid", "left_semi")
-        busy = spans.where("uid is null").unionByName(others.select(*spans.columns))
+        busy = stored_spans.unionByName(foreign.join(accepted, "uid", "left_semi").select(*spans.columns))
         able = openers.join(taken, "uid", "left_anti")
 
         def here(df: DataFrame, name: str, turn=turn) -> DataFrame:
             return keep(df, f"{turn}-{name}")
 
-        now = here(_chain(_free(able, busy, strategy), here, strategy).unionByName(
-            unchecked.join(taken, "uid", "left_anti")), "accepted")
-        changed = now.join(accepted, "uid", "left_anti").limit(1).unionByName(
-            accepted.join(now, "uid", "left_anti").limit(1))
-        if changed.isEmpty():
+        if touched is not None:
+            busy, able = (x.join(touched, _GROUP, "left_semi") for x in (busy, able))
+        now = _chain(_free(able, busy, strategy), here, strategy)
+        if touched is not None:
+            now = now.unionByName(accepted.where("key is not null").join(touched, _GROUP, "left_anti").select("uid", *_GROUP))
+        now = here(now.unionByName(unchecked.join(taken, "uid", "left_anti").select("uid", *_GROUP)), "accepted")
+        flips = here(_flips(accepted, now), "flips")
+        if flips.isEmpty():
             break
         accepted, turn = now, turn + 1
-        taken = here(_taken(accepted, asks), "taken")
+        held, taken = taken, here(_taken(accepted, asks), "taken")
+        # keys and days whose other cover, or whose requests that can open a token, have changed
+        touched = here(foreign.join(flips, "uid", "left_semi").select(*_GROUP).unionByName(
+            openers.join(_flips(held, taken), "uid", "left_semi").select(*_GROUP)).distinct(), "touched")
     covering = spans.where("uid is null").unionByName(
         spans.where("uid is not null").join(accepted, "uid", "left_semi").select(*spans.columns))
     largest = requests.agg(F.max("place")).first()[0] or 0
     refused = requests.join(accepted, "uid", "left_anti").join(taken, "uid", "left_anti")
     blocked = _blockers(refused, covering, largest)
     out = asks.select("uid", "kind", account.alias("by_account")).join(
-        accepted.withColumn("admitted", F.lit(True)), "uid", "left").join(
+        accepted.select("uid", F.lit(True).alias("admitted")), "uid", "left").join(
         taken.withColumn("taken", F.lit(True)), "uid", "left").join(blocked, "uid", "left")
     no = F.lit(False)
     return out.select("uid", "kind", F.coalesce("admitted", no).alias("admitted"), F.coalesce("taken", no).alias("taken"),
