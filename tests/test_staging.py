@@ -3,8 +3,10 @@
 import os
 
 from paths import SF001
+from wardline.operators import folds
 from wardline.sources.hospital import ROUTED, Hospital
 from wardline.sources.staging import StagedHospital
+from wardline.streaming import alerts
 
 
 def test_reading_a_log_stages_the_events_alone(spark, tmp_path):
@@ -20,3 +22,14 @@ def test_logs_scan_the_staged_events_and_prune_their_days(spark, tmp_path):
         plan = log.where(log[day] == "2024-01-10")._jdf.queryExecution().executedPlan().toString()
         scans = [x for x in plan.splitlines() if "FileScan parquet" in x]
         assert len(scans) == 1 and str(tmp_path)[:40] in scans[0] and "PartitionFilters: [isnotnull(day" in scans[0], name
+
+
+def _staged_by(spark, tmp_path, fold) -> list[str]:
+    h = StagedHospital(Hospital(spark, SF001), str(tmp_path))
+    assert fold(h).count() > 0
+    return sorted(os.listdir(tmp_path))
+
+
+def test_pharmacy_status_fold_stages_what_it_reads(spark, tmp_path):
+    assert _staged_by(spark, tmp_path, lambda h: folds.pharmacy_status_fold(h.pharmacy_tokens, h.pharmacy_status_log)) == [
+        "events", "pharmacy_tokens"]
