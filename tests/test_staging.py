@@ -33,3 +33,8 @@ def _staged_by(spark, tmp_path, fold) -> list[str]:
 def test_pharmacy_status_fold_stages_what_it_reads(spark, tmp_path):
     assert _staged_by(spark, tmp_path, lambda h: folds.pharmacy_status_fold(h.pharmacy_tokens, h.pharmacy_status_log)) == [
         "events", "pharmacy_tokens"]
+
+
+def test_reschedule_stages_what_it_reads(spark, tmp_path):
+    assert _staged_by(spark, tmp_path, lambda h: folds.reschedule(h.prebooked_appointments, h.reschedule_log, h.tokens)) == [
+        "events", "prebooked_appointments", "tokens"]
