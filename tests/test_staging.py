@@ -38,3 +38,8 @@ def test_pharmacy_status_fold_stages_what_it_reads(spark, tmp_path):
 def test_reschedule_stages_what_it_reads(spark, tmp_path):
     assert _staged_by(spark, tmp_path, lambda h: folds.reschedule(h.prebooked_appointments, h.reschedule_log, h.tokens)) == [
         "events", "prebooked_appointments", "tokens"]
+
+
+def test_status_alerts_stages_what_it_reads(spark, tmp_path):
+    assert _staged_by(spark, tmp_path, lambda h: alerts.status_alerts(h.tokens, h.status_log, h.doctors)) == [
+        "doctors", "events", "tokens"]
