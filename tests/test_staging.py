@@ -43,3 +43,11 @@ def test_reschedule_stages_what_it_reads(spark, tmp_path):
 def test_status_alerts_stages_what_it_reads(spark, tmp_path):
     assert _staged_by(spark, tmp_path, lambda h: alerts.status_alerts(h.tokens, h.status_log, h.doctors)) == [
         "doctors", "events", "tokens"]
+
+
+def test_issue_lab_stages_what_it_reads(spark, tmp_path):
+    fold = lambda h: folds.issue_lab(h.lab_issue_log, h.lab_tests, h.admissions, h.issued, h.tokens, h.lab_tokens,
+                                     h.lab_status_log, h.issued_log)
+    assert _staged_by(spark, tmp_path, fold) == [
+        "admissions", "departments", "doctors", "events", "issued", "lab_issue_log", "lab_tokens", "opd_issue_log",
+        "prebooked_appointments", "tokens"]
