@@ -51,3 +51,11 @@ def test_issue_lab_stages_what_it_reads(spark, tmp_path):
     assert _staged_by(spark, tmp_path, fold) == [
         "admissions", "departments", "doctors", "events", "issued", "lab_issue_log", "lab_tokens", "opd_issue_log",
         "prebooked_appointments", "tokens"]
+
+
+def test_checkin_bookings_stages_what_it_reads(spark, tmp_path):
+    fold = lambda h: folds.checkin_bookings(h.prebooked_appointments, h.tokens, h.doctors, h.checkin_log,
+                                            h.admissions, h.issued, h.lab_tokens)
+    assert _staged_by(spark, tmp_path, fold) == [
+        "admissions", "departments", "doctors", "events", "issued", "lab_issue_log", "lab_tokens", "opd_issue_log",
+        "prebooked_appointments", "tokens"]
