@@ -228,3 +228,34 @@ def test_rows_keep_their_number_when_files_are_cut_anew(spark, edge_table, monke
         spark.conf.unset("spark.sql.files.minPartitionNum")
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert cuts[0] > 2 and got == want
+
+
+def _tree_rows(units):
+    """Rows for ``ngram_join._tree_pairs``: the same three classes in every unit, each naming all units."""
+    vec = np.full((3, ngram_join.GROUPS), 2, np.uint8)
+    for unit in units:
+        cols = {"unit": [unit] * 3, "page": [0] * 3, "other": [0] * 3, "side": [0] * 3, "cls": [1, 2, 3]}
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array(v, pa.int64()) for v in cols.values()), pa.array([2 * ngram_join.GROUPS] * 3, pa.int32()),
+             pa.array([v.tobytes() for v in vec], pa.binary()), pa.array([1, 2, 3], pa.int64()),
+             pa.array([sorted(units)] * 3, pa.list_(pa.int64()))], names=[*cols, "n", "vec", "comp", "first"])
+
+
+def test_pair_of_many_units_is_sent_once():
+    sent = [p for b in ngram_join._tree_pairs(80)(_tree_rows([-7, 0, 5, 40])) for p in zip(*b.to_pydict().values())]
+    assert sorted(sent) == [(1, 2), (1, 3), (2, 3)]
+
+
+def test_bucket_of_near_copies_is_connected_by_few_pairs():
+    n = 24
+    vec = np.full((n, ngram_join.GROUPS), 2, np.uint8)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([9] * n, pa.int64()), pa.array([0] * n, pa.int64()), pa.array(range(n), pa.int64()),
+         pa.array([2 * ngram_join.GROUPS] * n, pa.int32()), pa.array([v.tobytes() for v in vec], pa.binary()),
+         pa.array(range(n), pa.int64())], names=["unit", "bucket", "cls", "n", "vec", "comp"])
+    sent = [p for b in ngram_join._bucket_pairs(80)(iter([batch])) for p in zip(*b.to_pydict().values())]
+    assert n - 1 <= len(sent) <= (1 + ngram_join.BEST) * n
+    reached = {0}
+    for _ in range(n):
+        reached |= {x for p in sent if reached & set(p) for x in p}
+    assert len(reached) == n

@@ -17,10 +17,14 @@ components of the links.  No link between different sets is lost.
 3. Count vectors and R-trees: the bound drops pairs that cannot reach the
    needed overlap.  The first rounds let the classes of a unit meet in small
    random buckets and form the components of the links found there; they only
-   save work.  Then R-trees are joined (of one page, and of every two pages of
-   a unit whose sizes fit) and give all remaining pairs of different
-   components, with subtrees of one component skipped.  A group of near copies
-   thus costs a few verifications for each member, not one for each pair.
+   save work, so a bucket gives the likeliest pairs that connect it and a few
+   for each class, not all of its pairs.  Then R-trees are joined (of one page,
+   and of every two pages of a unit whose sizes fit) and give all remaining
+   pairs of different components, with subtrees of one component skipped.  A
+   pair that shares many units is sent by the first of them: each row names the
+   first units of its class, and a pair with a named earlier unit in common is
+   left to that one.  A group of near copies thus costs a few verifications for
+   each member, not one for each pair or unit.
 4. Verification compares the sets themselves, built again from the texts.
 
 Hot groups: exact copies collapse by an aggregate; the pairs of a class with
@@ -59,6 +63,8 @@ FREQUENT = 8               # documents that make an element frequent
 PAIRS_PER_SALT = 2000
 ROUNDS = 3
 BUCKET = 24               # classes that meet at random in a first round
+BEST = 2                  # pairs that a class has in its bucket beyond those that connect the bucket
+FIRST_UNITS = 16          # units that a class names, so that a pair is sent by one unit only
 SALT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -272,12 +278,13 @@ class _Pairs:
 
 
 def _bucket_pairs(percent: int):
-    """Rows sorted by (unit, bucket): pairs of a bucket that differ in component and pass the bound."""
+    """Rows sorted by (unit, bucket): likely pairs of a bucket that differ in component and pass the bound."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Pairs()
         for t in _whole_buckets(batches):
             unit, bucket, cls, comp = (t[c].to_numpy() for c in ("unit", "bucket", "cls", "comp"))
             n, vec = t["n"].to_numpy().astype(np.int64), _vectors(t["vec"])
+            left, right, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
             step = 1
             while step < len(cls):
                 i = np.flatnonzero((unit[step:] == unit[:-step]) & (bucket[step:] == bucket[:-step]))
@@ -286,14 +293,46 @@ def _bucket_pairs(percent: int):
                 i = i[comp[i] != comp[i + step]]
                 for a in range(0, len(i), 1 << 16):
                     x, y = i[a:a + (1 << 16)], i[a:a + (1 << 16)] + step
-                    keep = rtree.overlap_bound(vec[x], vec[y], n[x], n[y]) >= rtree.needed(n[x], n[y], percent)
-                    out.add(cls[x[keep]], cls[y[keep]])
+                    bound, need = rtree.overlap_bound(vec[x], vec[y], n[x], n[y]), rtree.needed(n[x], n[y], percent)
+                    keep = bound >= need
+                    left.append(x[keep])
+                    right.append(y[keep])
+                    score.append(bound[keep] / need[keep])
                 step += 1
+            x, y = np.concatenate(left), np.concatenate(right)
+            group = np.cumsum(np.append(False, (unit[1:] != unit[:-1]) | (bucket[1:] != bucket[:-1])))
+            keep = _likeliest(x, y, np.concatenate(score), group, comp)
+            out.add(cls[x[keep]], cls[y[keep]])
             yield from out.flush(10_000)
         yield from out.flush()
     return run
 
 
+def _likeliest(x: np.ndarray, y: np.ndarray, score: np.ndarray, group: np.ndarray, comp: np.ndarray) -> list[int]:
+    """Of the row pairs (x, y): those of highest score that connect the components of each group of rows, and those
+    of rows with fewer than ``BEST`` pairs so far."""
+    label = np.unique(comp, return_inverse=True)[1]
+    up = np.unique(group * (int(label.max()) + 1) + label, return_inverse=True)[1]
+    up, own = list(range(len(up))), up.tolist()   # component of each row within its group, and their union
+
+    def top(a: int) -> int:
+        while up[a] != a:
+            up[a] = a = up[up[a]]
+        return a
+
+    had, kept = [0] * len(own), []
+    left, right = x.tolist(), y.tolist()
+    for k in np.argsort(-score, kind="stable").tolist():
+        i, j = left[k], right[k]
+        a, b = top(own[i]), top(own[j])
+        if a != b or had[i] < BEST or had[j] < BEST:
+            up[a] = b
+            had[i] += 1
+            had[j] += 1
+            kept.append(k)
+    return kept
+
+
 def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Tables of whole (unit, bucket) groups, many groups at a time."""
     rest = None
@@ -313,7 +352,8 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _tree_pairs(percent: int):
-    """Rows sorted by (unit, page, other, side): pairs of different components that pass the bound."""
+    """Rows sorted by (unit, page, other, side): pairs of different components that pass the bound and share no
+    earlier unit that both name."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Pairs()
         for t in consecutive_groups(batches, ["unit", "page", "other"]):
@@ -324,17 +364,31 @@ def _tree_pairs(percent: int):
                 continue
             if not len(rows[1]):
                 rows[1] = rows[0]
-            sides = [(vec[r], n[r], comp[r], cls[r]) for r in rows]
+            named, known = _earlier(t["first"], t["unit"][0].as_py())
+            sides = [(vec[r], n[r], comp[r], cls[r], named[r], known[r]) for r in rows]
             left = rtree.build(*sides[0][:3])
             right = left if rows[1] is rows[0] else rtree.build(*sides[1][:3])
-            points, sizes, labels, ids = zip(*sides)
+            points, sizes, labels, ids, named, known = zip(*sides)
             for i, j in rtree.join(left, right, points, sizes, labels, percent):
-                out.add(ids[0][i], ids[1][j])
+                same = (named[0][i][:, :, None] == named[1][j][:, None, :]) & known[0][i][:, :, None]
+                first = ~(same & known[1][j][:, None, :]).any(axis=(1, 2))
+                out.add(ids[0][i[first]], ids[1][j[first]])
                 yield from out.flush(10_000)
         yield from out.flush()
     return run
 
 
+def _earlier(first: pa.ChunkedArray, unit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The units that each row names, and which of these places hold one before ``unit``."""
+    first = first.combine_chunks()
+    first = pa.concat_arrays(first.chunks) if isinstance(first, pa.ChunkedArray) else first
+    size = first.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    known = np.arange(FIRST_UNITS) < size[:, None]
+    named = np.zeros(known.shape, np.int64)
+    named[known] = first.flatten().to_numpy()
+    return named, known & (named < unit)
+
+
 # -- step 4: verification -----------------------------------------------------
 def _class_texts(bitmap: Bitmap):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -449,7 +503,8 @@ def link_components(docs: DataFrame, percent: int = PERCENT, scratch: Scratch |
 
     # then all pairs of different components in all units, by their trees
     mixed = units.join(_mixed_units(units, comps), "unit", "left_semi")
-    labelled = scratch.write(_labelled(mixed, comps).join(vectors, "cls"), "labelled")
+    first = mixed.groupBy("cls").agg(F.slice(F.sort_array(F.collect_set("unit")), 1, FIRST_UNITS).alias("first"))
+    labelled = scratch.write(_labelled(mixed, comps).join(vectors.join(first, "cls"), "cls"), "labelled")
     scratch.drop("home", "vectors")
     pages = scratch.write(labelled.groupBy("unit", "page").agg(F.min("n").alias("low"), F.max("n").alias("high")),
                           "pages")
@@ -457,7 +512,7 @@ def link_components(docs: DataFrame, percent: int = PERCENT, scratch: Scratch |
     fits = 100 * F.col("x.high") >= percent * F.col("y.low")  # pages run along the size
     crossing = x.join(y, (F.col("x.unit") == F.col("y.unit")) & (F.col("x.page") < F.col("y.page")) & fits).select(
         F.col("x.unit").alias("unit"), F.col("x.page").alias("page"), F.col("y.page").alias("other"))
-    cols = ["unit", "page", "other", "side", "cls", "n", "vec", "comp"]
+    cols = ["unit", "page", "other", "side", "cls", "n", "vec", "comp", "first"]
     alone = labelled.withColumn("other", F.col("page")).withColumn("side", F.lit(0)).select(*cols)
     left = labelled.join(crossing, ["unit", "page"]).withColumn("side", F.lit(0)).select(*cols)
     right = (labelled.withColumnRenamed("page", "other").join(crossing, ["unit", "other"])
