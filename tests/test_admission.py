@@ -134,3 +134,31 @@ def test_a_round_replays_only_the_keys_that_something_else_covers_anew(spark):
         1: (True, None), 2: (False, 101), 3: (True, None)}
     assert {r.key for r in kept["0-line"].collect()} == {"a:1", "p:111", "a:2"}
     assert {r.key for r in kept["1-line"].collect()} | {r.key for r in kept["1-touched"].collect()} <= {"p:111"}
+
+
+def kept_tables(spark, rows, changes):
+    """Outcomes of a small log and the tables that the replay wrote."""
+    asks = spark.createDataFrame(rows, "uid long, kind string, ts timestamp_ntz, d date, patient_id long, phone string, "
+                                       "valid boolean, booking string")
+    stored = spark.createDataFrame([], "lab boolean, token_id long, d date, patient_id long, phone string, status string")
+    changes = spark.createDataFrame(changes, "lab boolean, token_id long, ts timestamp_ntz, id long, status string")
+    write, kept = written_tables(spark, "kept"), {}
+
+    def keep(df, name):
+        kept[name] = write(df, name)
+        return kept[name]
+
+    return {r.uid: outcome(r) for r in admit(asks, stored, changes, 100, keep).collect()}, kept
+
+
+def test_only_changes_that_a_request_can_meet_are_placed(spark):
+    day = dt.date(2024, 1, 10)
+    at = lambda h, m=0: dt.datetime(2024, 1, 10, h, m)
+    rows = [(1, "lab", at(9), day, 1, "111", True, None), (2, "lab", at(10), day, None, "111", True, None)]
+    changes = [(True, 101, at(9, 10), 1, "completed"), (True, 101, at(9, 20), 2, "cancelled"),
+               (True, 101, at(9, 30), 3, "completed"), (True, 101, at(11), 4, "waiting")]
+    got, kept = kept_tables(spark, rows, changes)
+    assert got == {1: ("admitted", None), 2: ("admitted", None)}
+    # one that changes the token's state, in front of the key's last request
+    assert [(r.key, r.id) for r in kept["line"].where("ask = 0 and step = 1").collect()] == [("p:111", 1)]
+    assert "placed" not in kept

@@ -26,7 +26,7 @@ round replays only the keys and days for which something else has changed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions.columns import LAB_ACTIVE, OPD_ACTIVE
@@ -66,13 +66,23 @@ def _is_active(lab: Column, status: Column) -> Column:
     return F.when(lab, status.isin(*LAB_ACTIVE)).otherwise(status.isin(*OPD_ACTIVE))
 
 
+def _not_repeated(changes: DataFrame) -> DataFrame:
+    """Changes with ``after``: the time of the change before, if the token's state was the same then (null: it was
+    not): the same status, or inactive both times."""
+    state = F.struct("status", _is_active(F.col("lab"), F.col("status")).alias("active"), "ts")
+    x = lag_within(changes.withColumn("state", state), ["lab", "token_id"], ["ts", "id"], "state", "prev")
+    same = (F.col("prev.status") == F.col("status")) | (~F.col("prev.active") & ~F.col("state.active"))
+    return x.withColumn("after", F.when(same, F.col("prev.ts"))).drop("state", "prev")
+
+
 def _spans(requests: DataFrame, asks: DataFrame, stored: DataFrame, changes: DataFrame, issued_base: int,
-           keep) -> DataFrame:
+           keep) -> tuple[DataFrame, str]:
     """(key, d, lab, token_id, uid, home, first, status, low, high, off): the stretches of places that each token
-    covers in the keys that find it, with one row of the first active stretch at least.
+    covers in the keys that find it, with one row of the first active stretch at least in its own key.
 
     uid is the request that would open the token (null: stored); home tells its own key; off is the place at which
-    its first active time ends.
+    its first active time ends.  What happens behind the last request of a key and day is left out.  Also returns how
+    the rounds rank: with windows, unless a key and day could exceed the limit of a hot group.
     """
     start = F.to_timestamp_ntz(F.lit(_START))
     keys = F.array_compact(F.array(account_key(F.col("patient_id")), phone_key(F.col("phone"))))
@@ -83,37 +93,48 @@ def _spans(requests: DataFrame, asks: DataFrame, stored: DataFrame, changes: Dat
         (F.col("kind") == "lab").alias("lab"), (F.lit(issued_base) + F.col("uid")).alias("token_id"), "d",
         F.lit(FIRST_STATUS).alias("status"), "uid", F.col("key").alias("own"), "ts", F.lit(0).alias("step"),
         F.col("uid").alias("id"), F.explode(keys).alias("key"))
-    seen = requests.select(*_GROUP).distinct()
-    opened = keep(old.unionByName(new).join(seen, _GROUP, "left_semi"), "opened")
-    about = opened.select(*_GROUP, "lab", "token_id", "uid", "own", F.col("ts").alias("since"))
-    later = about.join(changes, ["lab", "token_id"]).where(F.col("ts") >= F.col("since")).select(
-        *_GROUP, "lab", "token_id", "uid", "own", "status", "ts", F.lit(1).alias("step"), "id")
-    events = opened.unionByName(later.select(*opened.columns))
+    seen = requests.groupBy(*_GROUP).agg(F.max("ts").alias("until"))
+    opened = old.unionByName(new).withColumn("home", F.coalesce(F.col("own") == F.col("key"), F.lit(False))).drop("own")
+    opened = keep(opened.join(seen, _GROUP).where(F.coalesce(F.col("ts") <= F.col("until"), F.lit(True))), "opened")
+    about = opened.select(*_GROUP, "lab", "token_id", "uid", "home", F.col("ts").alias("since"), "until")
+    repeated = F.coalesce(F.col("after") >= F.col("since"), F.lit(False))
+    later = about.join(_not_repeated(changes), ["lab", "token_id"]).where(
+        (F.col("ts") >= F.col("since")) & F.coalesce(F.col("ts") < F.col("until"), F.lit(True)) & ~repeated).select(
+        *_GROUP, "lab", "token_id", "uid", "home", "status", "ts", F.lit(1).alias("step"), "id")
+    events = opened.drop("until")
+    events = events.unionByName(later.select(*events.columns))
     # requests in front of each event
     marks = requests.select(*_GROUP, F.lit(None).cast("boolean").alias("lab"), F.lit(None).cast("long").alias("token_id"),
-                            F.lit(None).cast("long").alias("uid"), F.lit(None).cast("string").alias("own"),
+                            F.lit(None).cast("long").alias("uid"), F.lit(None).cast("boolean").alias("home"),
                             F.lit(None).cast("string").alias("status"), "ts", F.lit(0).alias("step"),
                             F.col("uid").alias("id"), F.lit(1).alias("ask"))
-    # written before each scan: the hot group checks and the joins behind read the rows again
+    # written before the scans: the check for hot groups and the scans read the rows
     line = keep(marks.unionByName(events.withColumn("ask", F.lit(0))), "line")
-    line = running_sum(line, _GROUP, ["ts", "step", "id", F.desc("ask"), "lab", "token_id"], "ask", "place")
-    events = keep(line.where("ask = 0").drop("ask").withColumn("active", _is_active(F.col("lab"), F.col("status"))),
-                  "placed")
+    strategy = _strategy(line)
+    line = running_sum(line, _GROUP, ["ts", "step", "id", F.desc("ask"), "lab", "token_id"], "ask", "place",
+                       strategy=strategy)
+    events = line.where("ask = 0").drop("ask").withColumn("active", _is_active(F.col("lab"), F.col("status")))
     token = [*_GROUP, "lab", "token_id"]
-    events = lag_within(events, token, [F.desc("ts"), F.desc("step"), F.desc("id")], "place", "high")
     order = F.struct("ts", "step", "id", "place")
-    off = events.where("not active").groupBy(*token).agg(F.min(order).alias("off"))
-    events = events.join(off, token, "left")
-    return events.where("active").select(
-        *token, "uid", (F.col("own") == F.col("key")).alias("home"),
-        (F.col("off").isNull() | (order < F.col("off"))).alias("first"), "status", F.col("place").alias("low"),
-        F.coalesce("high", F.lit(_NEVER)).alias("high"), F.coalesce("off.place", F.lit(_NEVER)).alias("off"))
-
-
-def _strategy(requests: DataFrame, spans: DataFrame) -> str:
-    """How the rounds rank: with windows, unless a key and day could exceed the limit of a hot group."""
-    rows = requests.select(*_GROUP).unionByName(spans.select(*_GROUP)).groupBy(*_GROUP).count()
-    return "window" if rows.where(F.col("count") * 2 > hot_group_rows(requests.sparkSession)).isEmpty() else "auto"
+    end = F.min(F.when(~F.col("active"), order))
+    last = [F.desc("ts"), F.desc("step"), F.desc("id")]
+    if strategy == "window":   # a key and day is in one task already: no more shuffles
+        events = lag_within(events, token, last, "place", "high", strategy=strategy)
+        events = events.withColumn("off", end.over(Window.partitionBy(*token)))
+    else:
+        events = keep(events, "placed")
+        off = events.groupBy(*token).agg(end.alias("off"))
+        events = lag_within(events, token, last, "place", "high").join(off, token, "left")
+    spans = events.where("active").select(
+        *token, "uid", "home", (F.col("off").isNull() | (order < F.col("off"))).alias("first"), "status",
+        F.col("place").alias("low"), F.coalesce("high", F.lit(_NEVER)).alias("high"),
+        F.coalesce("off.place", F.lit(_NEVER)).alias("off"))
+    return spans.where("low < high or home and first"), strategy
+
+
+def _strategy(line: DataFrame) -> str:
+    rows = line.groupBy(*_GROUP).count()
+    return "window" if rows.where(F.col("count") * 2 > hot_group_rows(line.sparkSession)).isEmpty() else "auto"
 
 
 def _free(requests: DataFrame, busy: DataFrame, strategy: str) -> DataFrame:
@@ -171,18 +192,28 @@ def _taken(accepted: DataFrame, asks: DataFrame) -> DataFrame:
 def _blockers(requests: DataFrame, spans: DataFrame, largest: int) -> DataFrame:
     """(uid, blocker): for each covered request the first covering token, OPD before lab, then by id.
 
-    A stretch is cut into blocks of 2^k places, at most two of each size; a place looks up the one block of each
+    A stretch is cut into blocks of 4^k places, at most six of each size; a place looks up the one block of each
     size that holds it.  So requests and tokens of a busy key meet in equi joins without all pairs.
     """
-    sizes = max(1, int(largest).bit_length())
-    k = F.explode(F.sequence(F.lit(0), F.lit(sizes))).alias("k")
-    cut = spans.select(*_GROUP, "lab", "token_id", "status", "low", F.least("high", F.lit(1 << sizes)).alias("high"), k)
-    cut = cut.withColumn("l", F.expr("shiftright(low + shiftleft(1L, k) - 1, k)")).withColumn(
-        "r", F.expr("shiftright(high, k)")).where("l < r")
-    at = F.array_compact(F.array(F.when(F.col("l") % 2 == 1, F.col("l")), F.when(F.col("r") % 2 == 1, F.col("r") - 1)))
+    top = int(largest) + 1
+    cut = spans.select(*_GROUP, "lab", "token_id", "status", "low", F.least("high", F.lit(top)).alias("high"))
+    # sizes up to the stretch's own length
+    k = F.expr("cast((length(bin(high - low)) - 1) div 2 as int)")   # no block is longer than the stretch
+    cut = cut.where("low < high").withColumn("k", F.explode(F.sequence(F.lit(0), k)))
+    cut = cut.withColumn("l", F.expr("shiftright(low + shiftleft(1L, 2 * k) - 1, 2 * k)")).withColumn(
+        "r", F.expr("shiftright(high, 2 * k)")).where("l < r")
+    # those that no larger block holds: in front of b and from e on
+    cut = cut.withColumn("b", F.expr("shiftright(l + 3, 2) * 4")).withColumn("e", F.expr("shiftright(r, 2) * 4"))
+
+    def run(low: str, high: str) -> Column:
+        some = F.when(F.col(low) < F.col(high), F.sequence(F.col(low), F.col(high) - 1))
+        return F.coalesce(some, F.array().cast("array<bigint>"))
+
+    at = F.when(F.col("b") < F.col("e"), F.concat(run("l", "b"), run("e", "r"))).otherwise(run("l", "r"))
     blocks = cut.select(*_GROUP, "k", F.explode(at).alias("block"), F.struct("lab", "token_id", "status").alias("b"))
     blocks = blocks.groupBy(*_GROUP, "k", "block").agg(F.min("b").alias("b"))
-    asked = requests.select("uid", *_GROUP, "place", k).withColumn("block", F.expr("shiftright(place, k)"))
+    k = F.explode(F.sequence(F.lit(0), F.lit((top.bit_length() - 1) // 2))).alias("k")
+    asked = requests.select("uid", *_GROUP, "place", k).withColumn("block", F.expr("shiftright(place, 2 * k)"))
     return asked.join(blocks, [*_GROUP, "k", "block"]).groupBy("uid").agg(F.min("b").alias("blocker"))
 
 
@@ -202,14 +233,15 @@ def admit(asks: DataFrame, stored: DataFrame, changes: DataFrame, issued_base: i
     requests = number_rows(asks.where("key is not null"), _GROUP, ["ts", "uid"], "place")
     requests = keep(requests.withColumn("place", F.col("place") - 1).select(*_GROUP, "place", "uid", "ts", "valid"),
                     "requests")
-    spans = keep(_spans(requests, asks, stored, changes, issued_base, keep), "spans")
+    spans, strategy = _spans(requests, asks, stored, changes, issued_base, keep)
+    spans = keep(spans, "spans")
     ends = spans.where("home and first").groupBy("uid").agg(F.min("off").alias("end"))
     openers = keep(requests.where("valid").join(ends, "uid").select(*_GROUP, "place", "uid", "end"), "openers")
     unchecked = asks.where("key is null and valid").select("uid", *_GROUP)
     foreign = keep(spans.where("uid is not null and not (home and first)"), "foreign")
     stored_spans = spans.where("uid is null")
     accepted, taken, touched = openers.select("uid", *_GROUP).limit(0), openers.select("uid").limit(0), None
-    strategy, turn = _strategy(requests, spans), 0
+    turn = 0
     while True:
         busy = stored_spans.unionByName(foreign.join(accepted, "uid", "left_semi").select(*spans.columns))
         able = openers.join(taken, "uid", "left_anti")
