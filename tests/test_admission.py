@@ -162,3 +162,12 @@ def test_only_changes_that_a_request_can_meet_are_placed(spark):
     # one that changes the token's state, in front of the key's last request
     assert [(r.key, r.id) for r in kept["line"].where("ask = 0 and step = 1").collect()] == [("p:111", 1)]
     assert "placed" not in kept
+
+
+def test_a_token_that_no_request_meets_replays_no_key(spark):
+    day = dt.date(2024, 1, 10)
+    rows = [(1, "opd", dt.datetime(2024, 1, 10, 8), day, None, "111", True, None),
+            (2, "checkin", dt.datetime(2024, 1, 10, 9), day, 1, "111", True, "PB1")]   # nobody asks on this phone again
+    got, kept = kept_tables(spark, rows, [(False, 101, dt.datetime(2024, 1, 10, 8, 30), 1, "completed")])
+    assert got == {1: ("admitted", None), 2: ("admitted", None)}
+    assert kept["0-touched"].isEmpty()
