@@ -171,3 +171,28 @@ def test_a_token_that_no_request_meets_replays_no_key(spark):
     got, kept = kept_tables(spark, rows, [(False, 101, dt.datetime(2024, 1, 10, 8, 30), 1, "completed")])
     assert got == {1: ("admitted", None), 2: ("admitted", None)}
     assert kept["0-touched"].isEmpty()
+
+
+def test_what_a_stored_token_of_the_whole_day_hides_is_not_placed(spark):
+    day = dt.date(2024, 1, 10)
+    at = lambda h, m=0: dt.datetime(2024, 1, 10, h, m)
+    asks = [dict(uid=i, kind="checkin", ts=at(9, i), d=day, patient_id=None, phone="111", valid=True, booking=f"PB{i}")
+            for i in range(1, 6)]
+    asks.append(dict(asks[0], uid=6, ts=at(9, 2), patient_id=1, booking="PB6"))   # the account holds no token
+    stored = [dict(lab=lab, token_id=i, d=day, patient_id=None, phone="111", status=status)
+              for lab, i, status in [(False, 1, "completed"), (False, 2, "waiting"), (False, 3, "consulting"), (True, 4, "waiting")]]
+    changes = [dict(lab=False, token_id=3, ts=at(9, 3), id=1, status="completed"),
+               dict(lab=False, token_id=1, ts=at(9, 3), id=2, status="consulting"),
+               dict(lab=False, token_id=1, ts=at(9, 4), id=3, status="cancelled")]
+    write, kept = written_tables(spark, "hidden"), {}
+
+    def keep(df, name):
+        kept[name] = write(df, name)
+        return kept[name]
+
+    out = admit(*frames(spark, asks, stored, changes), 100, keep)
+    want = replay(asks, stored, changes)
+    assert {r.uid: outcome(r) for r in out.collect()} == want
+    assert want[3] == ("refused", (False, 2, "waiting")) and want[4] == ("refused", (False, 1, "consulting"))
+    assert {(r.key, r.token_id) for r in kept["line"].where("ask = 0").collect()} == {("a:1", 106)}
+    assert {r.token_id for r in kept["stored-line"].where("ask = 0").collect()} == {1}

@@ -16,8 +16,9 @@ then the first free one behind the end of the token that it opens, and so on.
 finds every request on the chain in a logarithmic number of joins, so a busy
 patient is spread over tasks like anybody else.
 
-What else covers the day -- stored tokens, tokens that accounts opened,
-revived tokens, bookings that are taken -- is known from the accepted requests
+A request that a stored token covers can open none, so the tokens of all other
+requests are the only ones to be replayed.  What else covers the day -- tokens
+that accounts opened, revived tokens, bookings that are taken -- is known from the accepted requests
 of the round before.  Rounds repeat until nothing changes.  Effects only go
 forward in time, so each round settles at least the next request in which
 something was still open, and the result is that of the replay in order.  A
@@ -26,6 +27,8 @@ round replays only the keys and days for which something else has changed.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,41 +78,107 @@ def _not_repeated(changes: DataFrame) -> DataFrame:
     return x.withColumn("after", F.when(same, F.col("prev.ts"))).drop("state", "prev")
 
 
-def _spans(requests: DataFrame, asks: DataFrame, stored: DataFrame, changes: DataFrame, issued_base: int,
-           keep) -> tuple[DataFrame, str]:
-    """(key, d, lab, token_id, uid, home, first, status, low, high, off): the stretches of places that each token
-    covers in the keys that find it, with one row of the first active stretch at least in its own key.
+def _seen(requests: DataFrame) -> DataFrame:
+    """(key, d, until): the last request of each key and day."""
+    return requests.groupBy(*_GROUP).agg(F.max("ts").alias("until"))
+
+
+def _keys() -> Column:
+    return F.array_compact(F.array(account_key(F.col("patient_id")), phone_key(F.col("phone"))))
+
+
+def _told(stored: DataFrame, changes: DataFrame) -> DataFrame:
+    """Changes of stored tokens, without those that repeat the token's state."""
+    token = ["lab", "token_id"]
+    # ids of other tokens are often all smaller or larger: their changes are not shuffled
+    ids = [(F.col("lab") == r.lab) & F.col("token_id").between(r.low, r.high) for r in stored.groupBy("lab").agg(
+        F.min("token_id").alias("low"), F.max("token_id").alias("high")).collect() if r.low is not None]
+    within = reduce(lambda x, y: x | y, ids, F.lit(False))
+    start = F.to_timestamp_ntz(F.lit(_START))
+    about = changes.where(within & (F.col("ts") >= start)).join(stored.select(*token), token, "left_semi")
+    return _not_repeated(about).where("after is null").drop("after")
 
-    uid is the request that would open the token (null: stored); home tells its own key; off is the place at which
-    its first active time ends.  What happens behind the last request of a key and day is left out.  Also returns how
-    the rounds rank: with windows, unless a key and day could exceed the limit of a hot group.
+
+def _stored_spans(requests: DataFrame, stored: DataFrame, changes: DataFrame, keep) -> tuple[DataFrame, DataFrame]:
+    """Stretches of stored tokens, as ``_spans`` gives them, and (key, d, best_opd, best_lab): the first token of each
+    sort that covers a key and day as a whole.
+
+    A token that is active all day refuses every request of its key and day, so it hides the tokens behind it in the
+    order of blockers: these are left out, and neither is placed.
     """
     start = F.to_timestamp_ntz(F.lit(_START))
-    keys = F.array_compact(F.array(account_key(F.col("patient_id")), phone_key(F.col("phone"))))
-    old = stored.select("lab", "token_id", "d", "status", F.lit(None).cast("long").alias("uid"),
-                        F.lit(None).cast("string").alias("own"), start.alias("ts"), F.lit(-1).alias("step"),
-                        F.lit(0).cast("long").alias("id"), F.explode(keys).alias("key"))
-    new = asks.where("valid").select(
+    told = keep(_told(stored, changes), "told")
+    first = told.groupBy("lab", "token_id").agg(F.min("ts").alias("first"))
+    opened = stored.join(first, ["lab", "token_id"], "left").select(
+        "lab", "token_id", "d", "status", "first", F.explode(_keys()).alias("key")).join(_seen(requests), _GROUP)
+    active = F.coalesce(_is_active(F.col("lab"), F.col("status")), F.lit(False))
+    # a change behind the last request is none
+    changed = F.col("first").isNotNull() & F.coalesce(F.col("first") < F.col("until"), F.lit(True))
+    opened = opened.where(F.coalesce(start <= F.col("until"), F.lit(True))).withColumn("active", active).withColumn(
+        "changed", changed).where("active or changed").drop("first")
+    opened = keep(opened, "stored-opened")
+    first_of = [F.min(F.when(x, F.col("token_id"))).alias(n) for x, n in ((~F.col("lab"), "best_opd"), (F.col("lab"), "best_lab"))]
+    whole = opened.where("not changed").groupBy(*_GROUP).agg(*first_of)
+    whole = keep(whole.where("best_opd is not null or best_lab is not null"), "whole")
+    left = keep(_not_hidden(opened, whole), "left")
+    none = (F.lit(None).cast("long").alias("uid"), F.lit(False).alias("home"))
+    part = left.where("changed")
+    events = part.where("active").select(*_GROUP, "lab", "token_id", *none, "status", start.alias("ts"),
+                                         F.lit(-1).alias("step"), F.lit(0).cast("long").alias("id"))
+    later = part.select(*_GROUP, "lab", "token_id", "until").join(told, ["lab", "token_id"]).where(
+        F.coalesce(F.col("ts") < F.col("until"), F.lit(True))).select(
+        *_GROUP, "lab", "token_id", *none, "status", "ts", F.lit(1).alias("step"), "id")
+    spans, _ = _stretches(requests.join(part, _GROUP, "left_semi"), events.unionByName(later), keep, "stored-")
+    always = left.where("not changed").select(
+        *_GROUP, "lab", "token_id", *none, F.lit(True).alias("first"), "status", F.lit(0).cast("long").alias("low"),
+        F.lit(_NEVER).alias("high"), F.lit(_NEVER).alias("off"))
+    return keep(spans.unionByName(always.select(*spans.columns)), "stored-spans"), whole
+
+
+def _not_hidden(tokens: DataFrame, whole: DataFrame) -> DataFrame:
+    """Rows of ``tokens`` that no token of ``whole`` is in front of as a blocker: OPD before lab, then by id."""
+    opd, lab, number = F.col("best_opd"), F.col("best_lab"), F.col("token_id")
+    hidden = F.when(~F.col("lab"), number > opd).otherwise(opd.isNotNull() | (number > lab))
+    return tokens.join(whole, _GROUP, "left").where(~F.coalesce(hidden, F.lit(False))).drop("best_opd", "best_lab")
+
+
+def _spans(requests: DataFrame, asks: DataFrame, whole: DataFrame, changes: DataFrame, issued_base: int,
+           keep) -> tuple[DataFrame, str]:
+    """(key, d, lab, token_id, uid, home, first, status, low, high, off): the stretches of places that the token of each
+    ask would cover in the keys that find it, with one row of the first active stretch at least in its own key.
+
+    uid is the request that would open the token; home tells its own key; off is the place at which
+    its first active time ends.  What happens behind the last request of a key and day is left out, as are tokens that a
+    token of ``whole`` hides.  Also returns how the rounds rank: with windows, unless a key and day could exceed the limit of a hot group.
+    """
+    opened = asks.select(
         (F.col("kind") == "lab").alias("lab"), (F.lit(issued_base) + F.col("uid")).alias("token_id"), "d",
         F.lit(FIRST_STATUS).alias("status"), "uid", F.col("key").alias("own"), "ts", F.lit(0).alias("step"),
-        F.col("uid").alias("id"), F.explode(keys).alias("key"))
-    seen = requests.groupBy(*_GROUP).agg(F.max("ts").alias("until"))
-    opened = old.unionByName(new).withColumn("home", F.coalesce(F.col("own") == F.col("key"), F.lit(False))).drop("own")
-    opened = keep(opened.join(seen, _GROUP).where(F.coalesce(F.col("ts") <= F.col("until"), F.lit(True))), "opened")
+        F.col("uid").alias("id"), F.explode(_keys()).alias("key"))
+    opened = opened.withColumn("home", F.coalesce(F.col("own") == F.col("key"), F.lit(False))).drop("own")
+    opened = opened.join(_seen(requests), _GROUP).where(F.coalesce(F.col("ts") <= F.col("until"), F.lit(True)))
+    opened = keep(_not_hidden(opened, whole), "opened")
     about = opened.select(*_GROUP, "lab", "token_id", "uid", "home", F.col("ts").alias("since"), "until")
+    own = _not_repeated(changes.join(opened.select("lab", "token_id"), ["lab", "token_id"], "left_semi"))
     repeated = F.coalesce(F.col("after") >= F.col("since"), F.lit(False))
-    later = about.join(_not_repeated(changes), ["lab", "token_id"]).where(
+    later = about.join(own, ["lab", "token_id"]).where(
         (F.col("ts") >= F.col("since")) & F.coalesce(F.col("ts") < F.col("until"), F.lit(True)) & ~repeated).select(
         *_GROUP, "lab", "token_id", "uid", "home", "status", "ts", F.lit(1).alias("step"), "id")
     events = opened.drop("until")
-    events = events.unionByName(later.select(*events.columns))
+    spans, strategy = _stretches(requests.join(opened, _GROUP, "left_semi"),
+                                 events.unionByName(later.select(*events.columns)), keep, "")
+    return keep(spans, "spans"), strategy
+
+
+def _stretches(requests: DataFrame, events: DataFrame, keep, label: str) -> tuple[DataFrame, str]:
+    """The stretches between the events of each token, and how their places were counted."""
     # requests in front of each event
     marks = requests.select(*_GROUP, F.lit(None).cast("boolean").alias("lab"), F.lit(None).cast("long").alias("token_id"),
                             F.lit(None).cast("long").alias("uid"), F.lit(None).cast("boolean").alias("home"),
                             F.lit(None).cast("string").alias("status"), "ts", F.lit(0).alias("step"),
                             F.col("uid").alias("id"), F.lit(1).alias("ask"))
     # written before the scans: the check for hot groups and the scans read the rows
-    line = keep(marks.unionByName(events.withColumn("ask", F.lit(0))), "line")
+    line = keep(marks.unionByName(events.withColumn("ask", F.lit(0))), f"{label}line")
     strategy = _strategy(line)
     line = running_sum(line, _GROUP, ["ts", "step", "id", F.desc("ask"), "lab", "token_id"], "ask", "place",
                        strategy=strategy)
@@ -122,7 +191,7 @@ def _spans(requests: DataFrame, asks: DataFrame, stored: DataFrame, changes: Dat
         events = lag_within(events, token, last, "place", "high", strategy=strategy)
         events = events.withColumn("off", end.over(Window.partitionBy(*token)))
     else:
-        events = keep(events, "placed")
+        events = keep(events, f"{label}placed")
         off = events.groupBy(*token).agg(end.alias("off"))
         events = lag_within(events, token, last, "place", "high").join(off, token, "left")
     spans = events.where("active").select(
@@ -193,10 +262,12 @@ def _blockers(requests: DataFrame, spans: DataFrame, largest: int) -> DataFrame:
     """(uid, blocker): for each covered request the first covering token, OPD before lab, then by id.
 
     A stretch is cut into blocks of 4^k places, at most six of each size; a place looks up the one block of each
-    size that holds it.  So requests and tokens of a busy key meet in equi joins without all pairs.
+    size that holds it.  So requests and tokens of a busy key meet in equi joins without all pairs.  A stretch over
+    all places meets every request of its key and day and is not cut.
     """
     top = int(largest) + 1
-    cut = spans.select(*_GROUP, "lab", "token_id", "status", "low", F.least("high", F.lit(top)).alias("high"))
+    always = (F.col("low") == 0) & (F.col("high") == _NEVER)
+    cut = spans.where(~always).select(*_GROUP, "lab", "token_id", "status", "low", F.least("high", F.lit(top)).alias("high"))
     # sizes up to the stretch's own length
     k = F.expr("cast((length(bin(high - low)) - 1) div 2 as int)")   # no block is longer than the stretch
     cut = cut.where("low < high").withColumn("k", F.explode(F.sequence(F.lit(0), k)))
@@ -210,11 +281,15 @@ def _blockers(requests: DataFrame, spans: DataFrame, largest: int) -> DataFrame:
         return F.coalesce(some, F.array().cast("array<bigint>"))
 
     at = F.when(F.col("b") < F.col("e"), F.concat(run("l", "b"), run("e", "r"))).otherwise(run("l", "r"))
+    reach = cut.groupBy(*_GROUP).agg(F.max("k").cast("int").alias("reach"))   # the largest size of a key and day
     blocks = cut.select(*_GROUP, "k", F.explode(at).alias("block"), F.struct("lab", "token_id", "status").alias("b"))
     blocks = blocks.groupBy(*_GROUP, "k", "block").agg(F.min("b").alias("b"))
-    k = F.explode(F.sequence(F.lit(0), F.lit((top.bit_length() - 1) // 2))).alias("k")
-    asked = requests.select("uid", *_GROUP, "place", k).withColumn("block", F.expr("shiftright(place, 2 * k)"))
-    return asked.join(blocks, [*_GROUP, "k", "block"]).groupBy("uid").agg(F.min("b").alias("blocker"))
+    k = F.explode(F.sequence(F.lit(0), F.col("reach"))).alias("k")
+    asked = requests.join(reach, _GROUP).select("uid", *_GROUP, "place", k).withColumn("block", F.expr("shiftright(place, 2 * k)"))
+    whole = spans.where(always).groupBy(*_GROUP).agg(F.min(F.struct("lab", "token_id", "status")).alias("b"))
+    found = asked.join(blocks, [*_GROUP, "k", "block"]).select("uid", "b").unionByName(
+        requests.join(whole, _GROUP).select("uid", "b"))
+    return found.groupBy("uid").agg(F.min("b").alias("blocker"))
 
 
 def admit(asks: DataFrame, stored: DataFrame, changes: DataFrame, issued_base: int, keep) -> DataFrame:
@@ -233,17 +308,20 @@ def admit(asks: DataFrame, stored: DataFrame, changes: DataFrame, issued_base: i
     requests = number_rows(asks.where("key is not null"), _GROUP, ["ts", "uid"], "place")
     requests = keep(requests.withColumn("place", F.col("place") - 1).select(*_GROUP, "place", "uid", "ts", "valid"),
                     "requests")
-    spans, strategy = _spans(requests, asks, stored, changes, issued_base, keep)
-    spans = keep(spans, "spans")
+    stored_spans, whole = _stored_spans(requests, stored, changes, keep)
+    # a request that a stored token covers opens none, whatever else does
+    able = requests.where("valid").join(whole, _GROUP, "left_anti").withColumn("end", F.lit(None).cast("long"))
+    partly = stored_spans.join(whole, _GROUP, "left_anti")
+    able = keep(_free(able, partly, "auto").drop("end"), "able")
+    spans, strategy = _spans(requests, asks.join(able, "uid", "left_semi"), whole, changes, issued_base, keep)
     ends = spans.where("home and first").groupBy("uid").agg(F.min("off").alias("end"))
-    openers = keep(requests.where("valid").join(ends, "uid").select(*_GROUP, "place", "uid", "end"), "openers")
+    openers = keep(able.join(ends, "uid").select(*_GROUP, "place", "uid", "end"), "openers")
     unchecked = asks.where("key is null and valid").select("uid", *_GROUP)
-    foreign = keep(spans.where("uid is not null and not (home and first)"), "foreign")
-    stored_spans = spans.where("uid is null")
+    foreign = keep(spans.where("not (home and first)"), "foreign")
     accepted, taken, touched = openers.select("uid", *_GROUP).limit(0), openers.select("uid").limit(0), None
     turn = 0
     while True:
-        busy = stored_spans.unionByName(foreign.join(accepted, "uid", "left_semi").select(*spans.columns))
+        busy = foreign.join(accepted, "uid", "left_semi")
         able = openers.join(taken, "uid", "left_anti")
 
         def here(df: DataFrame, name: str, turn=turn) -> DataFrame:
@@ -263,8 +341,7 @@ def admit(asks: DataFrame, stored: DataFrame, changes: DataFrame, issued_base: i
         # keys and days whose other cover, or whose requests that can open a token, have changed
         touched = here(foreign.join(flips, "uid", "left_semi").select(*_GROUP).unionByName(
             openers.join(_flips(held, taken), "uid", "left_semi").select(*_GROUP)).distinct(), "touched")
-    covering = spans.where("uid is null").unionByName(
-        spans.where("uid is not null").join(accepted, "uid", "left_semi").select(*spans.columns))
+    covering = stored_spans.unionByName(spans.join(accepted, "uid", "left_semi").select(*spans.columns))
     largest = requests.agg(F.max("place")).first()[0] or 0
     refused = requests.join(accepted, "uid", "left_anti").join(taken, "uid", "left_anti")
     blocked = _blockers(refused, covering, largest)
